@@ -129,7 +129,7 @@ def sql_macd(fast=12, slow=26, sig=9):
     sg = f"({a9} * {m} + {r9} * p.sg)"
     h = f"({m} - {sg})"
     hs = f"({a9} * {h} + {r9} * p.hs)"
-    rec = _recursive("e", "s", {"f": "close", "sl": "close", "sg": "0.0", "hs": "0.0"},
+    rec = _recursive("e", "s", {"f": "close", "sl": "close", "sg": "CAST(0.0 AS DOUBLE)", "hs": "CAST(0.0 AS DOUBLE)"},
                      {"f": f, "sl": sl, "sg": sg, "hs": hs})
     return ("WITH RECURSIVE " + numbered()[5:] + ",\n" + rec + "\n" +
             _select([("MACD", "e.f - e.sl"), ("MACD_Signal", "e.sg"),
@@ -210,7 +210,7 @@ a AS (SELECT symbol, ts, coalesce(CASE WHEN {ratio} > 0 THEN ln({ratio}) END, 0.
 """ + _select([("Historical_Volatility", f"stddev_samp(lr) {rows(n)} * sqrt({n})")], "a"))
 
 
-def _atr_ctes(n, name="at"):
+def _atr_ctes(n, name="atrw"):
     return f"""tr AS MATERIALIZED (SELECT *, CASE WHEN rn > 1 THEN greatest(high - low,
       abs(high - pc), abs(low - pc)) END AS tr FROM (SELECT *, lag(close) OVER ({P}) AS pc FROM s)),
 trs AS MATERIALIZED (SELECT *, {full('avg', 'tr', n)} AS seed FROM tr),

@@ -85,9 +85,10 @@ def lay_out(df: DataFrame, sym: str = SYM, ts: str = TS, *, halo: int = 0,
     """Attach ``_blk``, ``_rn`` and ``_own`` to a bar-like table.
 
     ``halo`` is the longest look-back (in rows) any later window needs.
-    ``blocked=False`` gives the plain layout (one block per symbol) that is
-    right for small inputs and is the reference the blocked path is tested
-    against.
+    ``blocked=False`` gives the plain layout (one block per symbol); it is
+    also chosen automatically when no symbol has more than ``block_rows``
+    rows, since one block per symbol is then already bounded. The blocked
+    path is tested against it with small ``block_rows``.
     """
     halo = max(int(halo), 0)
     if not blocked:
@@ -98,6 +99,12 @@ def lay_out(df: DataFrame, sym: str = SYM, ts: str = TS, *, halo: int = 0,
         return Laid(out, sym, ts, halo, False, None)
 
     t_us = F.unix_micros(F.col(ts).cast("timestamp"))
+    # 0. one small aggregate: if every symbol fits in one block, one block per
+    #    symbol is already bounded and the plan below is not needed.
+    largest = (df.groupBy(sym).agg(F.count(F.lit(1)).alias("_n"))
+               .agg(F.max("_n")).first()[0])
+    if largest is None or int(largest) <= max(int(block_rows), halo + 1):
+        return lay_out(df, sym, ts, halo=halo, blocked=False)
     # 1. per-symbol stats -> bucket width (microseconds) per symbol.
     stats = (df.groupBy(sym)
              .agg(F.count(F.lit(1)).alias("_n"), F.min(t_us).alias("_t0"),
