@@ -89,30 +89,42 @@ def local_bfill(x, sym=SYM) -> Column:
 
 
 # ---------------------------------------------------------------------------
-# Linear recurrence (EMA / Wilder) by log-depth doubling.
+# Linear recurrence (EMA / Wilder) by radix-16 doubling.
 #
 #   y_t = b_t + r * y_{t-1}  (t >= seed),  y = null before the seed
 #
 # equals sum_{j>=0} r^j b_{t-j}. Terms with r^j < 1e-17 cannot change a
 # double, so the sum is exact to double precision after M = ln(1e-17)/ln(r)
-# terms; it is built in ceil(log2 M) steps S <- S + r^m * lag(S, m), each a
-# plain lag window over the block (halo >= 2^steps rows). No per-row Python,
-# no quadratic array fold, and blocks of one symbol run in parallel.
+# terms. It is built in passes S <- sum_{i<k} r^(c*i) * lag(S, c*i) where c
+# is the span already covered and k <= 16: every pass is one window operator
+# holding up to 16 lags, so M <= 4096 needs at most three passes. No per-row
+# Python, no quadratic array fold, and blocks of one symbol run in parallel
+# (halo >= covered span).
 # ---------------------------------------------------------------------------
 _EPS = 1e-17
+RADIX = 16
 
 
-def doubling_steps(r: float) -> int:
+def _terms(r: float) -> int:
     if r <= 0.0:
-        return 0
+        return 1
     if r >= 1.0:
         raise ValueError("decay must be < 1")
-    terms = math.ceil(math.log(_EPS) / math.log(r))
-    return max(0, math.ceil(math.log2(max(terms, 1))))
+    return max(1, math.ceil(math.log(_EPS) / math.log(r)))
+
+
+def radix_plan(r: float) -> list[int]:
+    """Radix of each pass; their product is the number of terms covered."""
+    need, cov, plan = _terms(r), 1, []
+    while cov < need:
+        k = min(RADIX, math.ceil(need / cov))
+        plan.append(k)
+        cov *= k
+    return plan
 
 
 def recurrence_lookback(r: float) -> int:
-    return (1 << doubling_steps(r)) - 1
+    return math.prod(radix_plan(r)) - 1
 
 
 def ema_lookback(span: int) -> int:
@@ -128,26 +140,36 @@ def apply_recurrences(df: DataFrame, specs, sym: str = SYM) -> DataFrame:
 
     ``specs``: list of ``(out, b, r, seed_mask)`` where ``b`` is the input
     term column, ``r`` the decay and ``seed_mask`` a boolean column true on
-    rows at or after the seed (the output is null elsewhere). All steps of
-    the same size share one window operator.
+    rows at or after the seed (the output is null elsewhere). Pass ``p`` of
+    every recurrence shares one window operator.
     """
     if not specs:
         return df
     w = series_window(sym)
     tmp = {}
+    init = {}
     for i, (out, b, r, seed) in enumerate(specs):
-        name = f"_rec{i}"
-        tmp[out] = (name, r, seed)
-        df = df.withColumn(name, F.when(seed, c(b)).otherwise(F.lit(0.0)).cast("double"))
-    max_steps = max(doubling_steps(r) for _, _, r, _ in specs)
-    for step in range(max_steps):
-        m = 1 << step
+        name = f"_rec{i}_{out}"
+        tmp[out] = (name, r, seed, radix_plan(r))
+        init[name] = F.when(seed, c(b)).otherwise(F.lit(0.0)).cast("double")
+    df = df.withColumns(init)
+    n_pass = max(len(v[3]) for v in tmp.values())
+    covered = {out: 1 for out in tmp}
+    for p in range(n_pass):
         upd = {}
-        for out, (name, r, _seed) in tmp.items():
-            if step < doubling_steps(r):
-                upd[name] = F.col(name) + F.lit(r ** m) * F.lag(F.col(name), m, 0.0).over(w)
+        for out, (name, r, _seed, plan) in tmp.items():
+            if p >= len(plan):
+                continue
+            cov = covered[out]
+            terms = [F.col(name)] + [F.lit(r ** (cov * i)) * F.lag(F.col(name), cov * i, 0.0).over(w)
+                                     for i in range(1, plan[p])]
+            acc = terms[0]
+            for t in terms[1:]:
+                acc = acc + t
+            upd[name] = acc
+            covered[out] = cov * plan[p]
         df = df.withColumns(upd)
-    final = {out: F.when(seed, F.col(name)) for out, (name, _r, seed) in tmp.items()}
+    final = {out: F.when(seed, F.col(name)) for out, (name, _r, seed, _p) in tmp.items()}
     return df.withColumns(final).drop(*[v[0] for v in tmp.values()])
 
 

@@ -12,10 +12,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.indicators import output_columns, with_indicators
-from ..sources.tables import event_bars, line_bars
+from ..sources.tables import EVENT_BARS_SQL, event_bars, line_bars
 from .sqlkit import P, cum, full, numbered, rnd, rows, tdiv
 
 REC_DIGITS = 4
+BARS_EVENT = EVENT_BARS_SQL
 
 
 def spark_round(col, digits=6):

@@ -180,7 +180,8 @@ def add_carry(laid: Laid, specs: dict[str, tuple[str, str]]) -> DataFrame:
     """Finish block-local cumulative columns with the carry of earlier blocks.
 
     ``specs`` maps an output column to ``(local_column, kind)`` where kind is
-    ``sum`` / ``max`` / ``min`` / ``last`` (last non-null). The local column
+    ``sum`` / ``max`` / ``min`` / ``last`` (last non-null) / ``next`` (first
+    non-null at or after the row, i.e. a backward fill). The local column
     must be cumulative over the block's own rows only. Output keeps own rows.
     """
     df = laid.df.where(F.col(OWN))
@@ -188,8 +189,9 @@ def add_carry(laid: Laid, specs: dict[str, tuple[str, str]]) -> DataFrame:
         return df.withColumns({out: F.col(loc) for out, (loc, _) in specs.items()})
     sym = laid.sym
     # block summaries: the local value on the block's last own row
-    aggs = [F.max_by(F.col(loc), F.col(RN)).alias(f"_e_{i}")
-            for i, (loc, _) in enumerate(specs.values())]
+    # ("next" = first non-null in later blocks: the local value on the first row)
+    aggs = [(F.min_by if kind == "next" else F.max_by)(F.col(loc), F.col(RN)).alias(f"_e_{i}")
+            for i, (loc, kind) in enumerate(specs.values())]
     ends = df.groupBy(sym, BLK).agg(*aggs)
     wk = Window.partitionBy(sym).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
     carry_cols = []
@@ -203,6 +205,9 @@ def add_carry(laid: Laid, specs: dict[str, tuple[str, str]]) -> DataFrame:
             c = F.min(e).over(wk)
         elif kind == "last":
             c = F.last(e, ignorenulls=True).over(wk)
+        elif kind == "next":
+            later = Window.partitionBy(sym).orderBy(BLK).rowsBetween(1, Window.unboundedFollowing)
+            c = F.first(e, ignorenulls=True).over(later)
         else:
             raise ValueError(f"unknown carry kind {kind}")
         carry_cols.append(c.alias(f"_c_{i}"))
