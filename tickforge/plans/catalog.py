@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import catalog_data, catalog_indicators, catalog_kernels
+from . import catalog_data, catalog_features, catalog_indicators, catalog_kernels
 
 
 def full_catalog() -> dict:
     cat = {}
-    for section in (catalog_indicators, catalog_kernels, catalog_data):
+    for section in (catalog_indicators, catalog_kernels, catalog_data, catalog_features):
         cat.update(section.catalog())
     return cat

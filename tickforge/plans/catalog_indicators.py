@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.indicators import output_columns, with_indicators
 from ..sources.tables import EVENT_BARS_SQL, event_bars, line_bars
-from .sqlkit import P, cum, full, numbered, rnd, rows, tdiv
+from .sqlkit import HALF, P, cum, full, numbered, rnd, rows, tdiv
 
 REC_DIGITS = 4
 BARS_EVENT = EVENT_BARS_SQL
@@ -21,7 +21,7 @@ BARS_EVENT = EVENT_BARS_SQL
 
 def spark_round(col, digits=6):
     c = F.col(col) if isinstance(col, str) else col
-    return F.floor(c * F.lit(10.0 ** digits) + F.lit(0.5)) / F.lit(10.0 ** digits)
+    return F.floor(c * F.lit(10.0 ** digits) + F.lit(float(HALF))) / F.lit(10.0 ** digits)
 
 
 def indicator_query(name, params=None, bars="line", digits=6):

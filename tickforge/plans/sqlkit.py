@@ -14,9 +14,16 @@ BARS_SQL = {"line": LINE_BARS_SQL, "event": EVENT_BARS_SQL}
 P = "PARTITION BY symbol ORDER BY ts"
 
 
+# Rounding used by every registered query and its oracle: floor(x*10^d + h)/10^d
+# with h a hair above one half. IEEE arithmetic makes it bit-identical in both
+# engines; moving the tie point off the exact half keeps values that are
+# "round" decimals (x.xxxxxx5, common for means of cents) from landing on it,
+# where one-ulp summation-order differences would flip the last digit.
+HALF = "0.5000001"
+
+
 def rnd(expr: str, digits: int = 6) -> str:
-    """Round half up by floor(x*10^d + 0.5)/10^d: bit-identical in both engines."""
-    return f"(floor(({expr}) * 1e{digits} + 0.5) / 1e{digits})"
+    return f"(floor(({expr}) * 1e{digits} + {HALF}) / 1e{digits})"
 
 
 def tdiv(a: str, b: str) -> str:
