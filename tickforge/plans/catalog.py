@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import catalog_data, catalog_features, catalog_indicators, catalog_kernels
+from . import catalog_analytics, catalog_data, catalog_features, catalog_indicators, catalog_kernels
 
 
 def full_catalog() -> dict:
     cat = {}
-    for section in (catalog_indicators, catalog_kernels, catalog_data, catalog_features):
+    for section in (catalog_indicators, catalog_kernels, catalog_data, catalog_features,
+                    catalog_analytics):
         cat.update(section.catalog())
     return cat
