@@ -57,6 +57,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tickforge`` importable on executors (grouped maps, UDFs): zip
+    the package once per session and add it with ``addPyFile``. A cluster
+    deployment can pass the same zip with ``--py-files`` instead."""
+    import shutil
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="tickforge-pkg-", dir="/tmp")
+    archive = shutil.make_archive(os.path.join(out, "tickforge"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="tickforge")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark)
