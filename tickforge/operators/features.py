@@ -148,17 +148,21 @@ def fit_scaler(df: DataFrame, columns, kind: str = "standard", by=None) -> DataF
         elif kind == "minmax":
             aggs += [F.min(x).alias(f"{c}__a"), F.max(x).alias(f"{c}__b")]
         elif kind == "robust":
-            aggs += [F.percentile(x, [0.25, 0.5, 0.75]).alias(f"{c}__q")]
+            continue  # exact quartiles come from the order-statistics plan below
         elif kind == "maxabs":
             aggs += [F.max(F.abs(x)).alias(f"{c}__b")]
         else:
             raise ValueError(f"unknown scaler {kind!r}")
-    fitted = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
     if kind == "robust":
-        fitted = fitted.select(*(by or []), *[e for c in columns for e in (
-            F.col(f"{c}__q")[1].alias(f"{c}__a"),
-            (F.col(f"{c}__q")[2] - F.col(f"{c}__q")[0]).alias(f"{c}__b"))])
-    return fitted
+        from ..functions.quantiles import quantiles
+        fitted = None
+        for c in columns:
+            q = quantiles(df, c, [0.25, 0.5, 0.75], by=by or (), names=["_q1", "_q2", "_q3"])
+            q = q.select(*(by or []), F.col("_q2").alias(f"{c}__a"),
+                         (F.col("_q3") - F.col("_q1")).alias(f"{c}__b"))
+            fitted = q if fitted is None else (fitted.join(q, by) if by else fitted.crossJoin(q))
+        return fitted
+    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 
 def apply_scaler(df: DataFrame, fitted: DataFrame, columns, kind: str = "standard", by=None,

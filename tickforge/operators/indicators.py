@@ -13,23 +13,66 @@ every ratio uses ``try_divide`` or a guard because ANSI mode raises on x/0.
 
 from __future__ import annotations
 
+import functools
 import math
+import types
 from dataclasses import dataclass
 from typing import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import (apply_recurrences, c, ema_lookback, ema_spec, lag,
+from ..functions.kernels import (apply_recurrences, c, ema_lookback, ema_spec, lag, lead,
                                  local_cumsum, rolling_max, rolling_mean, rolling_min,
                                  rolling_std, rolling_sum, wilder_lookback, wilder_spec)
-from ..plans.layout import (BLK, LAYOUT_COLS, OWN, RN, add_carry, lay_out, rows,
-                            series_window)
+from ..plans.layout import (BLK, LAYOUT_COLS, OWN, RN, add_carry, largest_series, lay_out,
+                            rows, series_window)
 from ..schema import SYM, TS, require_columns, require_window
 
 HLC = ("high", "low", "close")
 
 
+# ------------------------------------------------------------------ staging
+# Indicators with recurrences (EMA / Wilder) are generators: they hand their
+# recurrence specs to the driver with ``df = yield from need(df, specs)``
+# and resume with the outputs attached. The suite driver collects the specs
+# of every indicator at the same dependency level and evaluates them in one
+# set of radix passes (one window operator per pass for all of them).
+def need(df, specs):
+    return (yield (df, specs))
+
+
+def run_staged(df, calls, sym=SYM):
+    """Apply ``calls`` = [(fn, kwargs)] in order, recurrences in lock-step."""
+    pending = []
+    for fn, kw in calls:
+        res = fn(df, **kw)
+        if isinstance(res, types.GeneratorType):
+            try:
+                df, specs = next(res)
+                pending.append((res, specs))
+            except StopIteration as stop:
+                df = stop.value
+        else:
+            df = res
+    while pending:
+        df = apply_recurrences(df, [sp for _, specs in pending for sp in specs], sym)
+        nxt = []
+        for gen, _ in pending:
+            try:
+                df, specs = gen.send(df)
+                nxt.append((gen, specs))
+            except StopIteration as stop:
+                df = stop.value
+        pending = nxt
+    return df
+
+
+def run_one(fn, df, *args, sym=SYM, **kw):
+    """Run one (possibly staged) indicator on its own."""
+    return run_staged(df, [(lambda d: fn(d, *args, sym=sym, **kw), {})], sym)
+
+
 # ----------------------------------------------------------------- momentum
 def stochastic_oscillator(df, carries, sym=SYM, window=14):
     require_window(window)
@@ -102,14 +145,14 @@ def trix(df, carries, sym=SYM, span=15, signal_line_span=9):
     require_window(span, "span")
     require_window(signal_line_span, "signal_line_span")
     require_columns(df, ["close"], "trix")
-    df = apply_recurrences(df, [ema_spec("_e1", "close", span)], sym)
-    df = apply_recurrences(df, [ema_spec("_e2", "_e1", span)], sym)
-    df = apply_recurrences(df, [ema_spec("_e3", "_e2", span)], sym)
-    df = df.withColumn("TRIX", F.lit(100.0) * (F.try_divide(F.col("_e3"), lag("_e3", 1, sym))
-                                               - F.lit(1.0)))
+    df = yield from need(df, [ema_spec("_trix_e1", "close", span)])
+    df = yield from need(df, [ema_spec("_trix_e2", "_trix_e1", span)])
+    df = yield from need(df, [ema_spec("_trix_e3", "_trix_e2", span)])
+    e3 = F.col("_trix_e3")
+    df = df.withColumn("TRIX", F.lit(100.0) * (F.try_divide(e3, lag(e3, 1, sym)) - F.lit(1.0)))
     # the signal starts at the first non-null TRIX (row 2)
-    df = apply_recurrences(df, [ema_spec("TRIX_signal", "TRIX", signal_line_span, seed_rn=2)], sym)
-    return df.drop("_e1", "_e2", "_e3")
+    df = yield from need(df, [ema_spec("TRIX_signal", "TRIX", signal_line_span, seed_rn=2)])
+    return df.drop("_trix_e1", "_trix_e2", "_trix_e3")
 
 
 # -------------------------------------------------------------------- trend
@@ -122,7 +165,7 @@ def sma(df, carries, sym=SYM, window=10, column="close"):
 def ema(df, carries, sym=SYM, window=10, column="close"):
     require_window(window)
     require_columns(df, [column], "ema")
-    return apply_recurrences(df, [ema_spec(f"EMA_{window}", column, window)], sym)
+    return (yield from need(df, [ema_spec(f"EMA_{window}", column, window)]))
 
 
 def moving_average(df, carries, sym=SYM, window=10, column="close", ma_type="SMA"):
@@ -130,7 +173,7 @@ def moving_average(df, carries, sym=SYM, window=10, column="close", ma_type="SMA
     if kind == "sma":
         return sma(df, carries, sym, window, column)
     if kind == "ema":
-        return ema(df, carries, sym, window, column)
+        return (yield from ema(df, carries, sym, window, column))
     raise ValueError(f"Moving average type '{ma_type}' is not supported.")
 
 
@@ -138,13 +181,13 @@ def macd(df, carries, sym=SYM, fast=12, slow=26, signal=9):
     for n, name in ((fast, "fast"), (slow, "slow"), (signal, "signal")):
         require_window(n, name)
     require_columns(df, ["close"], "macd")
-    df = apply_recurrences(df, [ema_spec("_fast", "close", fast),
-                                ema_spec("_slow", "close", slow)], sym)
-    df = df.withColumn("MACD", F.col("_fast") - F.col("_slow"))
-    df = apply_recurrences(df, [ema_spec("MACD_Signal", "MACD", signal)], sym)
+    df = yield from need(df, [ema_spec("_macd_fast", "close", fast),
+                              ema_spec("_macd_slow", "close", slow)])
+    df = df.withColumn("MACD", F.col("_macd_fast") - F.col("_macd_slow"))
+    df = yield from need(df, [ema_spec("MACD_Signal", "MACD", signal)])
     df = df.withColumn("MACD_Hist", F.col("MACD") - F.col("MACD_Signal"))
-    df = apply_recurrences(df, [ema_spec("MACD_Hist_Signal", "MACD_Hist", signal)], sym)
-    return df.drop("_fast", "_slow")
+    df = yield from need(df, [ema_spec("MACD_Hist_Signal", "MACD_Hist", signal)])
+    return df.drop("_macd_fast", "_macd_slow")
 
 
 def _true_range(sym):
@@ -161,27 +204,26 @@ def adx(df, carries, sym=SYM, window=14):
     require_columns(df, HLC, "adx")
     up = F.col("high") - lag("high", 1, sym)
     down = lag("low", 1, sym) - F.col("low")
-    df = (df.withColumn("_tr", _true_range(sym))
-          .withColumn("_pdm", F.when((up > down) & (up > 0), up).otherwise(F.lit(0.0)))
-          .withColumn("_mdm", F.when((down > up) & (down > 0), down).otherwise(F.lit(0.0))))
-    df = df.withColumn("_pdm", F.when(F.col(RN) > 1, F.col("_pdm"))) \
-           .withColumn("_mdm", F.when(F.col(RN) > 1, F.col("_mdm")))
+    later = F.col(RN) > 1
+    df = df.withColumns({
+        "_adx_tr": _true_range(sym),
+        "_adx_pdm": F.when(later, F.when((up > down) & (up > 0), up).otherwise(F.lit(0.0))),
+        "_adx_mdm": F.when(later, F.when((down > up) & (down > 0), down).otherwise(F.lit(0.0)))})
     seed = n + 1
-    df = (df.withColumn("_s_tr", rolling_sum("_tr", n, sym, full=True))
-          .withColumn("_s_p", rolling_sum("_pdm", n, sym, full=True))
-          .withColumn("_s_m", rolling_sum("_mdm", n, sym, full=True)))
-    df = apply_recurrences(df, [
-        wilder_spec("_w_tr", "_tr", n, seed, "_s_tr", scale_by_n=False),
-        wilder_spec("_w_p", "_pdm", n, seed, "_s_p", scale_by_n=False),
-        wilder_spec("_w_m", "_mdm", n, seed, "_s_m", scale_by_n=False)], sym)
-    pdi = F.lit(100.0) * F.try_divide(F.col("_w_p"), F.col("_w_tr"))
-    mdi = F.lit(100.0) * F.try_divide(F.col("_w_m"), F.col("_w_tr"))
+    df = df.withColumns({"_adx_s_tr": rolling_sum("_adx_tr", n, sym, full=True),
+                         "_adx_s_p": rolling_sum("_adx_pdm", n, sym, full=True),
+                         "_adx_s_m": rolling_sum("_adx_mdm", n, sym, full=True)})
+    df = yield from need(df, [
+        wilder_spec("_adx_w_tr", "_adx_tr", n, seed, "_adx_s_tr", scale_by_n=False),
+        wilder_spec("_adx_w_p", "_adx_pdm", n, seed, "_adx_s_p", scale_by_n=False),
+        wilder_spec("_adx_w_m", "_adx_mdm", n, seed, "_adx_s_m", scale_by_n=False)])
+    pdi = F.lit(100.0) * F.try_divide(F.col("_adx_w_p"), F.col("_adx_w_tr"))
+    mdi = F.lit(100.0) * F.try_divide(F.col("_adx_w_m"), F.col("_adx_w_tr"))
     dx = F.coalesce(F.lit(100.0) * F.try_divide(F.abs(pdi - mdi), pdi + mdi), F.lit(0.0))
-    df = df.withColumn("_dx", F.when(F.col(RN) >= seed, dx))
-    df = df.withColumn("_dx_seed", rolling_mean("_dx", n, sym, full=True))
-    df = apply_recurrences(df, [wilder_spec("ADX", "_dx", n, 2 * n, "_dx_seed")], sym)
-    return df.drop("_tr", "_pdm", "_mdm", "_s_tr", "_s_p", "_s_m", "_w_tr", "_w_p",
-                   "_w_m", "_dx", "_dx_seed")
+    df = df.withColumn("_adx_dx", F.when(F.col(RN) >= seed, dx))
+    df = df.withColumn("_adx_dx_seed", rolling_mean("_adx_dx", n, sym, full=True))
+    df = yield from need(df, [wilder_spec("ADX", "_adx_dx", n, 2 * n, "_adx_dx_seed")])
+    return df.drop(*[c for c in df.columns if c.startswith("_adx_")])
 
 
 def ichimoku(df, carries, sym=SYM, windows=(9, 26, 52)):
@@ -206,12 +248,19 @@ def ichimoku(df, carries, sym=SYM, windows=(9, 26, 52)):
     return df.drop("_span_b")
 
 
-def ichimoku_lagging_span(finished: DataFrame, sym=SYM, ts=TS, windows=(9, 26, 52)):
-    """close shifted back by the middle window: a keyed self-join on
-    (symbol, row number) so it stays exact across blocks and skew-free."""
+def ichimoku_lagging_span(finished: DataFrame, base: DataFrame, blocked: bool, sym=SYM,
+                          windows=(9, 26, 52)):
+    """close shifted back by the middle window (``shift(-n)``).
+
+    With one block per symbol it is a plain ``lead`` inside the window the
+    suite already sorted. Across blocks the next rows live in another block,
+    so it is a keyed join on (symbol, row number) against the laid-out *base*
+    bars (not the finished frame, whose plan would be evaluated twice)."""
     n2 = windows[1]
-    ahead = finished.select(sym, (F.col(RN) - n2).alias(RN),
-                            F.col("close").alias("Ichimoku_Lagging_Span"))
+    if not blocked:
+        return finished.withColumn("Ichimoku_Lagging_Span", lead("close", n2, sym))
+    ahead = (base.where(F.col(OWN))
+             .select(sym, (F.col(RN) - n2).alias(RN), F.col("close").alias("Ichimoku_Lagging_Span")))
     return finished.join(ahead, [sym, RN], "left")
 
 
@@ -248,37 +297,38 @@ def historical_volatility(df, carries, sym=SYM, window=20):
 def _atr(df, sym, n, out):
     """Wilder ATR: TR from row 2; seed at row n+1 = mean of the first n TR;
     rows before the seed are 0 (the reference fills them)."""
-    df = df.withColumn("_tr", _true_range(sym))
-    df = df.withColumn("_tr_seed", rolling_mean("_tr", n, sym, full=True))
-    df = apply_recurrences(df, [wilder_spec(out, "_tr", n, n + 1, "_tr_seed")], sym)
-    return df.withColumn(out, F.coalesce(F.col(out), F.lit(0.0))).drop("_tr", "_tr_seed")
+    tr, seed = f"{out}__tr", f"{out}__seed"
+    df = df.withColumn(tr, _true_range(sym))
+    df = df.withColumn(seed, rolling_mean(tr, n, sym, full=True))
+    df = yield from need(df, [wilder_spec(out, tr, n, n + 1, seed)])
+    return df.withColumn(out, F.coalesce(F.col(out), F.lit(0.0))).drop(tr, seed)
 
 
 def atr(df, carries, sym=SYM, window=14):
     require_window(window)
     require_columns(df, HLC, "atr")
-    return _atr(df, sym, window, "ATR")
+    return (yield from _atr(df, sym, window, "ATR"))
 
 
 def chandelier_exit(df, carries, sym=SYM, window=22, multiplier=3):
     require_window(window)
     require_columns(df, HLC, "chandelier_exit")
-    df = _atr(df, sym, window, "_atr")
+    df = yield from _atr(df, sym, window, "_atr_ce")
     return (df.withColumn("Chandelier_Exit_Long",
-                          rolling_max("high", window, sym) - F.lit(multiplier) * F.col("_atr"))
-            .drop("_atr"))
+                          rolling_max("high", window, sym) - F.lit(multiplier) * F.col("_atr_ce"))
+            .drop("_atr_ce"))
 
 
 def keltner(df, carries, sym=SYM, window=20, multiplier=2):
     require_window(window)
     require_columns(df, HLC, "keltner")
-    df = _atr(df, sym, window, "_atr")
+    df = yield from _atr(df, sym, window, "_atr_kc")
     df = df.withColumn("Keltner_Channel_Mid", rolling_mean("close", window, sym))
     return (df.withColumn("Keltner_Channel_High",
-                          F.col("Keltner_Channel_Mid") + F.lit(multiplier) * F.col("_atr"))
+                          F.col("Keltner_Channel_Mid") + F.lit(multiplier) * F.col("_atr_kc"))
             .withColumn("Keltner_Channel_Low",
-                        F.col("Keltner_Channel_Mid") - F.lit(multiplier) * F.col("_atr"))
-            .drop("_atr"))
+                        F.col("Keltner_Channel_Mid") - F.lit(multiplier) * F.col("_atr_kc"))
+            .drop("_atr_kc"))
 
 
 def ma_envelope(df, carries, sym=SYM, window=10, percentage=0.025):
@@ -374,9 +424,10 @@ def volume_oscillator(df, carries, sym=SYM, short_window=12, long_window=26):
         raise ValueError("short_window must be less than long_window")
     require_columns(df, ["volume"], "volume_oscillator")
     v = F.col("volume").cast("double")
-    df = apply_recurrences(df, [ema_spec("_vs", v, short_window),
-                                ema_spec("_vl", v, long_window)], sym)
-    return df.withColumn("Volume_Oscillator", F.col("_vs") - F.col("_vl")).drop("_vs", "_vl")
+    df = yield from need(df, [ema_spec("_vo_s", v, short_window),
+                              ema_spec("_vo_l", v, long_window)])
+    return df.withColumn("Volume_Oscillator", F.col("_vo_s") - F.col("_vo_l")).drop("_vo_s",
+                                                                                     "_vo_l")
 
 
 # ------------------------------------------------------------------- custom
@@ -490,16 +541,18 @@ def with_indicators(bars: DataFrame, names=None, *, sym: str = SYM, ts: str = TS
     if unknown:
         raise ValueError(f"unknown indicator(s) {unknown}")
     if "psar" in names:
+        if blocked and "largest" not in layout_kw:
+            # size the layout on the raw bars: the fold output has the same rows
+            layout_kw["largest"] = largest_series(bars, sym)
         bars = psar_fold(bars, sym=sym, ts=ts, **params.get("psar", {}))
     halo = max([REGISTRY[n].lookback(params.get(n, {})) for n in names if n != "psar"]
                + [ci.lookback for ci in custom] + [0])
     laid = lay_out(bars, sym, ts, halo=halo, blocked=blocked, **layout_kw)
     df = laid.df
     carries: dict = {}
-    for n in names:
-        if n == "psar":
-            continue
-        df = REGISTRY[n].fn(df, carries, sym=sym, **params.get(n, {}))
+    calls = [(functools.partial(REGISTRY[n].fn, carries=carries, sym=sym),
+              params.get(n, {})) for n in names if n != "psar"]
+    df = run_staged(df, calls, sym)
     for ci in custom:
         df = ci.apply(df, sym)
     post = carries.pop("__post__", [])
@@ -512,8 +565,8 @@ def with_indicators(bars: DataFrame, names=None, *, sym: str = SYM, ts: str = TS
         df = df.withColumn(out, expr)
         drop += tmp
     if "ichimoku" in names:
-        df = ichimoku_lagging_span(df, sym, ts, params.get("ichimoku", {}).get("windows",
-                                                                             (9, 26, 52)))
+        df = ichimoku_lagging_span(df, laid.df, laid.blocked, sym,
+                                   params.get("ichimoku", {}).get("windows", (9, 26, 52)))
     drop += [col for col in df.columns if col.startswith("_") and col not in LAYOUT_COLS]
     df = df.drop(*drop)
     if not keep_layout:

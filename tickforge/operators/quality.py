@@ -85,8 +85,10 @@ def fill_missing_values(df: DataFrame, strategy: str = "mean", value=None,
 
 
 def iqr_bounds(df: DataFrame, column: str, factor: float = 1.5) -> DataFrame:
-    q = df.agg(F.percentile(F.col(column), [0.25, 0.75]).alias("_q"))
-    return q.select(F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3")).withColumns({
+    """Tukey fences from exact quartiles (order statistics at any size)."""
+    from ..functions.quantiles import quantiles
+    q = quantiles(df, column, [0.25, 0.75], names=["q1", "q3"])
+    return q.withColumns({
         "lower": F.col("q1") - factor * (F.col("q3") - F.col("q1")),
         "upper": F.col("q3") + factor * (F.col("q3") - F.col("q1"))})
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..functions.quantiles import quantiles
 from ..operators import backtest as BT
 from ..operators import features as FE
 from ..operators import models as M
@@ -187,8 +188,9 @@ SQL_CONTRIB = (f"SELECT symbol, ts, {rnd('regr_slope(close, open) OVER (PARTITIO
 def q_exemplars(spark, sf_dir):
     n = (_naive(spark, sf_dir).where(F.col("predicted").isNotNull())
          .withColumn("e", F.col("close") - F.col("predicted")))
-    st = n.groupBy("symbol").agg(F.percentile("e", [0.25, 0.5, 0.75]).alias("q"),
-                                 F.stddev_pop("e").alias("sd"))
+    q = quantiles(n, "e", [0.25, 0.5, 0.75], by=["symbol"], names=["q1", "q2", "q3"])
+    st = (n.groupBy("symbol").agg(F.stddev_pop("e").alias("sd")).join(q, "symbol")
+          .select("symbol", "sd", F.array("q1", "q2", "q3").alias("q")))
     x = n.join(st, "symbol")
     w = Window.partitionBy("symbol", "strategy").orderBy("score", "ts")
     cands = x.select("symbol", "ts", F.explode(F.array(

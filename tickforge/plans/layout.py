@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from ..schema import SYM, TS
 
-BLK, RN, OWN, P0 = "_blk", "_rn", "_own", "_p0"
-LAYOUT_COLS = (BLK, RN, OWN)
+BLK, RN, OWN, P0, ORD = "_blk", "_rn", "_own", "_p0", "_ord"
+LAYOUT_COLS = (BLK, RN, OWN, ORD)
 
 # Plan tables up to this many rows are broadcast; above it they are joined
 # with a shuffle. The plan is bounded by symbols + MAX_PLAN_ROWS buckets.
@@ -57,7 +57,9 @@ class Laid:
 
 
 def series_window(sym: str = SYM):
-    return Window.partitionBy(sym, BLK).orderBy(RN)
+    # ordered by the bar time copied to _ord: the same sort that numbers the
+    # rows then serves every series window (no second sort by _rn)
+    return Window.partitionBy(sym, BLK).orderBy(ORD)
 
 
 def rows(sym: str, n: int):
@@ -79,9 +81,15 @@ def _materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def largest_series(df: DataFrame, sym: str = SYM) -> int:
+    """Row count of the longest symbol (one small aggregate job)."""
+    n = df.groupBy(sym).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return int(n or 0)
+
+
 def lay_out(df: DataFrame, sym: str = SYM, ts: str = TS, *, halo: int = 0,
             blocked: bool = True, block_rows: int = DEFAULT_BLOCK_ROWS,
-            bucket_rows: int = DEFAULT_BUCKET_ROWS) -> Laid:
+            bucket_rows: int = DEFAULT_BUCKET_ROWS, largest: int | None = None) -> Laid:
     """Attach ``_blk``, ``_rn`` and ``_own`` to a bar-like table.
 
     ``halo`` is the longest look-back (in rows) any later window needs.
@@ -92,18 +100,16 @@ def lay_out(df: DataFrame, sym: str = SYM, ts: str = TS, *, halo: int = 0,
     """
     halo = max(int(halo), 0)
     if not blocked:
-        w = Window.partitionBy(sym).orderBy(ts)
-        out = (df.withColumn(BLK, F.lit(0).cast("bigint"))
-               .withColumn(OWN, F.lit(True))
-               .withColumn(RN, F.row_number().over(w).cast("bigint")))
+        out = df.withColumns({BLK: F.lit(0).cast("bigint"), OWN: F.lit(True), ORD: F.col(ts)})
+        out = out.withColumn(RN, F.row_number().over(series_window(sym)).cast("bigint"))
         return Laid(out, sym, ts, halo, False, None)
 
     t_us = F.unix_micros(F.col(ts).cast("timestamp"))
     # 0. one small aggregate: if every symbol fits in one block, one block per
     #    symbol is already bounded and the plan below is not needed.
-    largest = (df.groupBy(sym).agg(F.count(F.lit(1)).alias("_n"))
-               .agg(F.max("_n")).first()[0])
-    if largest is None or int(largest) <= max(int(block_rows), halo + 1):
+    if largest is None:
+        largest = largest_series(df, sym)
+    if int(largest) <= max(int(block_rows), halo + 1):
         return lay_out(df, sym, ts, halo=halo, blocked=False)
     # 1. per-symbol stats -> bucket width (microseconds) per symbol.
     stats = (df.groupBy(sym)
@@ -170,9 +176,9 @@ def lay_out(df: DataFrame, sym: str = SYM, ts: str = TS, *, halo: int = 0,
             .select(*wanted, F.inline("_t"))
             .withColumnRenamed("b", BLK).withColumnRenamed("o", OWN)
             .withColumnRenamed("p", P0))
-    w = Window.partitionBy(sym, BLK).orderBy(ts)
-    laid = (laid.withColumn(RN, (F.col(P0) + F.row_number().over(w)).cast("bigint"))
-            .drop(P0))
+    laid = laid.withColumn(ORD, F.col(ts))
+    laid = (laid.withColumn(RN, (F.col(P0) + F.row_number().over(series_window(sym)))
+                            .cast("bigint")).drop(P0))
     return Laid(laid, sym, ts, halo, True, blocks_small)
 
 
