@@ -48,3 +48,16 @@ def test_suite_runs_on_small_bars(spark):
     out = with_indicators(line_bars(spark, SF001))
     assert "PSAR" in out.columns and "VWAP" in out.columns
     assert out.count() == line_bars(spark, SF001).count()
+
+
+def test_value_ordered_asof_blocked_equals_plain(spark):
+    """The as-of search over values (exemplar novelty) on tiny blocks."""
+    from tickforge.operators.features import split_chronological
+    from tickforge.operators.models import novelty_exemplar
+    s = split_chronological(event_bars(spark, SF01), 0.8)
+    tr, te = s.where("split = 'train'"), s.where("split = 'test'")
+    plain = novelty_exemplar(tr, te, "close", blocked=False)
+    blocked = novelty_exemplar(tr, te, "close", block_rows=16, bucket_rows=4)
+    cols = ["symbol", "ts", "dist"]
+    assert _rows(blocked, cols) == _rows(plain, cols)
+    assert plain.count() == 5

@@ -226,15 +226,9 @@ SELECT symbol, strategy, ts FROM (SELECT *, row_number() OVER (PARTITION BY symb
 
 def q_novelty(spark, sf_dir):
     s = FE.split_chronological(line_bars(spark, sf_dir), 0.8)
-    train = F.when(F.col("split") == "train", F.col("close"))
-    w = Window.partitionBy("symbol").orderBy("close", "ts")
-    prev = F.last(train, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    nxt = F.first(train, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    d = s.withColumn("dist", F.least(F.col("close") - prev, nxt - F.col("close")))
-    val = d.where(F.col("split") == "test")
-    best = Window.partitionBy("symbol").orderBy(F.desc("dist"), "ts")
-    return _r(val.withColumn("k", F.row_number().over(best)).where("k = 1"),
-              ["symbol", "ts"], ["dist"])
+    out = M.novelty_exemplar(s.where(F.col("split") == "train"),
+                             s.where(F.col("split") == "test"), "close")
+    return _r(out, ["symbol", "ts"], ["dist"])
 
 
 SQL_NOVELTY = f"""

@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import SYM, TS
 
@@ -104,7 +105,11 @@ def lay_out(df: DataFrame, sym: str = SYM, ts: str = TS, *, halo: int = 0,
         out = out.withColumn(RN, F.row_number().over(series_window(sym)).cast("bigint"))
         return Laid(out, sym, ts, halo, False, None)
 
-    t_us = F.unix_micros(F.col(ts).cast("timestamp"))
+    # the order key: bar time (in microseconds), or any numeric column (an
+    # as-of search over values uses the same blocks and carries)
+    numeric_key = isinstance(df.schema[ts].dataType, T.NumericType)
+    t_us = (F.col(ts).cast("double") if numeric_key
+            else F.unix_micros(F.col(ts).cast("timestamp")))
     # 0. one small aggregate: if every symbol fits in one block, one block per
     #    symbol is already bounded and the plan below is not needed.
     if largest is None:
@@ -119,10 +124,14 @@ def lay_out(df: DataFrame, sym: str = SYM, ts: str = TS, *, halo: int = 0,
     n_sym, n_total = stats.agg(F.count(F.lit(1)), F.sum("_n")).first()
     n_total = int(n_total or 0)
     bucket_rows = max(int(bucket_rows), math.ceil(n_total / MAX_PLAN_ROWS), 1)
-    stats = stats.withColumn(
-        "_w", F.greatest(F.lit(1).cast("bigint"),
-                         F.ceil((F.col("_t1") - F.col("_t0") + 1) * F.lit(bucket_rows)
-                                / F.col("_n")).cast("bigint")))
+    if numeric_key:
+        width = F.greatest(F.lit(1e-12), (F.col("_t1") - F.col("_t0")) * F.lit(bucket_rows)
+                           / F.col("_n"))
+    else:
+        width = F.greatest(F.lit(1).cast("bigint"),
+                           F.ceil((F.col("_t1") - F.col("_t0") + 1) * F.lit(bucket_rows)
+                                  / F.col("_n")).cast("bigint"))
+    stats = stats.withColumn("_w", width)
     stats_b = maybe_broadcast(stats.select(sym, "_t0", "_w"), n_sym)
     bkt = F.floor((t_us - F.col("_t0")) / F.col("_w")).cast("bigint")
 
