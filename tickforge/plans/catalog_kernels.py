@@ -17,7 +17,8 @@ BAR_NUM = ["open", "high", "low", "close"]
 
 def _bars_query(kind):
     def run(spark, sf_dir):
-        b = line_bars(spark, sf_dir) if kind == "line" else event_bars(spark, sf_dir)
+        b = (line_bars(spark, sf_dir, keep=False) if kind == "line"
+             else event_bars(spark, sf_dir, keep=False))
         return b.select("symbol", "ts", *[spark_round(c).alias(c) for c in BAR_NUM], "volume")
     return run
 

@@ -41,22 +41,33 @@ def bars_from_ticks(ticks: DataFrame, sym, ts, price, *, volume=None,
             .select(*BAR_COLUMNS))
 
 
-def line_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder. Used for
+    the bar table, which every series query reads more than once (the layout
+    sizes it, then the windows run on it): it is computed once, not per job."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def line_bars(spark: SparkSession, sf_dir: str, keep: bool = True) -> DataFrame:
     """Daily bars per supplier from ``lineitem``: price = extendedprice / quantity."""
     li = read_table(spark, sf_dir, "lineitem")
-    return bars_from_ticks(
+    bars = bars_from_ticks(
         li, "l_suppkey", "l_shipdate",
         F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")),
         volume="l_quantity",
         order=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"],
         grain="day")
+    return materialize(bars) if keep else bars
 
 
-def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_bars(spark: SparkSession, sf_dir: str, keep: bool = True) -> DataFrame:
     """Hourly bars per event type from ``events``: price = value, volume = count."""
     ev = read_table(spark, sf_dir, "events")
-    return bars_from_ticks(ev, "event_type", "ts", "value",
-                           order=["ts", "event_id"], grain="hour")
+    bars = bars_from_ticks(ev, "event_type", "ts", "value", order=["ts", "event_id"],
+                           grain="hour")
+    return materialize(bars) if keep else bars
 
 
 # SQL twin of the bar derivations, shared by every oracle (DuckDB dialect).
