@@ -65,9 +65,35 @@ def q_search(spark, sf_dir):
     return _trials(spark, sf_dir)
 
 
+SMA_GRID = [2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233, 377, 610]
+
+
 def q_trial_report(spark, sf_dir):
-    return M.trial_report(_trials(spark, sf_dir)).select("n_trials", "n_complete",
-                                                         "best.number", "best.value")
+    """Report over a grid search of the moving-average forecast window (the
+    largest window exceeds the series at small scales and scores inf, a failed trial)."""
+    trials = M.trial_table(M.sma_window_search(line_bars(spark, sf_dir), SMA_GRID), SMA_GRID)
+    rep = M.trial_report(trials)
+    return rep.select("n_trials", "n_complete", F.col("best.number").alias("best_number"),
+                      F.col("best.params_window").alias("best_window"),
+                      spark_round("best.value", 4).alias("best_value"))
+
+
+def sql_trial_report():
+    preds = ", ".join(f"avg(close) OVER ({P} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS p{n}, "
+                      f"count(close) OVER ({P} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS c{n}"
+                      for n in SMA_GRID)
+    trials = " UNION ALL ".join(
+        f"SELECT {i} AS number, {n} AS w, avg(CASE WHEN c{n} = {n} THEN (close - p{n}) * "
+        f"(close - p{n}) END) AS mse FROM f" for i, n in enumerate(SMA_GRID))
+    return f"""
+WITH f AS (SELECT close, {preds} FROM {LB} q),
+t AS ({trials}),
+v AS (SELECT number, w, coalesce(mse, 'inf'::DOUBLE) AS value FROM t)
+SELECT CAST(count(*) AS BIGINT) AS n_trials,
+       CAST(count(*) FILTER (WHERE value <> 'inf'::DOUBLE) AS BIGINT) AS n_complete,
+       arg_min(number, value) FILTER (WHERE value <> 'inf'::DOUBLE) AS best_number,
+       arg_min(w, value) FILTER (WHERE value <> 'inf'::DOUBLE) AS best_window,
+       {rnd("min(value) FILTER (WHERE value <> 'inf'::DOUBLE)", 4)} AS best_value FROM v"""
 
 
 def q_batch_score(spark, sf_dir):
@@ -529,7 +555,7 @@ def catalog():
         "coef_feature_selection": (q_coef_select, None),
         "random_forest_regression": (q_forest, None),
         "hyperparameter_search": (q_search, None),
-        "trial_report": (q_trial_report, None),
+        "trial_report": (q_trial_report, sql_trial_report()),
         "batch_score": (q_batch_score, None),
         "train_per_symbol": (q_per_symbol, SQL_PER_SYMBOL),
         "regression_metrics": (q_metrics, SQL_METRICS),

@@ -573,7 +573,8 @@ def catalog():
         "drop_sparse_columns": (q_drop_sparse, sql_drop_sparse()),
         "check_nan_inf": (q_check_nan_inf, SQL_NAN_INF),
         "label_encode": (q_label_encode, SQL_LABEL),
-        "validate_schema": (q_validate_schema, None),
+        "validate_schema": (q_validate_schema, f"SELECT count(*) AS rows, true AS wrong_type_caught "
+                                               f"FROM ({LINE_BARS_SQL}) b"),
         "check_for_nulls": (q_check_nulls, SQL_CHECK_NULLS),
         "validate_column_range": (q_validate_range, SQL_VALIDATE_RANGE),
         "validate_unique_values": (q_validate_unique, SQL_VALIDATE_UNIQUE),

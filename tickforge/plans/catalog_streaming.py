@@ -49,6 +49,14 @@ def q_stream_score(spark, sf_dir):
     return out.select("event_id", spark_round("prediction", 4).alias("prediction"))
 
 
+# one-feature ridge (intercept free, alpha on the sum of squares) in closed form
+SQL_STREAM_SCORE = f"""
+WITH e AS (SELECT event_id, value, CAST(regexp_extract(props, '(\\d+)', 1) AS DOUBLE) AS k FROM events),
+m AS (SELECT regr_sxy(value, k) / (regr_sxx(value, k) + 1.0) AS w, avg(value) AS my, avg(k) AS mk
+      FROM e)
+SELECT event_id, {rnd('my - w * mk + w * k', 4)} AS prediction FROM e, m"""
+
+
 def q_stream_risk(spark, sf_dir):
     bars = event_bars(spark, sf_dir)
     src = scratch_path(spark, "risk-in")
@@ -74,7 +82,7 @@ SELECT symbol, ts, CASE WHEN dd > 0.2 THEN 'STOP_TRADING' WHEN dd >= 0.05 THEN '
 def catalog():
     return {
         "stream_bars": (q_stream_bars, SQL_STREAM_BARS),
-        "stream_score": (q_stream_score, None),
+        "stream_score": (q_stream_score, SQL_STREAM_SCORE),
         "stream_risk_monitor": (q_stream_risk, SQL_STREAM_RISK),
     }
 
