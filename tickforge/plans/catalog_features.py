@@ -60,12 +60,8 @@ FROM r WHERE lag_10 IS NOT NULL AND rolling_std_5 IS NOT NULL AND RSI IS NOT NUL
 
 def q_preprocess(spark, sf_dir):
     """lag -> rolling -> dropna -> chronological split -> scaler fitted on train."""
-    bars = line_bars(spark, sf_dir)
-    feats = FE.lag_features(bars, "close", (1, 2))
-    feats = FE.rolling_features(feats, "close", (5,)).na.drop()
-    split = FE.split_chronological(feats, 0.8)
+    scaled = FE.preprocess(line_bars(spark, sf_dir), "close", (1, 2), (5,), 0.8)
     cols = ["close_lag_1", "close_lag_2", "close_rolling_mean_5"]
-    scaled = FE.standard_scale_split(split, cols)
     return _r(scaled, ["symbol", "ts", "split"], cols + ["close"])
 
 
