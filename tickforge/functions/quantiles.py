@@ -62,10 +62,13 @@ def _order_statistics(vals, sizes, probs, by, names):
     wants = wants.select(*by, "t.k", "t.h", F.explode(F.array(
         F.floor("t.h").cast("bigint"), F.ceil("t.h").cast("bigint"))).alias("_rank")
     ).dropDuplicates([*by, "k", "_rank"])
+    # size bounds known without running the sort: ranges are contiguous, so
+    # (partition, group) pairs <= partitions + groups; 2 ranks per probability
+    n_groups = sizes.count() if by else 1
     small = chunks.select("_pid", *by, "_p0", "_start")
-    ranked = (ranged.join(maybe_broadcast(small, small.count()), ["_pid", *by])
+    ranked = (ranged.join(maybe_broadcast(small, n_parts + n_groups), ["_pid", *by])
               .withColumn("_rank", F.col("_start") + F.col("_pos") - F.col("_p0")))
-    hits = ranked.join(maybe_broadcast(wants, wants.count()), [*by, "_rank"])
+    hits = ranked.join(maybe_broadcast(wants, 2 * len(probs) * n_groups), [*by, "_rank"])
     lo = F.min_by("_x", "_rank")
     hi = F.max_by("_x", "_rank")
     per = hits.groupBy(*by, "k").agg(lo.alias("_lo"), hi.alias("_hi"), F.first("h").alias("h"))

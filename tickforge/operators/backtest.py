@@ -133,8 +133,8 @@ def risk_status(series: DataFrame, value: str = "close", *, sym: str = SYM, ts:
         return df
 
     r = run_series(series, build, halo=0, sym=sym, ts=ts, **kw)
-    from ..plans.layout import maybe_broadcast
-    r = r.join(maybe_broadcast(first, first.count()), sym)
+    from ..plans.layout import key_count, maybe_broadcast
+    r = r.join(maybe_broadcast(first, key_count(series, sym)), sym)
     dd = F.try_divide(F.col("high_water") - F.col(value), F.col("high_water"))
     profit = F.try_divide(F.col(value) - F.col("initial"), F.col("initial"))
     status = (F.when(dd > max_drawdown, "STOP_TRADING").when(dd >= stop_loss, "STOP_LOSS")

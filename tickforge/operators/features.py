@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from ..plans.layout import RN, maybe_broadcast, series_window
+from ..plans.layout import RN, key_count, maybe_broadcast, series_window
 from ..schema import SYM, TS
 from .series import run_series
 
@@ -122,7 +122,7 @@ def preprocess(bars: DataFrame, column: str = "close", lags=(1, 2), windows=(5,)
     out = run_series(bars, build, halo=max(list(lags) + list(windows)), sym=sym, ts=ts, **kw)
     feats = out.na.drop(subset=[column] + lag_cols + roll_cols + std_cols)
     counts = feats.groupBy(sym).agg(F.count(F.lit(1)).alias("_n"))
-    feats = feats.join(maybe_broadcast(counts, counts.count()), sym)
+    feats = feats.join(maybe_broadcast(counts, key_count(bars, sym)), sym)
     feats = feats.withColumn("split", F.when(F.col("pos") <= F.floor(F.col("_n") * train_ratio),
                                              "train").otherwise("test")).drop("_n", "pos")
     scale = lag_cols + roll_cols
@@ -134,7 +134,7 @@ def with_row_index(bars: DataFrame, *, sym: str = SYM, ts: str = TS, **kw) -> Da
     out = run_series(bars, lambda df, c: df.withColumn("rn", F.col(RN)), halo=0, sym=sym,
                      ts=ts, **kw)
     counts = out.groupBy(sym).agg(F.count(F.lit(1)).alias("n"))
-    return out.join(maybe_broadcast(counts, counts.count()), sym)
+    return out.join(maybe_broadcast(counts, key_count(bars, sym)), sym)
 
 
 # ------------------------------------------------------------------ splits

@@ -77,6 +77,13 @@ def maybe_broadcast(df: DataFrame, n_rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if n_rows <= limit else df
 
 
+def key_count(df: DataFrame, *keys: str) -> int:
+    """Distinct keys of an input (e.g. symbols): the row bound of every
+    per-key table derived from it, so those tables can be broadcast-checked
+    without running the pipeline that produces them."""
+    return df.select(*keys).distinct().count()
+
+
 def _materialize(df: DataFrame) -> DataFrame:
     # Small plan table: compute once, cut lineage in the shared checkpoint folder.
     return df.checkpoint(eager=True)
