@@ -72,10 +72,15 @@ def risk_monitor(bars: DataFrame, sym: str = "symbol", ts: str = "ts", value: st
 
     def update(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.exists:
-            initial, hi, lo, _ = state.get
+            initial, hi, lo, last = state.get
         else:
-            initial = hi = lo = None
+            initial = hi = lo = last = None
+        # one key's rows of one micro-batch (bounded by the trigger size)
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(ts)
+        if last is not None:
+            # a row not newer than what the state already covers is late: the
+            # marks are running extremes in time order, so it is dropped
+            pdf = pdf[pdf[ts] > pd.Timestamp(last)]
         rows = []
         for t, v in zip(pdf[ts], pdf[value].astype("float64")):
             if initial is None:
@@ -92,7 +97,8 @@ def risk_monitor(bars: DataFrame, sym: str = "symbol", ts: str = "ts", value: st
             else:
                 st = "CONTINUE_TRADING"
             rows.append((key[0], t, hi, lo, st))
-        state.update((initial, hi, lo, pdf[ts].iloc[-1] if len(pdf) else None))
+        if len(pdf):
+            state.update((initial, hi, lo, pdf[ts].iloc[-1].to_pydatetime()))
         yield pd.DataFrame(rows, columns=[sym, ts, "high_water", "low_water", "status"])
 
     return bars.groupBy(sym).applyInPandasWithState(
