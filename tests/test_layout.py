@@ -61,3 +61,14 @@ def test_value_ordered_asof_blocked_equals_plain(spark):
     cols = ["symbol", "ts", "dist"]
     assert _rows(blocked, cols) == _rows(plain, cols)
     assert plain.count() == 5
+
+
+def test_closed_form_recurrence_across_sub_blocks_and_blocks(spark):
+    """Series of ~5,300 bars: several 1024-row sub-blocks and, with tiny
+    block_rows, several blocks per symbol; must equal the plain layout."""
+    bars = line_bars(spark, "/root/testdata/sf0.1")
+    names = ["ema", "macd", "atr"]
+    cols = ["symbol", "ts"] + [c for n in names for c in output_columns(n)]
+    plain = with_indicators(bars, names, blocked=False)
+    blocked = with_indicators(bars, names, block_rows=16, bucket_rows=64)
+    assert _rows(blocked, cols, 5) == _rows(plain, cols, 5)

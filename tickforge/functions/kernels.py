@@ -12,7 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.layout import RN, cumulative, own_only, rows, series_window
+from ..plans.layout import (BLK, ORD, RN, SUB, SUB_ROWS, cumulative, own_only, rows,
+                            series_window)
 from ..schema import SYM
 
 
@@ -125,7 +126,32 @@ def radix_plan(r: float) -> list[int]:
     return plan
 
 
+# ---------------------------------------------------------------------------
+# Closed form per sub-block (used when it is exact in double range).
+#
+# With j the position inside a sub-block of B = SUB_ROWS rows,
+#   y_t = r^j * sum_{i<=j} r^-i b_i  +  r^(j+1) * Y_prev,
+# where Y_prev is y at the end of the previous sub-block. The sum is one
+# running-sum window over partitionBy(symbol, _blk, _sub); Y_prev is the
+# local value at the previous sub-block end (its own carry is r^B times
+# smaller, below 1e-17 when r^B < 1e-17), found with one running "last"
+# window. Valid when r^-(B-1) stays far inside double range and r^B < 1e-17:
+# EMA spans 4..52 and Wilder windows 3..26 -- every default of the suite.
+# Needs 2B-1 rows of look-back (the previous sub-block must be complete).
+# ---------------------------------------------------------------------------
+_MAX_EXP = 600.0  # ln of the largest factor r^-j allowed (1e260)
+
+
+def closed_form_ok(r: float) -> bool:
+    if not 0.0 < r < 1.0:
+        return False
+    lr = -math.log(r)
+    return lr * (SUB_ROWS - 1) <= _MAX_EXP and r ** SUB_ROWS < _EPS
+
+
 def recurrence_lookback(r: float) -> int:
+    if closed_form_ok(r):
+        return 2 * SUB_ROWS - 1
     return math.prod(radix_plan(r)) - 1
 
 
@@ -145,6 +171,11 @@ def apply_recurrences(df: DataFrame, specs, sym: str = SYM) -> DataFrame:
     rows at or after the seed (the output is null elsewhere). Pass ``p`` of
     every recurrence shares one window operator.
     """
+    if not specs:
+        return df
+    closed = [sp for sp in specs if closed_form_ok(sp[2])]
+    df = _apply_closed_form(df, closed, sym)
+    specs = [sp for sp in specs if not closed_form_ok(sp[2])]
     if not specs:
         return df
     w = series_window(sym)
@@ -175,6 +206,31 @@ def apply_recurrences(df: DataFrame, specs, sym: str = SYM) -> DataFrame:
     return df.withColumns(final).drop(*[v[0] for v in tmp.values()])
 
 
+def _apply_closed_form(df: DataFrame, specs, sym: str) -> DataFrame:
+    if not specs:
+        return df
+    j = (F.col(RN) - 1 - F.col(SUB) * SUB_ROWS).cast("double")  # 0..B-1 in the sub-block
+    in_sub = (Window.partitionBy(sym, BLK, SUB).orderBy(ORD)
+              .rowsBetween(Window.unboundedPreceding, 0))
+    before = series_window(sym).rowsBetween(Window.unboundedPreceding, -1)
+    is_end = j == float(SUB_ROWS - 1)
+    local, final = {}, {}
+    for i, (out, b, r, seed) in enumerate(specs):
+        lr = math.log(r)
+        term = F.when(seed, c(b)).otherwise(F.lit(0.0)).cast("double") * F.exp(-j * lr)
+        local[f"_cf{i}"] = F.exp(j * lr) * F.sum(term).over(in_sub)
+    df = df.withColumns(local)
+    carries = {f"_cc{i}": F.last(F.when(is_end, F.col(f"_cf{i}")), ignorenulls=True).over(before)
+               for i in range(len(specs))}
+    df = df.withColumns(carries)
+    for i, (out, b, r, seed) in enumerate(specs):
+        y = F.col(f"_cf{i}") + F.exp((j + 1.0) * math.log(r)) * F.coalesce(F.col(f"_cc{i}"),
+                                                                          F.lit(0.0))
+        final[out] = F.when(seed, y)
+    df = df.withColumns(final)
+    return df.drop(*[f"_cf{i}" for i in range(len(specs))], *[f"_cc{i}" for i in range(len(specs))])
+
+
 def ema_spec(out: str, x, span: int, seed_rn: int = 1):
     """pandas ``ewm(span, adjust=False).mean()`` seeded at row ``seed_rn``."""
     if span < 1:

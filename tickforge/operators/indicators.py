@@ -14,6 +14,7 @@ every ratio uses ``try_divide`` or a guard because ANSI mode raises on x/0.
 from __future__ import annotations
 
 import functools
+import inspect
 import math
 import types
 from dataclasses import dataclass
@@ -43,9 +44,17 @@ def need(df, specs):
 
 
 def run_staged(df, calls, sym=SYM):
-    """Apply ``calls`` = [(fn, kwargs)] in order, recurrences in lock-step."""
-    pending = []
+    """Apply ``calls`` = [(fn, kwargs)], recurrences in lock-step.
+
+    Staged (recurrent) indicators run first, while rows are still narrow:
+    every window operator copies whole rows, so the outputs of the one-pass
+    indicators are only added after the recurrence passes."""
+    pending, plain = [], []
     for fn, kw in calls:
+        base = fn.func if isinstance(fn, functools.partial) else fn
+        if not inspect.isgeneratorfunction(base):
+            plain.append((fn, kw))
+            continue
         res = fn(df, **kw)
         if isinstance(res, types.GeneratorType):
             try:
@@ -55,6 +64,13 @@ def run_staged(df, calls, sym=SYM):
                 df = stop.value
         else:
             df = res
+    df = _drain(df, pending, sym)
+    for fn, kw in plain:
+        df = fn(df, **kw)
+    return df
+
+
+def _drain(df, pending, sym):
     while pending:
         df = apply_recurrences(df, [sp for _, specs in pending for sp in specs], sym)
         nxt = []

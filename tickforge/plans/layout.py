@@ -32,8 +32,10 @@ from pyspark.sql import types as T
 
 from ..schema import SYM, TS
 
-BLK, RN, OWN, P0, ORD = "_blk", "_rn", "_own", "_p0", "_ord"
-LAYOUT_COLS = (BLK, RN, OWN, ORD)
+BLK, RN, OWN, P0, ORD, SUB = "_blk", "_rn", "_own", "_p0", "_ord", "_sub"
+LAYOUT_COLS = (BLK, RN, OWN, ORD, SUB)
+# rows per sub-block of the closed-form recurrence kernel (see kernels.py)
+SUB_ROWS = 1024
 
 # Plan tables up to this many rows are broadcast; above it they are joined
 # with a shuffle. The plan is bounded by symbols + MAX_PLAN_ROWS buckets.
@@ -58,9 +60,19 @@ class Laid:
 
 
 def series_window(sym: str = SYM):
-    # ordered by the bar time copied to _ord: the same sort that numbers the
-    # rows then serves every series window (no second sort by _rn)
-    return Window.partitionBy(sym, BLK).orderBy(ORD)
+    # ordered by (sub-block, bar time): the same order as the row number, and
+    # the one sort that also serves the sub-block partitions of the
+    # recurrence kernel (partitionBy(sym, _blk, _sub).orderBy(_ord))
+    return Window.partitionBy(sym, BLK).orderBy(SUB, ORD)
+
+
+def _number(df: DataFrame, sym: str, start=None) -> DataFrame:
+    w = Window.partitionBy(sym, BLK).orderBy(ORD)
+    rn = F.row_number().over(w)
+    if start is not None:
+        rn = F.col(start) + rn
+    df = df.withColumn(RN, rn.cast("bigint"))
+    return df.withColumn(SUB, F.floor((F.col(RN) - 1) / SUB_ROWS).cast("bigint"))
 
 
 def rows(sym: str, n: int):
@@ -109,8 +121,7 @@ def lay_out(df: DataFrame, sym: str = SYM, ts: str = TS, *, halo: int = 0,
     halo = max(int(halo), 0)
     if not blocked:
         out = df.withColumns({BLK: F.lit(0).cast("bigint"), OWN: F.lit(True), ORD: F.col(ts)})
-        out = out.withColumn(RN, F.row_number().over(series_window(sym)).cast("bigint"))
-        return Laid(out, sym, ts, halo, False, None)
+        return Laid(_number(out, sym), sym, ts, halo, False, None)
 
     # the order key: bar time (in microseconds), or any numeric column (an
     # as-of search over values uses the same blocks and carries)
@@ -192,9 +203,7 @@ def lay_out(df: DataFrame, sym: str = SYM, ts: str = TS, *, halo: int = 0,
             .select(*wanted, F.inline("_t"))
             .withColumnRenamed("b", BLK).withColumnRenamed("o", OWN)
             .withColumnRenamed("p", P0))
-    laid = laid.withColumn(ORD, F.col(ts))
-    laid = (laid.withColumn(RN, (F.col(P0) + F.row_number().over(series_window(sym)))
-                            .cast("bigint")).drop(P0))
+    laid = _number(laid.withColumn(ORD, F.col(ts)), sym, start=P0).drop(P0)
     return Laid(laid, sym, ts, halo, True, blocks_small)
 
 
