@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from ..plans.layout import RN, key_count, maybe_broadcast, series_window
+from ..plans.layout import RN, key_count, maybe_broadcast, series_window, with_scalars
 from ..schema import SYM, TS
 from .series import run_series
 
@@ -70,7 +70,7 @@ def rolling_features(bars: DataFrame, column: str = "close", windows=WINDOWS,
     if method == "mean":
         names = [f"{column}_rolling_{k}_{n}" for n in windows for k in ("mean", "std")]
         st = out.agg(*[F.avg(c).alias(f"_m_{c}") for c in names])
-        out = out.crossJoin(F.broadcast(st)).withColumns(
+        out = with_scalars(out, st).withColumns(
             {c: F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in names}).drop(
             *[f"_m_{c}" for c in names])
     elif method not in (None, "pad"):
@@ -197,7 +197,8 @@ def fit_scaler(df: DataFrame, columns, kind: str = "standard", by=None) -> DataF
             q = quantiles(df, c, [0.25, 0.5, 0.75], by=by or (), names=["_q1", "_q2", "_q3"])
             q = q.select(*(by or []), F.col("_q2").alias(f"{c}__a"),
                          (F.col("_q3") - F.col("_q1")).alias(f"{c}__b"))
-            fitted = q if fitted is None else (fitted.join(q, by) if by else fitted.crossJoin(q))
+            fitted = q if fitted is None else (fitted.join(q, by) if by else
+                                               with_scalars(fitted, q))
         return fitted
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
@@ -205,7 +206,7 @@ def fit_scaler(df: DataFrame, columns, kind: str = "standard", by=None) -> DataF
 def apply_scaler(df: DataFrame, fitted: DataFrame, columns, kind: str = "standard", by=None,
                  suffix: str = "") -> DataFrame:
     """sklearn-compatible transforms; zero scale maps to 1 (constants -> 0)."""
-    joined = (df.join(F.broadcast(fitted), by) if by else df.crossJoin(F.broadcast(fitted)))
+    joined = df.join(F.broadcast(fitted), by) if by else with_scalars(df, fitted)
     out = {}
     for c in columns:
         a, b = F.col(f"{c}__a"), F.col(f"{c}__b")
@@ -223,7 +224,7 @@ def apply_scaler(df: DataFrame, fitted: DataFrame, columns, kind: str = "standar
 
 def inverse_scaler(df: DataFrame, fitted: DataFrame, columns, kind: str = "minmax", by=None,
                    suffix: str = "_inv") -> DataFrame:
-    joined = (df.join(F.broadcast(fitted), by) if by else df.crossJoin(F.broadcast(fitted)))
+    joined = df.join(F.broadcast(fitted), by) if by else with_scalars(df, fitted)
     out = {}
     for c in columns:
         a, b = F.col(f"{c}__a"), F.col(f"{c}__b")

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.layout import with_scalars
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType)
 
@@ -78,7 +80,7 @@ def fill_missing_values(df: DataFrame, strategy: str = "mean", value=None,
             if isinstance(f.dataType, T.StringType) and (columns is None or f.name in columns)]
     stats = df.agg(*[F.avg(c).alias(f"_mean_{c}") for c in num],
                    *[F.mode(c).alias(f"_mode_{c}") for c in strs])
-    out = df.crossJoin(F.broadcast(stats))  # one row: bounded broadcast
+    out = with_scalars(df, stats)
     repl = {c: F.coalesce(F.col(c), F.col(f"_mean_{c}").cast(df.schema[c].dataType)) for c in num}
     repl.update({c: F.coalesce(F.col(c), F.col(f"_mode_{c}")) for c in strs})
     return out.withColumns(repl).select(*df.columns)
@@ -94,8 +96,8 @@ def iqr_bounds(df: DataFrame, column: str, factor: float = 1.5) -> DataFrame:
 
 
 def remove_outliers_iqr(df: DataFrame, column: str, factor: float = 1.5) -> DataFrame:
-    b = F.broadcast(iqr_bounds(df, column, factor).select("lower", "upper"))  # one row
-    return (df.crossJoin(b).where(F.col(column).between(F.col("lower"), F.col("upper")))
+    b = iqr_bounds(df, column, factor).select("lower", "upper")
+    return (with_scalars(df, b).where(F.col(column).between(F.col("lower"), F.col("upper")))
             .select(*df.columns))
 
 
@@ -124,17 +126,17 @@ def label_encode(df: DataFrame, column: str, out: str | None = None) -> DataFram
 
 def normalize_column(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
     out = out or f"{column}_norm"
-    st = F.broadcast(df.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi")))
+    st = df.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
     rng = F.col("_hi") - F.col("_lo")
-    return (df.crossJoin(st).withColumn(out, F.when(rng == 0, F.lit(0.0)).otherwise(
+    return (with_scalars(df, st).withColumn(out, F.when(rng == 0, F.lit(0.0)).otherwise(
         (F.col(column) - F.col("_lo")) / rng)).drop("_lo", "_hi"))
 
 
 def standardize_column(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
     """mean 0, sample std 1 (the reference's test uses pandas ``.std()``)."""
     out = out or f"{column}_std"
-    st = F.broadcast(df.agg(F.avg(column).alias("_mu"), F.stddev_samp(column).alias("_sd")))
-    return (df.crossJoin(st).withColumn(out, F.try_divide(F.col(column) - F.col("_mu"),
+    st = df.agg(F.avg(column).alias("_mu"), F.stddev_samp(column).alias("_sd"))
+    return (with_scalars(df, st).withColumn(out, F.try_divide(F.col(column) - F.col("_mu"),
                                                           F.col("_sd"))).drop("_mu", "_sd"))
 
 

@@ -14,6 +14,7 @@ from ..operators import backtest as BT
 from ..operators import features as FE
 from ..operators import models as M
 from ..operators.series import run_series
+from ..plans.layout import with_scalars
 from ..session import scratch_path
 from ..sources.tables import LINE_BARS_SQL, line_bars, read_table
 from .catalog_indicators import REC_DIGITS, _recursive, spark_round
@@ -185,10 +186,10 @@ FROM c LEFT JOIN (SELECT * FROM l WHERE actual IS NOT NULL AND pred IS NOT NULL)
 def q_residuals(spark, sf_dir):
     n = _naive(spark, sf_dir).where(F.col("predicted").isNotNull()).withColumn(
         "e", F.col("close") - F.col("predicted"))
-    st = F.broadcast(n.agg(F.min("e").alias("lo"), F.max("e").alias("hi")))  # one row
+    st = n.agg(F.min("e").alias("lo"), F.max("e").alias("hi"))
     b = F.least(F.floor((F.col("e") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 10) + 1,
                 F.lit(10)).cast("int")
-    return n.crossJoin(st).groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return with_scalars(n, st).groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 SQL_RESIDUALS = f"""

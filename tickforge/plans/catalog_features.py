@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features as FE
+from ..plans.layout import with_scalars
 from ..session import scratch_path
 from ..sources.tables import EVENT_BARS_SQL, LINE_BARS_SQL, event_bars, line_bars, read_table
 from .catalog_indicators import spark_round
@@ -119,7 +120,7 @@ SQL_FEATURE_STORE = (f"SELECT symbol, ts, {rnd('close')} AS close, "
 def q_impute_mean(spark, sf_dir):
     b = line_bars(spark, sf_dir).withColumn("px", F.when(F.col("volume") >= 30, F.col("close")))
     st = b.agg(F.avg("px").alias("_m"))
-    out = b.crossJoin(F.broadcast(st)).withColumn("px", F.coalesce("px", "_m"))
+    out = with_scalars(b, st).withColumn("px", F.coalesce("px", "_m"))
     return _r(out, ["symbol", "ts"], ["px"])
 
 

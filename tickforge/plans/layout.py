@@ -89,6 +89,16 @@ def maybe_broadcast(df: DataFrame, n_rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if n_rows <= limit else df
 
 
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row statistics table (means, fences,
+    fitted scales) to every row as typed literals: one tiny job reads the
+    row; no join of any kind is planned."""
+    row = one_row.first()
+    return df.withColumns({
+        f.name: F.lit(None if row is None else row[f.name]).cast(f.dataType)
+        for f in one_row.schema.fields})
+
+
 def key_count(df: DataFrame, *keys: str) -> int:
     """Distinct keys of an input (e.g. symbols): the row bound of every
     per-key table derived from it, so those tables can be broadcast-checked
