@@ -219,7 +219,6 @@ def q_exemplars(spark, sf_dir):
     st = (n.groupBy("symbol").agg(F.stddev_pop("e").alias("sd")).join(q, "symbol")
           .select("symbol", "sd", F.array("q1", "q2", "q3").alias("q")))
     x = n.join(st, "symbol")
-    w = Window.partitionBy("symbol", "strategy").orderBy("score", "ts")
     cands = x.select("symbol", "ts", F.explode(F.array(
         F.struct(F.lit("worst").alias("strategy"), (-F.abs("e")).alias("score")),
         F.struct(F.lit("best").alias("strategy"), F.abs("e").alias("score")),
@@ -230,8 +229,9 @@ def q_exemplars(spark, sf_dir):
                  F.when(F.abs("e") > 3 * F.col("sd"), F.lit(0.0))
                  .otherwise(1e300 - F.abs("e")).alias("score")))).alias("c"))
     cands = cands.select("symbol", "ts", "c.strategy", "c.score")
-    return (cands.withColumn("k", F.row_number().over(w)).where("k = 1")
-            .select("symbol", "strategy", "ts"))
+    # lowest score, earliest ts on ties: a partial aggregate, no per-group window
+    best = F.min_by(F.col("ts"), F.struct("score", "ts"))
+    return cands.groupBy("symbol", "strategy").agg(best.alias("ts"))
 
 
 SQL_EXEMPLARS = f"""
