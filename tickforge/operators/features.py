@@ -206,7 +206,9 @@ def fit_scaler(df: DataFrame, columns, kind: str = "standard", by=None) -> DataF
 def apply_scaler(df: DataFrame, fitted: DataFrame, columns, kind: str = "standard", by=None,
                  suffix: str = "") -> DataFrame:
     """sklearn-compatible transforms; zero scale maps to 1 (constants -> 0)."""
-    joined = df.join(F.broadcast(fitted), by) if by else with_scalars(df, fitted)
+    # per-group statistics: one row per key of the input, broadcast only if bounded
+    joined = (df.join(maybe_broadcast(fitted, key_count(df, *by)), by) if by
+              else with_scalars(df, fitted))
     out = {}
     for c in columns:
         a, b = F.col(f"{c}__a"), F.col(f"{c}__b")
@@ -224,7 +226,9 @@ def apply_scaler(df: DataFrame, fitted: DataFrame, columns, kind: str = "standar
 
 def inverse_scaler(df: DataFrame, fitted: DataFrame, columns, kind: str = "minmax", by=None,
                    suffix: str = "_inv") -> DataFrame:
-    joined = df.join(F.broadcast(fitted), by) if by else with_scalars(df, fitted)
+    # per-group statistics: one row per key of the input, broadcast only if bounded
+    joined = (df.join(maybe_broadcast(fitted, key_count(df, *by)), by) if by
+              else with_scalars(df, fitted))
     out = {}
     for c in columns:
         a, b = F.col(f"{c}__a"), F.col(f"{c}__b")

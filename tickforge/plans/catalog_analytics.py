@@ -14,7 +14,7 @@ from ..operators import backtest as BT
 from ..operators import features as FE
 from ..operators import models as M
 from ..operators.series import run_series
-from ..plans.layout import with_scalars
+from ..plans.layout import key_count, maybe_broadcast, with_scalars
 from ..session import scratch_path
 from ..sources.tables import LINE_BARS_SQL, line_bars, read_table
 from .catalog_indicators import REC_DIGITS, _recursive, spark_round
@@ -203,7 +203,9 @@ def q_contributions(spark, sf_dir):
     bars = line_bars(spark, sf_dir)
     coefs = M.per_symbol_ols(bars, ["open"], "close")
     means = bars.groupBy("symbol").agg(F.avg("open").alias("_mu"))
-    out = (bars.join(F.broadcast(coefs), "symbol").join(F.broadcast(means), "symbol")
+    n_sym = key_count(bars, "symbol")  # both tables hold one row per symbol
+    out = (bars.join(maybe_broadcast(coefs, n_sym), "symbol")
+           .join(maybe_broadcast(means, n_sym), "symbol")
            .withColumn("contrib_open", F.col("coef_open") * (F.col("open") - F.col("_mu"))))
     return _r(out, ["symbol", "ts"], ["contrib_open"], 4)
 

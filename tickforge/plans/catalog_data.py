@@ -77,6 +77,7 @@ def q_sink_predictions(spark, sf_dir):
     IO.sink_predictions(spark, preds, root, "baseline", "run1", "parquet", True)
     back = spark.read.parquet(f"{root}/predictions")
     summary = spark.read.parquet(f"{root}/run_summary")
+    # the run summary holds one row per write of this run (a single row here)
     return (back.join(F.broadcast(summary.select("model", "n_rows")), "model")
             .select("symbol", "ts", spark_round("prediction").alias("prediction"), "model",
                     F.col("run_ts").cast("string").alias("run_ts"), "n_rows"))
