@@ -17,7 +17,7 @@ def test_stream_bars_drops_late_rows(spark):
               (3, t0 + dt.timedelta(hours=3), "A", 5.0)]
     batch2 = [(4, t0 + dt.timedelta(minutes=10), "A", 100.0),  # late: hour 10 is closed
               (5, t0 + dt.timedelta(days=10), "A", 7.0)]       # closes the watermark
-    spark.createDataFrame(batch1, schema).write.parquet(os.path.join(src, "b1"))
+    spark.createDataFrame(batch1, schema).coalesce(1).write.parquet(os.path.join(src, "b1"))
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
               .option("recursiveFileLookup", True).parquet(src))
     bars = J.stream_bars(stream, "event_type", "ts", "value", ["ts", "event_id"], "1 hour",
@@ -27,7 +27,7 @@ def test_stream_bars_drops_late_rows(spark):
     q = (bars.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
-    spark.createDataFrame(batch2, schema).write.parquet(os.path.join(src, "b2"))
+    spark.createDataFrame(batch2, schema).coalesce(1).write.parquet(os.path.join(src, "b2"))
     q = (bars.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
