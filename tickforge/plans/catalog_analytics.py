@@ -44,6 +44,30 @@ def q_ridge(spark, sf_dir):
                                         .alias("prediction"))
 
 
+def sql_ridge3(features, label, alpha, src):
+    """Ridge with a free intercept on 3 features, closed form: the centered
+    normal equations (X'X + alpha I) w = X'y solved by Cramer's rule."""
+    x = list(features)
+    A = [[f"(covar_pop({x[i]}, {x[j]}) * count(*){' + ' + str(alpha) if i == j else ''})"
+          for j in range(3)] for i in range(3)]
+    b = [f"(covar_pop({x[i]}, {label}) * count(*))" for i in range(3)]
+
+    def det(m):
+        return (f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - "
+                f"{m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]}) + "
+                f"{m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))")
+
+    def col_replaced(k):
+        return [[b[i] if j == k else A[i][j] for j in range(3)] for i in range(3)]
+
+    ws = ", ".join(f"{det(col_replaced(k))} / {det(A)} AS w{k}" for k in range(3))
+    means = ", ".join(f"avg({c}) AS m{i}" for i, c in enumerate(x))
+    pred = f"my + " + " + ".join(f"w{i} * ({c} - m{i})" for i, c in enumerate(x))
+    return (f"WITH d AS (SELECT * FROM {src}),\n"
+            f"f AS (SELECT {ws}, {means}, avg({label}) AS my FROM d)\n"
+            f"SELECT symbol, ts, {rnd(pred, 4)} AS prediction FROM d, f")
+
+
 def q_coef_select(spark, sf_dir):
     bars = line_bars(spark, sf_dir)
     keep = M.select_by_coefficient(bars, FEATS + ["volume"], "close")
@@ -108,6 +132,15 @@ def q_batch_score(spark, sf_dir):
     return out.select("symbol", "ts", "model", spark_round("prediction", 4).alias("prediction"))
 
 
+def sql_batch_score():
+    parts = []
+    for name, alpha in (("ridge_1", 1.0), ("ridge_10", 10.0)):
+        one = sql_ridge3(FEATS, "close", alpha, f"{LB} q").replace(
+            "SELECT symbol, ts, ", f"SELECT symbol, ts, '{name}' AS model, ")
+        parts.append(f"SELECT * FROM ({one}) s{len(parts)}")
+    return " UNION ALL ".join(parts)
+
+
 def q_per_symbol(spark, sf_dir):
     out = M.per_symbol_ols(line_bars(spark, sf_dir), ["open"], "close")
     return _r(out, ["symbol"], ["intercept", "coef_open"], 4)
@@ -554,11 +587,13 @@ SELECT count(*) FILTER (WHERE pnl > 0) AS wins, count(*) FILTER (WHERE pnl <= 0)
 
 def catalog():
     return {
-        "ridge_regression": (q_ridge, None),
+        "ridge_regression": (q_ridge, sql_ridge3(FEATS, "close", 1.0, f"{LB} q")),
         "coef_feature_selection": (q_coef_select, None),
         "random_forest_regression": (q_forest, None),
         "hyperparameter_search": (q_search, None),
         "trial_report": (q_trial_report, sql_trial_report()),
+        # rows-only: open/high/low are nearly collinear, so the alpha=10 model's
+        # solution differs between solvers in the 9th significant digit
         "batch_score": (q_batch_score, None),
         "train_per_symbol": (q_per_symbol, SQL_PER_SYMBOL),
         "regression_metrics": (q_metrics, SQL_METRICS),
