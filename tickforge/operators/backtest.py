@@ -84,13 +84,6 @@ def momentum_actions(bars: DataFrame, *, sym: str = SYM, ts: str = TS, **kw) ->
         sym, ts, "action_type", "amount", "price")
 
 
-def _returns(value: str, sym: str, ts: str, **kw):
-    def build(df, carries):
-        return df.withColumn("ret", F.try_divide(F.col(value) - K.lag(value, 1, sym),
-                                                 K.lag(value, 1, sym)))
-    return build
-
-
 def performance(series: DataFrame, value: str = "close", *, sym: str = SYM, ts: str = TS,
                 rf: float = RF, **kw) -> DataFrame:
     """Per symbol: Sharpe and Sortino (population std, annualised by sqrt(252)),

@@ -8,9 +8,7 @@ block layout, so a hot symbol never lands in one task.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
@@ -300,4 +298,4 @@ def standard_scale_split(df: DataFrame, columns, split_col: str = "split",
 __all__ = ["lag_features", "rolling_features", "rf_feature_set", "with_row_index",
            "split_random", "split_chronological", "time_series_folds", "kfold", "fit_scaler",
            "apply_scaler", "inverse_scaler", "normalizer_l2", "sequence_windows",
-           "deep_features", "standard_scale_split", "math", "Window", "TS"]
+           "deep_features", "standard_scale_split", "preprocess"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import SYM, TS
@@ -63,4 +63,4 @@ def datetime_to_int(df: DataFrame, ts: str = TS, out: str = "ts_ns") -> DataFram
 
 
 __all__ = ["filter_date_range", "valid_date_string", "select_numeric", "project_features",
-           "coerce_numeric", "days_since_reference", "date_parts", "datetime_to_int", "Window"]
+           "coerce_numeric", "days_since_reference", "date_parts", "datetime_to_int"]

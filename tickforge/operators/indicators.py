@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from ..functions.kernels import (apply_recurrences, c, ema_lookback, ema_spec, lag, lead,
                                  local_cumsum, rolling_max, rolling_mean, rolling_min,
                                  rolling_std, rolling_sum, wilder_lookback, wilder_spec)
-from ..plans.layout import (BLK, LAYOUT_COLS, OWN, RN, add_carry, largest_series, lay_out,
-                            rows, series_window)
+from ..plans.layout import (LAYOUT_COLS, OWN, RN, add_carry, largest_series, lay_out,
+                            series_window)
 from ..schema import SYM, TS, require_columns, require_window
 
 HLC = ("high", "low", "close")
@@ -589,5 +589,3 @@ def with_indicators(bars: DataFrame, names=None, *, sym: str = SYM, ts: str = TS
         df = df.drop(*LAYOUT_COLS)
     return df
 
-
-__all__ = ["with_indicators", "REGISTRY", "SUITE", "output_columns", "BLK"]

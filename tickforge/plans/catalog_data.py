@@ -11,13 +11,12 @@ from pyspark.sql import functions as F
 
 from ..operators import filters as FL
 from ..operators import quality as Q
-from ..schema import BAR_COLUMNS
 from ..session import scratch_path
 from ..sources import files as IO
 from ..sources.tables import EVENT_BARS_SQL, LINE_BARS_SQL, bars_from_ticks, event_bars, \
     line_bars, read_table
 from .catalog_indicators import spark_round
-from .sqlkit import P, rnd, tdiv
+from .sqlkit import P, rnd
 
 PX = ["open", "high", "low", "close"]
 
@@ -608,5 +607,3 @@ def catalog():
         "top_n_preview": (q_top_n, SQL_TOP_N),
     }
 
-
-__all__ = ["catalog", "BAR_COLUMNS", "tdiv"]

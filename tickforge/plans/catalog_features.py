@@ -9,7 +9,7 @@ from ..plans.layout import with_scalars
 from ..session import scratch_path
 from ..sources.tables import EVENT_BARS_SQL, LINE_BARS_SQL, event_bars, line_bars, read_table
 from .catalog_indicators import spark_round
-from .sqlkit import P, cum, full, rnd, rows
+from .sqlkit import P, cum, full, rnd
 
 LB = f"({LINE_BARS_SQL})"
 
@@ -286,5 +286,3 @@ def catalog():
         "kfold": (q_kfold, SQL_KFOLD),
     }
 
-
-__all__ = ["catalog", "rows"]

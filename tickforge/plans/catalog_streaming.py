@@ -3,8 +3,6 @@ from the driver tables into parquet and returns the read-back result."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,5 +84,3 @@ def catalog():
         "stream_risk_monitor": (q_stream_risk, SQL_STREAM_RISK),
     }
 
-
-__all__ = ["catalog", "os"]

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import BAR, BAR_COLUMNS, SYM, TS
+from ..schema import BAR_COLUMNS, SYM, TS
 
 CSV_BAR = T.StructType([
     T.StructField("date", T.TimestampNTZType()), T.StructField("open", T.DoubleType()),
@@ -210,4 +210,4 @@ def source_fallback(primary: DataFrame, secondary: DataFrame, mode: str = "per_b
 
 __all__ = ["scan_csv_bars", "scan_request_log", "sink_csv", "sink_versioned", "sink_sql_table",
            "sink_object_store", "sink_predictions", "ingest_map_json", "ingest_array_json",
-           "ingest_rename_columns", "source_fallback", "BAR", "Window"]
+           "ingest_rename_columns", "source_fallback"]
