@@ -107,8 +107,9 @@ def key_count(df: DataFrame, *keys: str) -> int:
 
 
 def _materialize(df: DataFrame) -> DataFrame:
-    # Small plan table: compute once, cut lineage in the shared checkpoint folder.
-    return df.checkpoint(eager=True)
+    # Small plan table: computed once, written to the shared checkpoint folder.
+    from ..session import stage_table
+    return stage_table(df, "layout-plan")
 
 
 def largest_series(df: DataFrame, sym: str = SYM) -> int:

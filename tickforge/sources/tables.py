@@ -42,12 +42,11 @@ def bars_from_ticks(ticks: DataFrame, sym, ts, price, *, volume=None,
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder. Used for
-    the bar table, which every series query reads more than once (the layout
-    sizes it, then the windows run on it): it is computed once, not per job."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the bar table once to the shared folder and read it back: every
+    series query reads it more than once (the layout sizes it, then the
+    windows run on it), so it is computed once, not per job."""
+    from ..session import stage_table
+    return stage_table(df, "bars")
 
 
 def line_bars(spark: SparkSession, sf_dir: str, keep: bool = True) -> DataFrame:
