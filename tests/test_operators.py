@@ -109,3 +109,17 @@ def test_splits(spark):
     assert s.where("split = 'train'").count() == 7
     f = FE.time_series_folds(b, 3)
     assert f.where("fold = 0 AND role = 'test'").count() == 2  # 10 // 4
+
+
+def test_vwap_day_anchor_and_interpolated_rolling(spark):
+    t0 = dt.datetime(2024, 1, 1, 9)
+    rows = [("A", t0 + dt.timedelta(hours=h), 1.0, 2.0 + h, 1.0, 1.5 + h, 10 + h)
+            for h in range(30)]
+    b = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, open double, high double, "
+                                    "low double, close double, volume bigint")
+    day = with_indicators(b, ["vwap"], params={"vwap": {"anchor": "day"}}).orderBy("ts").collect()
+    # the first bar of 2024-01-02 starts a new session: VWAP = its typical price
+    first = next(r for r in day if r["ts"] == dt.datetime(2024, 1, 2))
+    assert abs(first["VWAP"] - (17.0 + 1.0 + 16.5) / 3) < 1e-12
+    r = FE.rolling_features(b, "close", (5,), method="interpolate").orderBy("ts").collect()
+    assert [x["close_rolling_mean_5"] for x in r[:6]] == [None, None, None, None, 3.5, 4.5]

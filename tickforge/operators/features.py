@@ -50,7 +50,8 @@ def rolling_features(bars: DataFrame, column: str = "close", windows=WINDOWS,
                      method: str | None = None, *, sym: str = SYM, ts: str = TS,
                      **kw) -> DataFrame:
     """``{column}_rolling_mean_{n}`` / ``_std_{n}`` over full windows; gap
-    policy ``pad`` (forward fill) or ``mean`` (column mean) for the nulls."""
+    policy ``pad`` (forward fill), ``interpolate`` (linear by row, leading
+    nulls stay) or ``mean`` (column mean) for the nulls."""
     def build(df, carries):
         cols = {}
         for n in windows:
@@ -65,13 +66,19 @@ def rolling_features(bars: DataFrame, column: str = "close", windows=WINDOWS,
         return df
 
     out = run_series(bars, build, halo=max(windows), sym=sym, ts=ts, **kw)
-    if method == "mean":
+    if method == "interpolate":
+        from .series import fill
+        for n in windows:
+            for k in ("mean", "std"):
+                name = f"{column}_rolling_{k}_{n}"
+                out = fill(out, name, "interpolate", sym=sym, ts=ts, out=name, **kw)
+    elif method == "mean":
         names = [f"{column}_rolling_{k}_{n}" for n in windows for k in ("mean", "std")]
         st = out.agg(*[F.avg(c).alias(f"_m_{c}") for c in names])
         out = with_scalars(out, st).withColumns(
             {c: F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in names}).drop(
             *[f"_m_{c}" for c in names])
-    elif method not in (None, "pad"):
+    elif method not in (None, "pad", "interpolate"):
         raise ValueError(f"unknown gap policy {method!r}")
     return out
 

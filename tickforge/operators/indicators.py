@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..functions.kernels import (apply_recurrences, c, ema_lookback, ema_spec, lag, lead,
                                  local_cumsum, rolling_max, rolling_mean, rolling_min,
                                  rolling_std, rolling_sum, wilder_lookback, wilder_spec)
-from ..plans.layout import (LAYOUT_COLS, OWN, RN, add_carry, largest_series, lay_out,
+from ..plans.layout import (LAYOUT_COLS, ORD, OWN, RN, add_carry, largest_series, lay_out,
                             series_window)
 from ..schema import SYM, TS, require_columns, require_window
 
@@ -382,7 +382,10 @@ def obv(df, carries, sym=SYM):
     return df
 
 
-def vwap(df, carries, sym=SYM, price_type="typical", adjust_for_splits=False):
+def vwap(df, carries, sym=SYM, price_type="typical", adjust_for_splits=False, anchor="symbol"):
+    """Cumulative volume-weighted price from the first bar of the symbol
+    (``anchor="symbol"``, the reference) or of each calendar day
+    (``anchor="day"``, sessions of intraday bars; a day is bounded)."""
     require_columns(df, HLC + ("volume",), "vwap")
     if price_type == "typical":
         px = (F.col("high") + F.col("low") + F.col("close")) / 3
@@ -394,6 +397,13 @@ def vwap(df, carries, sym=SYM, price_type="typical", adjust_for_splits=False):
     if adjust_for_splits:
         require_columns(df, ["split_coefficient"], "vwap")
         vol = F.try_divide(vol, F.col("split_coefficient"))
+    if anchor == "day":
+        day = Window.partitionBy(sym, F.to_date(ORD)).orderBy(ORD).rowsBetween(
+            Window.unboundedPreceding, 0)
+        return df.withColumn("VWAP", F.try_divide(F.sum(px * vol).over(day),
+                                                  F.sum(vol).over(day)))
+    if anchor != "symbol":
+        raise ValueError(f"unknown vwap anchor {anchor!r}")
     df = (df.withColumn("_pv_l", local_cumsum(px * vol, sym))
           .withColumn("_v_l", local_cumsum(vol, sym)))
     carries["_pv"] = ("_pv_l", "sum")
