@@ -250,9 +250,22 @@ def q_exemplars(spark, sf_dir):
     n = (_naive(spark, sf_dir).where(F.col("predicted").isNotNull())
          .withColumn("e", F.col("close") - F.col("predicted")))
     q = quantiles(n, "e", [0.25, 0.5, 0.75], by=["symbol"], names=["q1", "q2", "q3"])
-    st = (n.groupBy("symbol").agg(F.stddev_pop("e").alias("sd")).join(q, "symbol")
-          .select("symbol", "sd", F.array("q1", "q2", "q3").alias("q")))
+    scaled = ["predicted", "open", "high", "low"]
+    st = (n.groupBy("symbol").agg(F.stddev_pop("e").alias("sd"),
+                                  *[F.min(c).alias(f"mn_{c}") for c in scaled],
+                                  *[F.max(c).alias(f"mx_{c}") for c in scaled])
+          .join(q, "symbol")
+          .select("symbol", "sd", F.array("q1", "q2", "q3").alias("q"),
+                  *[f"mn_{c}" for c in scaled], *[f"mx_{c}" for c in scaled]))
     x = n.join(st, "symbol")
+
+    def unit(c):  # min-max scaled per symbol (null on a constant column)
+        return F.try_divide(F.col(c) - F.col(f"mn_{c}"), F.col(f"mx_{c}") - F.col(f"mn_{c}"))
+
+    boundary = (unit("predicted") < 0.05) | (unit("predicted") > 0.95)
+    extreme = F.lit(False)
+    for c in ("open", "high", "low"):
+        extreme = extreme | F.coalesce((unit(c) < 0.01) | (unit(c) > 0.99), F.lit(False))
     cands = x.select("symbol", "ts", F.explode(F.array(
         F.struct(F.lit("worst").alias("strategy"), (-F.abs("e")).alias("score")),
         F.struct(F.lit("best").alias("strategy"), F.abs("e").alias("score")),
@@ -261,7 +274,15 @@ def q_exemplars(spark, sf_dir):
         F.struct(F.lit("q75").alias("strategy"), F.abs(F.col("e") - F.col("q")[2]).alias("score")),
         F.struct(F.lit("outlier").alias("strategy"),
                  F.when(F.abs("e") > 3 * F.col("sd"), F.lit(0.0))
-                 .otherwise(1e300 - F.abs("e")).alias("score")))).alias("c"))
+                 .otherwise(1e300 - F.abs("e")).alias("score")),
+        # first row with a prediction at the edge of its range, else the worst
+        F.struct(F.lit("boundary_case").alias("strategy"),
+                 F.when(F.coalesce(boundary, F.lit(False)), F.lit(0.0))
+                 .otherwise(1e300 - F.abs("e")).alias("score")),
+        # first row with any feature at the edge of its range, else the worst
+        F.struct(F.lit("feature_extreme").alias("strategy"),
+                 F.when(extreme, F.lit(0.0)).otherwise(1e300 - F.abs("e")).alias("score"))
+    )).alias("c"))
     cands = cands.select("symbol", "ts", "c.strategy", "c.score")
     # lowest score, earliest ts on ties: a partial aggregate, no per-group window
     best = F.min_by(F.col("ts"), F.struct("score", "ts"))
@@ -269,18 +290,25 @@ def q_exemplars(spark, sf_dir):
 
 
 SQL_EXEMPLARS = f"""
-WITH n AS (SELECT symbol, ts, close - lag(close) OVER ({P}) AS e FROM {LB} q),
+WITH n AS (SELECT symbol, ts, open, high, low, lag(close) OVER ({P}) AS predicted,
+                  close - lag(close) OVER ({P}) AS e FROM {LB} q),
+x0 AS (SELECT * FROM n WHERE e IS NOT NULL),
 x AS (SELECT *, quantile_cont(e, 0.25) OVER (PARTITION BY symbol) AS q1,
              quantile_cont(e, 0.5) OVER (PARTITION BY symbol) AS q2,
              quantile_cont(e, 0.75) OVER (PARTITION BY symbol) AS q3,
-             stddev_pop(e) OVER (PARTITION BY symbol) AS sd FROM n WHERE e IS NOT NULL),
+             stddev_pop(e) OVER (PARTITION BY symbol) AS sd, (CASE WHEN max(predicted) OVER (PARTITION BY symbol) - min(predicted) OVER (PARTITION BY symbol) = 0 THEN NULL ELSE (predicted - min(predicted) OVER (PARTITION BY symbol)) / (max(predicted) OVER (PARTITION BY symbol) - min(predicted) OVER (PARTITION BY symbol)) END) AS u_p, (CASE WHEN max(open) OVER (PARTITION BY symbol) - min(open) OVER (PARTITION BY symbol) = 0 THEN NULL ELSE (open - min(open) OVER (PARTITION BY symbol)) / (max(open) OVER (PARTITION BY symbol) - min(open) OVER (PARTITION BY symbol)) END) AS u_o, (CASE WHEN max(high) OVER (PARTITION BY symbol) - min(high) OVER (PARTITION BY symbol) = 0 THEN NULL ELSE (high - min(high) OVER (PARTITION BY symbol)) / (max(high) OVER (PARTITION BY symbol) - min(high) OVER (PARTITION BY symbol)) END) AS u_h, (CASE WHEN max(low) OVER (PARTITION BY symbol) - min(low) OVER (PARTITION BY symbol) = 0 THEN NULL ELSE (low - min(low) OVER (PARTITION BY symbol)) / (max(low) OVER (PARTITION BY symbol) - min(low) OVER (PARTITION BY symbol)) END) AS u_l FROM x0),
 c AS (SELECT symbol, ts, 'worst' AS strategy, -abs(e) AS score FROM x
       UNION ALL SELECT symbol, ts, 'best', abs(e) FROM x
       UNION ALL SELECT symbol, ts, 'median', abs(e - q2) FROM x
       UNION ALL SELECT symbol, ts, 'q25', abs(e - q1) FROM x
       UNION ALL SELECT symbol, ts, 'q75', abs(e - q3) FROM x
       UNION ALL SELECT symbol, ts, 'outlier', CASE WHEN abs(e) > 3 * sd THEN 0.0
-                                              ELSE 1e300 - abs(e) END FROM x)
+                                              ELSE 1e300 - abs(e) END FROM x
+      UNION ALL SELECT symbol, ts, 'boundary_case', CASE WHEN coalesce(u_p < 0.05 OR u_p > 0.95,
+                                              false) THEN 0.0 ELSE 1e300 - abs(e) END FROM x
+      UNION ALL SELECT symbol, ts, 'feature_extreme', CASE WHEN
+          coalesce(u_o < 0.01 OR u_o > 0.99, false) OR coalesce(u_h < 0.01 OR u_h > 0.99, false)
+          OR coalesce(u_l < 0.01 OR u_l > 0.99, false) THEN 0.0 ELSE 1e300 - abs(e) END FROM x)
 SELECT symbol, strategy, ts FROM (SELECT *, row_number() OVER (PARTITION BY symbol, strategy
   ORDER BY score, ts) AS k FROM c) r WHERE k = 1"""
 
