@@ -107,9 +107,8 @@ def key_count(df: DataFrame, *keys: str) -> int:
 
 
 def _materialize(df: DataFrame) -> DataFrame:
-    # Small plan table: computed once, written to the shared checkpoint folder.
-    from ..session import stage_table
-    return stage_table(df, "layout-plan")
+    # Small plan table: computed once, reliable checkpoint in the shared folder.
+    return df.checkpoint(eager=True)
 
 
 def largest_series(df: DataFrame, sym: str = SYM) -> int:

@@ -77,16 +77,6 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
-def stage_table(df, name: str = "stage"):
-    """Cut lineage with a written table: parquet under the shared checkpoint
-    folder, read back. Computes the input once (``Dataset.checkpoint`` runs
-    it twice unless cached) and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark)
