@@ -123,3 +123,13 @@ def test_vwap_day_anchor_and_interpolated_rolling(spark):
     assert abs(first["VWAP"] - (17.0 + 1.0 + 16.5) / 3) < 1e-12
     r = FE.rolling_features(b, "close", (5,), method="interpolate").orderBy("ts").collect()
     assert [x["close_rolling_mean_5"] for x in r[:6]] == [None, None, None, None, 3.5, 4.5]
+
+
+def test_exemplar_strategies_complete(spark):
+    from __spark_entry__ import queries
+    out = queries()["residual_exemplars"](spark, "/root/testdata/sf0.001")
+    per = {r["strategy"] for r in out.select("strategy").distinct().collect()}
+    assert per == {"worst", "best", "median", "q25", "q75", "outlier", "boundary_case",
+                   "feature_extreme"}
+    n_sym = out.select("symbol").distinct().count()
+    assert out.count() == 8 * n_sym
