@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hash_tree, host_quality, url_aliases
+from . import cutting_stock, hash_tree, host_quality, url_aliases, word_bpe
 from .common import table
 
 
@@ -23,6 +23,14 @@ def op5_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_aliases.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.encode(table(spark, sf_dir, "documents"), keep=["doc_id"], ids=False)
+
+
+def op10_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutting_stock.pack(table(spark, sf_dir, "documents"))
+
+
 def catalog() -> dict:
     """name -> (query, SQL or None)."""
     from . import sql
@@ -30,4 +38,6 @@ def catalog() -> dict:
         "op1_hash_tree": (op1_hash_tree, None),
         "op2_host_quality": (op2_host_quality, sql.OP2),
         "op5_url_aliases": (op5_url_aliases, None),
+        "op7_word_bpe": (op7_word_bpe, None),
+        "op10_cutting_stock": (op10_cutting_stock, None),
     }
