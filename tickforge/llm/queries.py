@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cutting_stock, hash_tree, host_quality, url_aliases, word_bpe
+from . import cutting_stock, hash_tree, host_quality, secret_scan, url_aliases, word_bpe
 from .common import table
 
 
@@ -23,6 +23,11 @@ def op5_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_aliases.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.encode(table(spark, sf_dir, "documents"), keep=["doc_id"], ids=False)
 
@@ -38,6 +43,7 @@ def catalog() -> dict:
         "op1_hash_tree": (op1_hash_tree, None),
         "op2_host_quality": (op2_host_quality, sql.OP2),
         "op5_url_aliases": (op5_url_aliases, None),
+        "op6_secret_scan": (op6_secret_scan, None),
         "op7_word_bpe": (op7_word_bpe, None),
         "op10_cutting_stock": (op10_cutting_stock, None),
     }
