@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import cutting_stock, hash_tree, host_quality, secret_scan, url_aliases, word_bpe
+from . import cutting_stock, hash_tree, host_quality, oph_dedup, secret_scan, url_aliases, word_bpe
 from .common import table
 
 
@@ -32,6 +33,16 @@ def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.encode(table(spark, sf_dir, "documents"), keep=["doc_id"], ids=False)
 
 
+def op9_oph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by doc_id: the component's smallest doc_id stands for it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, (_, n, component) = oph_dedup.near_duplicates(docs, size=2, percent=80)
+    found = found.select("doc_id", F.col(n).alias("n_shingles"), F.col(component).alias("component"))
+    names = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return found.join(names, "component").select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op10_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutting_stock.pack(table(spark, sf_dir, "documents"))
 
@@ -45,5 +56,6 @@ def catalog() -> dict:
         "op5_url_aliases": (op5_url_aliases, None),
         "op6_secret_scan": (op6_secret_scan, None),
         "op7_word_bpe": (op7_word_bpe, None),
+        "op9_oph_dedup": (op9_oph_dedup, None),
         "op10_cutting_stock": (op10_cutting_stock, None),
     }
