@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cutting_stock, hash_tree, host_quality, oph_dedup, secret_scan, url_aliases, word_bpe
+from . import cutting_stock, hash_tree, host_quality, line_spread, oph_dedup, secret_scan, url_aliases, word_bpe
 from .common import table
 
 
@@ -33,6 +33,12 @@ def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.encode(table(spark, sf_dir, "documents"), keep=["doc_id"], ids=False)
 
 
+def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    d, (text, *counts) = line_spread.clean(docs)
+    return d.select("doc_id", *counts, F.col(text).alias("text"))
+
+
 def op9_oph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by doc_id: the component's smallest doc_id stands for it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -56,6 +62,7 @@ def catalog() -> dict:
         "op5_url_aliases": (op5_url_aliases, None),
         "op6_secret_scan": (op6_secret_scan, None),
         "op7_word_bpe": (op7_word_bpe, None),
+        "op8_line_spread": (op8_line_spread, sql.OP8),
         "op9_oph_dedup": (op9_oph_dedup, None),
         "op10_cutting_stock": (op10_cutting_stock, None),
     }

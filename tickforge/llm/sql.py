@@ -38,3 +38,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND NOT (host_rejected AND soft) AS kept
 FROM f JOIN bad ON f.source IS NOT DISTINCT FROM bad.source
 """
+
+OP8 = r"""
+WITH l AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
+spread AS MATERIALIZED (
+  SELECT line FROM (SELECT coalesce('s' || source, 'n') AS site, unnest(ls) AS line FROM l)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line HAVING count(DISTINCT site) >= 8),
+parts AS MATERIALIZED (SELECT rid, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM l),
+marked AS (SELECT rid, i, parts.line, spread.line IS NOT NULL AS wide FROM parts LEFT JOIN spread USING (line)),
+by_doc AS (
+  SELECT rid, count(*) AS n_lines, count(*) FILTER (wide) AS n_spread_lines,
+    2 * coalesce(sum(length(line)) FILTER (NOT wide), 0) < sum(length(line)) AND count(*) FILTER (wide) > 0 AS left_whole,
+    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT wide), '') AS kept
+  FROM marked GROUP BY rid)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_spread_lines, 0) AS n_spread_lines,
+  coalesce(left_whole, false) AS left_whole,
+  CASE WHEN left_whole OR n_spread_lines IS NULL THEN text ELSE kept END AS text
+FROM l LEFT JOIN by_doc USING (rid)
+"""
