@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cutting_stock, hash_tree, host_quality, line_spread, oph_dedup, secret_scan, url_aliases, word_bpe
+from . import cutting_stock, hash_tree, host_quality, line_spread, multi_index, oph_dedup, secret_scan, url_aliases, word_bpe
 from .common import table
 
 
@@ -20,6 +20,14 @@ def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          f"{m}.n_repeat_words", base, host, kept)
 
 
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, (_, links, component) = multi_index.near_vectors(table(spark, sf_dir, "embeddings"))
+    found = found.select("vec_id", F.col(links).alias("n_links"), F.col(component).alias("component"))
+    names = found.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    return found.join(names, "component").select(
+        "vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op5_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_aliases.judge(table(spark, sf_dir, "pages"))
 
@@ -59,6 +67,7 @@ def catalog() -> dict:
     return {
         "op1_hash_tree": (op1_hash_tree, None),
         "op2_host_quality": (op2_host_quality, sql.OP2),
+        "op3_multi_index": (op3_multi_index, None),
         "op5_url_aliases": (op5_url_aliases, None),
         "op6_secret_scan": (op6_secret_scan, None),
         "op7_word_bpe": (op7_word_bpe, None),
