@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cutting_stock, hash_tree, host_quality, line_spread, multi_index, oph_dedup, secret_scan, url_aliases, word_bpe
+from . import cutting_stock, hash_tree, host_quality, line_spread, multi_index, oph_dedup, page_wrapper, secret_scan, url_aliases, word_bpe
 from .common import table
 
 
@@ -28,6 +28,11 @@ def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op4_page_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, (text, *counts) = page_wrapper.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return d.select("page_id", "url", F.col(text).alias("text"), F.length(text).cast("long").alias("n_chars"), *counts)
+
+
 def op5_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_aliases.judge(table(spark, sf_dir, "pages"))
 
@@ -68,6 +73,7 @@ def catalog() -> dict:
         "op1_hash_tree": (op1_hash_tree, None),
         "op2_host_quality": (op2_host_quality, sql.OP2),
         "op3_multi_index": (op3_multi_index, None),
+        "op4_page_wrapper": (op4_page_wrapper, None),
         "op5_url_aliases": (op5_url_aliases, None),
         "op6_secret_scan": (op6_secret_scan, None),
         "op7_word_bpe": (op7_word_bpe, None),

@@ -32,7 +32,9 @@ from tokenizers import Tokenizer
 from .common import fresh
 
 #: Chunks whose ids a Python worker remembers; beyond it the memory starts anew.
-MEMORY_CHUNKS = 300_000
+MEMORY_CHUNKS = 500_000
+#: Words (chunks in lower case, without punctuation) that a worker remembers, twice over.
+MEMORY_WORDS = 250_000
 #: Pair verdicts that a worker remembers.
 MEMORY_PAIRS = 2_000_000
 #: Characters of text that are split and encoded at once.
@@ -67,6 +69,10 @@ class Codec:
         self.tokens = {i: t for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t for t, i in self.special.items()}
+        self.names = np.full(max(self.tokens) + 1, "", object)
+        for i, t in self.tokens.items():
+            self.names[i] = t
+        self.decimals = np.array([str(i) for i in range(len(self.names))], object)
         self.special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.piece_re = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.library = Tokenizer.from_file(path)
@@ -86,6 +92,8 @@ class Codec:
         self._trie(symbols)
         self.pair_keys, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
         self.ids: dict[str, bytes] = {}
+        self.words: dict[str | int, bytes] = {}
+        self.old: dict[str | int, bytes] = {}
 
     def _trie(self, symbols: dict[int, tuple[int, ...]]) -> None:
         """Edges (state * 512 + symbol) -> state, sorted; the token that ends in each state or -1."""
@@ -187,10 +195,8 @@ class Codec:
             self.pair_keys = all_keys[order]
         return self.pair_ok[np.searchsorted(self.pair_keys, keys)]
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word (UTF-8 bytes of a piece, not empty)."""
-        if not words:
-            return []
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids (little-endian unsigned 32 bit) of each word (UTF-8 bytes of a piece, not empty)."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         end = np.cumsum(sizes)
         sym = np.frombuffer(b"".join(words), np.uint8).astype(np.int64) * 2
@@ -206,13 +212,14 @@ class Codec:
         keys = np.where(lone, (np.int64(-1) << 20) | tokens, left << 20 | tokens)[test]
         bad = np.zeros(len(words), bool)
         bad[word[test][~self._verdicts(keys)]] = True
-        out = [x.tolist() for x in np.split(tokens, np.cumsum(count)[:-1])]
-        base, ends = self.base, end
+        data, stop = tokens.astype("<u4").tobytes(), (4 * np.cumsum(count)).tolist()
+        out = [data[i:j] for i, j in zip([0, *stop], stop, strict=False)]
+        base = self.base[sym].tolist()
         for i in np.flatnonzero(bad).tolist():
-            out[i] = self.merge(base[sym[ends[i] - sizes[i]:ends[i]]].tolist())
+            out[i] = np.array(self.merge(base[end[i] - sizes[i]:end[i]]), "<u4").tobytes()
         return out
 
-    def pieces(self, chunk: str) -> list[bytes]:
+    def pieces(self, chunk: str) -> list[str]:
         """A chunk without white space and special tokens, normalised and cut into words.
 
         Beyond Latin letters, classes and cases differ between Unicode
@@ -220,25 +227,40 @@ class Codec:
         """
         if not _LATIN.fullmatch(chunk):
             s = self.library.normalizer.normalize_str(chunk)
-            return [bytes(map(self.letters.__getitem__, p))
+            return [bytes(map(self.letters.__getitem__, p)).decode()
                     for p, _ in self.library.pre_tokenizer.pre_tokenize_str(s)]
-        return [p.encode() for p in self.piece_re.findall(unicodedata.normalize("NFC", chunk).lower())]
+        return self.piece_re.findall(unicodedata.normalize("NFC", chunk).lower())
 
     def learn(self, chunks: list[str]) -> None:
-        """Encode chunks that are not remembered."""
-        words: dict[bytes, int] = {}
-        plan: list[list[int]] = []  # of each chunk: word numbers, or special ids as -1 - id
+        """Encode chunks that are not remembered; words that are not remembered are encoded together."""
+        if len(self.words) > MEMORY_WORDS:
+            self.old, self.words = self.words, {}
+        words, old = self.words, self.old
+        plan: list[list[str | int]] = []  # of each chunk: its words, or ids of special tokens
+        new: dict[str, None] = {}
         for c in chunks:
-            own = []
-            for i, part in enumerate(self.special_re.split(c) if "<|" in c else [c]):
-                if i % 2:
-                    own.append(-1 - self.special[part])
-                elif part:
-                    own += [words.setdefault(p, len(words)) for p in self.pieces(part)]
+            if "<|" in c:
+                own = []
+                for i, part in enumerate(self.special_re.split(c)):
+                    own += [self.special[part]] if i % 2 else self.pieces(part) if part else []
+            else:
+                own = self.pieces(c)
             plan.append(own)
-        coded = [np.array(x, "<u4").tobytes() for x in self.encode_words(list(words))]
+            for p in own:
+                if p not in words:
+                    if p in old:
+                        words[p] = old[p]
+                    elif isinstance(p, int):
+                        words[p] = np.uint32(p).tobytes()
+                    else:
+                        new[p] = None
+        if new:
+            coded = self.encode_words([p.encode() for p in new])
+            for p, x in zip(new, coded, strict=True):
+                words[p] = x
+        ids = self.ids
         for c, own in zip(chunks, plan, strict=True):
-            self.ids[c] = b"".join(coded[w] if w >= 0 else np.uint32(-1 - w).tobytes() for w in own)
+            ids[c] = words[own[0]] if len(own) == 1 else b"".join([words[p] for p in own])
 
     def coded(self, chunk_lists: list[list[str]]) -> list[list[bytes]]:
         """The ids of every chunk (little-endian unsigned 32 bit); new chunks are learnt together."""
@@ -246,16 +268,21 @@ class Codec:
             self.ids = {}
         get = self.ids.get
         out = [list(map(get, chunks)) for chunks in chunk_lists]
-        missing = [i for i, x in enumerate(out) if None in x]
-        if missing:
-            self.learn(list({c for i in missing for c, x in zip(chunk_lists[i], out[i], strict=True) if x is None}))
-            for i in missing:
-                out[i] = list(map(get, chunk_lists[i]))
+        gaps = [(i, [k for k, x in enumerate(v) if x is None]) for i, v in enumerate(out) if None in v]
+        if gaps:
+            self.learn(list({chunk_lists[i][k] for i, places in gaps for k in places}))
+            for i, places in gaps:
+                for k in places:
+                    out[i][k] = self.ids[chunk_lists[i][k]]
         return out
 
     def decode(self, ids) -> str:
         """The tokens of ``ids`` joined by blanks: the vocabulary names no decoder."""
-        return " ".join([self.tokens[i] for i in ids])
+        return " ".join(self.names[np.asarray(ids, np.int64)].tolist())
+
+    def spell(self, ids) -> str:
+        """``ids`` in decimal, joined by blanks."""
+        return " ".join(self.decimals[np.asarray(ids, np.int64)].tolist())
 
 
 _CODECS: dict[str, Codec] = {}
@@ -302,17 +329,6 @@ def steps(texts: list[str]):
         yield part
 
 
-def spell(bpe: Codec, coded: list[bytes], shown: dict[bytes, tuple[str, str]]) -> tuple[str, str]:
-    """The ids of a text in decimal, and the text decoded from them; ``shown`` remembers chunks' ids."""
-    if len(shown) > MEMORY_CHUNKS:
-        shown.clear()
-    for x in set(coded).difference(shown):
-        own = np.frombuffer(x, "<u4").tolist()
-        shown[x] = (" ".join(map(str, own)), bpe.decode(own))
-    pairs = [shown[x] for x in coded]
-    return " ".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs])
-
-
 def encode(docs: DataFrame, text: str = "text", vocabulary: str | None = None, keep: list[str] | None = None,
            ids: bool = True) -> DataFrame:
     """Encode and decode every whole text.
@@ -335,7 +351,6 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str | None = None, k
 
     def run(batches):
         bpe = codec(path)
-        shown: dict[bytes, tuple[str, str]] = {}  # ids of a chunk -> as text, decoded
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             counts = [0] * len(texts)
@@ -345,18 +360,20 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str | None = None, k
                 for (i, _), coded in zip(part, bpe.coded([c for _, c in part]), strict=True):
                     if not coded:
                         continue
-                    id_text, token_text = spell(bpe, coded, shown)
+                    own = np.frombuffer(b"".join(coded), "<u4")
+                    spelt = (bpe.spell(own), bpe.decode(own))
                     gap = " " if counts[i] else ""
-                    counts[i] += id_text.count(" ") + 1
-                    for digest, s in zip(sums[i], (id_text, token_text), strict=True):
+                    counts[i] += len(own)
+                    for digest, s in zip(sums[i], spelt, strict=True):
                         digest.update((gap + s).encode())
                     if whole:
-                        whole[i][0].append(id_text)
-                        whole[i][1].append(token_text)
+                        whole[i][0].append(own)
+                        whole[i][1].append(spelt[1])
             out = [*batch.columns[:-1], pa.array(counts, pa.int64()),
                    *[pa.array([s[k].hexdigest() for s in sums], pa.string()) for k in (0, 1)]]
             if whole:
-                out.append(pa.array([[int(y) for x in w[0] for y in x.split()] for w in whole], pa.list_(pa.int32())))
+                out.append(pa.array([np.concatenate([*w[0], np.zeros(0, "<u4")]).astype(np.int32) for w in whole],
+                                    pa.list_(pa.int32())))
                 out.append(pa.array([" ".join(w[1]) for w in whole], pa.string()))
             yield pa.RecordBatch.from_arrays(out, names=[*keep, *names])
 
