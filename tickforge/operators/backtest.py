@@ -29,11 +29,14 @@ TRADING_DAYS = 252
 
 def action_ledger(actions: DataFrame, *, sym: str = SYM, ts: str = TS, key=None,
                   balance: float = INITIAL_BALANCE, fee: float = FEE) -> DataFrame:
-    """Replay (action_type 0 = buy, 1 = sell, other = hold; amount in [0,1])
-    at each bar's price: buy floor(balance / price) * amount shares at
-    price * (1 + fee), sell shares * amount at price * (1 - fee). Adds
-    balance, shares, equity (shares * price + balance), reward (equity minus
-    the initial balance) and a flag for a balance driven below zero by fees."""
+    """Replay an action table per symbol (action_type 0 = buy, 1 = sell, other
+    = hold; amount in [0,1]). An action trades at its own bar's price: buy
+    floor(balance / price) * amount shares at price * (1 + fee), sell shares *
+    amount at price * (1 - fee). Then the replay steps to the next bar, where
+    the position is valued: equity = shares * next price + balance, reward =
+    equity minus the initial balance. The last bar has no step, so its action
+    is not taken and its position is valued at its own price. Also flags a
+    balance driven below zero by fees."""
     keys = [sym] + list(key or [])
     out_schema = T.StructType(actions.schema.fields + [
         T.StructField("balance", T.DoubleType()), T.StructField("shares", T.DoubleType()),
@@ -42,14 +45,24 @@ def action_ledger(actions: DataFrame, *, sym: str = SYM, ts: str = TS, key=None,
     cols = actions.columns
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bal, sh, last_ts = balance, 0.0, None
+        bal, sh, last_ts, held = balance, 0.0, None, None
+
+        def result(pdf, balances, shares, equity):
+            eq = pd.Series(equity, dtype="float64").to_numpy()
+            return pdf.assign(balance=balances, shares=shares, equity=eq, reward=eq - balance,
+                              negative_balance=[x < 0 for x in balances])
+
         for pdf in batches:
             last_ts = _check_order(last_ts, pdf[ts])
+            if held is not None:  # the row that waited for its next bar
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            pdf = pdf[cols]
+            held = pdf.iloc[-1:] if len(pdf) else None
             kinds = pdf["action_type"].to_numpy().tolist()
             amts = pdf["amount"].to_numpy(dtype="float64").tolist()
             prices = pdf["price"].to_numpy(dtype="float64").tolist()
             b_out, s_out, e_out = [], [], []
-            for k, a, p in zip(kinds, amts, prices):
+            for k, a, p, later in zip(kinds, amts, prices, prices[1:]):
                 if k == 0 and p > 0:
                     n = math.floor(bal / p) * a
                     bal -= n * p * (1 + fee)
@@ -60,11 +73,10 @@ def action_ledger(actions: DataFrame, *, sym: str = SYM, ts: str = TS, key=None,
                     sh -= n
                 b_out.append(bal)
                 s_out.append(sh)
-                e_out.append(sh * p + bal)
-            eq = pd.Series(e_out, dtype="float64")
-            yield pdf[cols].assign(balance=b_out, shares=s_out, equity=eq.to_numpy(),
-                                   reward=(eq - balance).to_numpy(),
-                                   negative_balance=[x < 0 for x in b_out])
+                e_out.append(sh * later + bal)
+            yield result(pdf.iloc[:-1], b_out, s_out, e_out)
+        if held is not None:
+            yield result(held, [bal], [sh], [sh * float(held["price"].iloc[0]) + bal])
 
     grouped = actions.repartition(*keys).sortWithinPartitions(*keys, ts)
     return grouped.groupBy(*keys).applyInPandas(fold, out_schema)

@@ -36,61 +36,67 @@ def _check_order(prev_ts, ts_values):
     return arr[-1]
 
 
+class StopAndReverse:
+    """The state of a parabolic stop: one step for both sides.
+
+    Everything is kept in the direction of the trade: with side +1 (long) or
+    -1 (short) a price x counts as side * x, so "better" is always larger.
+
+    ``textbook`` is Wilder's rule: the acceleration grows on every new extreme
+    and a reversal starts a new extreme. The default keeps the older series'
+    rule, whose results users compare with: both sides keep their extremes for
+    good, and as the running extreme is raised before the test, acceleration
+    grows only on the bar of a reversal.
+    """
+
+    def __init__(self, step: float, limit: float, textbook: bool):
+        self.step, self.limit, self.textbook = step, limit, textbook
+        self.stop = None
+
+    def begin(self, high: float, low: float, close: float) -> float:
+        self.side, self.speed, self.stop = 1, self.step, close
+        self.best = {1: high, -1: -low}
+        self.last = (high, low)
+        return close
+
+    def advance(self, high: float, low: float) -> float:
+        favourable, adverse = {1: high, -1: -low}, {1: low, -1: -high}
+        side, best = self.side, self.best[self.side]
+        level = side * self.stop
+        level += self.speed * (best - level)
+        self.best[side] = max(best, favourable[side])
+        if self.textbook and favourable[side] > best:
+            self.speed = min(self.speed + self.step, self.limit)
+        if adverse[side] < level:  # the stop is hit: reverse at the extreme
+            level, self.side, self.speed = -best, -side, self.step
+            side = self.side
+            if self.textbook:
+                self.best[side] = favourable[side]
+        guard = self.last[1] if side > 0 else -self.last[0]
+        level = min(level, guard)
+        if not self.textbook and favourable[side] > self.best[side]:
+            self.speed = min(self.speed + self.step, self.limit)
+        self.stop, self.last = side * level, (high, low)
+        return self.stop
+
+
 def psar(bars: DataFrame, sym: str = SYM, ts: str = TS, step: float = 0.02,
-         max_step: float = 0.2) -> DataFrame:
-    """Parabolic SAR exactly as the reference loop computes it: seeded with
-    the first close/high/low, bullish, af = step; the extreme of the side held
-    at the start of a row is updated before the flip test, so af grows only on
-    flip rows and extremes are never reset."""
+         max_step: float = 0.2, textbook: bool = False) -> DataFrame:
+    """Parabolic SAR per symbol, starting long at the first close (see StopAndReverse)."""
     if not (0 < step <= max_step):
         raise ValueError("need 0 < step <= max_step")
-    for col in ("high", "low", "close"):
-        if col not in bars.columns:
-            raise ValueError("DataFrame must contain 'high', 'low', and 'close' columns")
+    missing = [c for c in ("high", "low", "close") if c not in bars.columns]
+    if missing:
+        raise ValueError(f"psar needs the columns {missing}")
     out_schema = T.StructType(bars.schema.fields + [T.StructField("PSAR", T.DoubleType())])
     cols = bars.columns
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = None  # (psar, ep_high, ep_low, bullish, af, prev_high, prev_low)
-        last_ts = None
+        state, last_ts = StopAndReverse(step, max_step, textbook), None
         for pdf in batches:
             last_ts = _check_order(last_ts, pdf[ts])
-            high = pdf["high"].to_numpy(dtype="float64").tolist()
-            low = pdf["low"].to_numpy(dtype="float64").tolist()
-            close = pdf["close"].to_numpy(dtype="float64").tolist()
-            out = [0.0] * len(high)
-            start = 0
-            if state is None and high:
-                state = (close[0], high[0], low[0], True, step, high[0], low[0])
-                out[0] = close[0]
-                start = 1
-            if state is None:
-                continue
-            p, eh, el, bull, af, ph, pl = state
-            for i in range(start, len(high)):
-                prior = p
-                if bull:
-                    p = prior + af * (eh - prior)
-                    prior_eh = eh
-                    eh = max(eh, high[i])
-                    if low[i] < p:
-                        bull = False
-                        p = prior_eh
-                        af = step
-                else:
-                    p = prior + af * (el - prior)
-                    prior_el = el
-                    el = min(el, low[i])
-                    if high[i] > p:
-                        bull = True
-                        p = prior_el
-                        af = step
-                p = min(p, pl) if bull else max(p, ph)
-                if (bull and high[i] > eh) or ((not bull) and low[i] < el):
-                    af = min(af + step, max_step)
-                out[i] = p
-                ph, pl = high[i], low[i]
-            state = (p, eh, el, bull, af, ph, pl)
-            yield pdf[cols].assign(PSAR=out)
+            rows = zip(*(pdf[x].to_numpy(dtype="float64").tolist() for x in ("high", "low", "close")))
+            yield pdf[cols].assign(PSAR=[
+                state.begin(h, lo, cl) if state.stop is None else state.advance(h, lo) for h, lo, cl in rows])
 
     return ordered_groups(bars, sym, ts).groupBy(sym).applyInPandas(fold, out_schema)

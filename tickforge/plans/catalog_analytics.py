@@ -352,7 +352,7 @@ def q_walk_forward(spark, sf_dir):
         den = ex["n"] * ex["sxx"] - ex["sx"] * ex["sx"]
         b = F.when(ex["n"] >= 2, F.try_divide(ex["n"] * ex["sxy"] - ex["sx"] * ex["sy"], den))
         a = (ex["sy"] - b * ex["sx"]) / ex["n"]
-        carries["__post__"] = [("predicted", F.col("_pc") + a + b * F.col("_d"), [])]
+        carries["__post__"] = [("predicted", F.col("_pc") + a + b * F.col("_d1"), [])]
         return df
 
     out = run_series(line_bars(spark, sf_dir), build, halo=2)
@@ -367,8 +367,8 @@ c AS (SELECT *, lag(d) OVER ({P}) AS d1 FROM b),
 r AS (SELECT *, regr_slope(d, d1) OVER ({P} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sb,
              regr_intercept(d, d1) OVER ({P} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sa
       FROM c)
-SELECT symbol, ts, {rnd('close', 2)} AS actual, {rnd('pc + sa + sb * d', 2)} AS predicted
-FROM r WHERE pc + sa + sb * d IS NOT NULL"""
+SELECT symbol, ts, {rnd('close', 2)} AS actual, {rnd('pc + sa + sb * d1', 2)} AS predicted
+FROM r WHERE pc + sa + sb * d1 IS NOT NULL"""
 
 
 def q_stationarity(spark, sf_dir):
@@ -410,17 +410,20 @@ def q_reward(spark, sf_dir):
 
 
 def _sql_ledger_cte():
-    act = (f"SELECT symbol, ts, row_number() OVER ({P}) AS rn, close AS price, CASE WHEN close - "
+    # an action trades at its own bar's price and is valued at the next bar; the last bar has no step
+    act = (f"SELECT *, CASE WHEN rn = max(rn) OVER (PARTITION BY symbol) THEN 2 ELSE action_type END AS act, "
+           f"coalesce(lead(price) OVER ({P}), price) AS next_price FROM ("
+           f"SELECT symbol, ts, row_number() OVER ({P}) AS rn, close AS price, CASE WHEN close - "
            f"lag(close) OVER ({P}) > 0 THEN 0 WHEN close - lag(close) OVER ({P}) < 0 THEN 1 ELSE 2 "
-           f"END AS action_type FROM {LB} q")
-    bal = ("CASE WHEN b.action_type = 0 AND b.price > 0 THEN p.bal - floor(p.bal / b.price) * 0.5 * "
-           "b.price * 1.001 WHEN b.action_type = 1 THEN p.bal + p.sh * 0.5 * b.price * 0.999 "
+           f"END AS action_type FROM {LB} q) t")
+    bal = ("CASE WHEN b.act = 0 AND b.price > 0 THEN p.bal - floor(p.bal / b.price) * 0.5 * "
+           "b.price * 1.001 WHEN b.act = 1 THEN p.bal + p.sh * 0.5 * b.price * 0.999 "
            "ELSE p.bal END")
-    sh = ("CASE WHEN b.action_type = 0 AND b.price > 0 THEN p.sh + floor(p.bal / b.price) * 0.5 "
-          "WHEN b.action_type = 1 THEN p.sh - p.sh * 0.5 ELSE p.sh END")
-    init_bal = ("CASE WHEN action_type = 0 AND price > 0 THEN 10000.0 - floor(10000.0 / price) * "
+    sh = ("CASE WHEN b.act = 0 AND b.price > 0 THEN p.sh + floor(p.bal / b.price) * 0.5 "
+          "WHEN b.act = 1 THEN p.sh - p.sh * 0.5 ELSE p.sh END")
+    init_bal = ("CASE WHEN act = 0 AND price > 0 THEN 10000.0 - floor(10000.0 / price) * "
                 "0.5 * price * 1.001 ELSE 10000.0 END")
-    init_sh = "CASE WHEN action_type = 0 AND price > 0 THEN floor(10000.0 / price) * 0.5 ELSE 0.0 END"
+    init_sh = "CASE WHEN act = 0 AND price > 0 THEN floor(10000.0 / price) * 0.5 ELSE 0.0 END"
     rec = _recursive("l", "a", {"bal": f"CAST({init_bal} AS DOUBLE)", "sh": f"CAST({init_sh} AS DOUBLE)"},
                      {"bal": bal, "sh": sh})
     return f"WITH RECURSIVE a AS MATERIALIZED ({act}),\n{rec}"
@@ -429,13 +432,13 @@ def _sql_ledger_cte():
 def sql_ledger():
     return (_sql_ledger_cte() + f"""
 SELECT a.symbol, a.ts, a.action_type, l.bal < 0 AS negative_balance, {rnd('l.bal', 4)} AS balance,
-       {rnd('l.sh', 4)} AS shares, {rnd('l.sh * a.price + l.bal', 4)} AS equity
+       {rnd('l.sh', 4)} AS shares, {rnd('l.sh * a.next_price + l.bal', 4)} AS equity
 FROM l JOIN a USING (symbol, rn)""")
 
 
 def sql_reward():
     return (_sql_ledger_cte() + f"""
-SELECT a.symbol, a.ts, {rnd('l.sh * a.price + l.bal - 10000.0', 4)} AS reward
+SELECT a.symbol, a.ts, {rnd('l.sh * a.next_price + l.bal - 10000.0', 4)} AS reward
 FROM l JOIN a USING (symbol, rn)""")
 
 
@@ -555,15 +558,15 @@ SELECT symbol, month, {rnd('least(greatest(0.2 * coalesce(v, 0.1), 0.1), 0.3)')}
 def q_risk_optimize(spark, sf_dir):
     idx = FE.with_row_index(line_bars(spark, sf_dir))
     g = idx.groupBy("symbol").agg(
-        (F.regr_slope("close", F.col("rn") - 1) / F.avg("close") * 252).alias("trend"))
-    out = BT.risk_parameters(g.withColumn("volatility", F.abs("trend")))
+        F.regr_slope("close", F.col("rn") - 1).alias("trend"))
+    out = BT.risk_parameters(g.withColumn("volatility", F.col("trend")))
     return _r(out, ["symbol"], ["max_drawdown", "stop_loss", "take_profit"])
 
 
 SQL_RISK_OPT = f"""
 WITH b AS (SELECT symbol, close, row_number() OVER ({P}) - 1 AS x FROM {LB} q),
-g AS (SELECT symbol, regr_slope(close, x) / avg(close) * 252 AS t FROM b GROUP BY symbol)
-SELECT symbol, {rnd('least(greatest(0.2 * coalesce(abs(t), 0.1), 0.1), 0.3)')} AS max_drawdown,
+g AS (SELECT symbol, regr_slope(close, x) AS t FROM b GROUP BY symbol)
+SELECT symbol, {rnd('least(greatest(0.2 * coalesce(t, 0.1), 0.1), 0.3)')} AS max_drawdown,
        {rnd('least(greatest(0.05 * coalesce(t, 0.1), 0.02), 0.1)')} AS stop_loss,
        {rnd('least(greatest(0.1 * coalesce(t, 0.1), 0.05), 0.2)')} AS take_profit FROM g"""
 

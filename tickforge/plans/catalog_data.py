@@ -76,8 +76,10 @@ def q_sink_predictions(spark, sf_dir):
     IO.sink_predictions(spark, preds, root, "baseline", "run1", "parquet", True)
     back = spark.read.parquet(f"{root}/predictions")
     summary = spark.read.parquet(f"{root}/run_summary")
-    # the run summary holds one row per write of this run (a single row here)
-    return (back.join(F.broadcast(summary.select("model", "n_rows")), "model")
+    run = summary.where((F.col("model") == "baseline") & (F.col("run_ts") == "run1"))
+    run = run.select("model", "run_ts", "n_rows")
+    back = back.withColumn("run_ts", F.col("run_ts").cast("string"))
+    return (back.join(run, ["model", "run_ts"])
             .select("symbol", "ts", spark_round("prediction").alias("prediction"), "model",
                     F.col("run_ts").cast("string").alias("run_ts"), "n_rows"))
 
@@ -474,7 +476,7 @@ SQL_BATCH_FILES = (f"SELECT l_returnflag AS file, count(*) AS rows, {rnd('sum(l_
 def q_bulk_write(spark, sf_dir):
     path = scratch_path(spark, "bulk")
     li = read_table(spark, sf_dir, "lineitem")
-    li.repartition(8).write.mode("errorifexists").parquet(path)
+    li.write.mode("errorifexists").parquet(path)
     back = spark.read.parquet(path)
     return back.agg(F.count(F.lit(1)).alias("rows"),
                     spark_round(F.sum("l_extendedprice"), 2).alias("total"))
@@ -531,14 +533,15 @@ SQL_JOIN_POSITIONAL = (f"SELECT symbol, ts, {rnd('open')} AS open, {rnd('high')}
 
 def q_union_append(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders")
-    existing = o.where(F.col("o_orderstatus") == "F").select("o_orderkey", "o_totalprice",
-                                                            "o_orderpriority")
-    new = o.where(F.col("o_orderstatus") == "O").select("o_orderkey", "o_totalprice")
+    filled = F.col("o_orderstatus").eqNullSafe("F")
+    existing = o.where(filled).select("o_orderkey", "o_totalprice", "o_orderpriority")
+    new = o.where(~filled).select("o_orderkey", "o_totalprice")
     return existing.unionByName(new, allowMissingColumns=True)
 
 
 SQL_UNION = ("SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderstatus = 'F' "
-             "UNION ALL SELECT o_orderkey, o_totalprice, NULL FROM orders WHERE o_orderstatus = 'O'")
+             "UNION ALL SELECT o_orderkey, o_totalprice, NULL FROM orders "
+             "WHERE o_orderstatus IS DISTINCT FROM 'F'")
 
 
 def q_sort_by_time(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 Every job reads its lineage-cut folder from ``spark.checkpoint.dir`` as the
 cluster names it; a scratch folder is only chosen when the session has none
-(local tests).
+and runs in one process (local tests); on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -51,7 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
-        # Unset: only happens in local tests; a cluster always names a shared folder.
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="tickforge-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

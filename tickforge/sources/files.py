@@ -83,19 +83,19 @@ def sink_csv(df: DataFrame, path: str, mode: str = "errorifexists",
 
 def next_version(spark: SparkSession, root: str, zone: str, symbol_col: str = SYM) -> int:
     """Next version number of a zone = max(existing version) + 1."""
-    zpath = os.path.join(root, f"zone={zone}")
-    try:
-        existing = spark.read.parquet(zpath).agg(F.max("version")).first()[0]
-    except Exception:  # noqa: BLE001 - no such zone yet
-        existing = None
-    return int(existing or 0) + 1
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(os.path.join(root, f"zone={zone}", f"{symbol_col}=*", "version=*"))
+    files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.globStatus(pattern) or []]  # none if there is no zone yet
+    return max([int(n.partition("=")[2]) for n in names], default=0) + 1
 
 
 def sink_versioned(spark: SparkSession, df: DataFrame, root: str, processed: bool = False,
                    overwrite: bool = False, versioning: bool = True) -> int:
     """Raw/processed zones, ``zone=/symbol=/version=`` partitions. With
     versioning every write is a new version (older ones stay as the archive);
-    without it the write replaces the zone or is skipped unless overwrite."""
+    without it the write replaces the partitions of its own symbols, or is
+    skipped unless overwrite."""
     zone = "processed" if processed else "raw"
     target = os.path.join(root, f"zone={zone}")
     if versioning:
@@ -105,7 +105,7 @@ def sink_versioned(spark: SparkSession, df: DataFrame, root: str, processed: boo
         version = 1
         mode = "overwrite" if overwrite else "ignore"
     (df.withColumn("version", F.lit(version))
-     .write.mode(mode).partitionBy(SYM, "version").parquet(target))
+     .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(SYM, "version").parquet(target))
     return version
 
 
