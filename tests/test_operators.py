@@ -133,3 +133,32 @@ def test_exemplar_strategies_complete(spark):
                    "feature_extreme"}
     n_sym = out.select("symbol").distinct().count()
     assert out.count() == 8 * n_sym
+
+
+def _ramp(spark, closes, symbol="A"):
+    rows = [(symbol, dt.datetime(2024, 1, 1) + dt.timedelta(days=i), float(c), float(c) + 1, float(c) - 1, float(c), 10)
+            for i, c in enumerate(closes)]
+    return spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, open double, high double, low double, "
+                                       "close double, volume bigint")
+
+
+def test_ledger_values_the_position_at_the_next_bar(spark):
+    from tickforge.operators.backtest import action_ledger
+    bars = _ramp(spark, [100, 101, 102])
+    acts = bars.selectExpr("symbol", "ts", "case when close = 100 then 0 else 1 end as action_type",
+                           "0.5D as amount", "close as price")
+    got = [(r.balance, r.shares, r.equity) for r in action_ledger(acts).orderBy("ts").collect()]
+    bought = 10000 - 50 * 100 * 1.001
+    sold = bought + 25 * 101 * 0.999
+    want = [(bought, 50, bought + 50 * 101), (sold, 25, sold + 25 * 102), (sold, 25, sold + 25 * 102)]
+    assert [x for r in got for x in r] == pytest.approx([x for r in want for x in r])
+
+
+def test_psar_of_a_rise_and_a_fall(spark):
+    from tickforge.operators.fold import StopAndReverse
+    for textbook in (False, True):
+        s = StopAndReverse(0.02, 0.2, textbook)
+        out = [s.begin(11, 9, 10)] + [s.advance(p + 1, p - 1) for p in (13, 15, 17, 5, 4)]
+        assert out[1] == 9  # never above the low of the bar before
+        assert s.side == -1 and out[4] == 18  # reversed at the highest high
+    assert s.speed > 0.02  # the textbook rule speeds up on each new low

@@ -1,79 +1,58 @@
-"""Exact quantiles (linear interpolation, like ``quantile_cont``) at any size.
-
-``percentile`` keeps every value of a group in one aggregate buffer; that is
-fine while the largest group is small and is used then. Above
-``BUFFER_LIMIT`` rows the quantiles come from an order-statistics plan:
-
-1. the values are range-partitioned by (group, value) -- Spark samples the
-   keys, so a hot group is split over many partitions -- and sorted inside
-   each partition;
-2. a position inside the partition (``monotonically_increasing_id`` after
-   the local sort) and a small per-(partition, group) count table give every
-   row its exact rank inside its group;
-3. only the rows at the wanted ranks (two per probability) survive a join
-   with a tiny target table; the interpolation is one aggregate.
-
-No group is gathered in one task and nothing passes through the driver but
-the row count of the small tables.
+"""Exact quantiles (linear interpolation, like ``quantile_cont``), one way at every size.
+
+1. Equal values of a group become one row with a count (a partial aggregate,
+   so a value that half of the rows hold is one row).
+2. These rows are range-partitioned by (group, value): Spark samples the keys,
+   so a hot group is split over many partitions. The result is written once,
+   which fixes the partitions.
+3. A running sum inside each partition and a table with one row for each
+   (partition, group) give every row the ranks that its value covers.
+4. One aggregate picks the two values around each wanted rank.
+
+No group is gathered in one task and nothing passes through the driver. A null
+group is a group of its own; null values do not count.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.layout import maybe_broadcast
+from ..session import ensure_checkpoint_dir
 
-BUFFER_LIMIT = 5_000_000
 
-
-def quantiles(df: DataFrame, column: str, probs, by=(), names=None,
-              buffer_limit: int = BUFFER_LIMIT) -> DataFrame:
+def quantiles(df: DataFrame, column: str, probs, by=(), names=None) -> DataFrame:
     """One row per group (or one row) with a column per probability."""
     by = list(by)
     names = list(names or [f"q{int(round(p * 100)):02d}" for p in probs])
-    x = F.col(column)
-    vals = df.select(*by, x.cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    sizes = vals.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")) if by else \
-        vals.agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
-    if largest <= buffer_limit:
-        agg = F.percentile(F.col("_x"), list(probs)).alias("_q")
-        out = vals.groupBy(*by).agg(agg) if by else vals.agg(agg)
-        return out.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    return _order_statistics(vals, sizes, probs, by, names)
-
-
-def _order_statistics(vals, sizes, probs, by, names):
-    n_parts = max(vals.rdd.getNumPartitions(), 1)
-    ranged = (vals.repartitionByRange(n_parts, *by, "_x")
-              .sortWithinPartitions(*by, "_x")
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_pos", F.monotonically_increasing_id()))
-    chunks = ranged.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_c"),
-                                             F.min("_pos").alias("_p0"))
-    w = Window.partitionBy(*by).orderBy("_pid") if by else Window.orderBy("_pid")
-    chunks = chunks.withColumn("_start", F.coalesce(
-        F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # wanted 0-based ranks: floor(h) and ceil(h) with h = (n - 1) p
-    wants = sizes.select(*by, "_n", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("k"), ((F.col("_n") - 1) * F.lit(float(p))).alias("h"))
-        for i, p in enumerate(probs)])).alias("t"))
-    wants = wants.select(*by, "t.k", "t.h", F.explode(F.array(
-        F.floor("t.h").cast("bigint"), F.ceil("t.h").cast("bigint"))).alias("_rank")
-    ).dropDuplicates([*by, "k", "_rank"])
-    # size bounds known without running the sort: ranges are contiguous, so
-    # (partition, group) pairs <= partitions + groups; 2 ranks per probability
-    n_groups = sizes.count() if by else 1
-    small = chunks.select("_pid", *by, "_p0", "_start")
-    ranked = (ranged.join(maybe_broadcast(small, n_parts + n_groups), ["_pid", *by])
-              .withColumn("_rank", F.col("_start") + F.col("_pos") - F.col("_p0")))
-    hits = ranked.join(maybe_broadcast(wants, 2 * len(probs) * n_groups), [*by, "_rank"])
-    lo = F.min_by("_x", "_rank")
-    hi = F.max_by("_x", "_rank")
-    per = hits.groupBy(*by, "k").agg(lo.alias("_lo"), hi.alias("_hi"), F.first("h").alias("h"))
-    per = per.withColumn("v", F.col("_lo") + (F.col("_hi") - F.col("_lo"))
-                         * (F.col("h") - F.floor("h")))
-    pivot = per.groupBy(*by).pivot("k", list(range(len(probs)))).agg(F.first("v")) if by else \
-        per.groupBy().pivot("k", list(range(len(probs)))).agg(F.first("v"))
-    return pivot.select(*by, *[F.col(str(i)).alias(n) for i, n in enumerate(names)])
+    ensure_checkpoint_dir(df.sparkSession)
+    counts = (df.select(*by, F.col(column).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+              .groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c")))
+    ranged = (counts.repartitionByRange(*by, "_x").withColumn("_pid", F.spark_partition_id())
+              .checkpoint(eager=True))
+    inside = Window.partitionBy("_pid", *by).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ranged = ranged.withColumn("_upto", F.sum("_c").over(inside))
+    group = Window.partitionBy(*by)
+    chunks = ranged.groupBy("_pid", *by).agg(F.sum("_c").alias("_s"))  # a row per partition and group
+    chunks = chunks.select(
+        "_pid", *by, F.sum("_s").over(group).alias("_n"),
+        (F.sum("_s").over(group.orderBy("_pid")) - F.col("_s")).alias("_before"))
+    chunks = chunks.select("_n", "_before", *[F.col(c).alias(f"_k_{c}") for c in ["_pid", *by]])
+    same = reduce(lambda a, b: a & b, [ranged[c].eqNullSafe(chunks[f"_k_{c}"]) for c in ["_pid", *by]])
+    ranked = ranged.join(chunks, same)
+    end = F.col("_before") + F.col("_upto")
+
+    def at(rank):
+        return F.max(F.when((rank < end) & (rank >= end - F.col("_c")), F.col("_x")))
+
+    picks = []
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        picks += [at(F.floor(h)).alias(f"_lo{i}"), at(F.ceil(h)).alias(f"_hi{i}"),
+                  F.max(h - F.floor(h)).alias(f"_part{i}")]
+    out = ranked.groupBy(*by).agg(*picks)
+    return out.select(*by, *[
+        (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_part{i}")).alias(n)
+        for i, n in enumerate(names)])

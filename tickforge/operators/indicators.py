@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from ..functions.kernels import (apply_recurrences, c, ema_lookback, ema_spec, lag, lead,
                                  local_cumsum, rolling_max, rolling_mean, rolling_min,
                                  rolling_std, rolling_sum, wilder_lookback, wilder_spec)
-from ..plans.layout import (LAYOUT_COLS, ORD, OWN, RN, add_carry, largest_series, lay_out,
-                            series_window)
+from ..plans.layout import (BLK, LAYOUT_COLS, ORD, OWN, RN, add_carry, largest_series, lay_out,
+                            own_only, series_window)
 from ..schema import SYM, TS, require_columns, require_window
 
 HLC = ("high", "low", "close")
@@ -398,16 +398,18 @@ def vwap(df, carries, sym=SYM, price_type="typical", adjust_for_splits=False, an
         require_columns(df, ["split_coefficient"], "vwap")
         vol = F.try_divide(vol, F.col("split_coefficient"))
     if anchor == "day":
-        day = Window.partitionBy(sym, F.to_date(ORD)).orderBy(ORD).rowsBetween(
+        day = Window.partitionBy(sym, BLK, F.to_date(ORD)).orderBy(ORD).rowsBetween(
             Window.unboundedPreceding, 0)
-        return df.withColumn("VWAP", F.try_divide(F.sum(px * vol).over(day),
-                                                  F.sum(vol).over(day)))
-    if anchor != "symbol":
+        df = (df.withColumn("_pv_l", F.sum(own_only(px * vol)).over(day))
+              .withColumn("_v_l", F.sum(own_only(vol)).over(day)))
+    elif anchor == "symbol":
+        df = (df.withColumn("_pv_l", local_cumsum(px * vol, sym))
+              .withColumn("_v_l", local_cumsum(vol, sym)))
+    else:
         raise ValueError(f"unknown vwap anchor {anchor!r}")
-    df = (df.withColumn("_pv_l", local_cumsum(px * vol, sym))
-          .withColumn("_v_l", local_cumsum(vol, sym)))
-    carries["_pv"] = ("_pv_l", "sum")
-    carries["_v"] = ("_v_l", "sum")
+    kind = "sum" if anchor == "symbol" else "day_sum"
+    carries["_pv"] = ("_pv_l", kind)
+    carries["_v"] = ("_v_l", kind)
     carries.setdefault("__post__", []).append(
         ("VWAP", F.try_divide(F.col("_pv"), F.col("_v")), ["_pv", "_v"]))
     return df
@@ -593,7 +595,8 @@ def with_indicators(bars: DataFrame, names=None, *, sym: str = SYM, ts: str = TS
     if "ichimoku" in names:
         df = ichimoku_lagging_span(df, laid.df, laid.blocked, sym,
                                    params.get("ichimoku", {}).get("windows", (9, 26, 52)))
-    drop += [col for col in df.columns if col.startswith("_") and col not in LAYOUT_COLS]
+    drop += [col for col in df.columns
+             if col.startswith("_") and col not in LAYOUT_COLS and col not in bars.columns]
     df = df.drop(*drop)
     if not keep_layout:
         df = df.drop(*LAYOUT_COLS)

@@ -21,7 +21,8 @@ def run_series(bars: DataFrame, build, *, halo: int, sym: str = SYM, ts: str = T
     df = add_carry(laid.with_df(df), carries) if carries else df.where(F.col(OWN))
     for out, expr, _tmp in post:
         df = df.withColumn(out, expr)
-    drop = [c for c in df.columns if c.startswith("_") and c not in LAYOUT_COLS]
+    drop = [c for c in df.columns
+            if c.startswith("_") and c not in LAYOUT_COLS and c not in bars.columns]
     df = df.drop(*drop)
     return df if keep_layout else df.drop(*LAYOUT_COLS)
 

@@ -123,12 +123,15 @@ def lay_out(df: DataFrame, sym: str = SYM, ts: str = TS, *, halo: int = 0,
     """Attach ``_blk``, ``_rn`` and ``_own`` to a bar-like table.
 
     ``halo`` is the longest look-back (in rows) any later window needs.
+    Rows with a null symbol or order key belong to no series and are left out.
     ``blocked=False`` gives the plain layout (one block per symbol); it is
     also chosen automatically when no symbol has more than ``block_rows``
     rows, since one block per symbol is then already bounded. The blocked
     path is tested against it with small ``block_rows``.
     """
     halo = max(int(halo), 0)
+    # a row without symbol or order key has no place in a series (at any size)
+    df = df.where(F.col(sym).isNotNull() & F.col(ts).isNotNull())
     if not blocked:
         out = df.withColumns({BLK: F.lit(0).cast("bigint"), OWN: F.lit(True), ORD: F.col(ts)})
         return Laid(_number(out, sym), sym, ts, halo, False, None)
@@ -222,13 +225,20 @@ def add_carry(laid: Laid, specs: dict[str, tuple[str, str]]) -> DataFrame:
 
     ``specs`` maps an output column to ``(local_column, kind)`` where kind is
     ``sum`` / ``max`` / ``min`` / ``last`` (last non-null) / ``next`` (first
-    non-null at or after the row, i.e. a backward fill). The local column
-    must be cumulative over the block's own rows only. Output keeps own rows.
+    non-null at or after the row, i.e. a backward fill) / ``day_sum`` (a
+    sum that starts anew each calendar day). The local column must be cumulative
+    over the block's own rows only. Output keeps own rows.
     """
     df = laid.df.where(F.col(OWN))
     if not laid.blocked:
         return df.withColumns({out: F.col(loc) for out, (loc, _) in specs.items()})
     sym = laid.sym
+    days = {out: loc for out, (loc, kind) in specs.items() if kind == "day_sum"}
+    if days:
+        df = _day_carry(df, sym, days)
+        specs = {out: v for out, v in specs.items() if out not in days}
+        if not specs:
+            return df
     # block summaries: the local value on the block's last own row
     # ("next" = first non-null in later blocks: the local value on the first row)
     aggs = [(F.min_by if kind == "next" else F.max_by)(F.col(loc), F.col(RN)).alias(f"_e_{i}")
@@ -270,6 +280,19 @@ def add_carry(laid: Laid, specs: dict[str, tuple[str, str]]) -> DataFrame:
     return out.drop(*[f"_c_{i}" for i in range(len(specs))])
 
 
+def _day_carry(df: DataFrame, sym: str, days: dict[str, str]) -> DataFrame:
+    """Add what a day's earlier blocks have summed: a row per (symbol, day, block) is joined back."""
+    day = F.to_date(ORD)
+    ends = df.groupBy(sym, BLK, day.alias("_day")).agg(
+        *[F.max_by(loc, RN).alias(f"_e_{out}") for out, loc in days.items()])
+    before = (Window.partitionBy(sym, "_day").orderBy(BLK)
+              .rowsBetween(Window.unboundedPreceding, -1))
+    carry = ends.select(sym, BLK, "_day", *[F.sum(f"_e_{out}").over(before).alias(f"_c_{out}") for out in days])
+    df = df.withColumn("_day", day).join(carry, [sym, BLK, "_day"], "left")
+    df = df.withColumns({out: F.coalesce(F.col(f"_c_{out}"), F.lit(0.0)) + F.col(loc) for out, loc in days.items()})
+    return df.drop("_day", *[f"_c_{out}" for out in days])
+
+
 def finish(laid: Laid, keep_layout: bool = False) -> DataFrame:
     """Own rows only; drop the layout columns unless asked to keep them."""
     df = laid.df.where(F.col(OWN))
