@@ -41,6 +41,7 @@ cookies consent notice notices notification alert gdpr popup modal overlay sideb
 breadcrumb breadcrumbs header masthead topbar footer comment comments disqus reply replies respond share sharing social
 related recommended newsletter subscribe subscription signup login search pagination pager toolbar copyright""".split())
 CLOSES_P = BLOCKS - frozenset("html head body dd dt li td th tr tbody thead tfoot option optgroup legend".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SAME = {"li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr", "td": "td th", "th": "td th", "option": "option"}
 
 _TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*+)>"""
@@ -54,7 +55,7 @@ class Tree:
 
     def __init__(self):
         self.label, self.parent, self.children, self.tag = ["#"], [-1], [[]], ["#"]
-        self.state = [(False, False, False)]  # (dropped, inside an article, inside main)
+        self.state = [(False, False, False, False)]  # (dropped, in an article, in main, in an article's header)
         self.blocks: list[tuple[int, str, int]] = []  # (node, text, characters of links)
 
     def add(self, parent: int, tag: str, label: str, state) -> int:
@@ -156,15 +157,14 @@ def parse(page: str) -> Tree:
             parent = open_[-1]
             attributes = {a[0].lower(): entities.unescape(a[1] or a[2] or a[3]) for a in _ATTRIBUTE.findall(raw)} \
                 if raw.strip() else {}
-            dropped, article, main = t.state[parent]
+            dropped, article, main, heading = t.state[parent]
             body = "articleBody" in attributes.get("itemprop", "").split()
             dropped = dropped or _furniture(tag, attributes, article)
-            if article and t.tag[parent] == "header" and tag not in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                dropped = True
+            heading = (heading or article and tag == "header") and tag not in HEADINGS
             article = article or tag == "article" or body
             main = main or tag == "main" or attributes.get("role") == "main"
             label = f"{tag}.{attributes['class'].strip()}" if attributes.get("class") else tag
-            node = t.add(parent, tag, label, (dropped, article, main))
+            node = t.add(parent, tag, label, (dropped, article, main, heading))
             if tag not in VOID and len(open_) < DEPTH:
                 open_.append(node)
         elif tag == "br":
@@ -234,7 +234,7 @@ def read(page: str, reference=None) -> list[tuple[str, str, bool]]:
     only its blocks, and they need no vote.
     """
     t = parse(page)
-    kept = [(n, s, links) for n, s, links in t.blocks if not t.state[n][0]]
+    kept = [(n, s, links) for n, s, links in t.blocks if not (t.state[n][0] or t.state[n][3])]
     for place in (1, 2):
         inside = [(f"n{n}", s, False) for n, s, _ in kept if t.state[n][place]]
         if inside:
