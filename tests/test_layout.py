@@ -81,16 +81,16 @@ def _hourly(spark, hours=400):
         F.when(F.col("id") % 89 == 7, None).otherwise(
             F.timestamp_seconds(1_700_000_000 + 3600 * F.floor(F.col("id") / 2))).cast("timestamp_ntz").alias("ts"),
         (F.col("id") % 13 + 10.0).alias("open"), (F.col("id") % 13 + 12.0).alias("high"),
-        (F.col("id") % 13 + 9.0).alias("low"), (F.col("id") % 13 + 11.0).alias("close"),
+        (F.col("id") % 13 + F.when(F.col("id") % 120 < 4, 9.0).otherwise(12.0)).alias("low"), (F.col("id") % 13 + 11.0).alias("close"),
         (F.col("id") % 7 + 1).cast("bigint").alias("volume"), F.col("id").alias("_src"))
 
 
 def test_null_keys_day_anchor_and_own_columns_do_not_depend_on_blocks(spark):
     bars = _hourly(spark)
     args = {"params": {"vwap": {"anchor": "day"}}}
-    plain = with_indicators(bars, ["vwap", "sma"], blocked=False, **args)
-    blocked = with_indicators(bars, ["vwap", "sma"], block_rows=16, bucket_rows=4, **args)
+    plain = with_indicators(bars, ["vwap", "sma", "adl", "obv"], blocked=False, **args)
+    blocked = with_indicators(bars, ["vwap", "sma", "adl", "obv"], block_rows=16, bucket_rows=4, **args)
     assert lay_out(bars, halo=10, block_rows=16, bucket_rows=4).blocked
-    cols = ["symbol", "ts", "VWAP", "SMA_10", "_src"]
+    cols = ["symbol", "ts", "VWAP", "SMA_10", "ADL", "OBV", "_src"]
     assert _rows(blocked, cols) == _rows(plain, cols)
     assert plain.count() == bars.where("symbol is not null and ts is not null").count()

@@ -423,15 +423,17 @@ def _clv(range_col):
 
 def adl(df, carries, sym=SYM):
     """Cumulative CLV x volume; a zero range borrows the previous non-zero
-    range of the same symbol (found inside the block and its halo)."""
+    range of the same symbol, also from an earlier block."""
     require_columns(df, HLC + ("volume",), "adl")
-    nz = F.when(F.col("high") - F.col("low") != 0, F.col("high") - F.col("low"))
-    prev_nz = F.last(nz, ignorenulls=True).over(
-        series_window(sym).rowsBetween(Window.unboundedPreceding, 0))
-    df = df.withColumn("_rng", prev_nz)
-    df = df.withColumn("_adl_l", local_cumsum(_clv(F.col("_rng")) * F.col("volume"), sym))
-    carries["ADL"] = ("_adl_l", "sum")
-    return df.drop("_rng")
+    own = series_window(sym).rowsBetween(Window.unboundedPreceding, 0)
+    spread = F.col("high") - F.col("low")
+    df = df.withColumn("_adl_r", F.last(own_only(F.when(spread != 0, spread)), ignorenulls=True).over(own))
+    flow = ((F.col("close") - F.col("low")) - (F.col("high") - F.col("close"))) * F.col("volume")
+    waits = F.when(F.col("_adl_r").isNull(), flow).otherwise(F.lit(0.0))
+    df = (df.withColumn("_adl_l", local_cumsum(_clv(F.col("_adl_r")) * F.col("volume"), sym))
+          .withColumn("_adl_w", local_cumsum(waits, sym)))
+    carries["ADL"] = (("_adl_l", "_adl_w", "_adl_r"), "sum_over_last")
+    return df
 
 
 def cmf(df, carries, sym=SYM, window=14):

@@ -226,19 +226,23 @@ def add_carry(laid: Laid, specs: dict[str, tuple[str, str]]) -> DataFrame:
     ``specs`` maps an output column to ``(local_column, kind)`` where kind is
     ``sum`` / ``max`` / ``min`` / ``last`` (last non-null) / ``next`` (first
     non-null at or after the row, i.e. a backward fill) / ``day_sum`` (a
-    sum that starts anew each calendar day). The local column must be cumulative
-    over the block's own rows only. Output keeps own rows.
+    sum that starts anew each calendar day) / ``sum_over_last`` (see _ratio_carry). The
+    local column must be cumulative over the block's own rows only. Output keeps own rows.
     """
     df = laid.df.where(F.col(OWN))
     if not laid.blocked:
-        return df.withColumns({out: F.col(loc) for out, (loc, _) in specs.items()})
+        return df.withColumns({out: F.col(loc if isinstance(loc, str) else loc[0])
+                               for out, (loc, _) in specs.items()})
     sym = laid.sym
     days = {out: loc for out, (loc, kind) in specs.items() if kind == "day_sum"}
     if days:
         df = _day_carry(df, sym, days)
-        specs = {out: v for out, v in specs.items() if out not in days}
-        if not specs:
-            return df
+    ratios = {out: loc for out, (loc, kind) in specs.items() if kind == "sum_over_last"}
+    for out, loc in ratios.items():
+        df = _ratio_carry(df, sym, out, *loc)
+    specs = {out: v for out, v in specs.items() if out not in days and out not in ratios}
+    if not specs:
+        return df
     # block summaries: the local value on the block's last own row
     # ("next" = first non-null in later blocks: the local value on the first row)
     aggs = [(F.min_by if kind == "next" else F.max_by)(F.col(loc), F.col(RN)).alias(f"_e_{i}")
@@ -293,6 +297,24 @@ def _day_carry(df: DataFrame, sym: str, days: dict[str, str]) -> DataFrame:
     return df.drop("_day", *[f"_c_{out}" for out in days])
 
 
+def _ratio_carry(df: DataFrame, sym: str, out: str, known: str, waiting: str, divisor: str) -> DataFrame:
+    """A running sum of terms that are divided by the last non-null divisor.
+
+    ``known`` sums the terms whose divisor the block itself holds, ``waiting`` the
+    numerators before the block's first divisor (they take the last one of earlier
+    blocks), ``divisor`` is the running last one. One row per block is joined back.
+    """
+    ends = df.groupBy(sym, BLK).agg(*[F.max_by(c, RN).alias(n) for c, n in (
+        (known, "_a"), (waiting, "_b"), (divisor, "_r"))])
+    before = Window.partitionBy(sym).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_R", F.last("_r", ignorenulls=True).over(before))
+    late = F.coalesce(F.try_divide("_b", "_R"), F.lit(0.0))
+    ends = ends.withColumn("_C", F.sum(F.col("_a") + late).over(before))
+    df = df.join(ends.select(sym, BLK, "_R", "_C"), [sym, BLK], "left")
+    here = F.coalesce(F.try_divide(F.col(waiting), F.col("_R")), F.lit(0.0))
+    return df.withColumn(out, F.coalesce("_C", F.lit(0.0)) + F.col(known) + here).drop("_R", "_C")
+
+
 def finish(laid: Laid, keep_layout: bool = False) -> DataFrame:
     """Own rows only; drop the layout columns unless asked to keep them."""
     df = laid.df.where(F.col(OWN))
