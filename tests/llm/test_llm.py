@@ -365,36 +365,47 @@ def shingles_brute(text, size):
     return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if w else set()
 
 
-@pytest.mark.parametrize("size", [2, 5])
-def test_near_duplicates(spark, docs, monkeypatch, size):
-    monkeypatch.setattr(oph_dedup, "BLOCK", 3)
-    monkeypatch.setattr(oph_dedup, "SET_BLOCK", 2)
-    out, (rid, n, component) = oph_dedup.near_duplicates(docs.withColumn("_row", F.lit(0)).withColumn("sig", F.lit(0)), size=size)
-    got = rows_of(out)
-    assert len(got) == docs.count()
-    sets = [shingles_brute(r["text"], size) for r in got]
-    parent = list(range(len(got)))
+def groups_brute(rows, size):
+    """Sets of row numbers, by comparing all pairs."""
+    sets = [shingles_brute(r["text"], size) for r in rows]
+    parent = list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
-    for a in range(len(got)):
+    for a in range(len(rows)):
         for b in range(a):
             both = len(sets[a] & sets[b])
             if sets[a] and sets[b] and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
                 parent[find(a)] = find(b)
     groups = collections.defaultdict(set)
-    for i, r in enumerate(got):
-        assert r[n] == len(sets[i])
+    for i in range(len(rows)):
         groups[find(i)].add(i)
-    for members in groups.values():
-        least = min(got[i][rid] for i in members)
-        assert {got[i][component] for i in members} == {least}
+    return sets, list(groups.values())
+
+
+def test_near_duplicates(spark, docs, monkeypatch):
+    monkeypatch.setattr(oph_dedup, "BLOCK", 3)
+    monkeypatch.setattr(oph_dedup, "SET_BLOCK", 2)
+    out, (rid, n, component) = oph_dedup.near_duplicates(docs.withColumn("_row", F.lit(0)).withColumn("sig", F.lit(0)), size=2)
+    got = rows_of(out)
+    assert len(got) == docs.count()
+    sets, groups = groups_brute(got, 2)
+    assert [r[n] for r in got] == [len(x) for x in sets]
+    for members in groups:
+        assert {got[i][component] for i in members} == {min(got[i][rid] for i in members)}
     assert len(groups) < len(got)
-    kept = oph_dedup.keep_first(docs, size=size)
-    assert kept.columns == docs.columns and kept.count() == len(groups)
-    assert oph_dedup.near_duplicates(empty(spark))[0].count() == 0
+
+
+def test_one_row_of_each_group_stays(spark, docs):
+    rows = rows_of(docs)
+    _, groups = groups_brute(rows, 5)
+    kept = oph_dedup.keep_first(docs, size=5)
+    assert kept.columns == docs.columns
+    least = [min((rows[i]["doc_id"] is None, rows[i]["doc_id"] or 0) for i in g) for g in groups]
+    assert collections.Counter((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == collections.Counter(least)
+    assert oph_dedup.keep_first(empty(spark)).count() == 0
 
 
 # --- 10 packing

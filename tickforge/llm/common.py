@@ -10,6 +10,8 @@ from ..session import scratch_path, ship_package
 
 #: A word is a run of anything but blank, tab, line feed, vertical tab, form feed, return.
 WORD_SEPARATOR = r"[\x20\x09-\x0D]+"
+#: Most bytes of a table that is broadcast by a hint.
+BROADCAST_BYTES = 64 << 20
 #: Rows of one bucket of ``gapless_rank`` (2 to this power).
 RANK_BUCKET_BITS = 15
 
@@ -38,6 +40,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checked_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A hint to broadcast a written table if its rows, counted, stay under ``BROADCAST_BYTES``.
+
+    Beyond it Spark joins as it sees fit, by a shuffle.
+    """
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def ascii_lower(col):
     """Lower-case A-Z and nothing else."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -67,7 +77,7 @@ def components(edges: DataFrame, left: str, right: str, name: str = "components"
 
     Rows for every node that an edge names; loops and repeated edges are
     harmless, an edge with a null end is ignored. Alternates two steps until
-    nothing changes: every node hands its larger neighbours, then its smaller
+    only stars are left: every node hands its larger neighbours, then its smaller
     ones, to the smallest neighbour. Each step groups edges by node with a
     partial minimum and joins it back (a hot node is a skewed join, which
     adaptive execution splits); each round is a written table. Rounds grow
@@ -78,8 +88,7 @@ def components(edges: DataFrame, left: str, right: str, name: str = "components"
     own = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
     e = staged(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                .distinct(), name)
-    state = _fingerprint(e)
-    while True:
+    while not _stars(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = (both.where("v > u").join(low, "u")
@@ -89,17 +98,17 @@ def components(edges: DataFrame, left: str, right: str, name: str = "components"
         e = staged(small.select("u", F.col("m").alias("v"))
                    .union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
                    .distinct(), name)
-        now = _fingerprint(e)
-        if now == state:
-            break
-        state = now
     return (own.join(e, own["node"] == e["u"], "left")
             .select("node", F.coalesce("v", "node").alias("root")))
 
 
-def _fingerprint(e: DataFrame):
-    """Count and wrapping hash sum of an edge table: one row, two numbers."""
-    return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _stars(e: DataFrame) -> bool:
+    """Whether edges (u, v), u > v, have one v for each u, which is no u itself: one row, two numbers."""
+    ends = (e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+            .union(e.select("v", F.lit(0), F.lit(1)))
+            .groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")))
+    most, both = ends.agg(F.max("up"), F.max(F.least("up", "down"))).first()
+    return not both and (most or 0) <= 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fresh, staged
+from .common import checked_broadcast, components, fresh, staged
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Bins of the signature and rows of a band: 32 bands of 4.
@@ -191,8 +191,10 @@ def in_blocks(df: DataFrame, key: str, size: int) -> DataFrame:
     its rows once; a key of p parts has p (p + 1) / 2 blocks, each of its rows
     in p of them.
     """
-    parts = df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts"))
-    d = df.join(parts, key)
+    large = (df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size)
+             .select(key, F.ceil(F.col("n") / size).cast("int").alias("parts")))
+    d = df.join(checked_broadcast(staged(large, "large-keys"), 24), key, "left")  # few: each has over ``size`` rows
+    d = d.withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     d = d.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return (d.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
@@ -279,7 +281,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, percent:
     nodes = staged(chosen.join(copies.select("node"), "node", "left_semi"), "node-sketches")
     clusters = components(staged(alike(nodes), "alike"), "a", "b", "alike")
     several = staged(clusters.select("node", F.col("root").alias("cluster")), "clusters")
-    texts = full.select(F.col(rid).alias("node"), F.col(text).alias("body")).join(several, "node")
+    texts = full.select(F.col(rid).alias("node"), F.col(text).alias("body"))
+    texts = texts.join(checked_broadcast(several, 32), "node")
     sets = staged(_sets(texts, "body", size), "sets")
     links = (in_blocks(sets, "cluster", SET_BLOCK).groupBy("cluster", "i", "j")
              .applyInPandas(_linked_block(percent), "a bigint, b bigint"))
