@@ -21,7 +21,6 @@ import hashlib
 import heapq
 import json
 import re
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +32,8 @@ from .common import fresh
 
 #: Chunks whose ids a Python worker remembers; beyond it the memory starts anew.
 MEMORY_CHUNKS = 500_000
+#: Chunks that it remembers after a first sight.
+MEMORY_ONCE = 200_000
 #: Words (chunks in lower case, without punctuation) that a worker remembers, twice over.
 MEMORY_WORDS = 250_000
 #: Pair verdicts that a worker remembers.
@@ -45,7 +46,7 @@ NO_MERGE = 1 << 60
 LONG_WORD = 64
 
 _SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
-#: Chunks that need no library to be normalised and cut.
+#: Chunks that need no library: composed Latin letters are in normal form C.
 _LATIN = re.compile("[!-~\u00a1-\u017e]+")
 #: Python's split() also cuts at these, the vocabulary's pattern does not.
 _CONTROL = re.compile("[\x1c-\x1f]")
@@ -91,7 +92,8 @@ class Codec:
         self.symbols = symbols
         self._trie(symbols)
         self.pair_keys, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
-        self.ids: dict[str, bytes] = {}
+        self.ids: dict[str, bytes] = {}  # of chunks seen in two steps or more
+        self.once: dict[str, bytes] = {}
         self.words: dict[str | int, bytes] = {}
         self.old: dict[str | int, bytes] = {}
 
@@ -229,7 +231,12 @@ class Codec:
             s = self.library.normalizer.normalize_str(chunk)
             return [bytes(map(self.letters.__getitem__, p)).decode()
                     for p, _ in self.library.pre_tokenizer.pre_tokenize_str(s)]
-        return self.piece_re.findall(unicodedata.normalize("NFC", chunk).lower())
+        s = chunk.lower()
+        if s.isalpha():
+            return [s]
+        if s[:-1].isalpha() and s[-1] in ".,":
+            return [s[:-1], s[-1]]
+        return self.piece_re.findall(s)
 
     def learn(self, chunks: list[str]) -> None:
         """Encode chunks that are not remembered; words that are not remembered are encoded together."""
@@ -258,22 +265,35 @@ class Codec:
             coded = self.encode_words([p.encode() for p in new])
             for p, x in zip(new, coded, strict=True):
                 words[p] = x
-        ids = self.ids
+        once = self.once
         for c, own in zip(chunks, plan, strict=True):
-            ids[c] = words[own[0]] if len(own) == 1 else b"".join([words[p] for p in own])
+            once[c] = words[own[0]] if len(own) == 1 else b"".join([words[p] for p in own])
 
     def coded(self, chunk_lists: list[list[str]]) -> list[list[bytes]]:
         """The ids of every chunk (little-endian unsigned 32 bit); new chunks are learnt together."""
         if len(self.ids) > MEMORY_CHUNKS:
             self.ids = {}
-        get = self.ids.get
-        out = [list(map(get, chunks)) for chunks in chunk_lists]
+        if len(self.once) > MEMORY_ONCE:
+            self.once = {}
+        ids, once = self.ids, self.once
+        out = [list(map(ids.get, chunks)) for chunks in chunk_lists]
         gaps = [(i, [k for k, x in enumerate(v) if x is None]) for i, v in enumerate(out) if None in v]
-        if gaps:
-            self.learn(list({chunk_lists[i][k] for i, places in gaps for k in places}))
-            for i, places in gaps:
-                for k in places:
-                    out[i][k] = self.ids[chunk_lists[i][k]]
+        unknown: dict[str, None] = {}
+        for i, places in gaps:
+            chunks = chunk_lists[i]
+            for k in places:
+                c = chunks[k]
+                if c in once:
+                    ids[c] = once.pop(c)  # seen again: likely to come again
+                elif c not in ids:
+                    unknown[c] = None
+        if unknown:
+            self.learn(list(unknown))
+        for i, places in gaps:
+            chunks, v = chunk_lists[i], out[i]
+            for k in places:
+                c = chunks[k]
+                v[k] = ids[c] if c in ids else once[c]
         return out
 
     def decode(self, ids) -> str:
