@@ -162,3 +162,25 @@ def test_psar_of_a_rise_and_a_fall(spark):
         assert out[1] == 9  # never above the low of the bar before
         assert s.side == -1 and out[4] == 18  # reversed at the highest high
     assert s.speed > 0.02  # the textbook rule speeds up on each new low
+
+
+def test_per_symbol_fit_with_two_features_and_far_origin(spark):
+    from tickforge.operators.models import per_symbol_ols
+    rows = [(s, 1e6 + i, float(i * i % 7), 3.0 + a * (1e6 + i) - 2.0 * (i * i % 7))
+            for s, a in (("A", 2.0), ("B", 5.0)) for i in range(50)] + [("A", None, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "symbol string, x double, z double, y double")
+    got = {r.symbol: r for r in per_symbol_ols(df, ["x", "z"], "y").collect()}
+    for s, a in (("A", 2.0), ("B", 5.0)):
+        assert [got[s].coef_x, got[s].coef_z] == pytest.approx([a, -2.0], rel=1e-6)
+        assert got[s].intercept == pytest.approx(3.0, abs=0.1)
+
+
+def test_search_survives_a_failing_trial(spark):
+    from tickforge.operators.models import best_parameters, hyperparameter_search, trial_points
+    df = spark.createDataFrame([(float(i), float(i % 5), 2.0 * i) for i in range(60)], "a double, b double, y double")
+    out = hyperparameter_search(df, ["a", "b"], "y", {"numTrees": [2], "maxDepth": [2, 99]}, n_trials=2, folds=2)
+    got = {r.params_maxDepth: r for r in out.collect()}
+    assert got[99].state == "FAIL" and got[99].value == float("inf") and got[2].state == "COMPLETE"
+    assert best_parameters(out) == {"numTrees": 2, "maxDepth": 2}
+    points = trial_points({"numTrees": ("int", 2, 4), "minInfoGain": ("float", 0.0, 0.1)}, 5)
+    assert len(points) == 5 and all(2 <= n <= 4 and 0 <= g <= 0.1 for n, g in points)

@@ -67,13 +67,13 @@ def q_preprocess(spark, sf_dir):
 
 
 SQL_PREPROCESS = f"""
-WITH f AS (SELECT symbol, ts, close, lag(close, 1) OVER ({P}) AS close_lag_1,
+WITH f AS MATERIALIZED (SELECT symbol, ts, close, lag(close, 1) OVER ({P}) AS close_lag_1,
        lag(close, 2) OVER ({P}) AS close_lag_2, {full('avg', 'close', 5)} AS close_rolling_mean_5,
        {full('stddev_samp', 'close', 5)} AS sd5 FROM {LB} b),
-d AS (SELECT * FROM f WHERE close_lag_2 IS NOT NULL AND sd5 IS NOT NULL),
-s AS (SELECT *, CASE WHEN row_number() OVER ({P}) <= floor(count(*) OVER (PARTITION BY symbol) * 0.8)
+d AS MATERIALIZED (SELECT * FROM f WHERE close_lag_2 IS NOT NULL AND sd5 IS NOT NULL),
+s AS MATERIALIZED (SELECT *, CASE WHEN row_number() OVER ({P}) <= floor(count(*) OVER (PARTITION BY symbol) * 0.8)
       THEN 'train' ELSE 'test' END AS split FROM d),
-st AS (SELECT avg(close_lag_1) AS m1, stddev_pop(close_lag_1) AS s1, avg(close_lag_2) AS m2,
+st AS MATERIALIZED (SELECT avg(close_lag_1) AS m1, stddev_pop(close_lag_1) AS s1, avg(close_lag_2) AS m2,
        stddev_pop(close_lag_2) AS s2, avg(close_rolling_mean_5) AS m3,
        stddev_pop(close_rolling_mean_5) AS s3 FROM s WHERE split = 'train')
 SELECT symbol, ts, split, {rnd('(close_lag_1 - m1) / s1')} AS close_lag_1,
