@@ -184,3 +184,18 @@ def test_search_survives_a_failing_trial(spark):
     assert best_parameters(out) == {"numTrees": 2, "maxDepth": 2}
     points = trial_points({"numTrees": ("int", 2, 4), "minInfoGain": ("float", 0.0, 0.1)}, 5)
     assert len(points) == 5 and all(2 <= n <= 4 and 0 <= g <= 0.1 for n, g in points)
+
+
+def test_raising_checks(spark):
+    from tickforge.operators.backtest import risk_status
+    df = spark.createDataFrame([("A", 1.0), ("B", float("nan"))], "k string, x double")
+    with pytest.raises(ValueError, match="not finite"):
+        Q.assert_finite(df)
+    Q.assert_finite(df.where("k = 'A'"))
+    with pytest.raises(ValueError, match="stop_loss"):
+        risk_status(_ramp(spark, [1, 2]), stop_loss=1.5)
+
+
+def test_mode_fill_takes_the_smallest_of_the_most_frequent(spark):
+    df = spark.createDataFrame([("b",), ("b",), ("a",), ("a",), (None,), ("c",)], "k string")
+    assert sorted(r.k for r in Q.fill_missing_values(df).collect()) == ["a", "a", "a", "b", "b", "c"]

@@ -127,9 +127,12 @@ def performance(series: DataFrame, value: str = "close", *, sym: str = SYM, ts:
 def risk_status(series: DataFrame, value: str = "close", *, sym: str = SYM, ts: str = TS,
                 max_drawdown: float = 0.2, stop_loss: float = 0.05, take_profit: float = 0.1,
                 **kw) -> DataFrame:
-    """Running high/low-water marks against the first value; status by the
-    reference's order: drawdown > limit -> STOP_TRADING, >= stop -> STOP_LOSS,
+    """Running high/low-water marks against the first value; limits lie in
+    (0, 1). Status, the first that holds: drawdown > limit -> STOP_TRADING, >= stop -> STOP_LOSS,
     profit >= take -> TAKE_PROFIT, else CONTINUE_TRADING."""
+    for name, limit in (("max_drawdown", max_drawdown), ("stop_loss", stop_loss), ("take_profit", take_profit)):
+        if not 0 < limit < 1:
+            raise ValueError(f"{name} lies between 0 and 1, got {limit!r}")
     first = series.groupBy(sym).agg(F.min_by(F.col(value), F.col(ts)).alias("initial"))
 
     def build(df, carries):

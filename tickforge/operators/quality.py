@@ -1,8 +1,8 @@
 """Data validation, cleaning and reshaping (one aggregate pass per check).
 
-Checks return small result frames (never collected data); the ``assert_*``
-helpers read one aggregate row on the driver and raise, which is what a
-validation step in a job needs.
+Checks return small result frames (never collected data); ``assert_finite``
+reads one aggregate row on the driver and raises, which is what a validation
+step in a job needs.
 """
 
 from __future__ import annotations
@@ -67,8 +67,9 @@ def remove_duplicates(df: DataFrame, subset=None) -> DataFrame:
 
 def fill_missing_values(df: DataFrame, strategy: str = "mean", value=None,
                         columns=None) -> DataFrame:
-    """mean (numeric) + mode (strings) fill, or a constant. One aggregate pass
-    for the statistics, then a broadcast one-row cross join."""
+    """mean (numeric) + mode (strings; of equally frequent ones the smallest) fill,
+    or a constant. The means are one aggregate, each mode a grouped count; both
+    are applied as literals."""
     if strategy == "constant":
         if value is None:
             raise ValueError("constant strategy needs a value")
@@ -78,12 +79,14 @@ def fill_missing_values(df: DataFrame, strategy: str = "mean", value=None,
     num = [c for c in (columns or numeric_columns(df)) if c in numeric_columns(df)]
     strs = [f.name for f in df.schema.fields
             if isinstance(f.dataType, T.StringType) and (columns is None or f.name in columns)]
-    stats = df.agg(*[F.avg(c).alias(f"_mean_{c}") for c in num],
-                   *[F.mode(c).alias(f"_mode_{c}") for c in strs])
-    out = with_scalars(df, stats)
-    repl = {c: F.coalesce(F.col(c), F.col(f"_mean_{c}").cast(df.schema[c].dataType)) for c in num}
-    repl.update({c: F.coalesce(F.col(c), F.col(f"_mode_{c}")) for c in strs})
-    return out.withColumns(repl).select(*df.columns)
+    means = df.agg(*[F.avg(c).alias(c) for c in num]).first() if num else {}
+    repl = {c: F.coalesce(F.col(c), F.lit(means[c]).cast(df.schema[c].dataType)) for c in num}
+    for c in strs:
+        top = (df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
+               .orderBy(F.desc("_n"), c).first())
+        if top is not None:
+            repl[c] = F.coalesce(F.col(c), F.lit(top[c]))
+    return df.withColumns(repl)
 
 
 def iqr_bounds(df: DataFrame, column: str, factor: float = 1.5) -> DataFrame:
@@ -101,12 +104,18 @@ def remove_outliers_iqr(df: DataFrame, column: str, factor: float = 1.5) -> Data
             .select(*df.columns))
 
 
+#: one_hot makes a column per value; more values than this are an error.
+MAX_ONE_HOT = 5000
+
+
 def one_hot(df: DataFrame, column: str, values=None) -> DataFrame:
-    """``{column}_{value}`` 0/1 columns. The distinct values are a small
-    dimension read once (or given); a column per value is the contract."""
+    """``{column}_{value}`` 0/1 columns. The distinct values are read once (or
+    given); a column with more than ``MAX_ONE_HOT`` of them is refused."""
     if values is None:
-        values = sorted(r[0] for r in df.select(column).distinct().where(
-            F.col(column).isNotNull()).collect())
+        found = df.select(column).distinct().where(F.col(column).isNotNull()).limit(MAX_ONE_HOT + 1).collect()
+        if len(found) > MAX_ONE_HOT:
+            raise ValueError(f"{column} has more than {MAX_ONE_HOT} values")
+        values = sorted(r[0] for r in found)
     return df.withColumns({f"{column}_{v}": (F.col(column) == F.lit(v)).cast("int")
                            for v in values})
 
@@ -174,6 +183,13 @@ def nan_inf_counts(df: DataFrame, columns=None) -> DataFrame:
     return df.agg(*bad)
 
 
+def assert_finite(df: DataFrame, columns=None) -> None:
+    """Raise if any float column holds NaN or an infinity."""
+    bad = {c: n for c, n in nan_inf_counts(df, columns).first().asDict().items() if n}
+    if bad:
+        raise ValueError(f"not finite: {bad}")
+
+
 def replace_inf_drop(df: DataFrame, columns=None) -> DataFrame:
     cols = columns or [f.name for f in df.schema.fields
                        if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
