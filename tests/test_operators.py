@@ -199,3 +199,12 @@ def test_raising_checks(spark):
 def test_mode_fill_takes_the_smallest_of_the_most_frequent(spark):
     df = spark.createDataFrame([("b",), ("b",), ("a",), ("a",), (None,), ("c",)], "k string")
     assert sorted(r.k for r in Q.fill_missing_values(df).collect()) == ["a", "a", "a", "b", "b", "c"]
+
+
+def test_rsi_variants_side_by_side(spark):
+    bars = _ramp(spark, [10, 11, 10, 12, 11, 13])
+    both = with_indicators(bars, ["rsi", "rsi_custom", "rsi_strict"], params={
+        n: {"window": 3} for n in ("rsi", "rsi_custom", "rsi_strict")}).orderBy("ts").collect()
+    alone = with_indicators(bars, ["rsi_strict"], params={"rsi_strict": {"window": 3}}).orderBy("ts").collect()
+    assert [r.RSI_strict for r in both] == [r.RSI for r in alone]
+    assert both[0].RSI_strict is None and both[0].RSI_custom == 0.0 and both[-1].RSI == both[-1].RSI_custom

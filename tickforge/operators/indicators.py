@@ -129,12 +129,12 @@ def rsi(df, carries, sym=SYM, window=14, calculation_type="default", out="RSI"):
     return df.withColumn(out, val).drop("_gain", "_loss", "_ag", "_al")
 
 
-def rsi_custom(df, carries, sym=SYM, window=14):
-    return rsi(df, carries, sym, window, "custom")
+def rsi_custom(df, carries, sym=SYM, window=14, out="RSI"):
+    return rsi(df, carries, sym, window, "custom", out)
 
 
-def rsi_strict(df, carries, sym=SYM, window=14):
-    return rsi(df, carries, sym, window, "strict")
+def rsi_strict(df, carries, sym=SYM, window=14, out="RSI"):
+    return rsi(df, carries, sym, window, "strict", out)
 
 
 def williams_r(df, carries, sym=SYM, window=14):
@@ -565,7 +565,10 @@ def with_indicators(bars: DataFrame, names=None, *, sym: str = SYM, ts: str = TS
     from .fold import psar as psar_fold  # local import: grouped-map path
 
     names = list(SUITE if names is None else names)
-    params = params or {}
+    params = dict(params or {})
+    variants = [n for n in names if n in ("rsi", "rsi_custom", "rsi_strict")]
+    for n in variants[1:]:  # several in one table: RSI, then RSI_custom, RSI_strict
+        params[n] = {"out": n.replace("rsi", "RSI"), **params.get(n, {})}
     custom = list(custom or [])
     unknown = [n for n in names if n != "psar" and n not in REGISTRY]
     if unknown:
