@@ -233,6 +233,17 @@ def test_page_wrapper(spark):
     assert page_wrapper.extract(empty(spark, "page_id long, url string, html string"))[0].count() == 0
 
 
+def test_names_of_elements():
+    def texts(page):
+        return [s for _, s, _ in page_wrapper.read(page)]
+    assert texts("<div class='has-sidebar'><div class='post-header'><h1>T</h1></div><p>x</div><div class=sideBar>s</div>"
+                 "<div id=ad-1>a</div><div class=adder>kept</div>") == ["T", "x", "kept"]
+    assert texts("<article><div class=entry-header><h1>T</h1></div>x<section class='user-comments'><article>c</article>"
+                 "</section></article>") == ["T", "x"]
+    assert texts("<p>a<ul><li><a href=1>Home</a><li><a href=2>News</a></ul><p>b <a href=x>c</a> d e f g") == ["a", "b c d e f g"]
+    assert texts("<p>&lt;b&gt; &amp;amp; &#233;&nbsp;&eacute; &bogus; & <b>x</b>y") == ["<b> &amp; é é &bogus; & xy"]
+
+
 def test_tree_matching_keeps_order():
     a = ["body", [["div", [], [1]], ["p", [], [2]], ["ul", [["li", [], [4]]], [3]]], [0]]
     b = ["body", [["p", [], [1]], ["div", [], [2]], ["ul", [["li", [], [4]]], [3]]], [0]]

@@ -40,6 +40,8 @@ WORDS = frozenset("""ad ads adbox advert adverts advertisement advertising banne
 cookies consent notice notices notification alert gdpr popup modal overlay sidebar aside menu nav navbar navigation
 breadcrumb breadcrumbs header masthead topbar footer comment comments disqus reply replies respond share sharing social
 related recommended newsletter subscribe subscription signup login search pagination pager toolbar copyright""".split())
+ABOUT = frozenset("has with without no".split())
+TITLES = frozenset("article entry post content story title".split())
 CLOSES_P = BLOCKS - frozenset("html head body dd dt li td th tr tbody thead tfoot option optgroup legend".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SAME = {"li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr", "td": "td th", "th": "td th", "option": "option"}
@@ -48,6 +50,7 @@ _TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/<>]*)(
                   r"""|(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_LETTERS = re.compile(r"[A-Za-z]+")
 
 
 class Tree:
@@ -88,14 +91,21 @@ def _furniture(tag: str, attributes: dict[str, str], inside: bool) -> bool:
         return True
     if tag in DROPPED and not (tag == "header" and inside):
         return True
+    names = _names(attributes)
     if tag in ("html", "body", "main", "article", "h1"):
-        return tag == "article" and "comment" in _names(attributes)
-    return not WORDS.isdisjoint(_names(attributes))
+        return tag == "article" and not names.isdisjoint(("comment", "comments"))
+    if not names.isdisjoint(ABOUT):
+        return False  # "has-sidebar" is about the page's layout
+    if inside or not names.isdisjoint(TITLES):
+        names -= {"header", "masthead"}
+    return not WORDS.isdisjoint(names)
 
 
-def _names(attributes: dict[str, str]) -> list[str]:
+def _names(attributes: dict[str, str]) -> set[str]:
     text = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    return [w.lower() for w in _WORD.findall(text)] if text != " " else []
+    if text == " ":
+        return set()
+    return {w.lower() for w in (*_WORD.findall(text), *_LETTERS.findall(text))}
 
 
 def parse(page: str) -> Tree:
