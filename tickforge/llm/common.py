@@ -40,12 +40,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
-    """A hint to broadcast a written table if its rows, counted, stay under ``BROADCAST_BYTES``.
+def checked_broadcast(df: DataFrame, row_bytes) -> DataFrame:
+    """A hint to broadcast a written table if its rows, measured, stay under ``BROADCAST_BYTES``.
 
-    Beyond it Spark joins as it sees fit, by a shuffle.
+    ``row_bytes`` is a number or a column. Beyond it Spark joins as it sees
+    fit, by a shuffle.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    size = df.agg(F.sum(F.lit(row_bytes))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def ascii_lower(col):

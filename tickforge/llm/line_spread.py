@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, staged
+from .common import checked_broadcast, fresh, staged
 
 #: Sites on which a line must be to count as boilerplate.
 MIN_SITES = 8
@@ -62,6 +62,7 @@ def clean(docs: DataFrame, text: str = "text", site: str = "source",
     body = F.coalesce(F.col(text), F.lit(""))
     found = staged(spread_lines(docs, text, site, min_sites), "text-lines")
     found = found.withColumnRenamed("text_key", key2).withColumnRenamed("lines", hits)
+    found = checked_broadcast(found, F.size(hits) * 8 + 64)
     d = docs.withColumn(key, F.md5(body)).join(found, F.col(key) == F.col(key2), "left")
     (lines, kept) = fresh(d, "_lines", "_kept")
     d = d.withColumn(lines, F.split(F.col(text), "\n"))

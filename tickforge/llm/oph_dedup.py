@@ -263,16 +263,8 @@ def alike(nodes: DataFrame) -> DataFrame:
     return edges.union(rest)
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80) -> tuple[DataFrame, list[str]]:
-    """``docs`` with the row's id, its number of shingles and its component.
-
-    Returns the frame and the three names (fresh ones). Two rows are linked
-    when 100 * intersection >= percent * union of their sets of
-    ``size``-word shingles (A-Z lower-cased; a shorter text is one shingle);
-    the component is the smallest row id reachable. Rows without words, null
-    texts among them, are linked with nothing. Equal rows share a component;
-    an empty table gives an empty result.
-    """
+def _roots(docs: DataFrame, text: str, size: int, percent: int) -> tuple[DataFrame, list[str], DataFrame]:
+    """The sketched rows, the names of row id, number of shingles and set key, and (_key, _root) of each set."""
     (rid,) = fresh(docs, "_row")
     full, (n, set_key, bands, sig) = sketch(docs, text, size, rid)
     copies = staged(full.where(F.col(n) > 0).groupBy(F.col(set_key).alias("set_key")).agg(F.min(rid).alias("node")),
@@ -288,18 +280,38 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, percent:
              .applyInPandas(_linked_block(percent), "a bigint, b bigint"))
     linked = components(staged(links, "links"), "a", "b", "linked")
     roots = copies.join(linked, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
-    (component, key) = fresh(full, "_component", "_key")
-    out = full.join(roots.withColumnRenamed("set_key", key).withColumnRenamed("root", component),
-                    F.col(set_key) == F.col(key), "left")
-    out = out.withColumn(component, F.coalesce(component, rid))
+    key, root = fresh(full, "_key", "_root")
+    return full, [rid, n, set_key], roots.select(F.col("set_key").alias(key), F.col("root").alias(root))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80) -> tuple[DataFrame, list[str]]:
+    """``docs`` with the row's id, its number of shingles and its component.
+
+    Returns the frame and the three names (fresh ones). Two rows are linked
+    when 100 * intersection >= percent * union of their sets of
+    ``size``-word shingles (A-Z lower-cased; a shorter text is one shingle);
+    the component is the smallest row id reachable. Rows without words, null
+    texts among them, are linked with nothing. Equal rows share a component;
+    an empty table gives an empty result.
+    """
+    full, (rid, n, set_key), roots = _roots(docs, text, size, percent)
+    key, root = roots.columns
+    (component,) = fresh(full, "_component")
+    out = full.join(roots, F.col(set_key) == F.col(key), "left").withColumn(component, F.coalesce(root, rid))
     return out.select(*docs.columns, rid, n, component), [rid, n, component]
 
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component, that of the smallest (key, row id), null keys last; the columns of ``docs``."""
-    d, (rid, _, component) = near_duplicates(docs, text, size, percent)
-    (first, of) = fresh(d, "_first", "_of")
+    """One row of each component, that of the smallest (key, row id), null keys last; the columns of ``docs``.
+
+    Only ids and keys are shuffled; the ids of the rows that go are then taken
+    out of the texts, by a broadcast if their counted size allows.
+    """
+    full, (rid, _, set_key), roots = _roots(docs, text, size, percent)
+    own, root = roots.columns
     order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(rid).alias("rid"))
-    firsts = (d.select(component, order.alias(first)).groupBy(F.col(component).alias(of))
-              .agg(F.min(first)["rid"].alias(first)))
-    return d.join(firsts.select(first), d[rid] == F.col(first), "left_semi").select(*docs.columns)
+    rows = full.select(set_key, order.alias("row")).join(roots, F.col(set_key) == F.col(own)).select(root, "row")
+    firsts = rows.groupBy(F.col(root).alias("of")).agg(F.min("row").alias("first"))
+    gone = rows.join(firsts, (F.col(root) == F.col("of")) & (F.col("row.rid") != F.col("first.rid")))
+    gone = staged(gone.select(F.col("row.rid").alias("gone")), "gone")
+    return full.join(checked_broadcast(gone, 32), F.col(rid) == F.col("gone"), "left_anti").select(*docs.columns)
