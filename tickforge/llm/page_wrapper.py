@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, staged
+from .common import checked_broadcast, fresh, staged
 from .url_aliases import split_url
 
 #: A text is template if at least so many different pages of the host, and this share of them, have it in one slot.
@@ -324,6 +324,8 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> tuple[Dat
                 .where(F.col("n") >= LEAST_SHARE * F.col("pages")).select("h", "slot", "line"))
     hits = (votes.join(constant, ["h", "slot", "line"]).groupBy(F.col("r").alias("_hit"))
             .agg(F.collect_set(F.struct("slot", "line")).alias("_template")))
+    hits = staged(hits, "template-hits")
+    hits = checked_broadcast(hits, F.length(F.to_json("_template")) + 32)
     out = read_.join(hits, read_[rid] == hits["_hit"], "left")
     (left,) = fresh(out, "_left")
     template = F.coalesce("_template", F.array().cast("array<struct<slot:string,line:bigint>>"))
