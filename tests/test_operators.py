@@ -150,7 +150,8 @@ def test_ledger_values_the_position_at_the_next_bar(spark):
     got = [(r.balance, r.shares, r.equity) for r in action_ledger(acts).orderBy("ts").collect()]
     bought = 10000 - 50 * 100 * 1.001
     sold = bought + 25 * 101 * 0.999
-    want = [(bought, 50, bought + 50 * 101), (sold, 25, sold + 25 * 102), (sold, 25, sold + 25 * 102)]
+    last = sold + 12.5 * 102 * 0.999
+    want = [(bought, 50, bought + 50 * 101), (sold, 25, sold + 25 * 102), (last, 12.5, last + 12.5 * 102)]
     assert [x for r in got for x in r] == pytest.approx([x for r in want for x in r])
 
 

@@ -34,9 +34,9 @@ def action_ledger(actions: DataFrame, *, sym: str = SYM, ts: str = TS, key=None,
     floor(balance / price) * amount shares at price * (1 + fee), sell shares *
     amount at price * (1 - fee). Then the replay steps to the next bar, where
     the position is valued: equity = shares * next price + balance, reward =
-    equity minus the initial balance. The last bar has no step, so its action
-    is not taken and its position is valued at its own price. Also flags a
-    balance driven below zero by fees."""
+    equity minus the initial balance. The last bar has no next one: its action
+    is taken and the position is valued at its own price. Also flags a balance
+    driven below zero by fees."""
     keys = [sym] + list(key or [])
     out_schema = T.StructType(actions.schema.fields + [
         T.StructField("balance", T.DoubleType()), T.StructField("shares", T.DoubleType()),
@@ -47,22 +47,12 @@ def action_ledger(actions: DataFrame, *, sym: str = SYM, ts: str = TS, key=None,
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bal, sh, last_ts, held = balance, 0.0, None, None
 
-        def result(pdf, balances, shares, equity):
-            eq = pd.Series(equity, dtype="float64").to_numpy()
-            return pdf.assign(balance=balances, shares=shares, equity=eq, reward=eq - balance,
-                              negative_balance=[x < 0 for x in balances])
-
-        for pdf in batches:
-            last_ts = _check_order(last_ts, pdf[ts])
-            if held is not None:  # the row that waited for its next bar
-                pdf = pd.concat([held, pdf], ignore_index=True)
-            pdf = pdf[cols]
-            held = pdf.iloc[-1:] if len(pdf) else None
-            kinds = pdf["action_type"].to_numpy().tolist()
-            amts = pdf["amount"].to_numpy(dtype="float64").tolist()
-            prices = pdf["price"].to_numpy(dtype="float64").tolist()
+        def replay(pdf, later):
+            nonlocal bal, sh
+            rows = zip(pdf["action_type"].to_numpy().tolist(), pdf["amount"].to_numpy(dtype="float64").tolist(),
+                       pdf["price"].to_numpy(dtype="float64").tolist(), later)
             b_out, s_out, e_out = [], [], []
-            for k, a, p, later in zip(kinds, amts, prices, prices[1:]):
+            for k, a, p, value in rows:
                 if k == 0 and p > 0:
                     n = math.floor(bal / p) * a
                     bal -= n * p * (1 + fee)
@@ -73,10 +63,21 @@ def action_ledger(actions: DataFrame, *, sym: str = SYM, ts: str = TS, key=None,
                     sh -= n
                 b_out.append(bal)
                 s_out.append(sh)
-                e_out.append(sh * later + bal)
-            yield result(pdf.iloc[:-1], b_out, s_out, e_out)
+                e_out.append(sh * value + bal)
+            eq = pd.Series(e_out, dtype="float64").to_numpy()
+            return pdf.assign(balance=b_out, shares=s_out, equity=eq, reward=eq - balance,
+                              negative_balance=[x < 0 for x in b_out])
+
+        for pdf in batches:
+            last_ts = _check_order(last_ts, pdf[ts])
+            if held is not None:  # the row that waited for its next bar
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            pdf = pdf[cols]
+            held = pdf.iloc[-1:] if len(pdf) else None
+            prices = pdf["price"].to_numpy(dtype="float64").tolist()
+            yield replay(pdf.iloc[:-1], prices[1:])
         if held is not None:
-            yield result(held, [bal], [sh], [sh * float(held["price"].iloc[0]) + bal])
+            yield replay(held, held["price"].to_numpy(dtype="float64").tolist())
 
     grouped = actions.repartition(*keys).sortWithinPartitions(*keys, ts)
     return grouped.groupBy(*keys).applyInPandas(fold, out_schema)

@@ -410,8 +410,8 @@ def q_reward(spark, sf_dir):
 
 
 def _sql_ledger_cte():
-    # an action trades at its own bar's price and is valued at the next bar; the last bar has no step
-    act = (f"SELECT *, CASE WHEN rn = max(rn) OVER (PARTITION BY symbol) THEN 2 ELSE action_type END AS act, "
+    # an action trades at its own bar's price and is valued at the next bar (the last one at its own)
+    act = (f"SELECT *, action_type AS act, "
            f"coalesce(lead(price) OVER ({P}), price) AS next_price FROM ("
            f"SELECT symbol, ts, row_number() OVER ({P}) AS rn, close AS price, CASE WHEN close - "
            f"lag(close) OVER ({P}) > 0 THEN 0 WHEN close - lag(close) OVER ({P}) < 0 THEN 1 ELSE 2 "
