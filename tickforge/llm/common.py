@@ -50,6 +50,13 @@ def checked_broadcast(df: DataFrame, row_bytes) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+def slices(batches, rows: int = 1024):
+    """Arrow batches cut into parts of at most ``rows`` rows: a task holds the Python objects of one part."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def ascii_lower(col):
     """Lower-case A-Z and nothing else."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, gapless_rank, staged
+from .common import fresh, gapless_rank, slices, staged
 from .word_bpe import codec, default_vocabulary, steps
 
 CAPACITY = 4096
@@ -46,7 +46,7 @@ def cut(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: st
 
     def run(batches):
         bpe = codec(path)
-        for batch in batches:
+        for batch in slices(batches):
             keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             rest = [b""] * len(texts)
             found: list[list[tuple[int, int]]] = [[] for _ in texts]  # (length, crc) of each document's pieces

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, components, fresh, staged
+from .common import checked_broadcast, components, fresh, slices, staged
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Bins of the signature and rows of a band: 32 bands of 4.
@@ -37,7 +37,7 @@ ALIKE, FAR = 54, 80
 BLOCK = 1024
 SET_BLOCK = 256
 #: Words whose hashes a Python worker remembers.
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 100_000
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _ODD1, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -212,7 +212,7 @@ def sketch(docs: DataFrame, text: str, size: int, rid: str) -> tuple[DataFrame,
 
     def run(batches):
         s = Sketcher(size)
-        for b in batches:
+        for b in slices(batches):
             count, keys, bands, sigs = [], [], [], []
             for t in b.column(where).to_pylist():
                 x = s.shingles(t or "")
@@ -236,7 +236,7 @@ def _sets(df: DataFrame, text: str, size: int) -> DataFrame:
     """Rows (node, cluster, text) with the text's shingle set in the text's place."""
     def run(batches):
         s = Sketcher(size)
-        for b in batches:
+        for b in slices(batches):
             sets = [s.shingles(t).tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())],
                                              names=["node", "cluster", "shingles"])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, fresh, staged
+from .common import checked_broadcast, fresh, slices, staged
 from .url_aliases import split_url
 
 #: A text is template if at least so many different pages of the host, and this share of them, have it in one slot.
@@ -307,7 +307,7 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> tuple[Dat
 
     def run(batches):
         seen: dict = {}
-        for b in batches:
+        for b in slices(batches):
             n = b.num_columns
             found = [[dict(zip(("slot", "text", "vote"), x, strict=True)) for x in read(p, _loaded(r, seen))]
                      for p, r in zip(b.column(n - 2).to_pylist(), b.column(n - 1).to_pylist(), strict=True)]

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import fresh
+from .common import fresh, slices
 
 # Kinds in the order in which spans of one start are listed.
 KINDS = ["assign", "access", "hex", "github", "npm"]
@@ -156,7 +156,7 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
                        + [f"`{n}` {t}" for n, t in zip(names, types, strict=True)])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for t in b.column(b.num_columns - 1).to_pylist():
                 spans = find(t or "")

@@ -17,6 +17,7 @@ marks the end of a word with a suffix; everything is read from the file.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -28,18 +29,18 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import fresh
+from .common import fresh, slices
 
 #: Chunks whose ids a Python worker remembers; beyond it the memory starts anew.
-MEMORY_CHUNKS = 500_000
+MEMORY_CHUNKS = 200_000
 #: Chunks that it remembers after a first sight.
-MEMORY_ONCE = 200_000
+MEMORY_ONCE = 80_000
 #: Words (chunks in lower case, without punctuation) that a worker remembers, twice over.
-MEMORY_WORDS = 250_000
+MEMORY_WORDS = 100_000
 #: Pair verdicts that a worker remembers.
-MEMORY_PAIRS = 2_000_000
+MEMORY_PAIRS = 1_000_000
 #: Characters of text that are split and encoded at once.
-STEP_CHARS = 1 << 21
+STEP_CHARS = 1 << 20
 END = 1  # low bit of a symbol: last of its word
 NO_MERGE = 1 << 60
 #: Symbols from which merging uses a heap.
@@ -76,7 +77,7 @@ class Codec:
         self.decimals = np.array([str(i) for i in range(len(self.names))], object)
         self.special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.piece_re = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self.letters = letters = _byte_letters()
         self.base = np.zeros(512, np.int64)  # symbol (byte * 2 + END) -> id
         for letter, byte in letters.items():
@@ -97,6 +98,11 @@ class Codec:
         self.words: dict[str | int, bytes] = {}
         self.old: dict[str | int, bytes] = {}
 
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        """The vocabulary's own library, read when first needed."""
+        return Tokenizer.from_file(self.path)
+
     def _trie(self, symbols: dict[int, tuple[int, ...]]) -> None:
         """Edges (state * 512 + symbol) -> state, sorted; the token that ends in each state or -1."""
         edges: dict[int, int] = {}
@@ -371,7 +377,7 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str | None = None, k
 
     def run(batches):
         bpe = codec(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             counts = [0] * len(texts)
             sums = [(hashlib.sha256(), hashlib.sha256()) for _ in texts]
