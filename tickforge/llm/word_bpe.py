@@ -32,11 +32,11 @@ from tokenizers import Tokenizer
 from .common import fresh, slices
 
 #: Chunks whose ids a Python worker remembers; beyond it the memory starts anew.
-MEMORY_CHUNKS = 200_000
+MEMORY_CHUNKS = 400_000
 #: Chunks that it remembers after a first sight.
-MEMORY_ONCE = 80_000
+MEMORY_ONCE = 150_000
 #: Words (chunks in lower case, without punctuation) that a worker remembers, twice over.
-MEMORY_WORDS = 100_000
+MEMORY_WORDS = 150_000
 #: Pair verdicts that a worker remembers.
 MEMORY_PAIRS = 1_000_000
 #: Characters of text that are split and encoded at once.
