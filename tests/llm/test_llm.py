@@ -233,6 +233,22 @@ def test_page_wrapper(spark):
     assert page_wrapper.extract(empty(spark, "page_id long, url string, html string"))[0].count() == 0
 
 
+def test_pages_that_declare_an_article_are_voted_on(spark):
+    """Unnamed template inside an article goes; text outside a teaser article stays."""
+    one = "<body><article><h1>T{0}</h1><div class=x>Tell your friends</div><p>own text {0}</p></article></body>"
+    two = "<body><article><p>Read this too {0}</p></article><div><p>the long main text of page {0}</p></div><div>Imprint</div></body>"
+    rows = [(i, f"http://a.com/{i}", one.format(i)) for i in range(6)]
+    rows += [(10 + i, f"http://b.com/{i}", two.format(i)) for i in range(6)]
+    rows += [(20, "http://c.com/", two.format(9)), (21, "http://d.com/", one.format(9))]
+    out, (text, n, dropped) = page_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {r["page_id"]: r for r in rows_of(out)}
+    for i in range(6):
+        assert (got[i][text], got[i][n], got[i][dropped]) == (f"T{i}\n\nown text {i}", 3, 1)
+        assert got[10 + i][text] == f"Read this too {i}\n\nthe long main text of page {i}" and got[10 + i][dropped] == 1
+    assert got[20][text] == "Read this too 9\n\nthe long main text of page 9\n\nImprint"  # too few pages for a vote
+    assert got[21][text] == "T9\n\nTell your friends\n\nown text 9"
+
+
 def test_names_of_elements():
     def texts(page):
         return [s for _, s, _ in page_wrapper.read(page)]

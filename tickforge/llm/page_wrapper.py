@@ -4,9 +4,11 @@ The block elements of a page form a tree (leaf siblings of one kind in a row
 are one node, a repeated slot). Each host has a reference page; every page's
 tree is aligned with the reference's by simple tree matching, which names the
 slot of each block. A text that fills the same slot on many different pages of
-a host is template, the varying rest is content. Elements that say what they
-are (``nav``, ``aside``, ``class="cookie-notice"``) are dropped without a vote,
-and in an element that declares itself the article nothing else is.
+a host is template, the varying rest is content; inside an element that
+declares itself the article or main part, more pages must agree. Elements that
+say what they are (``nav``, ``aside``, ``class="cookie-notice"``) are dropped
+without a vote. A host with too few pages for a vote has the declared article
+instead, if most of the page's text is in it.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .url_aliases import split_url
 #: A text is template if at least so many different pages of the host, and this share of them, have it in one slot.
 LEAST_PAGES = 3
 LEAST_SHARE = 0.3
+#: The share for a text inside a declared article or main part.
+DECLARED_SHARE = 0.5
 #: Levels of a tree; what lies deeper hangs on the last one.
 DEPTH = 100
 
@@ -237,30 +241,33 @@ def match(a, b, found: dict[int, int]) -> None:
                 todo.append((x[1][i], y[1][j]))
 
 
-def read(page: str, reference=None) -> list[tuple[str, str, bool]]:
-    """Blocks (slot, text, votable) of a page in order, without furniture.
+def read(page: str, reference=None) -> list[tuple[str, str, int]]:
+    """Blocks (slot, text, vote) of a page in order, without furniture.
 
-    With an element that declares itself the article (else: the main part)
-    only its blocks, and they need no vote.
+    The vote is 1, or 2 inside an element that declares itself the article
+    (on a page without one: the main part). Without a reference there is no
+    vote (0), and only the declared blocks count if they are most of the text.
     """
     t = parse(page)
     kept = [(n, s, links) for n, s, links in t.blocks if not (t.state[n][0] or t.state[n][3])]
-    for place in (1, 2):
-        inside = [(f"n{n}", s, False) for n, s, _ in kept if t.state[n][place]]
-        if inside:
+    declared = next((x for x in ({n for n, _, _ in kept if t.state[n][place]} for place in (1, 2)) if x), set())
+    if reference is None:
+        inside = [(f"n{n}", s, 0) for n, s, _ in kept if n in declared]
+        if 2 * sum(len(s) for _, s, _ in inside) >= sum(len(s) for _, s, _ in kept):
             return inside
     found: dict[int, int] = {}
-    if reference:
+    if reference is not None:
         match(reference, t.skeleton(), found)
     out = []
     for n, s, links in kept:
-        if links * 5 >= len(s) * 3:
+        if n not in declared and links * 5 >= len(s) * 3:
             continue  # a block of links is a menu
         path, node = [], n
         while node not in found and node > 0:
             path.append(t.label[node])
             node = t.parent[node]
-        out.append(("/".join([f"r{found.get(node, 0)}", *reversed(path)]), s, True))
+        vote = 0 if reference is None else 2 if n in declared else 1
+        out.append(("/".join([f"r{found.get(node, 0)}", *reversed(path)]), s, vote))
     return out
 
 
@@ -277,9 +284,10 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> tuple[Dat
     """``pages`` without the HTML, with the main text, its number of blocks and the template blocks dropped.
 
     Returns the frame and the three names (fresh ones). Null HTML is empty. A
-    page without a host is matched with no other. The votes of a host are
-    counted over all its pages, copies of one page once. Repeated rows get
-    equal results; an empty table gives an empty result.
+    page without a host is matched with no other. The votes of a host of
+    ``LEAST_PAGES`` different pages are counted over all its pages, copies of
+    one page once. Repeated rows get equal results; an empty table gives an
+    empty result. Slots and texts are compared by 64-bit hashes.
     """
     keep = [c for c in pages.columns if c != page]
     rid, host, ref, blocks, text, n_blocks, n_dropped = fresh(
@@ -287,22 +295,28 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> tuple[Dat
     name, _ = split_url(F.col(url))
     src = pages.withColumn(host, F.when(name != "", name)).withColumn(rid, F.monotonically_increasing_id())
     src = src.withColumn(page, F.coalesce(page, F.lit("")))
-    undeclared = ~F.lower(F.col(page)).rlike(r"<article|<main|role\s*=\s*[\"']?main|articlebody")
-    first = (src.where(F.col(host).isNotNull() & undeclared).groupBy(F.col(host).alias("h"))
-             .agg(F.min_by(page, F.struct(F.xxhash64(page), F.col(page))).alias("page")))
+    mark = F.xxhash64(page)
+    voters = (src.where(F.col(host).isNotNull()).select(F.col(host).alias("h"), mark.alias("first")).distinct()
+              .groupBy("h").agg(F.count(F.lit(1)).alias("pages"), F.min("first").alias("first"))
+              .where(F.col("pages") >= LEAST_PAGES).select("h", "first"))
+    voters = staged(voters, "voters")
+    voters = checked_broadcast(voters, F.length("h") + 64)
+    first = src.join(voters, (src[host] == voters["h"]) & (mark == voters["first"])).select("h", page)
 
     def skeletons(batches):
         for b in batches:
             trees = [json.dumps(parse(x).skeleton()) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(trees, pa.string())], names=["h", "tree"])
 
-    references = staged(first.mapInArrow(skeletons, "h string, tree string"), "references")
+    references = staged(first.mapInArrow(skeletons, "h string, tree string").groupBy("h").agg(F.min("tree").alias("tree")),
+                        "references")
+    references = checked_broadcast(references, F.length("h") + F.length("tree") + 64)
     joined = src.join(references, src[host] == references["h"], "left").select(
         *keep, host, rid, page, F.col("tree").alias(ref))
-    struct = pa.list_(pa.struct([("slot", pa.string()), ("text", pa.string()), ("vote", pa.bool_())]))
+    struct = pa.list_(pa.struct([("slot", pa.string()), ("text", pa.string()), ("vote", pa.int8())]))
     kinds = {f.name: f.dataType.simpleString() for f in src.schema}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in [*keep, host, rid]]
-                       + [f"`{blocks}` array<struct<slot:string,text:string,vote:boolean>>"])
+                       + [f"`{blocks}` array<struct<slot:string,text:string,vote:tinyint>>"])
     names = [*keep, host, rid, blocks]
 
     def run(batches):
@@ -314,23 +328,30 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> tuple[Dat
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(found, struct)], names=names)
 
     read_ = staged(joined.mapInArrow(run, schema), "blocks")
+    voted = lambda x: F.xxhash64(F.col(host), x["slot"], x["text"])
     votes = read_.where(F.col(host).isNotNull()).select(
-        F.col(host).alias("h"), F.col(rid).alias("r"), F.xxhash64(F.transform(blocks, lambda x: x["text"])).alias("whole"),
-        F.explode(F.filter(blocks, lambda x: x["vote"])).alias("b"))
-    votes = votes.select("h", "r", "whole", F.col("b.slot").alias("slot"), F.xxhash64("b.text").alias("line"))
-    different = votes.select("h", "whole").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("pages"))
-    constant = (votes.select("h", "slot", "line", "whole").distinct().groupBy("h", "slot", "line")
-                .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES).join(different, "h")
-                .where(F.col("n") >= LEAST_SHARE * F.col("pages")).select("h", "slot", "line"))
-    hits = (votes.join(constant, ["h", "slot", "line"]).groupBy(F.col("r").alias("_hit"))
-            .agg(F.collect_set(F.struct("slot", "line")).alias("_template")))
+        F.xxhash64(host).alias("h"), F.col(rid).alias("r"),
+        F.xxhash64(F.transform(blocks, lambda x: x["text"])).alias("whole"),
+        F.transform(F.filter(blocks, lambda x: x["vote"] > 0), lambda x: F.struct(
+            voted(x).alias("cell"), (x["vote"] > 1).alias("declared"))).alias("cells")).where(F.size("cells") > 0)
+    cells = votes.select("h", "r", "whole", F.explode(F.array_distinct("cells")).alias("c"))
+    cells = cells.select("h", "r", "whole", "c.cell", "c.declared")
+    different = staged(votes.select("h", "whole").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("pages")),
+                       "different-pages")
+    different = checked_broadcast(different, 16)
+    pages_of = (cells.groupBy("h", "cell", "whole").agg(F.max("declared").alias("declared"))
+                .groupBy("h", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("declared").alias("declared")))
+    share = F.when(F.col("declared"), DECLARED_SHARE).otherwise(LEAST_SHARE)
+    constant = staged(pages_of.where(F.col("n") >= LEAST_PAGES).join(different, "h")
+                      .where(F.col("n") >= share * F.col("pages")).select("cell"), "template-cells")
+    hits = (cells.select("r", "cell").join(checked_broadcast(constant, 16), "cell").groupBy(F.col("r").alias("_hit"))
+            .agg(F.collect_set("cell").alias("_template")))
     hits = staged(hits, "template-hits")
-    hits = checked_broadcast(hits, F.length(F.to_json("_template")) + 32)
+    hits = checked_broadcast(hits, F.size("_template") * 8 + 32)
     out = read_.join(hits, read_[rid] == hits["_hit"], "left")
     (left,) = fresh(out, "_left")
-    template = F.coalesce("_template", F.array().cast("array<struct<slot:string,line:bigint>>"))
-    out = out.withColumn(left, F.filter(blocks, lambda x: ~x["vote"] | ~F.array_contains(
-        template, F.struct(x["slot"].alias("slot"), F.xxhash64(x["text"]).alias("line")))))
+    template = F.coalesce("_template", F.array().cast("array<bigint>"))
+    out = out.withColumn(left, F.filter(blocks, lambda x: (x["vote"] == 0) | ~F.array_contains(template, voted(x))))
     return out.select(
         *keep, F.array_join(F.transform(left, lambda x: x["text"]), "\n\n").alias(text),
         F.size(blocks).cast("long").alias(n_blocks), (F.size(blocks) - F.size(left)).cast("long").alias(n_dropped),
