@@ -268,6 +268,23 @@ def test_tree_matching_keeps_order():
     assert found[0] == 0 and found[3] == 3 and found[4] == 4 and len(found) == 4  # either div or p, not both
 
 
+def test_unclosed_elements_end_with_their_block():
+    def texts(page):
+        return [s for _, s, _ in page_wrapper.read(page)]
+    assert texts('<p>a <svg class="x"/> b</p><p>c</p><svg viewBox="0" /><p>d</p>') == ["a b", "c", "d"]
+    for tag in ("button", "select", "noscript", "template", "svg", "iframe"):
+        assert texts(f"<div><{tag}>menu</div><p>one</p><p>two</p><div><{tag}>x</{tag}></div><p>three</p>") == ["one", "two", "three"]
+        assert texts(f"<body><p>a</p><{tag}>menu<p>rest</p>") == ["a", "rest"]
+        assert texts(f"<p>a</p><{tag}><p>in</p></{tag}><p>b <{tag}>in</{tag}>c</p>") == ["a", "b c"]
+    assert texts("<svg><svg></svg><foreignObject><div>in</div></foreignObject></svg><p>out") == ["out"]
+    assert texts("<p>a<script>x<p>y") == ["a"]
+
+
+@pytest.mark.parametrize("page", ["<svg>" * 20000, "<button>" * 20000 + "</button>", "<div><svg>" * 5000 + "</div>" * 5000])
+def test_unclosed_elements_are_linear(page):
+    page_wrapper.read(page)
+
+
 def test_odd_markup_is_linear():
     for page in ('<a "' * 20000, "<p>" * 5000 + "x", "<div>" * 5000 + "x", "<" * 50000, "<script>" * 3000, "</p>" * 5000):
         page_wrapper.read(page)

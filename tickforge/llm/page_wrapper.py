@@ -13,6 +13,7 @@ instead, if most of the page's text is in it.
 
 from __future__ import annotations
 
+import collections
 import html as entities
 import json
 import re
@@ -36,7 +37,8 @@ DEPTH = 100
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption
 figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p
 pre section summary table tbody td tfoot th thead tr ul""".split())
-RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes select button svg".split())
+RAW = frozenset("script style textarea title".split())
+SKIPPED = frozenset("noscript iframe template xmp noembed noframes select button svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("head nav header footer aside form menu dialog fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -112,10 +114,47 @@ def _names(attributes: dict[str, str]) -> set[str]:
     return {w.lower() for w in (*_WORD.findall(text), *_LETTERS.findall(text))}
 
 
+def _closed(page: str) -> dict[int, int]:
+    """Start -> end of the ``SKIPPED`` elements that have an end tag inside the element they are in."""
+    out, open_, count, at = {}, [], collections.Counter(), 0
+    while (start := page.find("<", at)) >= 0:
+        m = _TAG.match(page, start)
+        if not m:
+            at = start + 1
+            continue
+        at = m.end()
+        tag, closing = (m[2] or m[5] or "").lower(), m[1] or m[4]
+        if tag in RAW and not closing:
+            at = _end_of(tag, page, at)
+        elif tag in SKIPPED or tag in BLOCKS:
+            if not closing:
+                if not (tag == "svg" and _selfclosed(m)):
+                    open_.append((tag, start))
+                    count[tag] += 1
+            elif count[tag]:
+                last = None
+                while last != tag:
+                    last, begun = open_.pop()
+                    count[last] -= 1
+                if tag in SKIPPED:
+                    out[begun] = at
+    return out
+
+
+def _end_of(tag: str, page: str, at: int) -> int:
+    close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+    return close.end() if close else len(page)
+
+
+def _selfclosed(m) -> bool:
+    return (m[3] if m[2] else m[6]).rstrip().endswith("/")
+
+
 def parse(page: str) -> Tree:
     """The tree of a whole page. Tolerates unclosed, misplaced and unknown elements."""
     t = Tree()
     open_, inline, text, links, in_link = [0], [], [], 0, 0  # inline: furniture that is not a block
+    closed = None
 
     def flush():
         nonlocal links
@@ -149,10 +188,18 @@ def parse(page: str) -> Tree:
             continue
         closing, raw = m[1] or m[4], m[3] if m[2] else m[6]
         if tag in RAW and not closing:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
-            if not raw.rstrip().endswith("/") or tag != "svg":
-                put(" ")
+            at = _end_of(tag, page, at)
+            put(" ")
+            continue
+        if tag in SKIPPED and not closing:
+            if tag == "svg" and _selfclosed(m):
+                continue
+            closed = _closed(page) if closed is None else closed
+            put(" ")
+            if start in closed:
+                at = closed[start]
+            elif not inline:
+                inline.append(tag)  # without an end tag: dropped up to the next block
             continue
         if tag in BLOCKS:
             flush()
