@@ -249,6 +249,21 @@ def test_pages_that_declare_an_article_are_voted_on(spark):
     assert got[21][text] == "T9\n\nTell your friends\n\nown text 9"
 
 
+def test_blocks_of_links_are_voted_on(spark):
+    """Linked titles and paragraphs stay, a constant menu in one block goes by the vote, link items go at once."""
+    page = ("<body><div><a href=/>Home</a> <a href=/n>News</a></div><div><h1><a href=/{0}>Title {0}</a></h1><p>text {0}</p>"
+            "<p><a href=/r{0}>Reference {0}</a></p></div><ul><li><a href=/x{0}>x{0}</a><li><a href=/y>y</a></ul>"
+            "<ul><li><a href=/s{0}>Source {0}</a></ul></body>")
+    rows = [(i, f"http://a.com/{i}", page.format(i)) for i in range(5)]
+    out, (text, _, dropped) = page_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    for r in rows_of(out):
+        i = r["page_id"]
+        assert r[text] == f"Title {i}\n\ntext {i}\n\nReference {i}\n\nSource {i}" and r[dropped] == 1
+    cards = "<div>" + "".join(f"<div><h2><a href=/{i}>Story {i}</a></h2></div>" for i in range(3)) + "</div>"
+    assert [s for _, s, _ in page_wrapper.read(cards)] == ["Story 0", "Story 1", "Story 2"]
+    assert page_wrapper.read("<div><div><a href=1>a</a></div><div><a href=2>b</a></div></div><ul><li><p><a>c</a></p><li><a>d</a></ul>") == []
+
+
 def test_names_of_elements():
     def texts(page):
         return [s for _, s, _ in page_wrapper.read(page)]

@@ -6,8 +6,8 @@ tree is aligned with the reference's by simple tree matching, which names the
 slot of each block. A text that fills the same slot on many different pages of
 a host is template, the varying rest is content; inside an element that
 declares itself the article or main part, more pages must agree. Elements that
-say what they are (``nav``, ``aside``, ``class="cookie-notice"``) are dropped
-without a vote. A host with too few pages for a vote has the declared article
+say what they are (``nav``, ``aside``, ``class="cookie-notice"``) and runs of
+sibling link items are dropped without a vote. A host with too few pages for a vote has the declared article
 instead, if most of the page's text is in it.
 """
 
@@ -51,6 +51,7 @@ TITLES = frozenset("article entry post content story title".split())
 CLOSES_P = BLOCKS - frozenset("html head body dd dt li td th tr tbody thead tfoot option optgroup legend".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SAME = {"li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr", "td": "td th", "th": "td th", "option": "option"}
+ITEMS = frozenset("li dt dd td th option div".split())
 
 _TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*+)>"""
                   r"""|(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>)""", re.S)
@@ -288,11 +289,44 @@ def match(a, b, found: dict[int, int]) -> None:
                 todo.append((x[1][i], y[1][j]))
 
 
+def link_runs(t: Tree) -> set[int]:
+    """Nodes whose text is a menu's: at least two sibling items of one element side by side, each mostly links.
+
+    No heading is part of an item, and a paragraph only of an item of a list or table.
+    """
+    size, links = [0] * len(t.label), [0] * len(t.label)
+    for n, s, of_links in t.blocks:
+        size[n] += len(s)
+        links[n] += of_links
+    text = [tag in HEADINGS or tag == "p" for tag in t.tag]
+    for n in range(len(t.label) - 1, 0, -1):
+        size[t.parent[n]] += size[n]
+        links[t.parent[n]] += links[n]
+        if text[n] and size[n] and (t.tag[n] != "p" or t.tag[t.parent[n]] not in SAME):
+            text[t.parent[n]] = True
+    menu = [False] * len(t.label)
+    for children in t.children:
+        run: list[int] = []
+        for c in [*(c for c in children if size[c]), None]:
+            item = c is not None and t.tag[c] in ITEMS and not text[c] and links[c] * 5 >= size[c] * 3
+            if run and not (item and t.tag[run[0]] == t.tag[c]):
+                if len(run) > 1:
+                    for x in run:
+                        menu[x] = True
+                run = []
+            if item:
+                run.append(c)
+    for n in range(1, len(menu)):
+        menu[n] = menu[n] or menu[t.parent[n]]
+    return {n for n, x in enumerate(menu) if x}
+
+
 def read(page: str, reference=None) -> list[tuple[str, str, int]]:
     """Blocks (slot, text, vote) of a page in order, without furniture.
 
     The vote is 1, or 2 inside an element that declares itself the article
-    (on a page without one: the main part). Without a reference there is no
+    (on a page without one: the main part). Runs of link items outside it are
+    menus; other blocks of links are voted on like any. Without a reference there is no
     vote (0), and only the declared blocks count if they are most of the text.
     """
     t = parse(page)
@@ -305,10 +339,10 @@ def read(page: str, reference=None) -> list[tuple[str, str, int]]:
     found: dict[int, int] = {}
     if reference is not None:
         match(reference, t.skeleton(), found)
-    out = []
-    for n, s, links in kept:
-        if n not in declared and links * 5 >= len(s) * 3:
-            continue  # a block of links is a menu
+    out, menus = [], link_runs(t)
+    for n, s, _ in kept:
+        if n not in declared and n in menus:
+            continue
         path, node = [], n
         while node not in found and node > 0:
             path.append(t.label[node])
