@@ -211,6 +211,26 @@ def test_multi_index(spark, monkeypatch):
     assert multi_index.near_vectors(empty(spark, "vec_id long, embedding array<float>, label int"))[0].count() == 0
 
 
+@pytest.mark.parametrize("decay", [0.0, 1.0])
+def test_no_near_vector_is_missed_on_a_decaying_spectrum(spark, monkeypatch, decay):
+    """Planted pairs just over the threshold, differing most in the leading dimensions."""
+    monkeypatch.setattr(multi_index, "CELL", 2)
+    rng = np.random.default_rng(7)
+    spectrum = np.arange(1, 65.0) ** -decay
+    x = rng.normal(size=(600, 64)) * spectrum
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    noise = rng.normal(size=x.shape) * spectrum
+    noise -= (noise * x).sum(1)[:, None] * x
+    noise /= np.linalg.norm(noise, axis=1)[:, None]
+    y = 0.931 * x + np.sqrt(1 - 0.931 ** 2) * noise
+    rows = [(i, [float(c) for c in v], 1) for i, v in enumerate(np.concatenate([x, y]))]
+    out, (_, links, _) = multi_index.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    both = np.array([r[1] for r in rows])
+    both /= np.linalg.norm(both, axis=1)[:, None]
+    wanted = (both @ both.T >= 0.93).sum(axis=1) - 1
+    assert {r["vec_id"]: r[links] for r in rows_of(out)} == dict(enumerate(wanted.tolist()))
+
+
 # --- 4 pages
 
 PAGE = ("<html><body><div class=top>Site name</div><!-- <p>no</p> --><div><h1>T{0} &amp; more</h1><p>own  text {0}<br>line"

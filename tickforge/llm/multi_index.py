@@ -3,12 +3,11 @@
 Unit vectors are halved; each half has a codebook of its own, and the product
 of the two codebooks is a grid of cells. For a query the cells' squared
 distances are bounded from below, half by half (distance to the bisector of
-the nearest and the other centroid), and the traversal takes cells in order of
-the bounds' sum until it reaches the target recall: beyond z**2 times the
-squared distance asked for, divided by the dimension, lies a neighbour with
-probability exp(-z**2 / 2) at most, if it is off in no preferred direction.
-Members of visited cells are verified by cosine in double precision, so no
-pair below the threshold is ever linked.
+the nearest and the other centroid), and the traversal takes all cells whose
+bounds' sum is no more than the squared distance of a pair at the threshold:
+no member of a cell beyond it can be a link, so none is missed, however the
+vectors are spread. Members of visited cells are verified by cosine in double
+precision, so no pair below the threshold is ever linked.
 """
 
 from __future__ import annotations
@@ -28,8 +27,6 @@ from .common import components, fresh, staged
 SAMPLE = 20_000
 #: Mean number of vectors of a cell, which sets the codebooks' size.
 CELL = 512
-#: Share of pairs just at the threshold that the traversal must reach; closer pairs are reached more surely.
-TARGET_RECALL = 0.999
 LLOYD_STEPS = 12
 #: Members and visitors of one block of comparisons.
 MEMBERS, VISITORS = 1024, 4096
@@ -182,7 +179,7 @@ def near_vectors(vectors: DataFrame, vec: str = "embedding", label: str = "label
     for size in sorted({len(x) for x in sample}):
         points = np.stack([x for x in sample if len(x) == size])
         grids[size] = Grid(codebook(points[:, :size // 2], half), codebook(points[:, size // 2:], half))
-    reach = -2 * math.log(1 - TARGET_RECALL) * (2 - 2 * threshold)
+    reach = 2 - 2 * threshold + 1e-9
 
     def visit(batches):
         for b in batches:
@@ -192,7 +189,7 @@ def near_vectors(vectors: DataFrame, vec: str = "embedding", label: str = "label
             for size, grid in grids.items():  # a length that the sample lacks is one cell
                 rows = np.flatnonzero(sizes == size)
                 if len(rows):
-                    own[rows], cells = grid.visits(np.stack([found[r] for r in rows]), reach / size)
+                    own[rows], cells = grid.visits(np.stack([found[r] for r in rows]), reach)
                     for r, c in zip(rows, cells, strict=True):
                         seen[r] = c
             yield pa.RecordBatch.from_arrays(
