@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cutting_stock, hash_tree, host_quality, line_spread, multi_index, oph_dedup, page_wrapper, secret_scan, url_aliases, word_bpe
+from . import (cutting_stock, filter_lattice, hash_tree, host_quality, line_spread, multi_index, oph_dedup, page_wrapper, secret_scan,
+               url_aliases, word_bpe)
 from .common import table
 
 
@@ -66,6 +67,10 @@ def op10_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutting_stock.pack(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_lattice.audit(filter_lattice.document_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 def catalog() -> dict:
     """name -> (query, SQL or None)."""
     from . import sql
@@ -80,4 +85,5 @@ def catalog() -> dict:
         "op8_line_spread": (op8_line_spread, sql.OP8),
         "op9_oph_dedup": (op9_oph_dedup, None),
         "op10_cutting_stock": (op10_cutting_stock, None),
+        "op13_filter_lattice": (op13_filter_lattice, sql.OP13),
     }
