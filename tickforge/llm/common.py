@@ -40,6 +40,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def alternating(spark: SparkSession, name: str):
+    """A function that writes a frame and reads it back, each time over the table before the last.
+
+    For state that is replaced round by round: the table that a round reads is
+    whole until the next one is written, so a failed round can start again, and
+    two tables are on disk however many rounds there are.
+    """
+    ship_package(spark)
+    paths = [scratch_path(spark, f"{name}-{i}") for i in "ab"]
+
+    def write(df: DataFrame) -> DataFrame:
+        paths.reverse()
+        df.write.mode("overwrite").parquet(paths[0])
+        return spark.read.schema(df.schema).parquet(paths[0])
+    return write
+
+
 def checked_broadcast(df: DataFrame, row_bytes) -> DataFrame:
     """A hint to broadcast a written table if its rows, measured, stay under ``BROADCAST_BYTES``.
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (cutting_stock, filter_lattice, hash_tree, host_quality, line_spread, multi_index, oph_dedup, page_wrapper, secret_scan,
-               url_aliases, word_bpe)
+from . import (cutting_stock, filter_lattice, hash_tree, host_quality, line_spread, multi_index, ns_bounds, oph_dedup, page_wrapper,
+               secret_scan, url_aliases, word_bpe)
 from .common import table
 
 
@@ -67,6 +67,12 @@ def op10_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutting_stock.pack(table(spark, sf_dir, "documents"))
 
 
+def op12_ns_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, history = ns_bounds.cluster(table(spark, sf_dir, "embeddings"))
+    return ns_bounds.summary(found, history[-1]).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def op13_filter_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_lattice.audit(filter_lattice.document_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
@@ -85,5 +91,6 @@ def catalog() -> dict:
         "op8_line_spread": (op8_line_spread, sql.OP8),
         "op9_oph_dedup": (op9_oph_dedup, None),
         "op10_cutting_stock": (op10_cutting_stock, None),
+        "op12_ns_bounds": (op12_ns_bounds, None),
         "op13_filter_lattice": (op13_filter_lattice, sql.OP13),
     }
