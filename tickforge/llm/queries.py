@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (cutting_stock, filter_lattice, hash_tree, host_quality, line_spread, multi_index, ns_bounds, oph_dedup, page_wrapper,
-               secret_scan, url_aliases, word_bpe)
+               secret_scan, url_aliases, word_bpe, zip_warc)
 from .common import table
 
 
@@ -67,6 +67,10 @@ def op10_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutting_stock.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zip_warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op12_ns_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, history = ns_bounds.cluster(table(spark, sf_dir, "embeddings"))
     return ns_bounds.summary(found, history[-1]).select(
@@ -91,6 +95,7 @@ def catalog() -> dict:
         "op8_line_spread": (op8_line_spread, sql.OP8),
         "op9_oph_dedup": (op9_oph_dedup, None),
         "op10_cutting_stock": (op10_cutting_stock, None),
+        "op11_zip_warc": (op11_zip_warc, sql.OP11),
         "op12_ns_bounds": (op12_ns_bounds, None),
         "op13_filter_lattice": (op13_filter_lattice, sql.OP13),
     }
