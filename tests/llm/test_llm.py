@@ -407,9 +407,11 @@ def test_bpe_of_long_texts_in_steps(monkeypatch):
     monkeypatch.setattr(word_bpe, "STEP_CHARS", 50)
     bpe = word_bpe.Codec(word_bpe.default_vocabulary())
     lib = Tokenizer.from_file(word_bpe.default_vocabulary())
-    for text in ["theing and " * 40, "a" * 300, " " * 200, "banana" * 50 + " x", "\n".join(vocabulary())]:
+    monkeypatch.setattr(bpe.words, "limit", 400)  # forgets after every few words
+    monkeypatch.setattr(bpe.chunks, "limit", 400)
+    for text in ["theing and " * 40, "a" * 300, " " * 200, "banana" * 50 + " x", "\n".join(vocabulary()), "日本 語 Σας ΑΣ ﬁ " * 30]:
         parts = [c for part in word_bpe.steps([text]) for c in bpe.coded([x for _, x in part])]
-        ids = np.frombuffer(b"".join(x for p in parts for x in p), "<u4").tolist()
+        ids = np.frombuffer(b"".join(parts), "<u4").tolist()
         assert ids == lib.encode(text, add_special_tokens=False).ids
 
 

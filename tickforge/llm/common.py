@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,6 +75,22 @@ def slices(batches, rows: int = 1024):
             yield b.slice(at, rows)
 
 
+_STATE: dict[str, object] = {}
+
+
+def worker_state(name: str, make):
+    """What a Python worker keeps from task to task, made by ``make`` at first: of one operator at a time.
+
+    Workers live on through the stages of a job. When the next operator comes,
+    the memory of the one before is given back.
+    """
+    if name not in _STATE:
+        _STATE.clear()
+        pa.default_memory_pool().release_unused()
+        _STATE[name] = make()
+    return _STATE[name]
+
+
 def ascii_lower(col):
     """Lower-case A-Z and nothing else."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -52,7 +52,7 @@ def cut(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: st
             found: list[list[tuple[int, int]]] = [[] for _ in texts]  # (length, crc) of each document's pieces
             for part in steps(texts):
                 for (i, _), coded in zip(part, bpe.coded([c for _, c in part]), strict=True):
-                    data = rest[i] + b"".join(coded)
+                    data = rest[i] + coded
                     at = 0
                     while len(data) - at >= full:
                         found[i].append((capacity, zlib.crc32(data[at:at + full])))

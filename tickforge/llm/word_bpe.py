@@ -1,6 +1,6 @@
 """BPE encoding and decoding by speculation and verification.
 
-A text is cut at white space. For chunks not seen yet, all at once:
+A text is cut into words. For words not seen yet, all at once:
 
 1. *Speculate*: a greedy longest match walks a trie of the vocabulary for all
    words of the batch in step (numpy).
@@ -20,23 +20,24 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 import json
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import fresh, slices
+from .common import fresh, slices, worker_state
 
-#: Chunks whose ids a Python worker remembers; beyond it the memory starts anew.
-MEMORY_CHUNKS = 400_000
-#: Chunks that it remembers after a first sight.
-MEMORY_ONCE = 150_000
-#: Words (chunks in lower case, without punctuation) that a worker remembers, twice over.
-MEMORY_WORDS = 150_000
+#: Bytes of words and their ids that a Python worker remembers, twice over: those used since the last change and those before.
+MEMORY_WORDS = 32 << 20
+#: The same of chunks of texts that are not Latin.
+MEMORY_CHUNKS = 12 << 20
+#: Bytes that a remembered string takes besides its own: two objects and a place in a table.
+MEMORY_ENTRY = 180
 #: Pair verdicts that a worker remembers.
 MEMORY_PAIRS = 1_000_000
 #: Characters of text that are split and encoded at once.
@@ -47,8 +48,8 @@ NO_MERGE = 1 << 60
 LONG_WORD = 64
 
 _SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
-#: Chunks that need no library: composed Latin letters are in normal form C.
-_LATIN = re.compile("[!-~\u00a1-\u017e]+")
+#: Texts that need no library: composed Latin letters are in normal form C (but for U+0130 they have one lower-case letter).
+_LATIN = re.compile("[\t-\r -~\u00a1-\u012f\u0131-\u017e]*")
 #: Python's split() also cuts at these, the vocabulary's pattern does not.
 _CONTROL = re.compile("[\x1c-\x1f]")
 
@@ -60,6 +61,33 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class Memory:
+    """Ids of strings, bounded in bytes: when the new half is full the old half goes.
+
+    What is used stays: a string that is asked for moves to the new half.
+    """
+
+    def __init__(self, limit: int):
+        self.limit, self.size, self.new, self.old = limit, 0, {}, {}
+
+    def missing(self, wanted) -> list:
+        """Those of ``wanted`` (distinct) that are not remembered; the others are in ``new`` from here on."""
+        if self.size > self.limit:
+            self.old, self.new, self.size = self.new, {}, 0
+        old, unknown = self.old, []
+        for x in set(wanted).difference(self.new):
+            ids = old.get(x)
+            if ids is None:
+                unknown.append(x)
+            else:
+                self.add(x, ids)
+        return unknown
+
+    def add(self, key: str | int, ids: bytes) -> None:
+        self.new[key] = ids
+        self.size += len(ids) + MEMORY_ENTRY + (len(key) if isinstance(key, str) else 0)
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
@@ -76,7 +104,11 @@ class Codec:
             self.names[i] = t
         self.decimals = np.array([str(i) for i in range(len(self.names))], object)
         self.special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.piece_re = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        for kind in "LN":  # the classes inside Latin texts
+            pattern = pattern.replace(f"\\p{{{kind}}}", "".join(
+                chr(c) for c in range(0x21, 0x17F) if unicodedata.category(chr(c))[0] == kind))
+        self.word_re = re.compile(pattern)
         self.path = path
         self.letters = letters = _byte_letters()
         self.base = np.zeros(512, np.int64)  # symbol (byte * 2 + END) -> id
@@ -93,10 +125,11 @@ class Codec:
         self.symbols = symbols
         self._trie(symbols)
         self.pair_keys, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
-        self.ids: dict[str, bytes] = {}  # of chunks seen in two steps or more
-        self.once: dict[str, bytes] = {}
-        self.words: dict[str | int, bytes] = {}
-        self.old: dict[str | int, bytes] = {}
+        keys = np.fromiter(self.merges, np.int64, len(self.merges))
+        order = np.argsort(keys)
+        self.merge_keys = keys[order]
+        self.merge_to = np.fromiter(self.merges.values(), np.int64, len(self.merges))[order]
+        self.chunks, self.words = Memory(MEMORY_CHUNKS), Memory(MEMORY_WORDS)
 
     @functools.cached_property
     def library(self) -> Tokenizer:
@@ -160,6 +193,62 @@ class Codec:
                         heapq.heappush(heap, (r, left))
         return [x for x in ids if x >= 0]
 
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """rank << 20 | merged of pairs of ids, NO_MERGE where nothing merges (or an id is -1)."""
+        key = left << 20 | right
+        at = np.minimum(np.searchsorted(self.merge_keys, key), len(self.merge_keys) - 1)
+        return np.where(self.merge_keys[at] == key, self.merge_to[at], NO_MERGE)
+
+    def merge_all(self, ids: np.ndarray) -> list[bytes]:
+        """Exact merging of many words in step; rows of ids, padded by -1 at the end (one column of it at least)."""
+        out: list[bytes] = [b""] * len(ids)
+        word, ranks = np.arange(len(ids)), self._rank(ids[:, :-1], ids[:, 1:])
+        while len(word):
+            at = ranks.argmin(1)
+            low = ranks[np.arange(len(word)), at]
+            done = low == NO_MERGE
+            if done.any():
+                size = (ids[done] >= 0).sum(1).tolist()
+                for w, row, n in zip(word[done].tolist(), ids[done].astype("<u4"), size, strict=True):
+                    out[w] = row[:n].tobytes()
+                word, ids, ranks, at, low = (x[~done] for x in (word, ids, ranks, at, low))
+                if not len(word):
+                    break
+            here = np.arange(len(word))
+            ids[here, at] = low & 0xFFFFF
+            place = np.arange(ids.shape[1] - 1)[None]
+            ids = np.take_along_axis(ids, place + (place > at[:, None]), 1)
+            place = place[:, :-1]
+            ranks = np.take_along_axis(ranks, place + (place >= at[:, None]), 1)
+            right = at < ranks.shape[1]
+            i, j = here[right], at[right]
+            ranks[i, j] = self._rank(ids[i, j], ids[i, j + 1])
+            i, j = here[at > 0], at[at > 0]
+            ranks[i, j - 1] = self._rank(ids[i, j - 1], ids[i, j])
+        return out
+
+    def merge_flat(self, sym: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+        """Exact merging of the words sym[start:end]: in step by groups of length, one by one if long."""
+        size, ids, out, low = end - start, self.base[sym], [b""] * len(start), 0
+        for width in (8, 16, 32, LONG_WORD):
+            part = np.flatnonzero((size > low) & (size <= width))
+            low = width
+            if len(part):
+                place = start[part][:, None] + np.arange(width + 1)
+                inside = place < end[part][:, None]
+                rows = np.where(inside, ids[np.where(inside, place, 0)], -1)
+                for i, x in zip(part.tolist(), self.merge_all(rows), strict=True):
+                    out[i] = x
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            out[i] = np.array(self.merge(ids[start[i]:end[i]].tolist()), "<u4").tobytes()
+        return out
+
+    def merge_rows(self, rows: list) -> list[bytes]:
+        """Exact merging of lists of symbols."""
+        end = np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))
+        sym = np.fromiter(itertools.chain.from_iterable(rows), np.int64, int(end[-1]))
+        return self.merge_flat(sym, np.concatenate([[0], end[:-1]]), end)
+
     def _speculate(self, sym: np.ndarray, start: np.ndarray, end: np.ndarray):
         """Greedy tokens of all words: (tokens, word of each), in order of word and place."""
         words, tokens, places = [], [], []
@@ -193,10 +282,9 @@ class Codec:
             self.pair_keys, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
         new = want[~np.isin(want, self.pair_keys, assume_unique=True)]
         if len(new):
-            ok = []
-            for k in new.tolist():
-                pair = [k & 0xFFFFF] if k < 0 else [k >> 20, k & 0xFFFFF]
-                ok.append(self.merge([int(self.base[s]) for t in pair for s in self.symbols[t]]) == pair)
+            pairs = [[k & 0xFFFFF] if k < 0 else [k >> 20, k & 0xFFFFF] for k in new.tolist()]
+            merged = self.merge_rows([[s for t in pair for s in self.symbols[t]] for pair in pairs])
+            ok = [x == np.array(pair, "<u4").tobytes() for x, pair in zip(merged, pairs, strict=True)]
             all_keys = np.concatenate([self.pair_keys, new])
             order = np.argsort(all_keys)
             self.pair_ok = np.concatenate([self.pair_ok, np.array(ok, bool)])[order]
@@ -222,9 +310,9 @@ class Codec:
         bad[word[test][~self._verdicts(keys)]] = True
         data, stop = tokens.astype("<u4").tobytes(), (4 * np.cumsum(count)).tolist()
         out = [data[i:j] for i, j in zip([0, *stop], stop, strict=False)]
-        base = self.base[sym].tolist()
-        for i in np.flatnonzero(bad).tolist():
-            out[i] = np.array(self.merge(base[end[i] - sizes[i]:end[i]]), "<u4").tobytes()
+        fails = np.flatnonzero(bad)
+        for i, x in zip(fails.tolist(), self.merge_flat(sym, (end - sizes)[fails], end[fails]), strict=True):
+            out[i] = x
         return out
 
     def pieces(self, chunk: str) -> list[str]:
@@ -233,74 +321,45 @@ class Codec:
         Beyond Latin letters, classes and cases differ between Unicode
         versions; there the vocabulary's own library normalises and cuts.
         """
-        if not _LATIN.fullmatch(chunk):
-            s = self.library.normalizer.normalize_str(chunk)
-            return [bytes(map(self.letters.__getitem__, p)).decode()
-                    for p, _ in self.library.pre_tokenizer.pre_tokenize_str(s)]
-        s = chunk.lower()
-        if s.isalpha():
-            return [s]
-        if s[:-1].isalpha() and s[-1] in ".,":
-            return [s[:-1], s[-1]]
-        return self.piece_re.findall(s)
+        if _LATIN.fullmatch(chunk):
+            return self.word_re.findall(chunk.lower())
+        s = self.library.normalizer.normalize_str(chunk)
+        return [bytes(map(self.letters.__getitem__, p)).decode()
+                for p, _ in self.library.pre_tokenizer.pre_tokenize_str(s)]
+
+    def know(self, words) -> None:
+        """Have the ids of all ``words`` in ``self.words.new``; those not remembered are encoded together."""
+        unknown = self.words.missing(words)
+        if unknown:
+            for p, x in zip(unknown, self.encode_words([p.encode() for p in unknown]), strict=True):
+                self.words.add(p, x)
 
     def learn(self, chunks: list[str]) -> None:
-        """Encode chunks that are not remembered; words that are not remembered are encoded together."""
-        if len(self.words) > MEMORY_WORDS:
-            self.old, self.words = self.words, {}
-        words, old = self.words, self.old
+        """Encode chunks that are not remembered."""
         plan: list[list[str | int]] = []  # of each chunk: its words, or ids of special tokens
-        new: dict[str, None] = {}
         for c in chunks:
-            if "<|" in c:
-                own = []
-                for i, part in enumerate(self.special_re.split(c)):
-                    own += [self.special[part]] if i % 2 else self.pieces(part) if part else []
-            else:
-                own = self.pieces(c)
+            own = []
+            for i, part in enumerate(self.special_re.split(c) if "<|" in c else [c]):
+                own += [self.special[part]] if i % 2 else self.pieces(part) if part else []
             plan.append(own)
-            for p in own:
-                if p not in words:
-                    if p in old:
-                        words[p] = old[p]
-                    elif isinstance(p, int):
-                        words[p] = np.uint32(p).tobytes()
-                    else:
-                        new[p] = None
-        if new:
-            coded = self.encode_words([p.encode() for p in new])
-            for p, x in zip(new, coded, strict=True):
-                words[p] = x
-        once = self.once
+        self.know(p for own in plan for p in own if isinstance(p, str))
+        words = self.words.new
         for c, own in zip(chunks, plan, strict=True):
-            once[c] = words[own[0]] if len(own) == 1 else b"".join([words[p] for p in own])
-
-    def coded(self, chunk_lists: list[list[str]]) -> list[list[bytes]]:
-        """The ids of every chunk (little-endian unsigned 32 bit); new chunks are learnt together."""
-        if len(self.ids) > MEMORY_CHUNKS:
-            self.ids = {}
-        if len(self.once) > MEMORY_ONCE:
-            self.once = {}
-        ids, once = self.ids, self.once
-        out = [list(map(ids.get, chunks)) for chunks in chunk_lists]
-        gaps = [(i, [k for k, x in enumerate(v) if x is None]) for i, v in enumerate(out) if None in v]
-        unknown: dict[str, None] = {}
-        for i, places in gaps:
-            chunks = chunk_lists[i]
-            for k in places:
-                c = chunks[k]
-                if c in once:
-                    ids[c] = once.pop(c)  # seen again: likely to come again
-                elif c not in ids:
-                    unknown[c] = None
+            self.chunks.add(c, b"".join([words[p] if isinstance(p, str) else np.uint32(p).tobytes() for p in own]))
+
+    def coded(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text (little-endian unsigned 32 bit); what is new in them is learnt together.
+
+        A Latin text is cut into words at once, any other into chunks at white space.
+        """
+        latin = [bool(_LATIN.fullmatch(t)) and "<|" not in t for t in texts]
+        cut = [self.word_re.findall(t.lower()) if plain else chunks_of(t) for t, plain in zip(texts, latin, strict=True)]
+        unknown = self.chunks.missing(c for own, plain in zip(cut, latin, strict=True) if not plain for c in own)
         if unknown:
-            self.learn(list(unknown))
-        for i, places in gaps:
-            chunks, v = chunk_lists[i], out[i]
-            for k in places:
-                c = chunks[k]
-                v[k] = ids[c] if c in ids else once[c]
-        return out
+            self.learn(unknown)
+        self.know(itertools.chain.from_iterable(own for own, plain in zip(cut, latin, strict=True) if plain))
+        words, chunks = self.words.new.__getitem__, self.chunks.new.__getitem__
+        return [b"".join(map(words if plain else chunks, own)) for own, plain in zip(cut, latin, strict=True)]
 
     def decode(self, ids) -> str:
         """The tokens of ``ids`` joined by blanks: the vocabulary names no decoder."""
@@ -311,14 +370,9 @@ class Codec:
         return " ".join(self.decimals[np.asarray(ids, np.int64)].tolist())
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    """The worker's codec of a vocabulary file, read once."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    """The worker's codec of a vocabulary file, read once as long as no other operator works there."""
+    return worker_state(f"codec {path}", lambda: Codec(path))
 
 
 def default_vocabulary() -> str:
@@ -334,7 +388,7 @@ def chunks_of(text: str) -> list[str]:
 
 
 def steps(texts: list[str]):
-    """Lists of (text number, chunks) of about STEP_CHARS characters; a longer text comes in several parts."""
+    """Lists of (text number, text) of about STEP_CHARS characters; a longer text comes in several parts, cut at white space."""
     part, size = [], 0
     for i, text in enumerate(texts):
         at = 0
@@ -345,7 +399,7 @@ def steps(texts: list[str]):
                 cut = space.start() if space else len(text)
             else:
                 cut = len(text)
-            part.append((i, chunks_of(text[at:cut] if at or cut < len(text) else text)))
+            part.append((i, text[at:cut]))
             size += cut - at
             at = max(cut, 1)
             if size >= STEP_CHARS:
@@ -386,7 +440,7 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str | None = None, k
                 for (i, _), coded in zip(part, bpe.coded([c for _, c in part]), strict=True):
                     if not coded:
                         continue
-                    own = np.frombuffer(b"".join(coded), "<u4")
+                    own = np.frombuffer(coded, "<u4")
                     spelt = (bpe.spell(own), bpe.decode(own))
                     gap = " " if counts[i] else ""
                     counts[i] += len(own)
