@@ -519,12 +519,31 @@ def test_packing(spark, docs):
     assert cutting_stock.pack(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("kind", ["mixed", "one length", "short", "few", "tail"])
+def best_sequences(lengths):
+    """Fewest sequences by a bound: tokens, or, where at most k pieces fit, the best matching of two or counts of k."""
+    least = math.ceil(lengths.sum() / 4096)
+    k = 4096 // int(lengths.min())
+    if k == 1:
+        return len(lengths)
+    if k == 2:  # the longest takes the shortest that is left, if it can
+        rest, i, n = np.sort(lengths), 0, 0
+        for x in rest[::-1]:
+            if n + i >= len(rest):
+                break
+            n, i = n + 1, i + (i < len(rest) - n - 1 and x + rest[i] <= 4096)
+        return n
+    return max(least, math.ceil(len(lengths) / k)) if lengths.min() * k > 4096 - lengths.min() else least
+
+
+@pytest.mark.parametrize("kind", ["mixed", "one length", "short", "few", "tail", "1360", "around 1355", "around 1020", "two bands", "halves"])
 def test_plan_places_every_rank_once(kind):
     rng = np.random.default_rng(3)
     n = {"few": 7, "tail": 3000}.get(kind, 8000)
     lengths = {"mixed": np.clip(rng.lognormal(6.5, 1.1, n).astype(int) + 1, 1, 4096), "one length": np.full(n, 1365),
-               "short": rng.integers(1, 60, n), "few": rng.integers(1, 4097, n), "tail": rng.integers(1900, 4097, n)}[kind]
+               "short": rng.integers(1, 60, n), "few": rng.integers(1, 4097, n), "tail": rng.integers(1900, 4097, n),
+               "1360": np.full(n, 1360), "around 1355": rng.normal(1355, 8, 20_000).astype(int),
+               "around 1020": rng.normal(1020, 6, n).astype(int), "halves": rng.integers(2040, 2056, n),
+               "two bands": np.concatenate([rng.normal(2700, 9, n).astype(int), rng.normal(1385, 9, n).astype(int)])}[kind]
     histogram = collections.Counter(lengths.tolist())
     plan = cutting_stock.Plan(dict(histogram))
     fill, seen = collections.defaultdict(list), collections.Counter()
@@ -539,8 +558,24 @@ def test_plan_places_every_rank_once(kind):
             assert o == at
             at += length
         assert at <= 4096
-    least = math.ceil(lengths.sum() / 4096)
-    if kind in ("mixed", "short"):
-        assert plan.sequences <= 1.03 * least + 1
-    if kind == "one length":
+    if kind != "few":
+        assert plan.sequences <= 1.03 * best_sequences(lengths) + 1
+    if kind in ("one length", "1360"):
         assert plan.sequences == math.ceil(n / 3)
+
+
+def test_classes_and_patterns():
+    histogram = {n: 1 + n % 3 for n in range(65, 4096, 3)} | {1365: 10_000}
+    got = cutting_stock.classes(histogram, 20)
+    assert len(got) == 20 and sorted(x for g in got for x in g) == sorted(histogram)
+    assert got == sorted(got, key=lambda g: g[0]) and any(g[0] == 1365 for g in got)
+    assert cutting_stock.classes({5: 1, 7: 2}) == [[5], [7]] and cutting_stock.classes({}) == []
+    rng = random.Random(4)
+    for _ in range(40):  # the knapsack against all ways to fill
+        sizes = np.array(sorted(rng.sample(range(1, 30), 4)))
+        values = np.array([rng.random() for _ in sizes])
+        best = [0.0] * 41
+        for c in range(1, 41):
+            best[c] = max([best[c - 1]] + [best[c - s] + v for s, v in zip(sizes.tolist(), values.tolist(), strict=True) if s <= c])
+        worth, pattern = cutting_stock.price(sizes, values, 40)
+        assert abs(worth - best[40]) < 1e-9 and abs(pattern @ values - worth) < 1e-9 and pattern @ sizes <= 40

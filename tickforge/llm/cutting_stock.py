@@ -3,15 +3,18 @@
 Documents are cut into whole sequences and a rest. The rests' histogram of
 lengths (at most ``CAPACITY`` numbers, whatever the corpus) is a cutting-stock
 problem: a linear program over patterns, whose columns a knapsack by dynamic
-programming prices on classes of ``CLASS`` tokens. Patterns are rounded down;
-what is left, and pieces of at most ``SMALL`` tokens, goes by exact length
-into the narrowest gap that takes it, longest first. The plan speaks of ranks
+programming prices. Lengths are grouped into at most ``CLASSES`` classes, each
+priced at its longest, cut where that wastes least: up to ``CLASSES`` different
+lengths, or any frequent one, are priced exactly. Patterns are rounded down
+and what is left is classed and priced anew, while it is much. The last rest, and pieces of at most ``SMALL`` tokens, goes by exact length into the
+narrowest gap that takes it, longest first. The plan speaks of ranks
 only ("ranks 10 to 90 of length 700 go to sequences 5 to 85 at offset 1400");
 pieces are ranked inside their length on Spark and looked up.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import defaultdict
 
@@ -24,12 +27,17 @@ from .common import fresh, gapless_rank, slices, staged
 from .word_bpe import codec, default_vocabulary, steps
 
 CAPACITY = 4096
-CLASS = 32
+#: Classes of lengths, rows of the linear program.
+CLASSES = 128
 SMALL = 64
 #: Id that ends every document.
 END_ID = 2
 #: Simplex steps; a program stopped here is feasible, only less tight.
 MAX_STEPS = 20_000
+#: Pieces a class, on average, up to which no program is solved.
+FEW = 4
+#: A program this near its bound is solved.
+TIGHT = 1e-3
 
 
 def cut(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None,
@@ -72,33 +80,69 @@ def cut(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: st
     return docs.select(docs[key], docs[text].cast("string")).mapInArrow(run, schema)
 
 
-def price(values: np.ndarray, units: int) -> tuple[float, np.ndarray]:
-    """Most valuable pattern: values[s - 1] is the worth of a piece of s units, any number of each."""
-    best, took = np.zeros(units + 1), np.zeros(units + 1, np.int64)
-    for c in range(1, units + 1):
-        sizes = np.arange(1, min(c, len(values)) + 1)
-        worth = values[sizes - 1] + best[c - sizes]
-        i = int(np.argmax(worth))
-        best[c], took[c] = (worth[i], i + 1) if worth[i] > best[c - 1] else (best[c - 1], 0)
-    pattern, c = np.zeros(len(values), np.int64), units
-    while c:
-        if took[c]:
-            pattern[took[c] - 1] += 1
-        c -= max(int(took[c]), 1)
-    return float(best[units]), pattern
+def classes(histogram: dict[int, int], most: int = CLASSES) -> list[list[int]]:
+    """Lengths in at most ``most`` runs of neighbours, longest first in each.
+
+    Starts with one run and cuts where the tokens lost by counting each piece
+    at its run's longest shrink most.
+    """
+    lengths = np.array(sorted(histogram), np.int64)
+    if not len(lengths):
+        return []
+    pieces = np.concatenate([[0], np.cumsum([histogram[n] for n in lengths.tolist()])])
+
+    def best(a: int, b: int):
+        """(minus what the best cut of lengths[a:b] saves, a, b, the cut)."""
+        if b - a < 2:
+            return 0, a, b, a
+        saved = (lengths[b - 1] - lengths[a:b - 1]) * (pieces[a + 1:b] - pieces[a])
+        i = int(np.argmax(saved))
+        return -int(saved[i]), a, b, a + 1 + i
+
+    heap, done = [best(0, len(lengths))], []
+    while heap and len(heap) + len(done) < most:
+        saved, a, b, cut = heapq.heappop(heap)
+        if not saved:
+            done.append((0, a, b, cut))
+            continue
+        heapq.heappush(heap, best(a, cut))
+        heapq.heappush(heap, best(cut, b))
+    return [lengths[a:b][::-1].tolist() for _, a, b, _ in sorted(heap + done, key=lambda x: x[1])]
 
 
-def patterns(counts: np.ndarray, units: int) -> list[tuple[np.ndarray, int]]:
+def price(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """Most valuable pattern: how many of each size (ascending) fit into ``capacity`` with the greatest sum of values."""
+    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for i in np.flatnonzero(values > 0).tolist():
+        s, v = int(sizes[i]), values[i]
+        for a in range(s, capacity + 1, s):  # a stretch reads only what the one before it wrote
+            b = min(a + s, capacity + 1)
+            worth = best[a - s:b - s] + v
+            more = worth > best[a:b]
+            best[a:b][more], took[a:b][more] = worth[more], i
+    pattern = np.zeros(len(sizes), np.int64)
+    c = int(np.argmax(best))
+    top = float(best[c])
+    while c > 0:
+        if took[c] < 0:
+            c -= 1
+        else:
+            pattern[took[c]] += 1
+            c -= int(sizes[took[c]])
+    return top, pattern
+
+
+def patterns(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     """Patterns with whole multiplicities: the linear program's optimum, rounded down.
 
-    counts[s - 1] pieces of s units; a sequence holds ``units``. Columns enter
-    a revised simplex one by one, each the best of the knapsack.
+    counts[i] pieces of sizes[i] (ascending). Columns enter a revised simplex
+    one by one, each the best of the knapsack.
     """
-    rows = np.flatnonzero(counts)
-    if not len(rows):
+    m = len(sizes)
+    if not m:
         return []
-    n, m = counts[rows].astype(float), len(rows)
-    columns = np.diag((units // (rows + 1)).astype(float))
+    n = counts.astype(float)
+    columns = np.diag((capacity // sizes).astype(float))
     cost, inverse = np.ones(m), np.diag(1 / np.diag(columns))
     x = inverse @ n
     for step in range(MAX_STEPS):
@@ -106,17 +150,15 @@ def patterns(counts: np.ndarray, units: int) -> list[tuple[np.ndarray, int]]:
             inverse = np.linalg.inv(columns)
             x = inverse @ n
         dual = cost @ inverse
-        values = np.full(units, -1.0)
-        values[rows] = dual
         i = int(np.argmin(dual))
         if dual[i] < -1e-9:  # more of a class than there are pieces
             column, c = np.zeros(m), 0.0
             column[i] = -1
         else:
-            worth, pattern = price(values, units)
-            if worth <= 1 + 1e-9:
+            worth, pattern = price(sizes, dual, capacity)
+            if worth <= 1 + TIGHT:
                 break
-            column, c = pattern[rows].astype(float), 1.0
+            column, c = pattern.astype(float), 1.0
         direction = inverse @ column
         up = direction > 1e-9
         if not up.any():
@@ -129,13 +171,8 @@ def patterns(counts: np.ndarray, units: int) -> list[tuple[np.ndarray, int]]:
         inverse[out] = pivot
         x -= ratio[out] * direction
         x[out] = ratio[out]
-    made = []
-    for j in range(m):
-        if cost[j] and (times := int(np.floor(x[j] + 1e-6))) > 0:
-            pattern = np.zeros(units, np.int64)
-            pattern[rows] = np.rint(columns[:, j]).astype(np.int64)
-            made.append((pattern, times))
-    return made
+    return [(np.rint(columns[:, j]).astype(np.int64), times) for j in range(m)
+            if cost[j] and (times := int(np.floor(x[j] + 1e-6))) > 0]
 
 
 class Plan:
@@ -151,26 +188,33 @@ class Plan:
         self.gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room -> (first sequence, how many)
         if capacity in self.left:
             self._put(capacity, self.left[capacity], 1, self._open(self.left[capacity]), 0)
-        units = capacity // CLASS
-        classes = defaultdict(list)
-        for n in sorted((n for n, c in self.left.items() if SMALL < n and c), reverse=True):
-            classes[-(-n // CLASS)].append(n)
-        counts = np.zeros(units, np.int64)
-        for s, lengths in classes.items():
-            if s <= units:
-                counts[s - 1] = sum(self.left[n] for n in lengths)
-        for pattern, times in patterns(counts, units):
-            groups = [(self._open(times), times, 0)]  # first sequence, how many, filled
-            for s in np.flatnonzero(pattern)[::-1].tolist():
-                for _ in range(int(pattern[s])):
-                    groups = [g for old in groups for g in self._slot(old, classes[s + 1])]
-            for seq, n, filled in groups:
-                self._gap(capacity - filled, seq, n)
+        while self._price():
+            pass
         for n in sorted((n for n, c in self.left.items() if c), reverse=True):
             self._fit(n)
         if any(self.left.values()):
             raise AssertionError("pieces without a place")
 
+    def _price(self) -> bool:
+        """Place pieces by patterns of the lengths that are left; whether any pattern came out whole.
+
+        A program has as many patterns as classes: too few pieces for that are left to the gaps.
+        """
+        groups = classes({n: c for n, c in self.left.items() if n > SMALL and c})
+        sizes = np.array([g[0] for g in groups], np.int64)
+        counts = np.array([sum(self.left[n] for n in g) for g in groups], np.int64)
+        if counts.sum() <= FEW * len(groups):
+            return False
+        made = patterns(sizes, counts, self.capacity)
+        for pattern, times in made:
+            filled = [(self._open(times), times, 0)]  # first sequence, how many, filled
+            for i in np.flatnonzero(pattern)[::-1].tolist():
+                for _ in range(int(pattern[i])):
+                    filled = [g for old in filled for g in self._slot(old, groups[i])]
+            for seq, n, used in filled:
+                self._gap(self.capacity - used, seq, n)
+        return bool(made)
+
     def _open(self, n: int) -> int:
         self.sequences += n
         return self.sequences - n
