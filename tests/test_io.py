@@ -70,3 +70,35 @@ def test_custom_indicator_config_and_dry_run():
         parse_config("[1, 2]")
     assert dry_run(lambda pdf: pdf["close"].rolling(2).mean(), "pandas")
     assert not dry_run(lambda pdf: pdf["missing"], "pandas")
+
+
+def _held(spark, root, schema, version=None):
+    rows = IO.read_versioned(spark, root, schema, version=version).select("symbol", "close", "version").collect()
+    return sorted((r.symbol or "", r.close, r.version) for r in rows)
+
+
+def test_versions_keep_every_symbol(spark, tmp_path):
+    """Two symbols, several writes and a failed one: nothing is lost, readers see whole versions, the archive stays."""
+    schema = "symbol string, ts timestamp_ntz, close double"
+    root = str(tmp_path / "zones")
+
+    def bars(*rows):
+        return spark.createDataFrame([(s, None, v) for s, v in rows], schema)
+    kind = bars(("A", 1.0)).schema
+    assert IO.versions(spark, root) == [] and _held(spark, root, kind) == []
+    assert IO.sink_versioned(spark, bars(("A", 1.0), ("A", 2.0)), root, versioning=False) == 1
+    assert IO.sink_versioned(spark, bars(("B", 3.0), ("A", 9.0)), root, versioning=False) == 2  # A is there: skipped
+    assert _held(spark, root, kind) == [("A", 1.0, 1), ("A", 2.0, 1), ("B", 3.0, 2)]
+    # a write that fails before its commit
+    bars(("A", 7.0)).write.partitionBy("symbol").parquet(f"{root}/zone=raw/data/version=3")
+    bars(("A", 7.0)).limit(0).write.parquet(f"{root}/zone=raw/manifest/version=4")
+    (tmp_path / "zones/zone=raw/manifest/version=4/_SUCCESS").unlink()
+    assert IO.versions(spark, root) == [1, 2] and len(_held(spark, root, kind)) == 3
+    assert IO.sink_versioned(spark, bars(("A", 5.0), (None, 6.0)), root, overwrite=True, versioning=False) == 5
+    assert _held(spark, root, kind) == [("", 6.0, 5), ("A", 5.0, 5), ("B", 3.0, 2)]
+    assert _held(spark, root, kind, version=2) == [("A", 1.0, 1), ("A", 2.0, 1), ("B", 3.0, 2)]
+    assert IO.sink_versioned(spark, bars(("A", 1.0), (None, 1.0)), root, versioning=False) == 5  # nothing new
+    assert IO.sink_versioned(spark, bars(("A", 1.0)).limit(0), root) == 5
+    assert _held(spark, root, kind) == [("", 6.0, 5), ("A", 5.0, 5), ("B", 3.0, 2)]
+    with pytest.raises(ValueError, match="no committed version"):
+        IO.read_versioned(spark, root, kind, version=3)

@@ -52,8 +52,7 @@ def q_sink_versioned(spark, sf_dir):
     bars = event_bars(spark, sf_dir)
     IO.sink_versioned(spark, bars, root)
     v = IO.sink_versioned(spark, bars, root)
-    back = spark.read.parquet(f"{root}/zone=raw").where(F.col("version") == v)
-    return _round_bars(back, ["version"])
+    return _round_bars(IO.read_versioned(spark, root, bars.schema, version=v), ["version"])
 
 
 def q_sink_sql_table(spark, sf_dir):

@@ -34,6 +34,10 @@ ARRAY_PAYLOAD = T.StructType([T.StructField("results", T.ArrayType(ARRAY_ITEM))]
 MAP_PAYLOAD = T.MapType(T.StringType(), T.MapType(T.StringType(),
                                                   T.MapType(T.StringType(), T.StringType())))
 
+#: One row a symbol: the write that holds its rows, and where.
+MANIFEST = T.StructType([T.StructField(SYM, T.StringType()), T.StructField("data_version", T.IntegerType()),
+                         T.StructField("path", T.StringType())])
+
 REQUEST_LOG = T.StructType([
     T.StructField("url", T.StringType()), T.StructField("fetched_at", T.TimestampNTZType()),
     T.StructField("status", T.IntegerType()), T.StructField("bytes", T.LongType()),
@@ -81,32 +85,94 @@ def sink_csv(df: DataFrame, path: str, mode: str = "errorifexists",
     w.csv(path)
 
 
-def next_version(spark: SparkSession, root: str, zone: str, symbol_col: str = SYM) -> int:
-    """Next version number of a zone = max(existing version) + 1."""
-    jvm = spark.sparkContext._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(os.path.join(root, f"zone={zone}", f"{symbol_col}=*", "version=*"))
-    files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in files.globStatus(pattern) or []]  # none if there is no zone yet
-    return max([int(n.partition("=")[2]) for n in names], default=0) + 1
+def _files(spark: SparkSession, path: str):
+    """(file system, path) of a location, as Hadoop knows them."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _zone(root: str, processed: bool) -> str:
+    return os.path.join(root, f"zone={'processed' if processed else 'raw'}")
+
+
+def next_version(spark: SparkSession, root: str, processed: bool = False) -> int:
+    """Number after the largest that any write of the zone, also a failed one, has used."""
+    found = [0]
+    for part in ("data", "manifest"):
+        files, pattern = _files(spark, os.path.join(_zone(root, processed), part, "version=*"))
+        found += [int(s.getPath().getName().partition("=")[2]) for s in files.globStatus(pattern) or []]
+    return max(found) + 1
+
+
+def versions(spark: SparkSession, root: str, processed: bool = False) -> list[int]:
+    """Committed versions of a zone, oldest first: those whose manifest Spark has committed."""
+    files, pattern = _files(spark, os.path.join(_zone(root, processed), "manifest", "version=*", "_SUCCESS"))
+    return sorted(int(s.getPath().getParent().getName().partition("=")[2]) for s in files.globStatus(pattern) or [])
+
+
+def manifest(spark: SparkSession, root: str, processed: bool = False, version: int | None = None) -> DataFrame | None:
+    """Rows (symbol, data_version, path) of a committed version, the newest unless given; None before the first.
+
+    Says for every symbol where its rows are: in the version that wrote them last.
+    """
+    known = versions(spark, root, processed)
+    if version is not None and version not in known:
+        raise ValueError(f"no committed version {version}; there are {known}")
+    if not known:
+        return None
+    at = version or known[-1]
+    return spark.read.schema(MANIFEST).parquet(os.path.join(_zone(root, processed), "manifest", f"version={at}"))
 
 
 def sink_versioned(spark: SparkSession, df: DataFrame, root: str, processed: bool = False,
                    overwrite: bool = False, versioning: bool = True) -> int:
-    """Raw/processed zones, ``zone=/symbol=/version=`` partitions. With
-    versioning every write is a new version (older ones stay as the archive);
-    without it the write replaces the partitions of its own symbols, or is
-    skipped unless overwrite."""
-    zone = "processed" if processed else "raw"
-    target = os.path.join(root, f"zone={zone}")
-    if versioning:
-        version = next_version(spark, root, zone)
-        mode = "append"
-    else:
-        version = 1
-        mode = "overwrite" if overwrite else "ignore"
-    (df.withColumn("version", F.lit(version))
-     .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(SYM, "version").parquet(target))
-    return version
+    """Write bars into a raw or processed zone as a new version; returns its number (or the newest if nothing was new).
+
+    A write lays down the rows of its symbols under ``data/version=N`` and
+    then, as its commit, a manifest that names for every symbol of the zone the
+    version that holds it. Older data and manifests are never touched: they are
+    the archive, and ``read_versioned`` gives any of them back. A write that
+    fails leaves no manifest, so readers see the version before it, whole; the
+    next write takes a fresh number. With ``versioning`` or ``overwrite`` the rows of
+    ``df`` replace those of its symbols; without either, symbols that the
+    zone has already are skipped and only new ones are written. Rows without a
+    symbol are kept as a symbol of their own. One writer a zone at a time.
+    """
+    old = manifest(spark, root, processed)
+    number = next_version(spark, root, processed)
+    if not versioning and not overwrite and old is not None:
+        df = df.join(old.select(F.col(SYM).alias("_had")), F.col(SYM).eqNullSafe(F.col("_had")), "left_anti")
+    path = os.path.join(_zone(root, processed), "data", f"version={number}")
+    df.write.partitionBy(SYM).parquet(path)
+    files, where = _files(spark, path)
+    if not any(s.isDirectory() for s in files.listStatus(where)):  # no rows
+        return (versions(spark, root, processed) or [0])[-1]
+    written = spark.read.schema(df.schema).parquet(path)
+    new = written.select(SYM).distinct().select(SYM, F.lit(number).alias("data_version"), F.lit(path).alias("path"))
+    if old is not None:
+        kept = old.join(new.select(F.col(SYM).alias("_new")), F.col(SYM).eqNullSafe(F.col("_new")), "left_anti")
+        new = new.unionByName(kept)
+    new.coalesce(1).write.parquet(os.path.join(_zone(root, processed), "manifest", f"version={number}"))  # one row a symbol
+    return number
+
+
+def read_versioned(spark: SparkSession, root: str, schema: T.StructType, processed: bool = False,
+                   version: int | None = None) -> DataFrame:
+    """The rows of a committed version (the newest unless given), with ``version``, the write they come from.
+
+    Each data version is read once, and of it only the symbols that the
+    manifest takes from there (partition pruning by a join on the symbol).
+    """
+    columns = [f.name for f in schema.fields]
+    of = manifest(spark, root, processed, version)
+    out = spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("version", T.IntegerType())]))
+    if of is None:
+        return out
+    for v, path in [(r.data_version, r.path) for r in of.select("data_version", "path").distinct().orderBy("data_version").collect()]:
+        own = of.where(F.col("data_version") == v).select(F.col(SYM).alias("_own"))
+        part = spark.read.schema(schema).parquet(path).join(own, F.col(SYM).eqNullSafe(F.col("_own")), "left_semi")
+        out = out.unionByName(part.select(*columns, F.lit(v).alias("version")))
+    return out
 
 
 def sink_sql_table(df: DataFrame, table: str, path: str, if_exists: str = "replace") -> None:
@@ -208,6 +274,6 @@ def source_fallback(primary: DataFrame, secondary: DataFrame, mode: str = "per_b
                                   if c not in (sym, ts)], F.col("b._src").alias("source_rank"))
 
 
-__all__ = ["scan_csv_bars", "scan_request_log", "sink_csv", "sink_versioned", "sink_sql_table",
+__all__ = ["scan_csv_bars", "scan_request_log", "sink_csv", "sink_versioned", "read_versioned", "versions", "manifest", "sink_sql_table",
            "sink_object_store", "sink_predictions", "ingest_map_json", "ingest_array_json",
            "ingest_rename_columns", "source_fallback"]
