@@ -3,6 +3,8 @@ from the driver tables into parquet and returns the read-back result."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,8 +60,9 @@ SELECT event_id, {rnd('my - w * mk + w * k', 4)} AS prediction FROM e, m"""
 def q_stream_risk(spark, sf_dir):
     bars = event_bars(spark, sf_dir)
     src = scratch_path(spark, "risk-in")
-    bars.write.parquet(src)
-    stream = spark.readStream.schema(bars.schema).parquet(src)
+    bars.write.parquet(os.path.join(src, "part=0"))
+    J.closing_record(bars).write.parquet(os.path.join(src, "part=1"))
+    stream = spark.readStream.schema(bars.schema).option("recursiveFileLookup", True).parquet(src)
     mon = J.risk_monitor(stream)
     out = spark.read.parquet(J.run_to_table(spark, mon, "stream-risk"))
     return out.select("symbol", "ts", "status", spark_round("high_water").alias("high_water"),
