@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.layout import (BLK, ORD, RN, SUB, SUB_ROWS, cumulative, own_only, rows,
+from ..plans.layout import (BLK, RN, SUB, SUB_ROWS, cumulative, own_only, rows,
                             series_window)
 from ..schema import SYM
 
@@ -210,7 +210,7 @@ def _apply_closed_form(df: DataFrame, specs, sym: str) -> DataFrame:
     if not specs:
         return df
     j = (F.col(RN) - 1 - F.col(SUB) * SUB_ROWS).cast("double")  # 0..B-1 in the sub-block
-    in_sub = (Window.partitionBy(sym, BLK, SUB).orderBy(ORD)
+    in_sub = (Window.partitionBy(sym, BLK, SUB).orderBy(RN)
               .rowsBetween(Window.unboundedPreceding, 0))
     before = series_window(sym).rowsBetween(Window.unboundedPreceding, -1)
     is_end = j == float(SUB_ROWS - 1)

@@ -398,7 +398,7 @@ def vwap(df, carries, sym=SYM, price_type="typical", adjust_for_splits=False, an
         require_columns(df, ["split_coefficient"], "vwap")
         vol = F.try_divide(vol, F.col("split_coefficient"))
     if anchor == "day":
-        day = Window.partitionBy(sym, BLK, F.to_date(ORD)).orderBy(ORD).rowsBetween(
+        day = Window.partitionBy(sym, BLK, F.to_date(ORD)).orderBy(RN).rowsBetween(
             Window.unboundedPreceding, 0)
         df = (df.withColumn("_pv_l", F.sum(own_only(px * vol)).over(day))
               .withColumn("_v_l", F.sum(own_only(vol)).over(day)))

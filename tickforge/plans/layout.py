@@ -4,26 +4,26 @@ A window keyed by symbol alone puts a whole symbol in one task; if one symbol
 holds a third of all rows, that task holds a third of the data. Instead every
 series window here is keyed by ``(symbol, _blk)``:
 
-1. per-symbol stats (rows, first/last ts) give each symbol a fixed bucket
-   width in time so that a bucket holds about ``bucket_rows`` bars; bucket
-   rows are bounded because (symbol, ts) is unique in a bar table;
-2. bucket counts (a partial aggregate; the plan table holds at most
-   ``symbols + max_plan_rows`` rows) are packed into blocks of at least
-   ``block_rows`` rows with a running sum per symbol;
-3. the last buckets of each block are also copied into the next block as
-   *halo* rows (``_own = false``) so that every look-back of up to ``halo``
-   rows is answered inside one block; halo rows are dropped at the end;
-4. ``_rn`` is the exact 1-based row number of the bar inside its symbol.
+1. rows are range-partitioned and sorted by (symbol, time), ties broken by a
+   digest of the row and a seeded draw, so that equal times, too, are spread
+   over partitions; the sorted rows are written once to the shared folder;
+2. a row's place in its partition plus the rows of its symbol in the
+   partitions before it is ``_rn``, the exact 1-based row number of the bar
+   inside its symbol. The offsets are one row per (symbol, partition);
+3. block k of a symbol is rows k * block_rows + 1 to (k + 1) * block_rows,
+   whatever the times are;
+4. the last ``halo`` rows of each block are also copied into the next block
+   (``_own = false``) so that every look-back of up to ``halo`` rows is
+   answered inside one block; halo rows are dropped at the end.
 
 Row-frame windows (lag, rolling n, EMA by doubling) are then exact inside a
 block; cumulative quantities add a carry computed on the small block table
-(:func:`add_carry`). The plan tables are tiny, written once to the shared
-checkpoint folder and broadcast only after their row count is checked.
+(:func:`add_carry`). No block holds more than block_rows + halo rows. The offsets
+are broadcast only after their row count is checked.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,18 +31,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import SYM, TS
+from ..session import scratch_path
 
-BLK, RN, OWN, P0, ORD, SUB = "_blk", "_rn", "_own", "_p0", "_ord", "_sub"
+BLK, RN, OWN, ORD, SUB = "_blk", "_rn", "_own", "_ord", "_sub"
 LAYOUT_COLS = (BLK, RN, OWN, ORD, SUB)
 # rows per sub-block of the closed-form recurrence kernel (see kernels.py)
 SUB_ROWS = 1024
 
 # Plan tables up to this many rows are broadcast; above it they are joined
-# with a shuffle. The plan is bounded by symbols + MAX_PLAN_ROWS buckets.
+# with a shuffle.
 BROADCAST_ROWS = 2_000_000
-MAX_PLAN_ROWS = 1_000_000
 DEFAULT_BLOCK_ROWS = 1 << 20
-DEFAULT_BUCKET_ROWS = 1 << 12
 
 
 @dataclass(frozen=True)
@@ -60,18 +59,18 @@ class Laid:
 
 
 def series_window(sym: str = SYM):
-    # ordered by (sub-block, bar time): the same order as the row number, and
-    # the one sort that also serves the sub-block partitions of the
-    # recurrence kernel (partitionBy(sym, _blk, _sub).orderBy(_ord))
-    return Window.partitionBy(sym, BLK).orderBy(SUB, ORD)
+    # ordered by (sub-block, row number): the one sort that also serves the
+    # sub-block partitions of the recurrence kernel
+    # (partitionBy(sym, _blk, _sub).orderBy(_rn))
+    return Window.partitionBy(sym, BLK).orderBy(SUB, RN)
 
 
-def _number(df: DataFrame, sym: str, start=None) -> DataFrame:
+def _number(df: DataFrame, sym: str) -> DataFrame:
     w = Window.partitionBy(sym, BLK).orderBy(ORD)
-    rn = F.row_number().over(w)
-    if start is not None:
-        rn = F.col(start) + rn
-    df = df.withColumn(RN, rn.cast("bigint"))
+    return _sub_blocks(df.withColumn(RN, F.row_number().over(w).cast("bigint")))
+
+
+def _sub_blocks(df: DataFrame) -> DataFrame:
     return df.withColumn(SUB, F.floor((F.col(RN) - 1) / SUB_ROWS).cast("bigint"))
 
 
@@ -119,7 +118,7 @@ def largest_series(df: DataFrame, sym: str = SYM) -> int:
 
 def lay_out(df: DataFrame, sym: str = SYM, ts: str = TS, *, halo: int = 0,
             blocked: bool = True, block_rows: int = DEFAULT_BLOCK_ROWS,
-            bucket_rows: int = DEFAULT_BUCKET_ROWS, largest: int | None = None) -> Laid:
+            largest: int | None = None) -> Laid:
     """Attach ``_blk``, ``_rn`` and ``_own`` to a bar-like table.
 
     ``halo`` is the longest look-back (in rows) any later window needs.
@@ -136,88 +135,57 @@ def lay_out(df: DataFrame, sym: str = SYM, ts: str = TS, *, halo: int = 0,
         out = df.withColumns({BLK: F.lit(0).cast("bigint"), OWN: F.lit(True), ORD: F.col(ts)})
         return Laid(_number(out, sym), sym, ts, halo, False, None)
 
-    # the order key: bar time (in microseconds), or any numeric column (an
-    # as-of search over values uses the same blocks and carries)
-    numeric_key = isinstance(df.schema[ts].dataType, T.NumericType)
-    t_us = (F.col(ts).cast("double") if numeric_key
-            else F.unix_micros(F.col(ts).cast("timestamp")))
     # 0. one small aggregate: if every symbol fits in one block, one block per
     #    symbol is already bounded and the plan below is not needed.
     if largest is None:
         largest = largest_series(df, sym)
     if int(largest) <= max(int(block_rows), halo + 1):
         return lay_out(df, sym, ts, halo=halo, blocked=False)
-    # 1. per-symbol stats -> bucket width (microseconds) per symbol.
-    stats = (df.groupBy(sym)
-             .agg(F.count(F.lit(1)).alias("_n"), F.min(t_us).alias("_t0"),
-                  F.max(t_us).alias("_t1")))
-    stats = _materialize(stats)
-    n_sym, n_total = stats.agg(F.count(F.lit(1)), F.sum("_n")).first()
-    n_total = int(n_total or 0)
-    bucket_rows = max(int(bucket_rows), math.ceil(n_total / MAX_PLAN_ROWS), 1)
-    if numeric_key:
-        width = F.greatest(F.lit(1e-12), (F.col("_t1") - F.col("_t0")) * F.lit(bucket_rows)
-                           / F.col("_n"))
-    else:
-        width = F.greatest(F.lit(1).cast("bigint"),
-                           F.ceil((F.col("_t1") - F.col("_t0") + 1) * F.lit(bucket_rows)
-                                  / F.col("_n")).cast("bigint"))
-    stats = stats.withColumn("_w", width)
-    stats_b = maybe_broadcast(stats.select(sym, "_t0", "_w"), n_sym)
-    bkt = F.floor((t_us - F.col("_t0")) / F.col("_w")).cast("bigint")
-
-    # 2. bucket counts -> blocks.
-    counts = (df.select(sym, ts).join(stats_b, sym)
-              .groupBy(sym, bkt.alias("_bkt")).agg(F.count(F.lit(1)).alias("_c")))
-    counts = _materialize(counts)
-    n_bkt, max_c = counts.agg(F.count(F.lit(1)), F.max("_c")).first()
-    max_c = int(max_c or 0)
-    # a block always holds more than `halo` rows, so a halo lies in one block
-    block_rows = max(int(block_rows), 2 * bucket_rows, halo + max_c + 1)
-    wb = Window.partitionBy(sym).orderBy("_bkt")
-    before = F.coalesce(F.sum("_c").over(wb.rowsBetween(Window.unboundedPreceding, -1)),
-                        F.lit(0)).cast("bigint")
-    plan = counts.withColumn("_before", before).withColumn(
-        BLK, F.floor(F.col("_before") / block_rows).cast("bigint"))
-    blocks = plan.groupBy(sym, BLK).agg(F.min("_before").alias("_start"))
-    wk = Window.partitionBy(sym).orderBy(BLK)
-    blocks = (blocks.withColumn("_next_blk", F.lead(BLK).over(wk))
-              .withColumn("_next_start", F.lead("_start").over(wk)))
-    plan = plan.join(blocks, [sym, BLK])
-    in_halo = (F.col("_next_start").isNotNull()
-               & (F.col("_before") + F.col("_c") > F.col("_next_start") - halo))
-    plan = plan.withColumn("_halo_blk", F.when(in_halo, F.col("_next_blk")))
-    # first row number (0-based) of each block partition, halo included
-    halo_start = (plan.where(F.col("_halo_blk").isNotNull())
-                  .groupBy(sym, F.col("_halo_blk").alias(BLK))
-                  .agg(F.min("_before").alias("_hs")))
-    p0 = (blocks.join(halo_start, [sym, BLK], "left")
-          .select(sym, BLK, F.least(F.col("_start"), F.coalesce("_hs", "_start")).alias(P0)))
-    p0_own = p0.withColumnRenamed(P0, "_p0_own")
-    p0_halo = p0.withColumnRenamed(BLK, "_halo_blk").withColumnRenamed(P0, "_p0_halo")
-    plan = plan.join(p0_own, [sym, BLK]).join(p0_halo, [sym, "_halo_blk"], "left")
-    targets = F.when(
-        F.col("_halo_blk").isNull(),
-        F.array(F.struct(F.col(BLK).alias("b"), F.lit(True).alias("o"),
-                         F.col("_p0_own").alias("p"))),
-    ).otherwise(F.array(
-        F.struct(F.col(BLK).alias("b"), F.lit(True).alias("o"), F.col("_p0_own").alias("p")),
-        F.struct(F.col("_halo_blk").alias("b"), F.lit(False).alias("o"),
-                 F.col("_p0_halo").alias("p"))))
-    plan = _materialize(plan.select(sym, "_bkt", targets.alias("_t")))
-    plan_b = maybe_broadcast(plan, int(n_bkt))
-    blocks_small = _materialize(blocks.select(sym, BLK, "_start"))
-
-    # 3. attach the plan to every bar, copy halo rows, number rows.
+    block_rows = max(int(block_rows), halo + 1)  # a halo lies in one block
+    ranked, totals = rank(df, sym, ts)
+    blocks = totals.select(sym, F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.floor((F.col("_rk_n") - 1) / block_rows))).alias(BLK))
+    blocks = _materialize(blocks.withColumn("_start", F.col(BLK) * block_rows))
+    at = F.floor((F.col(RN) - 1) / block_rows).cast("bigint")
+    here = F.struct(at.alias("b"), F.lit(True).alias("o"))
+    after = F.struct((at + 1).alias("b"), F.lit(False).alias("o"))
+    copied = ((F.col(RN) - 1) % block_rows >= block_rows - halo) & ((at + 1) * block_rows < F.col("_rk_n"))
     wanted = df.columns
-    laid = (df.join(stats_b, sym)
-            .withColumn("_bkt", bkt)
-            .join(plan_b, [sym, "_bkt"])
-            .select(*wanted, F.inline("_t"))
-            .withColumnRenamed("b", BLK).withColumnRenamed("o", OWN)
-            .withColumnRenamed("p", P0))
-    laid = _number(laid.withColumn(ORD, F.col(ts)), sym, start=P0).drop(P0)
-    return Laid(laid, sym, ts, halo, True, blocks_small)
+    laid = ranked.select(*wanted, F.col(ts).alias(ORD), RN,
+                         F.inline(F.when(copied, F.array(here, after)).otherwise(F.array(here))))
+    laid = _sub_blocks(laid.withColumnRenamed("b", BLK).withColumnRenamed("o", OWN))
+    return Laid(laid, sym, ts, halo, True, blocks)
+
+
+def rank(df: DataFrame, sym: str, ts: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with their exact number ``_rn`` in the symbol and its rows ``_rk_n``; and (symbol, _rk_n).
+
+    Order is by ``ts``, ties by a digest of the whole row (rows that are equal
+    throughout, by a seeded draw). Sorting is by ranges of (symbol, ts, tie), so a
+    symbol or a time that most rows share is many partitions.
+    """
+    spark = df.sparkSession
+    tie, draw, place = "_rk_tie", "_rk_draw", "_rk_place"
+    plain = [c for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]
+    keyed = df.withColumn(tie, F.xxhash64(*plain)).withColumn(draw, F.rand(7))
+    keys = [sym, ts, tie, draw]
+    path = scratch_path(spark, "ranked")
+    keyed = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(tie, draw)
+    # the id holds the partition above bit 33 and the place in it below
+    keyed.withColumn(place, F.monotonically_increasing_id()).write.parquet(path)
+    stored = spark.read.schema(T.StructType([*df.schema.fields, T.StructField(place, T.LongType())])).parquet(path)
+    part = F.shiftright(place, 33)
+    ends = stored.groupBy(sym, part.alias("_rk_part")).agg(F.min(place).alias("_rk_low"), F.count(F.lit(1)).alias("_rk_c"))
+    ends = _materialize(ends)  # a row for each partition and symbol in it
+    w = Window.partitionBy(sym)
+    before = F.sum("_rk_c").over(w.orderBy("_rk_part").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.withColumn("_rk_before", F.coalesce(before, F.lit(0))).withColumn("_rk_n", F.sum("_rk_c").over(w))
+    n_ends = ends.count()
+    totals = ends.select(sym, "_rk_n").distinct()
+    offsets = maybe_broadcast(ends.select(sym, "_rk_part", "_rk_low", "_rk_before", "_rk_n"), n_ends)
+    ranked = (stored.withColumn("_rk_part", part).join(offsets, [sym, "_rk_part"])
+              .withColumn(RN, F.col("_rk_before") + F.col(place) - F.col("_rk_low") + 1))
+    return ranked.select(*df.columns, RN, "_rk_n"), totals
 
 
 def add_carry(laid: Laid, specs: dict[str, tuple[str, str]]) -> DataFrame:
