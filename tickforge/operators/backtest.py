@@ -1,7 +1,7 @@
 """Strategy replay, performance, risk and option-trade P&L.
 
 The action ledger is a path-dependent fold (share count and balance branch
-on themselves), streamed per (strategy, symbol) like PSAR. Everything else
+on themselves) per (strategy, symbol), cut into blocks like PSAR. Everything else
 is aggregates and windows: performance metrics are one grouped aggregate per
 symbol, running marks use the block layout's carried maxima.
 """
@@ -9,16 +9,15 @@ symbol, running marks use the block layout's carried maxima.
 from __future__ import annotations
 
 import math
-from typing import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernels as K
+from ..plans.layout import DEFAULT_BLOCK_ROWS
 from ..schema import SYM, TS
-from .fold import _check_order
+from .fold import fold_series
 from .series import run_series
 
 INITIAL_BALANCE = 10000.0
@@ -28,7 +27,8 @@ TRADING_DAYS = 252
 
 
 def action_ledger(actions: DataFrame, *, sym: str = SYM, ts: str = TS, key=None,
-                  balance: float = INITIAL_BALANCE, fee: float = FEE) -> DataFrame:
+                  balance: float = INITIAL_BALANCE, fee: float = FEE,
+                  block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Replay an action table per symbol (action_type 0 = buy, 1 = sell, other
     = hold; amount in [0,1]). An action trades at its own bar's price: buy
     floor(balance / price) * amount shares at price * (1 + fee), sell shares *
@@ -38,49 +38,49 @@ def action_ledger(actions: DataFrame, *, sym: str = SYM, ts: str = TS, key=None,
     is taken and the position is valued at its own price. Also flags a balance
     driven below zero by fees."""
     keys = [sym] + list(key or [])
-    out_schema = T.StructType(actions.schema.fields + [
-        T.StructField("balance", T.DoubleType()), T.StructField("shares", T.DoubleType()),
-        T.StructField("equity", T.DoubleType()), T.StructField("reward", T.DoubleType()),
-        T.StructField("negative_balance", T.BooleanType())])
-    cols = actions.columns
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bal, sh, last_ts, held = balance, 0.0, None, None
-
-        def replay(pdf, later):
-            nonlocal bal, sh
-            rows = zip(pdf["action_type"].to_numpy().tolist(), pdf["amount"].to_numpy(dtype="float64").tolist(),
-                       pdf["price"].to_numpy(dtype="float64").tolist(), later)
-            b_out, s_out, e_out = [], [], []
-            for k, a, p, value in rows:
-                if k == 0 and p > 0:
-                    n = math.floor(bal / p) * a
-                    bal -= n * p * (1 + fee)
-                    sh += n
-                elif k == 1:
-                    n = sh * a
-                    bal += n * p * (1 - fee)
-                    sh -= n
-                b_out.append(bal)
-                s_out.append(sh)
-                e_out.append(sh * value + bal)
-            eq = pd.Series(e_out, dtype="float64").to_numpy()
-            return pdf.assign(balance=b_out, shares=s_out, equity=eq, reward=eq - balance,
-                              negative_balance=[x < 0 for x in b_out])
-
-        for pdf in batches:
-            last_ts = _check_order(last_ts, pdf[ts])
-            if held is not None:  # the row that waited for its next bar
-                pdf = pd.concat([held, pdf], ignore_index=True)
-            pdf = pdf[cols]
-            held = pdf.iloc[-1:] if len(pdf) else None
-            prices = pdf["price"].to_numpy(dtype="float64").tolist()
-            yield replay(pdf.iloc[:-1], prices[1:])
-        if held is not None:
-            yield replay(held, held["price"].to_numpy(dtype="float64").tolist())
-
-    grouped = actions.repartition(*keys).sortWithinPartitions(*keys, ts)
-    return grouped.groupBy(*keys).applyInPandas(fold, out_schema)
+    for c in [*keys, ts]:
+        actions = actions.where(F.col(c).isNotNull())
+
+    def run(state, pdf):
+        bal, sh = (balance, 0.0) if state is None else state
+        rows = zip(pdf["action_type"].to_numpy().tolist(), pdf["amount"].to_numpy(dtype="float64").tolist(),
+                   pdf["price"].to_numpy(dtype="float64").tolist())
+        b_out, s_out = [], []
+        for k, a, p in rows:
+            if k == 0 and p > 0:
+                n = math.floor(bal / p) * a
+                bal -= n * p * (1 + fee)
+                sh += n
+            elif k == 1:
+                n = sh * a
+                bal += n * p * (1 - fee)
+                sh -= n
+            b_out.append(bal)
+            s_out.append(sh)
+        return {"balance": b_out, "shares": s_out}, [bal, sh]
+
+    fields = [T.StructField("balance", T.DoubleType()), T.StructField("shares", T.DoubleType())]
+    out = fold_series(actions, keys, ts, run, fields, block_rows=block_rows)
+    return _valued(out, actions, keys, ts, balance, block_rows)
+
+
+def _valued(out: DataFrame, actions: DataFrame, keys: list[str], ts: str, balance: float, block_rows: int) -> DataFrame:
+    """Equity at the next bar's price: a look-ahead inside each day of a series, across days by their first bars.
+
+    A window over whole series would be one task for a hot symbol, so
+    the look-ahead runs inside (key, day) and the last bar of a day takes the
+    first price of the series' next day that has bars: one row a day.
+    """
+    day = F.to_date(ts)
+    firsts = actions.groupBy(*keys, day.alias("_day")).agg(F.min_by(F.struct("price"), ts).alias("_first"))
+    firsts = firsts.withColumn("_after", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_day")))
+    inside = F.lead(F.struct("price")).over(Window.partitionBy(*keys, "_day").orderBy(ts))
+    out = out.withColumn("_day", day).withColumn("_next", inside)
+    out = out.join(firsts.drop("_first"), [*keys, "_day"])
+    value = F.coalesce(F.col("_next"), F.col("_after"), F.struct("price"))["price"]
+    equity = F.col("shares") * value + F.col("balance")
+    return out.select(*actions.columns, "balance", "shares", equity.alias("equity"),
+                      (equity - balance).alias("reward"), (F.col("balance") < 0).alias("negative_balance"))
 
 
 def momentum_actions(bars: DataFrame, *, sym: str = SYM, ts: str = TS, **kw) -> DataFrame:

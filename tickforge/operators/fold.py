@@ -1,11 +1,14 @@
-"""Path-dependent folds (state that branches on itself): Parabolic SAR.
-
-A non-associative fold cannot be split inside one series, so it runs as a
-grouped map per symbol. The group is *streamed*: Spark 4 hands the function
-an iterator of Arrow batches (``spark.sql.execution.arrow.maxRecordsPerBatch``
-rows each) in ``(symbol, ts)`` order and the fold carries only its small
-state from batch to batch, so memory per task stays bounded by one batch even
-for a symbol holding a third of all rows.
+"""Path-dependent folds (state that branches on itself): Parabolic SAR, the action ledger.
+
+A series of one block is a grouped map: Spark hands the function an iterator of
+Arrow batches in ``(symbol, ts)`` order and the fold carries only its small state
+from batch to batch. A longer one is cut into blocks by exact rank, and all blocks
+run at once from *guessed* entry states (:func:`fold_blocks`); blocks whose
+entry turns out to be another (the exit of the block before) run again, until
+no entry changes. Such a fold forgets: after a reversal, two runs of a stop
+agree, so few blocks run twice. Where a fold does not forget (a ledger's
+balance), only the first wrong block of each series runs again, so the work
+stays in proportion, block by block.
 """
 
 from __future__ import annotations
@@ -14,16 +17,13 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.layout import BLK, DEFAULT_BLOCK_ROWS, RN, maybe_broadcast, rank
 from ..schema import SYM, TS
-
-
-def ordered_groups(df: DataFrame, sym: str, ts: str) -> DataFrame:
-    """Hash-partition by symbol and sort by (symbol, ts) so a grouped map
-    receives each symbol's rows in time order without another sort."""
-    return df.repartition(sym).sortWithinPartitions(sym, ts)
+from ..session import scratch_path
 
 
 def _check_order(prev_ts, ts_values):
@@ -80,23 +80,167 @@ class StopAndReverse:
         return self.stop
 
 
+    def state(self) -> list[float]:
+        return [float(self.side), self.speed, self.stop, self.best[1], self.best[-1], *self.last]
+
+    def resume(self, state: list[float]) -> None:
+        side, self.speed, self.stop, up, down, high, low = state
+        self.side, self.best, self.last = int(side), {1: up, -1: down}, (high, low)
+
+
+def _fold_batches(run, ts: str, columns: list[str], batches, state):
+    """Batches of one series or block, with the fold's columns, and the state after each."""
+    last_ts = None
+    for pdf in batches:
+        last_ts = _check_order(last_ts, pdf[ts])
+        if len(pdf):
+            made, state = run(state, pdf)
+            yield pdf[columns].assign(**made), state
+
+
+def fold_series(df: DataFrame, keys: list[str], ts: str, run, fields: list[T.StructField], *, guess=None,
+                block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """``df`` with the columns ``fields`` of a fold over each series in the order of ``ts``.
+
+    ``run(state, frame)`` gives the new columns of some rows and the state (a list
+    of numbers) after them; the first state is None. Rows without a key or time
+    belong to no series and are left out; a repeated time is an error. Series of
+    up to ``block_rows`` rows are a task each, longer ones a task for each block.
+    """
+    for c in [*keys, ts]:
+        df = df.where(F.col(c).isNotNull())
+    if (df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > block_rows:
+        return fold_blocks(df, keys, ts, run, fields, guess=guess, block_rows=block_rows)
+    columns, schema = df.columns, T.StructType(df.schema.fields + fields)
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for out, _ in _fold_batches(run, ts, columns, batches, None):
+            yield out
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, ts).groupBy(*keys).applyInPandas(whole, schema)
+
+
+def fold_blocks(df: DataFrame, keys: list[str], ts: str, run, fields: list[T.StructField], *, guess=None,
+                block_rows: int = DEFAULT_BLOCK_ROWS, seen: list | None = None) -> DataFrame:
+    """The same for long series: blocks from guessed entry states, run again until every entry holds.
+
+    ``guess(blocks, keys)`` gives rows (keys, _blk, _entry array<double>) of
+    later blocks from the rows (with ``_blk`` and ``_rn``); without it, and for
+    the first block, a block starts like a series. Every round is a written
+    table of the rows it has run; entries and exits are one row a block. After a
+    round in which most blocks left otherwise than before although only
+    their entry had changed, speculation stops: then just the first wrong block of
+    each series runs again. ``seen`` collects the blocks run in each round.
+    """
+    spark = df.sparkSession
+    key = "_fold_key"
+    ranked, totals = rank(df.withColumn(key, F.struct(*keys)), key, ts)
+    block = F.floor((F.col(RN) - 1) / block_rows).cast("bigint")
+    rows = _stored(spark, ranked.drop("_rk_n").withColumn(BLK, block), "fold-rows")
+    blocks = totals.select(key, F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.floor((F.col("_rk_n") - 1) / block_rows))).alias(BLK))
+    none = F.lit(None).cast("array<double>")
+    entries = blocks.withColumn("_entry", none)
+    if guess is not None:
+        entries = blocks.join(guess(rows, [key]), [key, BLK], "left").select(key, BLK, "_entry")
+    entries = _stored(spark, entries, "fold-entries")
+    n_blocks = entries.count()
+    columns = df.columns
+    out_fields = [*df.schema.fields, *fields, T.StructField(key, rows.schema[key].dataType),
+                  T.StructField(BLK, T.LongType()), T.StructField("_exit", T.ArrayType(T.DoubleType()))]
+
+    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, state = None, None
+        first = True
+        for pdf in batches:
+            if first:
+                entry, first = pdf["_entry"].iloc[0], False
+                state = None if entry is None else [float(x) for x in entry]
+            for out, state in _fold_batches(run, ts, [*columns, key, BLK], [pdf], state):
+                if held is not None:
+                    yield held.assign(_exit=None)
+                held = out
+        if held is not None:  # the exit state stands on the block's last row
+            yield held.iloc[:-1].assign(_exit=None)
+            yield held.iloc[-1:].assign(_exit=[state])
+
+    exits, tables, todo, speculate, round_ = None, [], entries, True, 0
+    while True:
+        n = todo.count()
+        if not n:
+            break
+        if seen is not None:
+            seen.append(n)
+        part = rows.join(maybe_broadcast(todo, n), [key, BLK])
+        part = part.repartition(key, BLK).sortWithinPartitions(key, BLK, RN)
+        done = _stored(spark, part.groupBy(key, BLK).applyInPandas(one, T.StructType(out_fields)), "fold-round")
+        tables.append(done.withColumn("_round", F.lit(round_)))
+        now = done.where(F.col("_exit").isNotNull()).select(key, BLK, F.lit(round_).alias("_round"), "_exit")
+        if exits is None:
+            exits = now
+        else:
+            both = exits.join(now.withColumnsRenamed({"_round": "_r", "_exit": "_e"}), [key, BLK], "left")
+            if speculate:
+                again, same = both.where(F.col("_r").isNotNull()).agg(
+                    F.count(F.lit(1)), F.count(F.when(F.col("_e").eqNullSafe(F.col("_exit")), 1))).first()
+                speculate = 2 * same >= again
+            both = both.select(key, BLK, F.coalesce("_r", "_round").alias("_round"), F.coalesce("_e", "_exit").alias("_exit"))
+            exits = both
+        exits = _stored(spark, exits, "fold-exits")
+        before = F.lag("_exit").over(Window.partitionBy(key).orderBy(BLK))
+        held = entries.join(exits, [key, BLK]).withColumn("_now", F.when(F.col(BLK) > 0, before))
+        wrong = held.where(~F.col("_now").eqNullSafe(F.col("_entry"))).select(key, BLK, F.col("_now").alias("_entry"))
+        if not speculate:
+            first = wrong.groupBy(key).agg(F.min(BLK).alias(BLK))
+            wrong = wrong.join(first, [key, BLK], "left_semi")
+        todo = _stored(spark, wrong, "fold-wrong")
+        entries = _stored(spark, entries.join(todo.withColumnRenamed("_entry", "_new").withColumn("_hit", F.lit(True)), [key, BLK], "left")
+                          .select(key, BLK, F.when(F.col("_hit"), F.col("_new")).otherwise(F.col("_entry")).alias("_entry")), "fold-entries")
+        round_ += 1
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    last = maybe_broadcast(exits.select(key, BLK, "_round"), n_blocks)
+    return out.join(last, [key, BLK, "_round"]).select(*columns, *[f.name for f in fields])
+
+
+def _stored(spark, df: DataFrame, name: str) -> DataFrame:
+    """A written table in the shared folder: each round starts from files."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _extremes_guess(step: float):
+    """Entry of a block as if long since its start, with the extremes and the last bar of all rows before it."""
+    def guess(rows: DataFrame, keys: list[str]) -> DataFrame:
+        ends = rows.groupBy(*keys, BLK).agg(F.max("high").alias("h"), F.min("low").alias("l"),
+                                            F.max_by(F.struct("high", "low"), RN).alias("last"))
+        before = Window.partitionBy(*keys).orderBy(BLK)
+        so_far = before.rowsBetween(Window.unboundedPreceding, -1)
+        last = F.lag("last").over(before)
+        state = F.array(F.lit(1.0), F.lit(step), last["low"], F.max("h").over(so_far), -F.min("l").over(so_far),
+                        last["high"], last["low"])
+        return ends.select(*keys, BLK, F.when(F.col(BLK) > 0, state.cast("array<double>")).alias("_entry"))
+    return guess
+
+
 def psar(bars: DataFrame, sym: str = SYM, ts: str = TS, step: float = 0.02,
-         max_step: float = 0.2, textbook: bool = False) -> DataFrame:
+         max_step: float = 0.2, textbook: bool = False, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Parabolic SAR per symbol, starting long at the first close (see StopAndReverse)."""
     if not (0 < step <= max_step):
         raise ValueError("need 0 < step <= max_step")
     missing = [c for c in ("high", "low", "close") if c not in bars.columns]
     if missing:
         raise ValueError(f"psar needs the columns {missing}")
-    out_schema = T.StructType(bars.schema.fields + [T.StructField("PSAR", T.DoubleType())])
-    cols = bars.columns
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, last_ts = StopAndReverse(step, max_step, textbook), None
-        for pdf in batches:
-            last_ts = _check_order(last_ts, pdf[ts])
-            rows = zip(*(pdf[x].to_numpy(dtype="float64").tolist() for x in ("high", "low", "close")))
-            yield pdf[cols].assign(PSAR=[
-                state.begin(h, lo, cl) if state.stop is None else state.advance(h, lo) for h, lo, cl in rows])
+    def run(state, pdf):
+        stop = StopAndReverse(step, max_step, textbook)
+        if state is not None:
+            stop.resume(state)
+        rows = zip(*(pdf[x].to_numpy(dtype="float64").tolist() for x in ("high", "low", "close")))
+        made = [stop.begin(h, lo, cl) if stop.stop is None else stop.advance(h, lo) for h, lo, cl in rows]
+        return {"PSAR": made}, stop.state()
 
-    return ordered_groups(bars, sym, ts).groupBy(sym).applyInPandas(fold, out_schema)
+    return fold_series(bars, [sym], ts, run, [T.StructField("PSAR", T.DoubleType())],
+                       guess=_extremes_guess(step), block_rows=block_rows)
