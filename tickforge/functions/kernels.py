@@ -12,8 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.layout import (BLK, RN, SUB, SUB_ROWS, cumulative, own_only, rows,
-                            series_window)
+from ..plans.layout import (BLK, RN, SUB, SUB_ROWS, OWN, cumulative, own_only, rows,
+                            series_window, stored)
 from ..schema import SYM
 
 
@@ -163,14 +163,19 @@ def wilder_lookback(n: int) -> int:
     return recurrence_lookback((n - 1.0) / n) + n + 1
 
 
-def apply_recurrences(df: DataFrame, specs, sym: str = SYM) -> DataFrame:
+def apply_recurrences(df: DataFrame, specs, sym: str = SYM, gaps: bool = False, blocked: bool = False) -> DataFrame:
     """Evaluate several independent recurrences in lock-step.
 
     ``specs``: list of ``(out, b, r, seed_mask)`` where ``b`` is the input
     term column, ``r`` the decay and ``seed_mask`` a boolean column true on
     rows at or after the seed (the output is null elsewhere). Pass ``p`` of
-    every recurrence shares one window operator.
+    every recurrence shares one window operator. With ``gaps`` (an input has
+    nulls) EMAs go by ``apply_weighted``, which gives the same without nulls.
     """
+    if gaps:  # weights differ from row to row
+        weighted = [sp for sp in specs if isinstance(sp, EmaSpec)]
+        df = apply_weighted(df, weighted, sym, blocked) if weighted else df
+        specs = [sp for sp in specs if not isinstance(sp, EmaSpec)]
     if not specs:
         return df
     closed = [sp for sp in specs if closed_form_ok(sp[2])]
@@ -231,15 +236,108 @@ def _apply_closed_form(df: DataFrame, specs, sym: str) -> DataFrame:
     return df.drop(*[f"_cf{i}" for i in range(len(specs))], *[f"_cc{i}" for i in range(len(specs))])
 
 
+class EmaSpec(tuple):
+    """A recurrence spec that also knows its input and weight, for inputs with gaps."""
+    x: Column
+    alpha: float
+
+
 def ema_spec(out: str, x, span: int, seed_rn: int = 1):
-    """pandas ``ewm(span, adjust=False).mean()`` seeded at row ``seed_rn``."""
+    """pandas ``ewm(span, adjust=False).mean()`` seeded at row ``seed_rn`` (with gaps: at the first value)."""
     if span < 1:
         raise ValueError("span must be >= 1")
     alpha = 2.0 / (span + 1.0)
     r = 1.0 - alpha
     rn = F.col(RN)
     b = F.when(rn == seed_rn, c(x)).otherwise(F.lit(alpha) * c(x))
-    return (out, b, r, rn >= seed_rn)
+    spec = EmaSpec((out, b, r, rn >= seed_rn))
+    spec.x, spec.alpha = c(x).cast("double"), alpha
+    return spec
+
+
+def apply_weighted(df: DataFrame, specs: list[EmaSpec], sym: str = SYM, blocked: bool = False) -> DataFrame:
+    """EMAs of inputs with nulls, with the weights of pandas' ``ewm(adjust=False)``.
+
+    The first value is the seed; a null row repeats the mean; a value g rows after
+    the last one counts alpha against (1 - alpha)**g for the mean so far. Each row
+    is then an affine map y -> A y + B with a weight of its own, and maps
+    compose: inside a sub-block by running sums of log A, over sub-blocks by
+    composing one map each (an array of at most a block's sub-blocks), over
+    blocks likewise. Nothing is cut off, so a mean survives any gap. Halo rows
+    take the values of the rows they copy. Rows are written to the shared folder
+    before they are joined with what is summed up from them.
+    """
+    before = series_window(sym).rowsBetween(Window.unboundedPreceding, -1)
+    rn, drop = F.col(RN), []
+    x, seen, sub, log_a, level, part, entry = ([f"_g{k}{i}" for i in range(len(specs))] for k in "xpsalce")
+    sizes = [SUB_ROWS if spec.alpha >= 1 else max(1, min(SUB_ROWS, int(_MAX_EXP / -math.log(1.0 - spec.alpha)))) for spec in specs]
+    df = df.withColumns({x[i]: F.when(F.col(OWN), spec.x) for i, spec in enumerate(specs)})
+    df = df.withColumns({seen[i]: F.last(F.when(F.col(x[i]).isNotNull(), rn), ignorenulls=True).over(before)
+                         for i in range(len(specs))})
+    if blocked:
+        df = stored(df, "means-seen")
+        last = df.groupBy(sym, BLK).agg(*[F.max(F.when(F.col(c).isNotNull(), rn)).alias(f"_f{c}") for c in x])
+        earlier = Window.partitionBy(sym).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
+        df = df.join(last.select(sym, BLK, *[F.max(f"_f{c}").over(earlier).alias(f"_f{c}") for c in x]), [sym, BLK])
+        df = df.withColumns({seen[i]: F.coalesce(seen[i], f"_f{x[i]}") for i in range(len(specs))})
+        df = df.drop(*[f"_f{c}" for c in x])
+    for i, spec in enumerate(specs):
+        r = 1.0 - spec.alpha
+        gap, here = rn - F.col(seen[i]), F.col(x[i]).isNotNull()
+        kept = F.pow(F.lit(r), gap.cast("double"))
+        follows = here & F.col(seen[i]).isNotNull()
+        df = df.withColumn(sub[i], F.floor((rn - 1) / sizes[i]))
+        in_sub = Window.partitionBy(sym, BLK, sub[i]).orderBy(RN).rowsBetween(Window.unboundedPreceding, 0)
+        if r > 0:
+            term = F.when(follows, F.lit(spec.alpha) * F.col(x[i]) / (kept + spec.alpha)).when(here, F.col(x[i])).otherwise(0.0)
+            # a factor under e**-60 is nothing beside the value it stands next to
+            log_of = F.greatest(gap * math.log(r) - F.log(kept + spec.alpha), F.lit(-60.0))
+            df = df.withColumn(log_a[i], F.when(follows, log_of).otherwise(0.0))
+            df = df.withColumn(level[i], F.sum(log_a[i]).over(in_sub))
+            df = df.withColumn(part[i], F.exp(level[i]) * F.sum(term * F.exp(-F.col(level[i]))).over(in_sub))
+            df = df.withColumn(level[i], F.exp(level[i]))  # the factor of the mean before
+        else:  # a value forgets all before it
+            df = df.withColumn(part[i], F.last(x[i], ignorenulls=True).over(in_sub))
+            df = df.withColumn(level[i], F.when(F.col(part[i]).isNull(), 1.0).otherwise(0.0))
+            df = df.withColumn(part[i], F.coalesce(part[i], F.lit(0.0)))
+        drop += [x[i], seen[i], sub[i], log_a[i], level[i], part[i], entry[i]]
+    df = out = stored(df, "means-maps")
+    for i, spec in enumerate(specs):
+        ends = df.where(F.col(OWN)).groupBy(sym, BLK, sub[i]).agg(
+            F.max_by(level[i], rn).alias("_A"), F.max_by(part[i], rn).alias("_B"))
+        out = out.join(_entries(ends, sym, sub[i], entry[i], blocked), [sym, BLK, sub[i]], "left")
+    values = {spec[0]: F.when((F.col(x[i]).isNotNull() | F.col(seen[i]).isNotNull()) & F.col(OWN),
+                              F.col(part[i]) + F.col(level[i]) * F.coalesce(entry[i], F.lit(0.0)))
+              for i, spec in enumerate(specs)}
+    out = out.withColumns(values).drop(*drop)
+    if blocked:
+        names = list(values)
+        own = out.where(F.col(OWN)).select(sym, RN, *[F.col(n).alias(f"_o{n}") for n in names])
+        out = out.drop(*names).join(own, [sym, RN], "left").withColumnsRenamed({f"_o{n}": n for n in names})
+    return out
+
+
+def _entries(ends: DataFrame, sym: str, sub: str, out: str, blocked: bool) -> DataFrame:
+    """The mean with which each sub-block begins, from the maps (_A, _B) of sub-blocks in order."""
+    def scan(maps, label):
+        start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"),
+                         F.array().cast(f"array<struct<at:bigint,a:double,b:double>>").alias("list"))
+        step = lambda acc, m: F.struct(
+            (m["a"] * acc["a"]).alias("a"), (m["a"] * acc["b"] + m["b"]).alias("b"),
+            F.concat(acc["list"], F.array(F.struct(m["at"].alias("at"), acc["a"].alias("a"), acc["b"].alias("b")))).alias("list"))
+        return F.aggregate(F.sort_array(maps), start, step).alias(label)
+
+    one = F.collect_list(F.struct(F.col(sub).alias("at"), F.col("_A").alias("a"), F.col("_B").alias("b")))
+    inside = ends.groupBy(sym, BLK).agg(one.alias("_maps")).select(sym, BLK, scan(F.col("_maps"), "_in"))
+    flat = inside.select(sym, BLK, F.explode("_in.list").alias("_m"))
+    if not blocked:  # one block a symbol: it begins from nothing
+        return flat.select(sym, BLK, F.col("_m.at").alias(sub), F.col("_m.b").alias(out))
+    whole = inside.groupBy(sym).agg(F.collect_list(F.struct(
+        F.col(BLK).alias("at"), F.col("_in.a").alias("a"), F.col("_in.b").alias("b"))).alias("_maps"))
+    starts = whole.select(sym, F.explode(scan(F.col("_maps"), "_s")["list"]).alias("_t")).select(
+        sym, F.col("_t.at").alias(BLK), F.col("_t.b").alias("_from"))
+    return flat.join(starts, [sym, BLK]).select(
+        sym, BLK, F.col("_m.at").alias(sub), (F.col("_m.a") * F.col("_from") + F.col("_m.b")).alias(out))
 
 
 def wilder_spec(out: str, x, n: int, seed_rn: int, seed_value, scale_by_n: bool = True):

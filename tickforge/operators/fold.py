@@ -21,9 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.layout import BLK, DEFAULT_BLOCK_ROWS, RN, maybe_broadcast, rank
+from ..plans.layout import BLK, DEFAULT_BLOCK_ROWS, RN, maybe_broadcast, rank, stored
 from ..schema import SYM, TS
-from ..session import scratch_path
 
 
 def _check_order(prev_ts, ts_values):
@@ -132,18 +131,17 @@ def fold_blocks(df: DataFrame, keys: list[str], ts: str, run, fields: list[T.Str
     their entry had changed, speculation stops: then just the first wrong block of
     each series runs again. ``seen`` collects the blocks run in each round.
     """
-    spark = df.sparkSession
     key = "_fold_key"
     ranked, totals = rank(df.withColumn(key, F.struct(*keys)), key, ts)
     block = F.floor((F.col(RN) - 1) / block_rows).cast("bigint")
-    rows = _stored(spark, ranked.drop("_rk_n").withColumn(BLK, block), "fold-rows")
+    rows = stored(ranked.drop("_rk_n").withColumn(BLK, block), "fold-rows")
     blocks = totals.select(key, F.explode(F.sequence(
         F.lit(0).cast("bigint"), F.floor((F.col("_rk_n") - 1) / block_rows))).alias(BLK))
     none = F.lit(None).cast("array<double>")
     entries = blocks.withColumn("_entry", none)
     if guess is not None:
         entries = blocks.join(guess(rows, [key]), [key, BLK], "left").select(key, BLK, "_entry")
-    entries = _stored(spark, entries, "fold-entries")
+    entries = stored(entries, "fold-entries")
     n_blocks = entries.count()
     columns = df.columns
     out_fields = [*df.schema.fields, *fields, T.StructField(key, rows.schema[key].dataType),
@@ -173,7 +171,7 @@ def fold_blocks(df: DataFrame, keys: list[str], ts: str, run, fields: list[T.Str
             seen.append(n)
         part = rows.join(maybe_broadcast(todo, n), [key, BLK])
         part = part.repartition(key, BLK).sortWithinPartitions(key, BLK, RN)
-        done = _stored(spark, part.groupBy(key, BLK).applyInPandas(one, T.StructType(out_fields)), "fold-round")
+        done = stored(part.groupBy(key, BLK).applyInPandas(one, T.StructType(out_fields)), "fold-round")
         tables.append(done.withColumn("_round", F.lit(round_)))
         now = done.where(F.col("_exit").isNotNull()).select(key, BLK, F.lit(round_).alias("_round"), "_exit")
         if exits is None:
@@ -186,15 +184,15 @@ def fold_blocks(df: DataFrame, keys: list[str], ts: str, run, fields: list[T.Str
                 speculate = 2 * same >= again
             both = both.select(key, BLK, F.coalesce("_r", "_round").alias("_round"), F.coalesce("_e", "_exit").alias("_exit"))
             exits = both
-        exits = _stored(spark, exits, "fold-exits")
+        exits = stored(exits, "fold-exits")
         before = F.lag("_exit").over(Window.partitionBy(key).orderBy(BLK))
         held = entries.join(exits, [key, BLK]).withColumn("_now", F.when(F.col(BLK) > 0, before))
         wrong = held.where(~F.col("_now").eqNullSafe(F.col("_entry"))).select(key, BLK, F.col("_now").alias("_entry"))
         if not speculate:
             first = wrong.groupBy(key).agg(F.min(BLK).alias(BLK))
             wrong = wrong.join(first, [key, BLK], "left_semi")
-        todo = _stored(spark, wrong, "fold-wrong")
-        entries = _stored(spark, entries.join(todo.withColumnRenamed("_entry", "_new").withColumn("_hit", F.lit(True)), [key, BLK], "left")
+        todo = stored(wrong, "fold-wrong")
+        entries = stored(entries.join(todo.withColumnRenamed("_entry", "_new").withColumn("_hit", F.lit(True)), [key, BLK], "left")
                           .select(key, BLK, F.when(F.col("_hit"), F.col("_new")).otherwise(F.col("_entry")).alias("_entry")), "fold-entries")
         round_ += 1
     out = tables[0]
@@ -204,13 +202,6 @@ def fold_blocks(df: DataFrame, keys: list[str], ts: str, run, fields: list[T.Str
     return out.join(last, [key, BLK, "_round"]).select(*columns, *[f.name for f in fields])
 
 
-def _stored(spark, df: DataFrame, name: str) -> DataFrame:
-    """A written table in the shared folder: each round starts from files."""
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _extremes_guess(step: float):
     """Entry of a block as if long since its start, with the extremes and the last bar of all rows before it."""
     def guess(rows: DataFrame, keys: list[str]) -> DataFrame:

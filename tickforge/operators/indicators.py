@@ -14,6 +14,7 @@ every ratio uses ``try_divide`` or a guard because ANSI mode raises on x/0.
 from __future__ import annotations
 
 import functools
+import operator
 import inspect
 import math
 import types
@@ -43,7 +44,7 @@ def need(df, specs):
     return (yield (df, specs))
 
 
-def run_staged(df, calls, sym=SYM):
+def run_staged(df, calls, sym, gaps=False, blocked=False):
     """Apply ``calls`` = [(fn, kwargs)], recurrences in lock-step.
 
     Staged (recurrent) indicators run first, while rows are still narrow:
@@ -64,15 +65,15 @@ def run_staged(df, calls, sym=SYM):
                 df = stop.value
         else:
             df = res
-    df = _drain(df, pending, sym)
+    df = _drain(df, pending, sym, gaps, blocked)
     for fn, kw in plain:
         df = fn(df, **kw)
     return df
 
 
-def _drain(df, pending, sym):
+def _drain(df, pending, sym, gaps, blocked):
     while pending:
-        df = apply_recurrences(df, [sp for _, specs in pending for sp in specs], sym)
+        df = apply_recurrences(df, [sp for _, specs in pending for sp in specs], sym, gaps, blocked)
         nxt = []
         for gen, _ in pending:
             try:
@@ -553,6 +554,17 @@ def output_columns(name: str, params: dict | None = None) -> list[str]:
     return [col.format(**p) for col in ind.columns]
 
 
+#: Indicators with exponential means, and the columns these run over (``ema`` can name another).
+WEIGHTED = {"ema": "close", "macd": "close", "trix": "close", "ma_envelope": "close", "volume_oscillator": "volume"}
+
+
+def _has_gaps(bars: DataFrame, names, params) -> bool:
+    """Whether an input of an exponential mean holds a null: its weights then differ from row to row."""
+    used = {params.get(n, {}).get("column", WEIGHTED[n]) for n in names if n in WEIGHTED} & set(bars.columns)
+    nulls = [F.col(c).isNull() for c in sorted(used)]
+    return bool(nulls) and not bars.where(functools.reduce(operator.or_, nulls)).select(F.lit(1)).isEmpty()
+
+
 def with_indicators(bars: DataFrame, names=None, *, sym: str = SYM, ts: str = TS,
                     params: dict | None = None, blocked: bool = True,
                     keep_layout: bool = False, custom=None, **layout_kw) -> DataFrame:
@@ -585,7 +597,7 @@ def with_indicators(bars: DataFrame, names=None, *, sym: str = SYM, ts: str = TS
     carries: dict = {}
     calls = [(functools.partial(REGISTRY[n].fn, carries=carries, sym=sym),
               params.get(n, {})) for n in names if n != "psar"]
-    df = run_staged(df, calls, sym)
+    df = run_staged(df, calls, sym, _has_gaps(bars, names, params), laid.blocked)
     for ci in custom:
         df = ci.apply(df, sym)
     post = carries.pop("__post__", [])

@@ -105,6 +105,13 @@ def key_count(df: DataFrame, *keys: str) -> int:
     return df.select(*keys).distinct().count()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A written table in the shared folder: what follows starts from its files."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _materialize(df: DataFrame) -> DataFrame:
     # Small plan table: computed once, reliable checkpoint in the shared folder.
     return df.checkpoint(eager=True)
