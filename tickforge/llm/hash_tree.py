@@ -36,15 +36,17 @@ class Leaf:
     weight: float = 1.0
 
 
-def tree(n_shards: int) -> list[Leaf]:
-    """The tree that a shard count stands for: ``tree(n + 1)`` is ``tree(n)`` and one region."""
-    if n_shards < 1:
-        raise ValueError("a tree needs a shard")
-    per_region, per_rack = BASE_SHARDS // REGIONS, BASE_SHARDS // REGIONS // RACKS
-    base = [Leaf(f"g{s // per_region}", f"k{s // per_rack}", s) for s in range(BASE_SHARDS)]
-    if n_shards < BASE_SHARDS:  # fewer than the base: every shard is a region
-        return [Leaf(f"x{s}", "k0", s) for s in range(n_shards)]
-    return base + [Leaf(f"x{s}", "k0", s) for s in range(BASE_SHARDS, n_shards)]
+def tree(n_shards: int, base: int = BASE_SHARDS) -> list[Leaf]:
+    """The tree that a shard count stands for: ``tree(n + 1)`` is ``tree(n)`` and one region.
+
+    ``base`` shards form the first regions and racks; a cluster keeps the
+    base that it started with. There is no tree of fewer shards.
+    """
+    if not 1 <= base <= n_shards:
+        raise ValueError(f"a tree of {base} first shards has that many or more, and one at least")
+    per_region, per_rack = -(-base // REGIONS), -(-base // REGIONS // RACKS)
+    return ([Leaf(f"g{s // per_region}", f"k{s // per_rack}", s) for s in range(base)]
+            + [Leaf(f"x{s}", "k0", s) for s in range(base, n_shards)])
 
 
 def arrival(key: Column, node: str, weight: float) -> Column:
@@ -81,7 +83,8 @@ def shard_of(key: Column, leaves: list[Leaf]) -> Column:
     return descend(leaves, (lambda x: x.region, lambda x: x.rack, lambda x: str(x.shard)), "").cast("int")
 
 
-def place(docs: DataFrame, key: str = "doc_id", text: str = "text", n_shards: int = BASE_SHARDS) -> DataFrame:
+def place(docs: DataFrame, key: str = "doc_id", text: str = "text", n_shards: int = BASE_SHARDS,
+          base: int = BASE_SHARDS) -> DataFrame:
     """Place every row of ``docs`` into shards 0 to ``n_shards`` - 1.
 
     Returns one row for each row of ``docs``: the key column, size (UTF-8
@@ -91,13 +94,13 @@ def place(docs: DataFrame, key: str = "doc_id", text: str = "text", n_shards: in
     with equal keys, null included, share a shard; repeated rows each get a
     slot; other columns are ignored; an empty table gives an empty result.
     """
-    leaves = tree(n_shards)
+    leaves = tree(n_shards, base)
     (rid,) = fresh(docs, "_rid")
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     digests = docs.select(
         F.col(key), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"),
         F.lit("key").alias("law"), shard_of(F.col(key), leaves).alias("shard"),
-        shard_of(F.col(key), tree(n_shards + 1)).alias("grown_shard"),
+        shard_of(F.col(key), tree(n_shards + 1, base)).alias("grown_shard"),
         F.monotonically_increasing_id().alias(rid))
     out = gapless_rank(staged(digests, "hash-tree"), ["shard"], rid, "slot")
     names = F.create_map(*[F.lit(v) for x in leaves for v in (x.shard, f"{x.region}/{x.rack}")])
