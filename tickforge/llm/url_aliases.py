@@ -2,9 +2,8 @@
 
 Two URLs are aliases when they differ only in scheme, fragment, tracking
 parameters or a closing slash (one key), or when one page names the other as
-its canonical link or redirects to it by a refresh of at most
-``REDIRECT_SECONDS`` (an edge between keys). Aliases are the connected
-components over these edges.
+its canonical link or redirects to it by a refresh, whatever its delay (an edge
+between keys). Aliases are the connected components over these edges.
 """
 
 from __future__ import annotations
@@ -23,7 +22,6 @@ RULES = [
 ]
 #: Rules become one expression; longer lists are refused.
 MAX_RULES = 1000
-REDIRECT_SECONDS = 5
 TRACKING = r"(?i)^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
 
 
@@ -73,12 +71,7 @@ def targets(url: Column, html: Column) -> Column:
     canonical = F.transform(canonical, lambda t: F.regexp_replace(t, r"(?is)^href\s*=\s*[\"']?|[\"']$", ""))
     refresh = F.transform(
         F.filter(tags, lambda t: t.rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b")),
-        lambda t: F.struct(
-            F.regexp_extract(t, r"(?is)\bcontent\s*=\s*[\"']?\s*(\d{1,6})", 1).alias("after"),
-            F.regexp_extract(t, r"(?is)\burl\s*=\s*['\"]?([^\"'>\s]+)", 1).alias("to")))
-    refresh = F.transform(
-        F.filter(refresh, lambda r: F.coalesce(r["after"].try_cast("int") <= REDIRECT_SECONDS, F.lit(False))),
-        lambda r: r["to"])
+        lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*['\"]?([^\"'>\s]+)", 1))
     base = F.regexp_extract(url, r"^[^?#]*", 0)
     root = F.regexp_extract(url, r"^[^?#]*?://[^/?#]*", 0)
     folder = F.when(F.length(base) > F.length(root), F.regexp_replace(base, r"[^/]*$", "")).otherwise(
