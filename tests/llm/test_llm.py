@@ -111,6 +111,21 @@ def test_hash_tree_weights(spark):
         hash_tree.shard_of(F.col("id"), [hash_tree.Leaf("a", "r", 0), hash_tree.Leaf("a", "r", 0)])
 
 
+@pytest.mark.parametrize("base", [1, 3, 8])
+def test_a_new_shard_takes_rows_only_into_itself(spark, base):
+    """One tree at every count from its base on: what count n calls grown is what count n + 1 gives."""
+    ids = spark.range(600).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    before = None
+    for n in (base, base + 1, base + 2):
+        rows = hash_tree.place(ids, n_shards=n, base=base).collect()
+        at, grown = ({r.doc_id: r[c] for r in rows} for c in ("shard", "grown_shard"))
+        assert set(at.values()) == set(range(n)) and all(grown[i] in (at[i], n) for i in at) and n in grown.values()
+        assert before is None or at == before
+        before = grown
+    with pytest.raises(ValueError):
+        hash_tree.tree(base - 1, base)
+
+
 def test_gapless_rank_of_a_hot_key(spark, monkeypatch):
     monkeypatch.setattr(common, "RANK_BUCKET_BITS", 2)
     df = common.staged(spark.range(0, 200, 1, 5).select((F.col("id") % 10 > 2).alias("k"),
@@ -343,7 +358,7 @@ def test_url_aliases(spark):
         0: (None, "block"), 1: ("net/", "block"), 2: ("example.net/en/", "allow"), 3: (None, "allow"), 4: (None, "allow"),
         5: (None, "allow"), 6: (None, "allow"), 7: (None, "allow"), 8: (None, "allow"), 9: (None, "allow"),
         10: (None, "block"), 11: (None, "block"), 12: ("net/", "block"), 13: (None, "allow"), 14: (None, "block"),
-        15: (None, "block"), 16: (None, "block"), 17: (None, "allow")}
+        15: (None, "block"), 16: (None, "block"), 17: (None, "block")}
     assert (got[2]["host"], got[2]["path"], got[6]["host"], got[7]["path"], got[8]["path"]) == ("q.example.net", "/en/z", "", "", "")
     assert url_aliases.judge(empty(spark, "page_id long, url string, html string")).count() == 0
 
@@ -355,6 +370,22 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert common.components(empty(spark, "a long, b long"), "a", "b").count() == 0
 
 
+def test_components_of_random_graphs(spark):
+    """Components against union by hand: sparse and dense graphs, a hub, loops, repeats, null ends."""
+    rng = random.Random(12)
+    for n, m in ((60, 30), (60, 70), (200, 150)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        edges += edges[:5] + [(0, i) for i in range(0, n, 9)] + [(None, 3), (4, None)]
+        label = {x: x for e in edges for x in e if None not in e}
+        for _ in label:
+            for a, b in edges:
+                if a is not None and b is not None:
+                    label[a] = label[b] = min(label[a], label[b])
+        df = spark.createDataFrame(edges, "a long, b long")
+        got = {r.node: r.root for r in common.components(df, "a", "b").collect()}
+        assert got == label
+
+
 # --- 6 secrets
 
 def secrets_brute(text):
