@@ -97,43 +97,6 @@ def rf_feature_set(bars: DataFrame, *, sym: str = SYM, ts: str = TS, **kw) -> Da
     return run_series(bars, build, halo=15, sym=sym, ts=ts, **kw).na.drop()
 
 
-def preprocess(bars: DataFrame, column: str = "close", lags=(1, 2), windows=(5,),
-               train_ratio: float = 0.8, fit_on: str = "train", *, sym: str = SYM,
-               ts: str = TS, **kw) -> DataFrame:
-    """lag -> rolling -> drop incomplete rows -> chronological split -> scale.
-
-    One laid-out pass computes the lags, the full-window rolling mean/std and
-    the position of each complete row among the complete rows of its symbol
-    (a carried running count), so the split needs no second numbering pass.
-    The standard scaler is fitted on the train rows by default."""
-    lag_cols = [f"{column}_lag_{n}" for n in lags]
-    roll_cols = [f"{column}_rolling_mean_{n}" for n in windows]
-    std_cols = [f"{column}_rolling_std_{n}" for n in windows]
-
-    def build(df, carries):
-        df = df.withColumns({**{c: K.lag(column, n, sym) for c, n in zip(lag_cols, lags)},
-                             **{c: K.rolling_mean(column, n, sym, full=True)
-                                for c, n in zip(roll_cols, windows)},
-                             **{c: K.rolling_std(column, n, sym, full=True)
-                                for c, n in zip(std_cols, windows)}})
-        complete = F.lit(True)
-        for c in [column] + lag_cols + roll_cols + std_cols:
-            complete = complete & F.col(c).isNotNull()
-        df = df.withColumn("_ok", complete.cast("long"))
-        df = df.withColumn("_pos_l", K.local_cumsum("_ok", sym))
-        carries["pos"] = ("_pos_l", "sum")
-        return df
-
-    out = run_series(bars, build, halo=max(list(lags) + list(windows)), sym=sym, ts=ts, **kw)
-    feats = out.na.drop(subset=[column] + lag_cols + roll_cols + std_cols)
-    counts = feats.groupBy(sym).agg(F.count(F.lit(1)).alias("_n"))
-    feats = feats.join(maybe_broadcast(counts, key_count(bars, sym)), sym)
-    feats = feats.withColumn("split", F.when(F.col("pos") <= F.floor(F.col("_n") * train_ratio),
-                                             "train").otherwise("test")).drop("_n", "pos")
-    scale = lag_cols + roll_cols
-    return standard_scale_split(feats, scale, fit_on=fit_on)
-
-
 def with_row_index(bars: DataFrame, *, sym: str = SYM, ts: str = TS, **kw) -> DataFrame:
     """Exact per-symbol row number ``rn`` and row count ``n`` (skew-safe)."""
     out = run_series(bars, lambda df, c: df.withColumn("rn", F.col(RN)), halo=0, sym=sym,
@@ -305,4 +268,4 @@ def standard_scale_split(df: DataFrame, columns, split_col: str = "split",
 __all__ = ["lag_features", "rolling_features", "rf_feature_set", "with_row_index",
            "split_random", "split_chronological", "time_series_folds", "kfold", "fit_scaler",
            "apply_scaler", "inverse_scaler", "normalizer_l2", "sequence_windows",
-           "deep_features", "standard_scale_split", "preprocess"]
+           "deep_features", "standard_scale_split"]

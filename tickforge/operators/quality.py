@@ -120,17 +120,25 @@ def one_hot(df: DataFrame, column: str, values=None) -> DataFrame:
                            for v in values})
 
 
+def label_codes(df: DataFrame, column: str, out: str) -> DataFrame:
+    """One row per label with its dense code in sorted order, from 0; null has none.
+
+    Labels are sorted by ranges over many partitions and written; a label's code is
+    its place in the partition plus the labels of the partitions before it."""
+    from ..plans.layout import rank
+    labels = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_all", F.lit(0))
+    ranked, _ = rank(labels, "_all", column)
+    return ranked.select(column, (F.col("_rn") - 1).cast("int").alias(out))
+
+
 def label_encode(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
-    """Dense code in sorted order: distinct -> rank - 1, joined back.
+    """Dense code in sorted order, joined back (see :func:`label_codes`); null stays null.
 
-    The rank runs over the distinct label set only (a small dimension: one
-    row per label), never over the data; the join back is a broadcast when
-    the label count is under the broadcast limit."""
+    The join is a broadcast only while the labels are counted under its limit."""
     from ..plans.layout import maybe_broadcast
     out = out or f"{column}_code"
-    labels = df.select(column).distinct().where(F.col(column).isNotNull())
-    codes = labels.withColumn(out, (F.row_number().over(Window.orderBy(column)) - 1).cast("int"))
-    return df.join(maybe_broadcast(codes, labels.count()), column, "left")
+    codes = label_codes(df, column, out)
+    return df.join(maybe_broadcast(codes, df.select(column).distinct().count()), column, "left")
 
 
 def normalize_column(df: DataFrame, column: str, out: str | None = None) -> DataFrame:

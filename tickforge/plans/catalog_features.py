@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features as FE
+from ..operators.preprocess import preprocess
 from ..plans.layout import with_scalars
 from ..session import scratch_path
 from ..sources.tables import EVENT_BARS_SQL, LINE_BARS_SQL, event_bars, line_bars, read_table
@@ -59,27 +60,34 @@ SELECT symbol, ts, {', '.join(f'{rnd(c)} AS {c}' for c in ('lag_1', 'lag_5', 'la
 FROM r WHERE lag_10 IS NOT NULL AND rolling_std_5 IS NOT NULL AND RSI IS NOT NULL"""
 
 
+PREPROCESSED = ["days_since", "open", "high", "low", "volume", "grade", "close_lag_1", "close_lag_2",
+                "close_rolling_mean_5", "close_rolling_std_5"]
+
+
 def q_preprocess(spark, sf_dir):
-    """lag -> rolling -> dropna -> chronological split -> scaler fitted on train."""
-    scaled = FE.preprocess(line_bars(spark, sf_dir), "close", (1, 2), (5,), 0.8)
-    cols = ["close_lag_1", "close_lag_2", "close_rolling_mean_5"]
-    return _r(scaled, ["symbol", "ts", "split"], cols + ["close"])
+    """All steps on bars with a text column that holds a number on some rows only."""
+    graded = line_bars(spark, sf_dir).withColumn("grade", F.when(F.col("volume") >= 30, F.col("volume").cast("string"))
+                                                 .otherwise("thin"))
+    out = preprocess(graded, "close", (1, 2), (5,), 0.8)
+    return _r(out, ["symbol", "ts", "split"], PREPROCESSED + ["close"])
 
 
 SQL_PREPROCESS = f"""
-WITH f AS MATERIALIZED (SELECT symbol, ts, close, lag(close, 1) OVER ({P}) AS close_lag_1,
-       lag(close, 2) OVER ({P}) AS close_lag_2, {full('avg', 'close', 5)} AS close_rolling_mean_5,
-       {full('stddev_samp', 'close', 5)} AS sd5 FROM {LB} b),
-d AS MATERIALIZED (SELECT * FROM f WHERE close_lag_2 IS NOT NULL AND sd5 IS NOT NULL),
+WITH b AS MATERIALIZED (SELECT *, CASE WHEN volume >= 30 THEN CAST(volume AS DOUBLE) END AS grade FROM {LB} q),
+f AS MATERIALIZED (SELECT *, date_diff('day', min(ts) OVER (PARTITION BY symbol), ts) AS days_since,
+       lag(close, 1) OVER ({P}) AS close_lag_1, lag(close, 2) OVER ({P}) AS close_lag_2,
+       {full('avg', 'close', 5)} AS close_rolling_mean_5, {full('stddev_samp', 'close', 5)} AS close_rolling_std_5
+       FROM b),
+d AS (SELECT * FROM f WHERE close_lag_2 IS NOT NULL AND close_rolling_std_5 IS NOT NULL),
 s AS MATERIALIZED (SELECT *, CASE WHEN row_number() OVER ({P}) <= floor(count(*) OVER (PARTITION BY symbol) * 0.8)
       THEN 'train' ELSE 'test' END AS split FROM d),
-st AS MATERIALIZED (SELECT avg(close_lag_1) AS m1, stddev_pop(close_lag_1) AS s1, avg(close_lag_2) AS m2,
-       stddev_pop(close_lag_2) AS s2, avg(close_rolling_mean_5) AS m3,
-       stddev_pop(close_rolling_mean_5) AS s3 FROM s WHERE split = 'train')
-SELECT symbol, ts, split, {rnd('(close_lag_1 - m1) / s1')} AS close_lag_1,
-       {rnd('(close_lag_2 - m2) / s2')} AS close_lag_2,
-       {rnd('(close_rolling_mean_5 - m3) / s3')} AS close_rolling_mean_5, {rnd('close')} AS close
-FROM s, st"""
+m AS MATERIALIZED (SELECT {', '.join(f"avg({c}) AS {c}" for c in PREPROCESSED)} FROM s WHERE split = 'train'),
+i AS MATERIALIZED (SELECT symbol, ts, split, close,
+       {', '.join(f"coalesce(s.{c}, m.{c}) AS {c}" for c in PREPROCESSED)} FROM s, m),
+t AS MATERIALIZED (SELECT {', '.join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in PREPROCESSED)}
+      FROM i WHERE split = 'train')
+SELECT symbol, ts, split, {rnd('close')} AS close,
+       {', '.join(f"{rnd(f'({c} - m_{c}) / s_{c}')} AS {c}" for c in PREPROCESSED)} FROM i, t"""
 
 
 def q_dfs(spark, sf_dir):
