@@ -86,16 +86,21 @@ def sql_coef_select():
             "SELECT feature FROM p WHERE w >= (SELECT avg(w) FROM p)")
 
 
+FOREST_SPACE = {"numTrees": ("int", 4, 12), "maxDepth": ("int", 2, 6), "minInstancesPerNode": [1, 5]}
+
+
 def q_forest(spark, sf_dir):
-    bars = line_bars(spark, sf_dir)
-    model = M.fit_forest(bars, FEATS, "close", num_trees=10, max_depth=5)
-    return M.feature_importances(model, FEATS)
+    """Tuned forest: predictions of the rows after the train part, then its importances."""
+    done = M.tuned_forest(line_bars(spark, sf_dir), FEATS, "close", FOREST_SPACE, n_trials=4, folds=2, startup=3)
+    pred = done.predictions.select(F.lit("prediction").alias("part"), "symbol", "ts", F.col("close").alias("actual"),
+                                   "prediction", F.lit(None).cast("string").alias("feature"),
+                                   F.lit(None).cast("double").alias("importance"))
+    return pred.unionByName(done.importances.withColumn("part", F.lit("importance")), allowMissingColumns=True)
 
 
 def _trials(spark, sf_dir):
-    bars = line_bars(spark, sf_dir)
-    return M.hyperparameter_search(bars, FEATS, "close", {"numTrees": [5, 10], "maxDepth": [3, 5]},
-                                   n_trials=3, folds=2)
+    return M.hyperparameter_search(line_bars(spark, sf_dir), FEATS, "close", FOREST_SPACE, n_trials=5, folds=2,
+                                   ts="ts", startup=3)
 
 
 def q_search(spark, sf_dir):
@@ -346,8 +351,8 @@ SELECT symbol, ts, {rnd('dist')} AS dist FROM (SELECT *, row_number() OVER (PART
 
 
 def q_clusters(spark, sf_dir):
-    out = M.kmeans_clusters(line_bars(spark, sf_dir), ["open", "close"], 5)
-    return out.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+    n = _naive(spark, sf_dir).withColumn("e", F.col("close") - F.col("predicted"))
+    return M.cluster_exemplars(n, ["open", "close"], "e", 5)[0]
 
 
 def q_walk_forward(spark, sf_dir):
