@@ -172,10 +172,11 @@ def fit_scaler(df: DataFrame, columns, kind: str = "standard", by=None) -> DataF
 
 
 def apply_scaler(df: DataFrame, fitted: DataFrame, columns, kind: str = "standard", by=None,
-                 suffix: str = "") -> DataFrame:
-    """sklearn-compatible transforms; zero scale maps to 1 (constants -> 0)."""
+                 suffix: str = "", how: str = "inner") -> DataFrame:
+    """sklearn-compatible transforms; zero scale maps to 1 (constants -> 0). With ``how="left"``
+    rows of groups without statistics stay, their scaled columns null."""
     # per-group statistics: one row per key of the input, broadcast only if bounded
-    joined = (df.join(maybe_broadcast(fitted, key_count(df, *by)), by) if by
+    joined = (df.join(maybe_broadcast(fitted, key_count(df, *by)), by, how) if by
               else with_scalars(df, fitted))
     out = {}
     for c in columns:
@@ -232,32 +233,6 @@ def sequence_windows(bars: DataFrame, columns=("close",), target: str = "close",
     return out.where(F.size("X") == time_steps)
 
 
-def deep_features(bars: DataFrame, columns=("close", "volume"), *, sym: str = SYM,
-                  ts: str = TS, **kw) -> DataFrame:
-    """Depth-2 synthesis: per-column running sum / mean, date parts, and
-    per-symbol aggregates (mean, sum, count, max, min) joined back."""
-    def build(df, carries):
-        for c in columns:
-            x = F.col(c).cast("double")
-            df = df.withColumns({f"_s_{c}": K.local_cumsum(x, sym),
-                                 f"_n_{c}": K.local_cumsum(F.lit(1), sym)})
-            carries[f"_cs_{c}"] = (f"_s_{c}", "sum")
-            carries[f"_cn_{c}"] = (f"_n_{c}", "sum")
-        carries["__post__"] = ([(f"CUM_SUM({c})", F.col(f"_cs_{c}"), []) for c in columns]
-                               + [(f"CUM_MEAN({c})", F.col(f"_cs_{c}") / F.col(f"_cn_{c}"), [])
-                                  for c in columns])
-        return df
-
-    out = run_series(bars, build, halo=0, sym=sym, ts=ts, **kw)
-    out = out.withColumns({"DAY(ts)": F.dayofmonth(ts), "MONTH(ts)": F.month(ts),
-                           "YEAR(ts)": F.year(ts), "WEEKDAY(ts)": F.weekday(ts)})
-    aggs = [f(F.col(c)).alias(f"{n}({c})") for c in columns
-            for n, f in (("MEAN", F.avg), ("SUM", F.sum), ("COUNT", F.count), ("MAX", F.max),
-                         ("MIN", F.min))]
-    per_sym = bars.groupBy(sym).agg(*aggs)
-    return out.join(per_sym, sym)
-
-
 def standard_scale_split(df: DataFrame, columns, split_col: str = "split",
                          fit_on: str = "train") -> DataFrame:
     """Fit a standard scaler on the train rows (or all) and apply it to all."""
@@ -268,4 +243,4 @@ def standard_scale_split(df: DataFrame, columns, split_col: str = "split",
 __all__ = ["lag_features", "rolling_features", "rf_feature_set", "with_row_index",
            "split_random", "split_chronological", "time_series_folds", "kfold", "fit_scaler",
            "apply_scaler", "inverse_scaler", "normalizer_l2", "sequence_windows",
-           "deep_features", "standard_scale_split"]
+           "standard_scale_split"]

@@ -30,8 +30,8 @@ def unit_root(df: DataFrame, value: str, before: str, by: str = SYM) -> DataFram
     step = F.col(value) - F.col(before)
     g = df.groupBy(by).agg(F.regr_slope(step, before).alias("_b"), F.regr_sxx(step, before).alias("_sxx"),
                            F.regr_syy(step, before).alias("_syy"), F.regr_count(step, before).alias("_n"))
-    error = F.when(F.col("_n") > 2, F.sqrt(F.greatest(F.col("_syy") - F.col("_b") ** 2 * F.col("_sxx"), F.lit(0.0))
-                                           / (F.col("_n") - 2) / F.col("_sxx")))
+    left = F.greatest(F.col("_syy") - F.col("_b") ** 2 * F.col("_sxx"), F.lit(0.0))
+    error = F.when(F.col("_n") > 2, F.sqrt(F.try_divide(F.try_divide(left, F.col("_n") - 2), F.col("_sxx"))))
     return g.select(by, F.try_divide("_b", error).alias("tau"))
 
 
@@ -87,7 +87,7 @@ def walk_forward(bars: DataFrame, value: str = "close", train_ratio: float = 0.8
     df = df.withColumns({f"_i_{k}": c for k, c in _moments("_y", "_x1", earlier).items()}).where(F.col(OWN))
     df = _with_earlier_blocks(df, laid, sym) if laid.blocked else df.withColumns(
         {f"_m_{k}": F.col(f"_i_{k}") for k in ("n", "mx", "my", "vx", "cxy")})
-    slope = F.when((F.col("_m_n") >= 2) & (F.col("_m_vx") > 0), F.col("_m_cxy") / F.col("_m_vx"))
+    slope = F.when((F.col("_m_n") >= 2) & (F.col("_m_vx") > 0), F.try_divide("_m_cxy", "_m_vx"))
     ahead = F.col("_m_my") + slope * (F.col("_x1") - F.col("_m_mx"))
     z_hat = F.when(steady, ahead).otherwise(F.col("_back") + drift + ahead)
     df = df.withColumns({"_e": F.col("_z") - z_hat, "predicted": F.col("mean") + F.col("scale") * z_hat})

@@ -59,6 +59,9 @@ class _FeatureParams(Params):
                                *self.get("encode")], "feature pipeline")
         for n in [*self.get("lags"), *self.get("windows")]:
             require_window(n)
+        clash = {"split", "days_since", "_pos"} & set(bars.columns)
+        if clash:
+            raise ValueError(f"reserved column name(s) {sorted(clash)}")
         if self.get("scaler") not in SCALERS:
             raise ValueError(f"unknown scaler {self.get('scaler')!r}")
         if self.get("fitOn") not in ("train", "all"):
@@ -147,7 +150,7 @@ class FeaturePipeline(Estimator, _FeatureParams, DefaultParamsReadable, DefaultP
         means = stored(means, "feature-means")
         # a column without one number is no feature: one row of flags
         seen = means.agg(*[F.max(F.col(f"{c}__m").isNotNull()).alias(c) for c in feats]).first()
-        model.kept = [c for c in feats if seen[c]]
+        model.kept = [c for c in feats if seen[c]] or feats  # an empty table keeps all
         scales = fit_scaler(model.imputed(fitted_on, means), model.kept, self.get("scaler"), by or None)
         model.means, model.scales = means, stored(scales, "feature-scales")
         return model, rows
@@ -157,7 +160,8 @@ class FeaturePipelineModel(Model, _FeatureParams, MLReadable, MLWritable):
     """Fitted pipeline: ``transform`` gives key, time, ``split``, target and the scaled features.
 
     A series not seen when fitting has no first date (the mean is imputed) and its
-    rows, like all rows after the last train time, are test rows.
+    rows, like all rows after the last train time, are test rows. Features of a scaling
+    group not seen when fitting are null.
     """
 
     splits: DataFrame
@@ -191,7 +195,7 @@ class FeaturePipelineModel(Model, _FeatureParams, MLReadable, MLWritable):
         """Derived rows (see ``fit_rows``) to features."""
         dated = self.dated(rows, self.splits.count())
         out = apply_scaler(self.imputed(dated, self.means), self.scales, self.kept, self.get("scaler"),
-                           self.get("by") or None)
+                           self.get("by") or None, how="left")
         keys = list(dict.fromkeys([self.get("sym"), self.get("ts"), *self.get("by")]))
         return out.select(*keys, "split", self.get("target"), *self.kept)
 

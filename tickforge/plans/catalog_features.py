@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as FE
 from ..operators.preprocess import preprocess
+from ..operators.synthesis import deep_features, plan
 from ..plans.layout import with_scalars
 from ..session import scratch_path
 from ..sources.tables import EVENT_BARS_SQL, LINE_BARS_SQL, event_bars, line_bars, read_table
@@ -91,25 +92,29 @@ SELECT symbol, ts, split, {rnd('close')} AS close,
 
 
 def q_dfs(spark, sf_dir):
-    out = FE.deep_features(event_bars(spark, sf_dir))
-    num = [c for c in out.columns if c not in ("symbol", "ts", "open", "high", "low", "close",
-                                               "volume")]
-    return _r(out, ["symbol", "ts"], num)
+    made = [f.name for f in plan(("close", "volume"))]
+    out = deep_features(event_bars(spark, sf_dir))
+    return out.select("symbol", "ts", *[spark_round(f"`{c}`", 3).alias(c) for c in made])
 
 
 def sql_dfs():
-    cols = []
-    for c in ("close", "volume"):
-        x = f"CAST({c} AS DOUBLE)"
-        cols += [(f'"CUM_SUM({c})"', f"sum({x}) {cum()}"), (f'"CUM_MEAN({c})"', f"avg({x}) {cum()}")]
-    cols += [('"DAY(ts)"', "day(ts)"), ('"MONTH(ts)"', "month(ts)"), ('"YEAR(ts)"', "year(ts)"),
-             ('"WEEKDAY(ts)"', "isodow(ts) - 1")]
-    for c in ("close", "volume"):
-        for n, f in (("MEAN", "avg"), ("SUM", "sum"), ("COUNT", "count"), ("MAX", "max"),
-                     ("MIN", "min")):
-            cols.append((f'"{n}({c})"', f"{f}(CAST({c} AS DOUBLE)) OVER (PARTITION BY symbol)"))
-    return ("SELECT symbol, ts, " + ", ".join(f"{rnd(e)} AS {n}" for n, e in cols)
-            + f" FROM ({EVENT_BARS_SQL}) b")
+    running = (("CUM_SUM", "sum"), ("CUM_MEAN", "avg"))
+    first = {f"{n}({c})": f'{a}(CAST({c} AS DOUBLE)) {cum()}' for c in ("close", "volume") for n, a in running}
+    second = {f"{n}({c})": f'{a}("{c}") {cum()}' for c in first for n, a in running}
+    whole = {f"{n}({c})": f'{f}(CAST("{c}" AS DOUBLE)) OVER (PARTITION BY symbol)'
+             for c in ("close", "volume", *first)
+             for n, f in (("MEAN", "avg"), ("SUM", "sum"), ("COUNT", "count"), ("MAX", "max"), ("MIN", "min"))}
+    dates = {"DAY(ts)": "day(ts)", "MONTH(ts)": "month(ts)", "YEAR(ts)": "year(ts)", "WEEKDAY(ts)": "isodow(ts) - 1"}
+
+    def columns(exprs):
+        return ", ".join(f'{e} AS "{n}"' for n, e in exprs.items())
+
+    every = [*dates, *first, *second, *whole]
+    rounded = ", ".join(f"""{rnd(f'"{n}"', 3)} AS "{n}\"""" for n in every)
+    return f"""
+WITH a AS (SELECT *, {columns(first)}, {columns(dates)} FROM ({EVENT_BARS_SQL}) b),
+c AS (SELECT *, {columns(second)}, {columns(whole)} FROM a)
+SELECT symbol, ts, {rounded} FROM c"""
 
 
 def q_feature_store(spark, sf_dir):
