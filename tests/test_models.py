@@ -282,3 +282,32 @@ def test_synthesis_stacks_to_its_depth(spark):
         assert got[3]["DAY(ts)"] == 3
     with pytest.raises(ValueError, match="primitive"):
         plan(["close"], transforms=("LOG",))
+
+
+# ------------------------------------------------------------------ episodes and sequences
+def test_a_stop_sells_everything(spark):
+    from tickforge.operators.backtest import risk_parameters, risk_truncate
+    rows = [(s, DAY + dt.timedelta(days=i), st, 100.0, 5.0, 400.0) for s, end in
+            (("A", "STOP_LOSS"), ("B", "STOP_TRADING"), ("C", "CONTINUE_TRADING"))
+            for i, st in enumerate(["CONTINUE_TRADING", end, "TAKE_PROFIT" if s != "C" else end])]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, status string, balance double, shares double, equity double")
+    got = {}
+    for r in risk_truncate(df).orderBy("symbol", "ts").collect():
+        got.setdefault(r.symbol, []).append((r.balance, r.shares, r.equity))
+    cash = 100 + 300 * 0.999
+    assert got["A"] == [(100, 5, 400), (pytest.approx(cash), 0, pytest.approx(cash))]
+    assert got["B"] == [(100, 5, 400)] * 2 and got["C"] == [(100, 5, 400)] * 3
+    with pytest.raises(ValueError, match="take_profit"):
+        risk_parameters(df, take_profit=0.0)
+
+
+def test_scaled_sequences_have_a_target_scaler_of_their_own(spark):
+    from tickforge.operators.features import inverse_scaler, scaled_sequences
+    bars = _bars(spark, {"A": range(20), "B": [4.0] * 3}).withColumn("volume", F.col("close") * 10)
+    bars = bars.unionByName(_bars(spark, {"A": [float("inf")]}).withColumn("volume", F.lit(1.0)))
+    seq, target = scaled_sequences(bars, ("volume",), "close", 4, 0.5)
+    rows = seq.orderBy("ts").collect()
+    assert [r.split for r in rows] == ["train"] * 8 + ["test"] * 8  # 16 sequences of A, none of B
+    assert rows[0].X == [[i / 11, i / 11] for i in range(4)] and rows[-1].y == pytest.approx(19 / 11)
+    back = inverse_scaler(seq.drop("close").withColumnRenamed("y", "close"), target, ["close"], "minmax", ["symbol"])
+    assert [r.close_inv for r in back.orderBy("ts").collect()] == pytest.approx(list(range(4, 20)))

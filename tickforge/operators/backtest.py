@@ -151,25 +151,42 @@ def risk_status(series: DataFrame, value: str = "close", *, sym: str = SYM, ts:
     return r.withColumns({"drawdown": dd, "profit": profit, "status": status})
 
 
-def risk_truncate(status: DataFrame, *, sym: str = SYM, ts: str = TS) -> DataFrame:
-    """Keep each symbol's rows up to and including its first non-CONTINUE row."""
+def risk_truncate(status: DataFrame, *, sym: str = SYM, ts: str = TS, fee: float = FEE) -> DataFrame:
+    """Keep each symbol's rows up to and including its first non-CONTINUE row.
+
+    Where the rows hold an account (balance, shares, equity; see ``action_ledger``), an
+    episode that ends by STOP_LOSS or TAKE_PROFIT sells all its shares at the price they
+    are valued at: balance and equity are then the cash after the fee, shares 0. An
+    account stopped by STOP_TRADING keeps its position."""
+    from ..plans.layout import key_count, maybe_broadcast
     stop = (status.where(F.col("status") != "CONTINUE_TRADING").groupBy(sym)
             .agg(F.min(ts).alias("_stop")))
-    out = status.join(stop, sym, "left")
-    return out.where(F.col("_stop").isNull() | (F.col(ts) <= F.col("_stop"))).drop("_stop")
+    out = status.join(maybe_broadcast(stop, key_count(status, sym)), sym, "left")
+    out = out.where(F.col("_stop").isNull() | (F.col(ts) <= F.col("_stop")))
+    if {"balance", "shares", "equity"} <= set(status.columns):
+        sells = (F.col(ts) == F.col("_stop")) & F.col("status").isin("STOP_LOSS", "TAKE_PROFIT")
+        cash = F.col("balance") + (F.col("equity") - F.col("balance")) * (1 - fee)
+        out = out.withColumns({"balance": F.when(sells, cash).otherwise(F.col("balance")),
+                               "shares": F.when(sells, 0.0).otherwise(F.col("shares")),
+                               "equity": F.when(sells, cash).otherwise(F.col("equity"))})
+    return out.drop("_stop")
 
 
 def _clip(x, lo, hi):
     return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
 
 
-def risk_parameters(conditions: DataFrame, vol: str = "volatility", trend: str = "trend"):
-    """Limits from market conditions (missing vol/trend = 0.1)."""
+def risk_parameters(conditions: DataFrame, vol: str = "volatility", trend: str = "trend", *,
+                    max_drawdown: float = 0.2, stop_loss: float = 0.05, take_profit: float = 0.1) -> DataFrame:
+    """Limits from market conditions (missing vol/trend = 0.1) around base limits, which lie in (0, 1)."""
+    for name, limit in (("max_drawdown", max_drawdown), ("stop_loss", stop_loss), ("take_profit", take_profit)):
+        if not 0 < limit < 1:
+            raise ValueError(f"{name} lies between 0 and 1, got {limit!r}")
     v = F.coalesce(F.col(vol), F.lit(0.1))
     t = F.coalesce(F.col(trend), F.lit(0.1))
-    return conditions.withColumns({"max_drawdown": _clip(0.2 * v, 0.1, 0.3),
-                                   "stop_loss": _clip(0.05 * t, 0.02, 0.1),
-                                   "take_profit": _clip(0.1 * t, 0.05, 0.2)})
+    return conditions.withColumns({"max_drawdown": _clip(max_drawdown * v, 0.1, 0.3),
+                                   "stop_loss": _clip(stop_loss * t, 0.02, 0.1),
+                                   "take_profit": _clip(take_profit * t, 0.05, 0.2)})
 
 
 def option_orders(orders: DataFrame, lineitem: DataFrame) -> DataFrame:

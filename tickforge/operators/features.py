@@ -233,6 +233,33 @@ def sequence_windows(bars: DataFrame, columns=("close",), target: str = "close",
     return out.where(F.size("X") == time_steps)
 
 
+def scaled_sequences(bars: DataFrame, columns=("volume",), target: str = "close", time_steps: int = 10,
+                     train_ratio: float = 0.8, fit_on: str = "train", *, sym: str = SYM, ts: str = TS,
+                     **kw) -> tuple[DataFrame, DataFrame]:
+    """Sequences of min-max scaled rows, and the target's own scaler to undo ``y`` with (``inverse_scaler``).
+
+    X = the previous ``time_steps`` rows, each the scaled ``columns`` and then the scaled
+    target; y = the scaled target. Rows with a null, NaN or infinite value are left out
+    first. The first ``floor(sequences * train_ratio)`` sequences of a symbol train.
+    Scalers are per symbol, on the rows the train sequences see (``fit_on="all"``: on all)."""
+    from ..plans.layout import stored
+    columns = [c for c in columns if c != target]
+    every = [*columns, target]
+    rows = bars.select(sym, ts, *[F.col(c).cast("double").alias(c) for c in every])
+    for c in every:
+        rows = rows.where(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    rows = stored(with_row_index(rows, sym=sym, ts=ts, **kw), "sequence-rows")
+    last = time_steps + F.floor((F.col("n") - time_steps) * train_ratio)
+    fitted_on = rows if fit_on == "all" else rows.where(F.col("rn") <= last)
+    feature_fit = fit_scaler(fitted_on, columns, "minmax", [sym]) if columns else None
+    target_fit = stored(fit_scaler(fitted_on, [target], "minmax", [sym]), "target-scaler")
+    scaled = rows.withColumn("split", F.when(F.col("rn") <= last, "train").otherwise("test")).drop("rn", "n")
+    if columns:
+        scaled = apply_scaler(scaled, feature_fit, columns, "minmax", [sym])
+    scaled = apply_scaler(scaled, target_fit, [target], "minmax", [sym])
+    return sequence_windows(scaled, every, target, time_steps, sym=sym, ts=ts, **kw), target_fit
+
+
 def standard_scale_split(df: DataFrame, columns, split_col: str = "split",
                          fit_on: str = "train") -> DataFrame:
     """Fit a standard scaler on the train rows (or all) and apply it to all."""
@@ -243,4 +270,4 @@ def standard_scale_split(df: DataFrame, columns, split_col: str = "split",
 __all__ = ["lag_features", "rolling_features", "rf_feature_set", "with_row_index",
            "split_random", "split_chronological", "time_series_folds", "kfold", "fit_scaler",
            "apply_scaler", "inverse_scaler", "normalizer_l2", "sequence_windows",
-           "standard_scale_split"]
+           "standard_scale_split", "scaled_sequences"]

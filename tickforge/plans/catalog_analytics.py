@@ -16,7 +16,7 @@ from ..operators.forecast import walk_forward
 from ..operators.series import run_series
 from ..plans.layout import key_count, maybe_broadcast, with_scalars
 from ..session import scratch_path
-from ..sources.tables import LINE_BARS_SQL, line_bars, read_table
+from ..sources.tables import EVENT_BARS_SQL, LINE_BARS_SQL, event_bars, line_bars, read_table
 from .catalog_indicators import REC_DIGITS, _recursive, spark_round
 from .sqlkit import P, rnd, tdiv
 
@@ -535,33 +535,47 @@ SELECT symbol, ts, status, {rnd('high_water')} AS high_water, {rnd('low_water')}
 
 
 def q_risk_truncate(spark, sf_dir):
-    return BT.risk_truncate(_risk(spark, sf_dir)).select("symbol", "ts", "status")
-
-
-SQL_RISK_TRUNCATE = RISK_SQL + """,
+    """Episodes of the ledger's equity; a stop or a taken profit sells everything."""
+    out = BT.risk_truncate(BT.risk_status(_ledger(spark, sf_dir), "equity"))
+    return _r(out, ["symbol", "ts", "status"], ["balance", "shares", "equity"], 4)
+
+
+def sql_risk_truncate():
+    upto = f"OVER ({P} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    sells = "r.ts = st.stop AND r.status IN ('STOP_LOSS', 'TAKE_PROFIT')"
+    cash = f"r.bal + (r.eq - r.bal) * {1 - BT.FEE}"
+    return _sql_ledger_cte() + f""",
+e AS (SELECT a.symbol, a.ts, l.bal, l.sh, l.sh * a.next_price + l.bal AS eq FROM l JOIN a USING (symbol, rn)),
+w AS (SELECT *, max(eq) {upto} AS hw, first_value(eq) OVER ({P}) AS initial FROM e),
+s AS (SELECT *, {tdiv('hw - eq', 'hw')} AS dd, {tdiv('eq - initial', 'initial')} AS profit FROM w),
+r AS (SELECT *, CASE WHEN dd > 0.2 THEN 'STOP_TRADING' WHEN dd >= 0.05 THEN 'STOP_LOSS'
+             WHEN profit >= 0.1 THEN 'TAKE_PROFIT' ELSE 'CONTINUE_TRADING' END AS status FROM s),
 st AS (SELECT symbol, min(ts) AS stop FROM r WHERE status <> 'CONTINUE_TRADING' GROUP BY symbol)
-SELECT r.symbol, r.ts, r.status FROM r LEFT JOIN st USING (symbol)
-WHERE st.stop IS NULL OR r.ts <= st.stop"""
+SELECT r.symbol, r.ts, r.status, {rnd(f'CASE WHEN {sells} THEN {cash} ELSE r.bal END', 4)} AS balance,
+       {rnd(f'CASE WHEN {sells} THEN 0.0 ELSE r.sh END', 4)} AS shares,
+       {rnd(f'CASE WHEN {sells} THEN {cash} ELSE r.eq END', 4)} AS equity
+FROM r LEFT JOIN st USING (symbol) WHERE st.stop IS NULL OR r.ts <= st.stop"""
 
 
 def q_risk_parameters(spark, sf_dir):
+    """A day's limits from the spread and the mean of its hourly returns."""
     def build(df, carries):
         p = K.lag("close", 1, "symbol")
         return df.withColumn("ret", F.try_divide(F.col("close") - p, p))
-    r = run_series(line_bars(spark, sf_dir), build, halo=1)
-    cond = (r.groupBy("symbol", F.date_trunc("month", "ts").cast("timestamp_ntz").alias("month"))
+    r = run_series(event_bars(spark, sf_dir), build, halo=1)
+    cond = (r.groupBy("symbol", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"))
             .agg((F.stddev_pop("ret") * math.sqrt(252)).alias("volatility"),
                  (F.avg("ret") * 252).alias("trend")))
     out = BT.risk_parameters(cond)
-    return _r(out, ["symbol", "month"], ["max_drawdown", "stop_loss", "take_profit"])
+    return _r(out, ["symbol", "day"], ["max_drawdown", "stop_loss", "take_profit"])
 
 
 SQL_RISK_PARAMS = f"""
 WITH b AS (SELECT symbol, ts, {tdiv(f'close - lag(close) OVER ({P})', f'lag(close) OVER ({P})')} AS ret
-           FROM {LB} q),
-c AS (SELECT symbol, CAST(date_trunc('month', ts) AS TIMESTAMP) AS month,
+           FROM ({EVENT_BARS_SQL}) q),
+c AS (SELECT symbol, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day,
              stddev_pop(ret) * {math.sqrt(252)} AS v, avg(ret) * 252 AS t FROM b GROUP BY 1, 2)
-SELECT symbol, month, {rnd('least(greatest(0.2 * coalesce(v, 0.1), 0.1), 0.3)')} AS max_drawdown,
+SELECT symbol, day, {rnd('least(greatest(0.2 * coalesce(v, 0.1), 0.1), 0.3)')} AS max_drawdown,
        {rnd('least(greatest(0.05 * coalesce(t, 0.1), 0.02), 0.1)')} AS stop_loss,
        {rnd('least(greatest(0.1 * coalesce(t, 0.1), 0.05), 0.2)')} AS take_profit FROM c"""
 
@@ -657,7 +671,7 @@ def catalog():
                                 _sql_perf(["average_return", "max_drawdown_abs", "volatility"])),
         "backtest_report": (q_backtest_report, sql_backtest_report()),
         "risk_status": (q_risk_status, SQL_RISK_STATUS),
-        "risk_truncate": (q_risk_truncate, SQL_RISK_TRUNCATE),
+        "risk_truncate": (q_risk_truncate, sql_risk_truncate()),
         "risk_parameters": (q_risk_parameters, SQL_RISK_PARAMS),
         "risk_optimize": (q_risk_optimize, SQL_RISK_OPT),
         "option_contract_pnl": (q_contract_pnl, SQL_CONTRACT_PNL),

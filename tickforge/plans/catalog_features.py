@@ -163,26 +163,28 @@ FROM s WHERE len(xc) = 10"""
 
 
 def q_scaled_sequences(spark, sf_dir):
-    """Min-max scale close per symbol on the train part, then 10-step sequences."""
-    split = FE.split_chronological(event_bars(spark, sf_dir), 0.8)
-    fitted = FE.fit_scaler(split.where(F.col("split") == "train"), ["close"], "minmax", ["symbol"])
-    scaled = FE.apply_scaler(split, fitted, ["close"], "minmax", ["symbol"])
-    seq = FE.sequence_windows(scaled.select("symbol", "ts", "close", "volume", "split"),
-                              ("close",), "close", 10)
-    return seq.select("symbol", "ts", "split",
-                      spark_round(F.aggregate(F.flatten("X"), F.lit(0.0), lambda a, x: a + x))
-                      .alias("x_sum"), spark_round("y").alias("y"))
+    """10-step sequences of scaled volume and close; ``y_price`` undoes the target's own scaler."""
+    seq, target = FE.scaled_sequences(event_bars(spark, sf_dir), ("volume",), "close", 10)
+    seq = FE.inverse_scaler(seq.drop("close").withColumnRenamed("y", "close"), target, ["close"], "minmax", ["symbol"])
+    total = F.aggregate(F.flatten("X"), F.lit(0.0), lambda a, x: a + x)
+    return seq.select("symbol", "ts", "split", spark_round(total).alias("x_sum"),
+                      spark_round(F.col("X")[0][0]).alias("x_first_volume"), spark_round("close").alias("y"),
+                      spark_round("close_inv").alias("y_price"))
 
 
 SQL_SCALED_SEQ = f"""
-WITH b AS (SELECT *, row_number() OVER ({P}) AS rn, count(*) OVER (PARTITION BY symbol) AS n
+WITH b AS (SELECT *, row_number() OVER ({P}) AS rn, 10 + floor((count(*) OVER (PARTITION BY symbol) - 10) * 0.8) AS lst
            FROM ({EVENT_BARS_SQL}) q),
-s AS (SELECT *, CASE WHEN rn <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS split FROM b),
-f AS (SELECT symbol, min(close) AS lo, max(close) AS hi FROM s WHERE split = 'train' GROUP BY symbol),
-c AS (SELECT s.symbol, ts, split, (close - lo) / (CASE WHEN hi - lo = 0 THEN 1.0 ELSE hi - lo END) AS x
-      FROM s JOIN f USING (symbol)),
-w AS (SELECT *, list(x) OVER ({P} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS xs FROM c)
-SELECT symbol, ts, split, {rnd('list_sum(xs)')} AS x_sum, {rnd('x')} AS y FROM w WHERE len(xs) = 10"""
+f AS (SELECT symbol, min(close) AS lo, max(close) AS hi, min(volume) AS vlo, max(volume) AS vhi
+      FROM b WHERE rn <= lst GROUP BY symbol),
+c AS (SELECT b.symbol, ts, close, CASE WHEN rn <= lst THEN 'train' ELSE 'test' END AS split,
+             (close - lo) / (CASE WHEN hi - lo = 0 THEN 1.0 ELSE hi - lo END) AS x,
+             (volume - vlo) / (CASE WHEN vhi - vlo = 0 THEN 1.0 ELSE vhi - vlo END) AS v
+      FROM b JOIN f USING (symbol)),
+w AS (SELECT *, list(x) OVER ({P} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS xs,
+             list(v) OVER ({P} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS vs FROM c)
+SELECT symbol, ts, split, {rnd('list_sum(list_transform(range(1, 11), lambda i: vs[i] + xs[i]))')} AS x_sum,
+       {rnd('vs[1]')} AS x_first_volume, {rnd('x')} AS y, {rnd('close')} AS y_price FROM w WHERE len(xs) = 10"""
 
 
 def q_inverse_scale(spark, sf_dir):
