@@ -311,3 +311,15 @@ def test_scaled_sequences_have_a_target_scaler_of_their_own(spark):
     assert rows[0].X == [[i / 11, i / 11] for i in range(4)] and rows[-1].y == pytest.approx(19 / 11)
     back = inverse_scaler(seq.drop("close").withColumnRenamed("y", "close"), target, ["close"], "minmax", ["symbol"])
     assert [r.close_inv for r in back.orderBy("ts").collect()] == pytest.approx(list(range(4, 20)))
+
+
+def test_every_symbol_has_its_own_threshold(spark):
+    rng = np.random.default_rng(3)
+    rows = [(s, float(x), float(2 * x + e)) for s in "ABC" for x, e in rng.normal(size=(40, 2))] + [("A", None, 1.0)]
+    df = spark.createDataFrame(rows, "symbol string, x double, y double")
+    limits = spark.createDataFrame([("A", 100.0), ("B", 1e-6), ("D", 1.0)], "symbol string, threshold double")
+    got = {r.symbol: r for r in M.train_per_symbol(df, ["x"], "y", limits).collect()}
+    assert set(got) == {"A", "B"} and got["A"].accepted and not got["B"].accepted
+    x, y = np.array([r[1:] for r in rows if r[0] == "A" and r[1] is not None]).T
+    slope, cut = np.polyfit(x, y, 1)
+    assert got["A"].coef_x == pytest.approx(slope) and got["A"].mse == pytest.approx(((y - slope * x - cut) ** 2).mean())

@@ -160,12 +160,24 @@ def sql_batch_score():
 
 
 def q_per_symbol(spark, sf_dir):
-    out = M.per_symbol_ols(line_bars(spark, sf_dir), ["open"], "close")
-    return _r(out, ["symbol"], ["intercept", "coef_open"], 4)
-
-
-SQL_PER_SYMBOL = (f"SELECT symbol, {rnd('regr_intercept(close, open)', 4)} AS intercept, "
-                  f"{rnd('regr_slope(close, open)', 4)} AS coef_open FROM {LB} b GROUP BY symbol")
+    """Two features a symbol; its threshold is half the variance of its close."""
+    bars = line_bars(spark, sf_dir)
+    limits = bars.groupBy("symbol").agg((F.var_pop("close") * 0.5).alias("threshold"))
+    out = M.train_per_symbol(bars, ["open", "volume"], "close", limits)
+    out = out.withColumn("mse", spark_round("mse", 1))  # about 1e8: more digits are those of the order of summing
+    return _r(out, ["symbol", "accepted", "mse"], ["intercept", "coef_open", "coef_volume"], 3)
+
+
+SQL_PER_SYMBOL = f"""
+WITH b AS MATERIALIZED (SELECT * FROM {LB} q),
+g AS (SELECT symbol, var_pop(open) AS xx, covar_pop(open, volume) AS xz, var_pop(volume) AS zz,
+             covar_pop(open, close) AS xy, covar_pop(volume, close) AS zy, avg(open) AS mx, avg(volume) AS mz,
+             avg(close) AS my, var_pop(close) AS yy FROM b GROUP BY symbol),
+w AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS p, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS q FROM g),
+m AS (SELECT symbol, avg((close - my - p * (open - mx) - q * (volume - mz)) * (close - my - p * (open - mx)
+             - q * (volume - mz))) AS mse FROM b JOIN w USING (symbol) GROUP BY symbol)
+SELECT symbol, mse <= 0.5 * yy AS accepted, {rnd('my - p * mx - q * mz', 3)} AS intercept, {rnd('p', 3)} AS coef_open,
+       {rnd('q', 3)} AS coef_volume, {rnd('mse', 1)} AS mse FROM w JOIN m USING (symbol)"""
 
 
 def q_metrics(spark, sf_dir):
