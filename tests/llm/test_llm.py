@@ -246,6 +246,37 @@ def test_no_near_vector_is_missed_on_a_decaying_spectrum(spark, monkeypatch, dec
     assert {r["vec_id"]: r[links] for r in rows_of(out)} == dict(enumerate(wanted.tolist()))
 
 
+@pytest.mark.parametrize("decay", [0.0, 0.5, 1.0])
+def test_the_traversal_prunes_and_reaches_its_recall(spark, monkeypatch, decay):
+    """Groups of near vectors at many distances: few cells visited, links against brute force."""
+    monkeypatch.setattr(multi_index, "CELL", 64)
+    rng = np.random.default_rng(11)
+    spectrum = np.arange(1, 33.0) ** -decay
+    centres = rng.normal(size=(3000, 32)) * spectrum
+    size = np.sqrt((spectrum ** 2).sum())
+    x = np.concatenate([centres, *(centres + rng.normal(size=centres.shape) * spectrum * rng.uniform(0, 0.25, (3000, 1))
+                                   for _ in range(3))]) / size
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [(i, v.tobytes(), 5) for i, v in enumerate(x)]
+    nodes = spark.createDataFrame(rows, "node long, unit binary, tag long")
+    sample = [(x[i], {"node": i, "tag": 5}) for i in range(0, len(x), 3)]
+    grid = multi_index.Grid(np.stack([v for v, _ in sample]), math.ceil(math.sqrt(len(x) / multi_index.CELL)))
+    radius, recall = multi_index.radii(nodes, sample, {32: grid}, 0.93)[32]
+    assert recall == 1.0
+    own, low_a, low_b = grid.place(x)
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.93, 1))
+    need = grid.needed([v[a] for v in (own, low_a, low_b)], [v[b] for v in (own, low_a, low_b)])
+    assert len(a) > 3000 and (need <= radius).mean() >= 0.99
+    cells = len(grid.books[0]) * len(grid.books[1])
+    _, seen = grid.visits(x, radius)
+    share = np.mean([len(v) for v in seen]) / cells
+    print(f"decay {decay}: {cells} cells, {share:.4f} of them visited, recall {(need <= radius).mean():.5f}")
+    assert share < 0.1
+    # the cells that `visits` lists are those within the radius, from the lower cell on
+    met = np.array([own[i] == own[j] or max(own[i], own[j]) in seen[i if own[i] < own[j] else j] for i, j in zip(a, b, strict=True)])
+    assert np.array_equal(met, need <= radius)
+
+
 # --- 4 pages
 
 PAGE = ("<html><body><div class=top>Site name</div><!-- <p>no</p> --><div><h1>T{0} &amp; more</h1><p>own  text {0}<br>line"

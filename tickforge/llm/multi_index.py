@@ -1,13 +1,15 @@
 """Near-duplicate embeddings by an inverted multi-index.
 
-Unit vectors are halved; each half has a codebook of its own, and the product
-of the two codebooks is a grid of cells. For a query the cells' squared
-distances are bounded from below, half by half (distance to the bisector of
-the nearest and the other centroid), and the traversal takes all cells whose
-bounds' sum is no more than the squared distance of a pair at the threshold:
-no member of a cell beyond it can be a link, so none is missed, however the
-vectors are spread. Members of visited cells are verified by cosine in double
-precision, so no pair below the threshold is ever linked.
+Unit vectors are turned to the principal axes of a sample, dealt into two halves of
+equal variance; each half has a codebook of its own, and the product of the two
+codebooks is a grid of cells. For a query the cells' squared distances are bounded
+from below, half by half (distance to the bisector of the nearest and the other
+centroid). The traversal takes cells by the sum of the two bounds, nearest first,
+and stops at a radius. The radius is measured: the links of a bounded set of
+probes with all vectors, found by brute force, say how far the traversal must go
+to reach the target recall; pairs planted at the threshold say it where links
+are few. Members of visited cells are verified by cosine in double precision, so
+no pair below the threshold is ever linked.
 """
 
 from __future__ import annotations
@@ -28,6 +30,12 @@ SAMPLE = 20_000
 #: Mean number of vectors of a cell, which sets the codebooks' size.
 CELL = 512
 LLOYD_STEPS = 12
+#: Probes (of the sample's smallest hashes) whose links with all vectors are found by brute force.
+PROBES = 512
+#: Recall of the probes' links, each probe of equal weight, and of the pairs planted at the threshold.
+TARGET, PLANTED_TARGET = 1.0, 0.95
+#: Steps of the radius between 0 and the exact bound.
+STEPS = 1024
 #: Members and visitors of one block of comparisons.
 MEMBERS, VISITORS = 1024, 4096
 
@@ -52,12 +60,38 @@ def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 class Grid:
-    """The cells of two codebooks."""
+    """The cells of two codebooks, fitted to the rows of ``points``."""
 
-    def __init__(self, first: np.ndarray, second: np.ndarray):
-        self.books = (first, second)
+    def __init__(self, points: np.ndarray, k: int):
+        centred = points - points.mean(axis=0)
+        spread, axes = np.linalg.eigh(centred.T @ centred)
+        self.cut = points.shape[1] // 2
+        halves, load = ([], []), [0.0, 0.0]
+        for axis in np.argsort(-spread, kind="stable"):
+            full = [len(halves[0]) == self.cut, len(halves[1]) == points.shape[1] - self.cut]
+            half = int(full[0] or not full[1] and load[1] < load[0])
+            halves[half].append(axis)
+            load[half] += max(spread[axis], 0)
+        self.axes = axes[:, halves[0] + halves[1]]
+        points = points @ self.axes
+        self.books = (codebook(points[:, :self.cut], k), codebook(points[:, self.cut:], k))
         self.apart = [np.sqrt(squared(c, c)) for c in self.books]
 
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Own cell of each unit vector and the bounds of both halves."""
+        x = x @ self.axes
+        a, low_a = self.bounds(x[:, :self.cut], 0)
+        b, low_b = self.bounds(x[:, self.cut:], 1)
+        return a * len(self.books[1]) + b, low_a, low_b
+
+    def needed(self, x, y) -> np.ndarray:
+        """Radius at which the traversal meets the pairs of places ``x`` and ``y``: from the lower cell to the higher."""
+        turn = x[0] > y[0]
+        low, high = np.where(turn, y[0], x[0]), np.where(turn, x[0], y[0])
+        i, rows = np.divmod(high, len(self.books[1])), np.arange(len(low))
+        far = [np.where(turn, y[h + 1][rows, i[h]], x[h + 1][rows, i[h]]) for h in (0, 1)]
+        return np.where(low == high, 0.0, far[0] + far[1])
+
     def bounds(self, x: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
         """Nearest centroid, and lower bounds of the squared distance to any point of each centroid's region."""
         d = squared(x, self.books[half])
@@ -73,11 +107,8 @@ class Grid:
         A pair of cells is only visited from the lower one, so each pair of
         vectors meets once.
         """
-        cut = x.shape[1] // 2
-        width = len(self.books[1])
-        a, low_a = self.bounds(x[:, :cut], 0)
-        b, low_b = self.bounds(x[:, cut:], 1)
-        own, out = a * width + b, []
+        own, low_a, low_b = self.place(x)
+        width, out = len(self.books[1]), []
         for i in range(len(x)):
             rows = np.flatnonzero(low_a[i] <= radius)
             rows = rows[np.argsort(low_a[i][rows], kind="stable")]
@@ -107,6 +138,89 @@ def units(vectors: list) -> list[np.ndarray | None]:
     return out
 
 
+def planted(points: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Probes, and for each a unit vector at the threshold's cosine, away along the difference of two rows of ``points``."""
+    n = len(points)
+    probes = points[:PROBES]
+    step = np.arange(len(probes))
+    away = points[(step * 7 + n // 3) % n] - points[(step * 5 + 2 * n // 3 + 1) % n]
+    away = away - (away * probes).sum(1)[:, None] * probes
+    size = np.sqrt((away * away).sum(1))
+    ok = size > 1e-9
+    away = away[ok] / size[ok][:, None]
+    return probes[ok], threshold * probes[ok] + math.sqrt(1 - threshold * threshold) * away
+
+
+def step_of(need: np.ndarray, reach: float) -> np.ndarray:
+    """Smallest step whose radius is no less than ``need``; steps are even in the root of the radius."""
+    return np.clip(np.ceil(np.sqrt(np.maximum(need, 0) / reach) * STEPS - 1e-12), 0, STEPS).astype(np.int64)
+
+
+def least_step(steps: np.ndarray, weights: np.ndarray, target: float) -> int:
+    """Smallest step at which ``target`` of the weight is met."""
+    if not len(steps):
+        return 0
+    got = np.cumsum(np.bincount(steps, weights, STEPS + 1))
+    return int(np.searchsorted(got, target * got[-1] * (1 - 1e-12)))
+
+
+def radii(nodes: DataFrame, sample: list, grids: dict[int, Grid], threshold: float) -> dict[int, tuple[float, float]]:
+    """Length -> (radius of the traversal, measured recall of the probes' links there).
+
+    ``nodes`` has node, unit and tag (a hash of the label); ``sample`` has rows of it. Each
+    probe is compared with every vector of ``nodes``; a task returns the number
+    of links by probe and step, never links, and the driver gets at most
+    ``PROBES`` * (``STEPS`` + 1) rows of a length. 1 as recall if no probe has a link.
+    """
+    reach = 2 - 2 * threshold + 1e-9
+    probes = {}
+    for size, grid in grids.items():
+        rows = [(x, r["node"], r["tag"]) for x, r in sample if len(x) == size][:PROBES]
+        x = np.stack([r[0] for r in rows])
+        probes[size] = (x, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), grid.place(x))
+
+    def compare(batches):
+        for b in batches:
+            found = [np.frombuffer(x, "<f8") for x in b.column(1).to_pylist()]
+            sizes, ids = np.array([len(x) for x in found], np.int64), b.column(0).to_numpy()
+            tags = b.column(2).to_numpy()
+            out = {}
+            for size, (x, own_id, own_tag, place) in probes.items():
+                rows = np.flatnonzero(sizes == size)
+                if not len(rows):
+                    continue
+                y = np.stack([found[r] for r in rows])
+                near = (y @ x.T >= threshold) & (tags[rows][:, None] == own_tag) & (ids[rows][:, None] != own_id)
+                i, j = np.nonzero(near)
+                if len(i):
+                    grid = grids[size]
+                    hit, back = np.unique(i, return_inverse=True)
+                    there = [v[back] for v in grid.place(y[hit])]
+                    steps = step_of(grid.needed([v[j] for v in place], there), reach)
+                    keys, n = np.unique(j * (STEPS + 1) + steps, return_counts=True)
+                    out[size] = (keys, n)
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([np.full(len(k), s) for s, (k, _) in out.items()])),
+                     pa.array(np.concatenate([k for k, _ in out.values()])),
+                     pa.array(np.concatenate([n for _, n in out.values()]))], names=["size", "key", "n"])
+
+    counts = (nodes.select("node", "unit", "tag").mapInArrow(compare, "size bigint, key bigint, n bigint")
+              .groupBy("size", "key").agg(F.sum("n").alias("n")).collect())  # bounded by probes and steps
+    out = {}
+    for size, grid in grids.items():
+        key = np.array([r["key"] for r in counts if r["size"] == size], np.int64)
+        n = np.array([r["n"] for r in counts if r["size"] == size], np.float64)
+        probe, steps = np.divmod(key, STEPS + 1)
+        weight = n / np.bincount(probe, n, PROBES)[probe] if len(key) else n
+        x, y = planted(np.stack([x for x, _ in sample if len(x) == size]), threshold)
+        made = step_of(grid.needed(grid.place(x), grid.place(y)), reach)
+        step = max(least_step(steps, weight, TARGET), least_step(made, np.ones(len(made)), PLANTED_TARGET))
+        recall = float(weight[steps <= step].sum() / weight.sum()) if len(key) else 1.0
+        out[size] = (reach * (step / STEPS) ** 2 + 1e-12, recall)
+    return out
+
+
 def _compared(threshold: float):
     def run(key, part: pd.DataFrame) -> pd.DataFrame:
         i, j, k = (int(x) for x in key[-3:])
@@ -149,7 +263,8 @@ def near_vectors(vectors: DataFrame, vec: str = "embedding", label: str = "label
     and zero vectors and such with null or non-finite components link with
     nothing. Equal vectors of a label are one node with a weight: each copy
     counts the others as links. Blocks return a row for each node, never
-    pairs. An empty table gives an empty result.
+    pairs. All links of the probes are found (``radii`` measures it), others may be missed; a length of vectors
+    that the sample lacks is one cell, whole. An empty table gives an empty result.
     """
     rid, key, unit, n_links, component = fresh(vectors, "_row", "_vector_key", "_unit", "n_links", "_component")
     src = vectors.withColumn(rid, F.monotonically_increasing_id())
@@ -171,15 +286,14 @@ def near_vectors(vectors: DataFrame, vec: str = "embedding", label: str = "label
     groups = staged(usable.groupBy(F.col(label).alias("label"), F.col(key).alias("vector_key"))
                     .agg(F.min(rid).alias("node"), F.count(F.lit(1)).alias("copies")), "vector-nodes")
     nodes = full.select(F.col(rid).alias("node"), F.col(unit).alias("unit")).join(groups, "node")
-    count = groups.count()
+    nodes = staged(nodes.withColumn("tag", F.xxhash64("label")), "vectors")
+    count = nodes.count()
     half = math.ceil(math.sqrt(max(count, 1) / CELL))
-    sample = [np.frombuffer(r["unit"], "<f8") for r in
-              nodes.select("unit").orderBy(F.xxhash64("unit")).limit(SAMPLE).collect()]  # bounded by SAMPLE
-    grids = {}
-    for size in sorted({len(x) for x in sample}):
-        points = np.stack([x for x in sample if len(x) == size])
-        grids[size] = Grid(codebook(points[:, :size // 2], half), codebook(points[:, size // 2:], half))
-    reach = 2 - 2 * threshold + 1e-9
+    sample = [(np.frombuffer(r["unit"], "<f8"), r) for r in nodes.select("unit", "node", "tag")
+              .orderBy(F.xxhash64("unit"), "node").limit(SAMPLE).collect()]  # bounded by SAMPLE
+    grids = {size: Grid(np.stack([x for x, _ in sample if len(x) == size]), half)
+             for size in sorted({len(x) for x, _ in sample})}
+    reach = {size: r for size, (r, _) in radii(nodes, sample, grids, threshold).items()}
 
     def visit(batches):
         for b in batches:
@@ -189,7 +303,7 @@ def near_vectors(vectors: DataFrame, vec: str = "embedding", label: str = "label
             for size, grid in grids.items():  # a length that the sample lacks is one cell
                 rows = np.flatnonzero(sizes == size)
                 if len(rows):
-                    own[rows], cells = grid.visits(np.stack([found[r] for r in rows]), reach)
+                    own[rows], cells = grid.visits(np.stack([found[r] for r in rows]), reach[size])
                     for r, c in zip(rows, cells, strict=True):
                         seen[r] = c
             yield pa.RecordBatch.from_arrays(
