@@ -1,14 +1,19 @@
 """Main text of web pages by wrapper induction.
 
 The block elements of a page form a tree (leaf siblings of one kind in a row
-are one node, a repeated slot). Each host has a reference page; every page's
-tree is aligned with the reference's by simple tree matching, which names the
-slot of each block. A text that fills the same slot on many different pages of
-a host is template, the varying rest is content; inside an element that
-declares itself the article or main part, more pages must agree. Elements that
-say what they are (``nav``, ``aside``, ``class="cookie-notice"``) and runs of
-sibling link items are dropped without a vote. A host with too few pages for a vote has the declared article
-instead, if most of the page's text is in it.
+are one node, a repeated slot). Each host has a reference page, one of its most frequent
+structure; every page's tree is aligned with the reference's by simple tree matching,
+which names the slot of each element. Two things are induced from all pages of a host:
+
+* a text that fills the same slot on many different pages is template (inside an element that
+  declares itself the article or main part, more pages must agree);
+* the content region is the deepest element that holds ``REGION_SHARE`` of the host's
+  varying text. Blocks outside it go, unless they are a page's title or long and not links.
+
+Names (``nav``, ``class="cookie-notice"``) are a prior: text in named elements
+weighs a tenth where the region is sought, and a named element goes unless the region
+lies in it (a page inside one form keeps its text). Runs of sibling link
+items go outside declared articles. Hosts of one page follow the same rules.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ import json
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +36,10 @@ LEAST_PAGES = 3
 LEAST_SHARE = 0.3
 #: The share for a text inside a declared article or main part.
 DECLARED_SHARE = 0.5
+#: The content region holds at least this share of the text's weight, in percent.
+REGION_SHARE = 80
+#: A block of so many characters, less than half of them links, stays outside the region, too.
+LONG = 200
 #: Levels of a tree; what lies deeper hangs on the last one.
 DEPTH = 100
 
@@ -46,6 +56,9 @@ WORDS = frozenset("""ad ads adbox advert adverts advertisement advertising banne
 cookies consent notice notices notification alert gdpr popup modal overlay sidebar aside menu nav navbar navigation
 breadcrumb breadcrumbs header masthead topbar footer comment comments disqus reply replies respond share sharing social
 related recommended newsletter subscribe subscription signup login search pagination pager toolbar copyright""".split())
+COMMON = frozenset("""area areas bar block body bottom box button buttons center container content first group holder icon
+icons inner item items last law left link links list main outer panel posts primary right row secondary section site
+stories tag tags text top unit user widget widgets wrap wrapper""".split())
 ABOUT = frozenset("has with without no".split())
 TITLES = frozenset("article entry post content story title".split())
 CLOSES_P = BLOCKS - frozenset("html head body dd dt li td th tr tbody thead tfoot option optgroup legend".split())
@@ -65,7 +78,7 @@ class Tree:
 
     def __init__(self):
         self.label, self.parent, self.children, self.tag = ["#"], [-1], [[]], ["#"]
-        self.state = [(False, False, False, False)]  # (dropped, in an article, in main, in an article's header)
+        self.state = [((), False, False, False)]  # (named elements around, in an article, in main, in an article's header)
         self.blocks: list[tuple[int, str, int]] = []  # (node, text, characters of links)
 
     def add(self, parent: int, tag: str, label: str, state) -> int:
@@ -100,19 +113,21 @@ def _furniture(tag: str, attributes: dict[str, str], inside: bool) -> bool:
         return True
     names = _names(attributes)
     if tag in ("html", "body", "main", "article", "h1"):
-        return tag == "article" and not names.isdisjoint(("comment", "comments"))
-    if not names.isdisjoint(ABOUT):
+        return tag == "article" and any(not {"comment", "comments"}.isdisjoint(x) for x in names)
+    if any(not ABOUT.isdisjoint(x) for x in names):
         return False  # "has-sidebar" is about the page's layout
-    if inside or not names.isdisjoint(TITLES):
-        names -= {"header", "masthead"}
-    return not WORDS.isdisjoint(names)
+    words = WORDS
+    if inside or any(not TITLES.isdisjoint(x) for x in names):
+        words = WORDS - {"header", "masthead"}
+    return any(x[-1] in words or not words.isdisjoint(x) and (words | COMMON).issuperset(x) for x in names)
 
 
-def _names(attributes: dict[str, str]) -> set[str]:
-    text = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    if text == " ":
-        return set()
-    return {w.lower() for w in (*_WORD.findall(text), *_LETTERS.findall(text))}
+def _names(attributes: dict[str, str]) -> list[list[str]]:
+    """The words of each class and id, cut at letter case and, again, at other characters only."""
+    out = []
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        out += [x for x in ([w.lower() for w in cut.findall(name)] for cut in (_WORD, _LETTERS)) if x]
+    return out
 
 
 def _closed(page: str) -> dict[int, int]:
@@ -219,14 +234,15 @@ def parse(page: str) -> Tree:
             parent = open_[-1]
             attributes = {a[0].lower(): entities.unescape(a[1] or a[2] or a[3]) for a in _ATTRIBUTE.findall(raw)} \
                 if raw.strip() else {}
-            dropped, article, main, heading = t.state[parent]
+            named, article, main, heading = t.state[parent]
             body = "articleBody" in attributes.get("itemprop", "").split()
-            dropped = dropped or _furniture(tag, attributes, article)
+            if _furniture(tag, attributes, article):
+                named = (*named, len(t.label))
             heading = (heading or article and tag == "header") and tag not in HEADINGS
             article = article or tag == "article" or body
             main = main or tag == "main" or attributes.get("role") == "main"
             label = f"{tag}.{attributes['class'].strip()}" if attributes.get("class") else tag
-            node = t.add(parent, tag, label, (dropped, article, main, heading))
+            node = t.add(parent, tag, label, (named, article, main, heading))
             if tag not in VOID and len(open_) < DEPTH:
                 open_.append(node)
         elif tag == "br":
@@ -321,34 +337,49 @@ def link_runs(t: Tree) -> set[int]:
     return {n for n, x in enumerate(menu) if x}
 
 
-def read(page: str, reference=None) -> list[tuple[str, str, int]]:
-    """Blocks (slot, text, vote) of a page in order, without furniture.
+#: What is known of a block before the host's pages are compared.
+BLOCK = [
+    ("slot", pa.int64()), ("text", pa.string()),
+    ("chain", pa.list_(pa.int64())),  # the elements around it that hold blocks, by slot, outermost first
+    ("named", pa.list_(pa.int64())),  # those of them, or itself, that are named like furniture; -1: an article's byline
+    ("weight", pa.int64()),  # of its text where the region is sought
+    ("declared", pa.bool_()), ("menu", pa.bool_()),
+    ("body", pa.bool_()),  # in as few named elements as any block of the page, and no menu
+    ("strong", pa.bool_()),  # stays outside the region
+]
+BLOCK_TYPE = ("array<struct<slot:bigint,text:string,chain:array<bigint>,named:array<bigint>,weight:bigint,"
+              "declared:boolean,menu:boolean,body:boolean,strong:boolean>>")
 
-    The vote is 1, or 2 inside an element that declares itself the article
-    (on a page without one: the main part). Runs of link items outside it are
-    menus; other blocks of links are voted on like any. Without a reference there is no
-    vote (0), and only the declared blocks count if they are most of the text.
-    """
+
+def blocks_of(page: str, reference=None) -> list[tuple]:
+    """All text blocks of a page in order, as ``BLOCK`` says; slots are those of the reference, or the page's own."""
     t = parse(page)
-    kept = [(n, s, links) for n, s, links in t.blocks if not (t.state[n][0] or t.state[n][3])]
-    declared = next((x for x in ({n for n, _, _ in kept if t.state[n][place]} for place in (1, 2)) if x), set())
-    if reference is None:
-        inside = [(f"n{n}", s, 0) for n, s, _ in kept if n in declared]
-        if 2 * sum(len(s) for _, s, _ in inside) >= sum(len(s) for _, s, _ in kept):
-            return inside
     found: dict[int, int] = {}
     if reference is not None:
         match(reference, t.skeleton(), found)
-    out, menus = [], link_runs(t)
-    for n, s, _ in kept:
-        if n not in declared and n in menus:
-            continue
-        path, node = [], n
-        while node not in found and node > 0:
-            path.append(t.label[node])
+    slot: list[int] = []
+    for n in range(len(t.label)):  # parents come first
+        if reference is None or n in found:
+            slot.append(xxhash.xxh64_intdigest(f"r{n if reference is None else found[n]}") >> 1)
+        else:
+            slot.append(xxhash.xxh64_intdigest(t.label[n], seed=slot[t.parent[n]] if n else 0) >> 1)
+    plain = [n for n, _, _ in t.blocks if not (t.state[n][0] or t.state[n][3])]
+    declared = next((x for x in ({n for n in plain if t.state[n][place]} for place in (1, 2)) if x), set())
+    menus = link_runs(t) - declared
+    fewest = min((len(t.state[n][0]) for n, _, _ in t.blocks), default=0)
+    out = []
+    for n, text, links in t.blocks:
+        around, byline = t.state[n][0], t.state[n][3]
+        chain, node = [], n if t.children[n] else t.parent[n]
+        while node >= 0:
+            chain.append(slot[node])
             node = t.parent[node]
-        vote = 0 if reference is None else 2 if n in declared else 1
-        out.append(("/".join([f"r{found.get(node, 0)}", *reversed(path)]), s, vote))
+        size = len(text)
+        out.append((
+            slot[n], text, chain[::-1], [slot[x] for x in around] + [-1] * byline,
+            max(100 // 10 ** min(len(around), 3), 1) * max(2 * size - links, 1), n in declared, n in menus,
+            len(around) == fewest and n not in menus and not byline,
+            t.tag[n] == "h1" or size >= LONG and 2 * links < size))
     return out
 
 
@@ -362,59 +393,98 @@ def _loaded(text: str | None, seen: dict):
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html") -> tuple[DataFrame, list[str]]:
-    """``pages`` without the HTML, with the main text, its number of blocks and the template blocks dropped.
-
-    Returns the frame and the three names (fresh ones). Null HTML is empty. A
-    page without a host is matched with no other. The votes of a host of
-    ``LEAST_PAGES`` different pages are counted over all its pages, copies of
-    one page once. Repeated rows get equal results; an empty table gives an
-    empty result. Slots and texts are compared by 64-bit hashes.
+    """``pages`` without the HTML, with the main text, its number of blocks and of those that the host's pages vote out.
+
+    Returns the frame and the three names (fresh ones); runs of link items are in neither
+    number. Null HTML is empty. A page without a host is compared with no other.
+    The votes of a host are counted over all its different pages, copies of one
+    page once; ``LEAST_PAGES`` of them are the least evidence for a template text. A page with no block
+    in its host's region loses none for being outside. Repeated rows get equal results;
+    an empty table gives an empty result. Slots and texts are compared by 64-bit hashes.
     """
     keep = [c for c in pages.columns if c != page]
-    rid, host, ref, blocks, text, n_blocks, n_dropped = fresh(
-        pages, "_row", "_host", "_reference", "_blocks", "text", "n_blocks", "n_template")
+    rid, group, ref, blocks, text, n_blocks, n_voted = fresh(
+        pages, "_row", "_group", "_reference", "_blocks", "text", "n_blocks", "n_template")
     name, _ = split_url(F.col(url))
-    src = pages.withColumn(host, F.when(name != "", name)).withColumn(rid, F.monotonically_increasing_id())
-    src = src.withColumn(page, F.coalesce(page, F.lit("")))
+    src = pages.withColumn(page, F.coalesce(page, F.lit("")))
     mark = F.xxhash64(page)
-    voters = (src.where(F.col(host).isNotNull()).select(F.col(host).alias("h"), mark.alias("first")).distinct()
-              .groupBy("h").agg(F.count(F.lit(1)).alias("pages"), F.min("first").alias("first"))
-              .where(F.col("pages") >= LEAST_PAGES).select("h", "first"))
-    voters = staged(voters, "voters")
-    voters = checked_broadcast(voters, F.length("h") + 64)
-    first = src.join(voters, (src[host] == voters["h"]) & (mark == voters["first"])).select("h", page)
-
-    def skeletons(batches):
-        for b in batches:
-            trees = [json.dumps(parse(x).skeleton()) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(trees, pa.string())], names=["h", "tree"])
-
-    references = staged(first.mapInArrow(skeletons, "h string, tree string").groupBy("h").agg(F.min("tree").alias("tree")),
-                        "references")
-    references = checked_broadcast(references, F.length("h") + F.length("tree") + 64)
-    joined = src.join(references, src[host] == references["h"], "left").select(
-        *keep, host, rid, page, F.col("tree").alias(ref))
-    struct = pa.list_(pa.struct([("slot", pa.string()), ("text", pa.string()), ("vote", pa.int8())]))
+    src = src.withColumn(group, F.when(name != "", name).otherwise(F.concat(F.lit("?"), mark.cast("string"))))
+    src = src.withColumn(rid, F.monotonically_increasing_id())
+    references = _references(src, group, page)
+    joined = src.join(references, src[group] == references["h"], "left").select(
+        *keep, group, rid, page, F.col("tree").alias(ref))
     kinds = {f.name: f.dataType.simpleString() for f in src.schema}
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in [*keep, host, rid]]
-                       + [f"`{blocks}` array<struct<slot:string,text:string,vote:tinyint>>"])
-    names = [*keep, host, rid, blocks]
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in [*keep, group, rid]] + [f"`{blocks}` {BLOCK_TYPE}"])
+    names, fields = [*keep, group, rid, blocks], [f for f, _ in BLOCK]
 
     def run(batches):
         seen: dict = {}
         for b in slices(batches):
             n = b.num_columns
-            found = [[dict(zip(("slot", "text", "vote"), x, strict=True)) for x in read(p, _loaded(r, seen))]
+            found = [[dict(zip(fields, x, strict=True)) for x in blocks_of(p, _loaded(r, seen))]
                      for p, r in zip(b.column(n - 2).to_pylist(), b.column(n - 1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(found, struct)], names=names)
-
-    read_ = staged(joined.mapInArrow(run, schema), "blocks")
-    voted = lambda x: F.xxhash64(F.col(host), x["slot"], x["text"])
-    votes = read_.where(F.col(host).isNotNull()).select(
-        F.xxhash64(host).alias("h"), F.col(rid).alias("r"),
-        F.xxhash64(F.transform(blocks, lambda x: x["text"])).alias("whole"),
-        F.transform(F.filter(blocks, lambda x: x["vote"] > 0), lambda x: F.struct(
-            voted(x).alias("cell"), (x["vote"] > 1).alias("declared"))).alias("cells")).where(F.size("cells") > 0)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(found, pa.list_(pa.struct(BLOCK)))], names=names)
+
+    read = staged(joined.mapInArrow(run, schema), "blocks")
+    voted = lambda x: F.xxhash64(F.col(group), x["slot"], x["text"])
+    hits = _template(read.select(
+        F.xxhash64(group).alias("h"), F.col(rid).alias("r"),
+        F.xxhash64(F.transform(F.filter(blocks, lambda x: x["body"]), lambda x: x["text"])).alias("whole"),
+        F.transform(F.filter(blocks, lambda x: ~x["menu"]), lambda x: F.struct(
+            voted(x).alias("cell"), x["declared"].alias("declared"))).alias("cells")).where(F.size("cells") > 0))
+    hits = checked_broadcast(hits, F.size("_template") * 8 + 32)
+    (template,) = fresh(read, "_template_cells")
+    out = read.join(hits, read[rid] == hits["_hit"], "left").withColumn(
+        template, F.coalesce("_template", F.array().cast("array<bigint>"))).drop("_hit", "_template")
+    constant = lambda x: F.array_contains(template, voted(x))
+    regions = _regions(out.select(F.xxhash64(group).alias("h"), F.explode(F.transform(
+        F.filter(blocks, lambda x: ~x["menu"] & ~constant(x)),
+        lambda x: F.struct(x["chain"].alias("chain"), x["weight"].alias("weight")))).alias("b")))
+    regions = checked_broadcast(regions, F.size("_around") * 8 + 32)
+    out = out.join(regions, F.xxhash64(out[group]) == regions["_in"], "left")
+    (left, beyond) = fresh(out, "_left", "_beyond")
+    inside = lambda x: F.array_contains(x["chain"], F.col("_region"))
+    out = out.withColumn(beyond, F.coalesce(F.exists(blocks, inside), F.lit(False)))
+    away = lambda x: constant(x) | (F.col(beyond) & ~inside(x) & ~x["strong"])
+    around = F.coalesce("_around", F.array().cast("array<bigint>"))
+    free = lambda x: F.size(F.array_except(x["named"], around)) == 0
+    out = out.withColumn(left, F.filter(blocks, lambda x: ~x["menu"] & ~away(x) & free(x)))
+    return out.select(
+        *keep, F.array_join(F.transform(left, lambda x: x["text"]), "\n\n").alias(text),
+        F.size(F.filter(blocks, lambda x: ~x["menu"])).cast("long").alias(n_blocks),
+        F.size(F.filter(blocks, lambda x: ~x["menu"] & away(x))).cast("long").alias(n_voted),
+    ), [text, n_blocks, n_voted]
+
+
+def _references(src: DataFrame, group: str, page: str) -> DataFrame:
+    """(h, tree) for each group of two or more different pages: the skeleton of a page of the most frequent structure.
+
+    A structure is the order in which the kinds of elements first come; ties go
+    to the smaller hash.
+    """
+    mark = F.xxhash64(page)
+    kinds = F.array_distinct(F.regexp_extract_all(F.lower(page), F.lit(
+        r"<(main|article|section|nav|aside|header|footer|form|table|ul|ol|div|h1|h2|p)[\s>]"), F.lit(1)))
+    ways = (src.select(F.col(group).alias("h"), mark.alias("first"), F.xxhash64(kinds).alias("way")).distinct()
+            .groupBy("h", "way").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first")))
+    best = (ways.groupBy("h").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "way", "first")).alias("best"))
+            .where(F.col("pages") > 1).select("h", F.col("best.first").alias("first")))
+    best = staged(best, "voters")
+    best = checked_broadcast(best, F.length("h") + 64)
+    first = src.join(best, (src[group] == best["h"]) & (mark == best["first"])).select("h", page)
+
+    def skeletons(batches):
+        for b in batches:
+            trees = [json.dumps(parse(x).skeleton()) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(trees, pa.string())], names=["h", "tree"])
+
+    trees = staged(first.mapInArrow(skeletons, "h string, tree string").groupBy("h").agg(F.min("tree").alias("tree")),
+                   "references")
+    return checked_broadcast(trees, F.length("h") + F.length("tree") + 64)
+
+
+def _template(votes: DataFrame) -> DataFrame:
+    """(_hit, _template): rows with the cells of theirs that are template. ``votes``: h, r, whole, cells (cell, declared)."""
     cells = votes.select("h", "r", "whole", F.explode(F.array_distinct("cells")).alias("c"))
     cells = cells.select("h", "r", "whole", "c.cell", "c.declared")
     different = staged(votes.select("h", "whole").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("pages")),
@@ -425,15 +495,21 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> tuple[Dat
     share = F.when(F.col("declared"), DECLARED_SHARE).otherwise(LEAST_SHARE)
     constant = staged(pages_of.where(F.col("n") >= LEAST_PAGES).join(different, "h")
                       .where(F.col("n") >= share * F.col("pages")).select("cell"), "template-cells")
-    hits = (cells.select("r", "cell").join(checked_broadcast(constant, 16), "cell").groupBy(F.col("r").alias("_hit"))
-            .agg(F.collect_set("cell").alias("_template")))
-    hits = staged(hits, "template-hits")
-    hits = checked_broadcast(hits, F.size("_template") * 8 + 32)
-    out = read_.join(hits, read_[rid] == hits["_hit"], "left")
-    (left,) = fresh(out, "_left")
-    template = F.coalesce("_template", F.array().cast("array<bigint>"))
-    out = out.withColumn(left, F.filter(blocks, lambda x: (x["vote"] == 0) | ~F.array_contains(template, voted(x))))
-    return out.select(
-        *keep, F.array_join(F.transform(left, lambda x: x["text"]), "\n\n").alias(text),
-        F.size(blocks).cast("long").alias(n_blocks), (F.size(blocks) - F.size(left)).cast("long").alias(n_dropped),
-    ), [text, n_blocks, n_dropped]
+    return staged(cells.select("r", "cell").join(checked_broadcast(constant, 16), "cell").groupBy(F.col("r").alias("_hit"))
+                  .agg(F.collect_set("cell").alias("_template")), "template-hits")
+
+
+def _regions(weights: DataFrame) -> DataFrame:
+    """(_in, _region, _around): group, slot of its content region, and of the elements around that, itself included.
+
+    ``weights``: h and b (chain, weight). Chains are summed up first, so a group's hot chain is one row a task.
+    """
+    chains = weights.groupBy("h", F.col("b.chain").alias("chain")).agg(F.sum("b.weight").alias("weight"))
+    chains = staged(chains, "chains")
+    totals = chains.groupBy("h").agg(F.sum("weight").alias("total"))
+    nodes = (chains.select("h", "weight", "chain", F.posexplode("chain").alias("depth", "node"))
+             .groupBy("h", "node", "depth").agg(F.sum("weight").alias("weight"), F.min("chain").alias("chain")))
+    return staged(nodes.join(totals, "h").where(F.col("weight") * 100 >= F.col("total") * REGION_SHARE)
+                  .groupBy(F.col("h").alias("_in")).agg(F.max(F.struct("depth", "weight", "node", "chain")).alias("b"))
+                  .select("_in", F.col("b.node").alias("_region"),
+                          F.slice("b.chain", F.lit(1), F.col("b.depth") + 1).alias("_around")), "regions")
