@@ -102,3 +102,19 @@ def test_versions_keep_every_symbol(spark, tmp_path):
     assert _held(spark, root, kind) == [("", 6.0, 5), ("A", 5.0, 5), ("B", 3.0, 2)]
     with pytest.raises(ValueError, match="no committed version"):
         IO.read_versioned(spark, root, kind, version=3)
+
+
+def test_batch_process_files_cleans_each_file_alone(spark, tmp_path):
+    from tickforge.operators import quality as Q
+    (tmp_path / "one.csv").write_text("A,C\n1,x\n,y\n3,y\n")
+    (tmp_path / "two.csv").write_text("A,C\n10,\n,b\n20,a\n")
+    (tmp_path / "three.csv").write_text("A,C\n,z\n,z\n")
+    paths = [str(tmp_path / f"{n}.csv") for n in ("one", "two", "three")]
+    got = IO.batch_process_files(spark, paths, "A double, C string", Q.fill_missing_by, name=r"([^/]+)\.csv$")
+    rows = sorted(((r.file, r.A, r.C) for r in got.collect()), key=str)
+    assert rows == sorted([("one", 1.0, "x"), ("one", 2.0, "y"), ("one", 3.0, "y"), ("two", 10.0, "a"), ("two", 15.0, "b"),
+                           ("two", 20.0, "a"), ("three", None, "z"), ("three", None, "z")], key=str)
+    once = IO.batch_process_files(spark, paths, "A double, C string", lambda d, file: Q.remove_duplicates(d))
+    assert once.count() == 7  # the repeated row of the third file
+    with pytest.raises(ValueError):
+        IO.batch_process_files(spark, paths, "A double, file string", Q.fill_missing_by)

@@ -209,3 +209,35 @@ def test_rsi_variants_side_by_side(spark):
     alone = with_indicators(bars, ["rsi_strict"], params={"rsi_strict": {"window": 3}}).orderBy("ts").collect()
     assert [r.RSI_strict for r in both] == [r.RSI for r in alone]
     assert both[0].RSI_strict is None and both[0].RSI_custom == 0.0 and both[-1].RSI == both[-1].RSI_custom
+
+
+def test_backtest_report_of_a_replay(spark):
+    """Summary and step arrays against plain numpy, with and without blocks and small parts."""
+    import numpy as np
+    rng = np.random.default_rng(4)
+    closes = {"A": (100 + np.cumsum(rng.normal(size=70))).tolist(), "B": [50.0, 60.0, 55.0]}
+    bars = _ramp(spark, closes["A"]).union(_ramp(spark, closes["B"], "B"))
+    ledger = BT.action_ledger(BT.momentum_actions(bars))
+    rows = sorted(ledger.collect(), key=lambda r: (r.symbol, r.ts))
+    for kw in ({}, {"block_rows": 16, "chunk": 9}):
+        summary, steps = BT.backtest_report(ledger, **kw)
+        got = {r.symbol: r for r in summary.collect()}
+        parts = sorted(steps.collect(), key=lambda r: (r.symbol, r.part))
+        assert len(got) == 2
+        for s, close in closes.items():
+            mine = [r for r in rows if r.symbol == s]
+            prices = np.array([*close[1:], close[-1]])
+            total = np.cumsum([r.reward for r in mine])
+            assert [x for p in parts if p.symbol == s for x in p.step_rewards] == pytest.approx(total.tolist())
+            assert [x for p in parts if p.symbol == s for x in p.step_prices] == prices.tolist()
+            assert [p.part for p in parts if p.symbol == s] == list(range(-(-len(close) // kw.get("chunk", 1 << 16))))
+            before, change = total[:-1], np.diff(total)
+            excess = change[before != 0] / before[before != 0] - 0.01 / 252
+            peak = np.maximum.accumulate(prices)
+            assert (got[s].steps, got[s].final_balance, got[s].final_equity) == (len(close), mine[-1].balance, mine[-1].equity)
+            assert [got[s].mfe, got[s].mae, got[s].max_drawdown, got[s].total_reward] == pytest.approx(
+                [prices.max() - prices[0], prices[0] - prices.min(), ((peak - prices) / peak).max(), total[-1]])
+            if s == "A":
+                assert got[s].sharpe_ratio == pytest.approx(excess.mean() / excess.std() * 252 ** 0.5, rel=1e-6)
+                assert got[s].sortino_ratio == pytest.approx(excess.mean() / excess[excess < 0].std() * 252 ** 0.5, rel=1e-6)
+    assert all(d.count() == 0 for d in BT.backtest_report(ledger.limit(0)))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernels as K
-from ..plans.layout import DEFAULT_BLOCK_ROWS
+from ..plans.layout import DEFAULT_BLOCK_ROWS, LAYOUT_COLS, RN, stored
 from ..schema import SYM, TS
 from .fold import fold_series
 from .series import run_series
@@ -24,6 +24,8 @@ INITIAL_BALANCE = 10000.0
 FEE = 0.001
 RF = 0.01
 TRADING_DAYS = 252
+#: Steps of one row of a report's step arrays.
+REPORT_STEPS = 1 << 16
 
 
 def action_ledger(actions: DataFrame, *, sym: str = SYM, ts: str = TS, key=None,
@@ -35,7 +37,7 @@ def action_ledger(actions: DataFrame, *, sym: str = SYM, ts: str = TS, key=None,
     amount at price * (1 - fee). Then the replay steps to the next bar, where
     the position is valued: equity = shares * next price + balance, reward =
     equity minus the initial balance. The last bar has no next one: its action
-    is taken and the position is valued at its own price. Also flags a balance
+    is taken and the position is valued at its own price. ``step_price`` is the price of the valuation. Also flags a balance
     driven below zero by fees."""
     keys = [sym] + list(key or [])
     for c in [*keys, ts]:
@@ -80,7 +82,8 @@ def _valued(out: DataFrame, actions: DataFrame, keys: list[str], ts: str, balanc
     value = F.coalesce(F.col("_next"), F.col("_after"), F.struct("price"))["price"]
     equity = F.col("shares") * value + F.col("balance")
     return out.select(*actions.columns, "balance", "shares", equity.alias("equity"),
-                      (equity - balance).alias("reward"), (F.col("balance") < 0).alias("negative_balance"))
+                      (equity - balance).alias("reward"), (F.col("balance") < 0).alias("negative_balance"),
+                      value.alias("step_price"))
 
 
 def momentum_actions(bars: DataFrame, *, sym: str = SYM, ts: str = TS, **kw) -> DataFrame:
@@ -99,7 +102,7 @@ def momentum_actions(bars: DataFrame, *, sym: str = SYM, ts: str = TS, **kw) ->
 
 def performance(series: DataFrame, value: str = "close", *, sym: str = SYM, ts: str = TS,
                 rf: float = RF, **kw) -> DataFrame:
-    """Per symbol: Sharpe and Sortino (population std, annualised by sqrt(252)),
+    """Per symbol: Sharpe and Sortino (population std, annualised by sqrt(252); null if that is 0),
     max drawdown (ratio), mean return, absolute max drawdown, volatility,
     MFE/MAE against the first value."""
     def build(df, carries):
@@ -114,8 +117,8 @@ def performance(series: DataFrame, value: str = "close", *, sym: str = SYM, ts:
     down = F.when(ex < 0, ex)
     v = F.col(value)
     return r.groupBy(sym).agg(
-        (F.avg(ex) / F.stddev_pop(ex) * F.lit(math.sqrt(TRADING_DAYS))).alias("sharpe_ratio"),
-        (F.avg(ex) / F.stddev_pop(down) * F.lit(math.sqrt(TRADING_DAYS))).alias("sortino_ratio"),
+        (F.try_divide(F.avg(ex), F.stddev_pop(ex)) * F.lit(math.sqrt(TRADING_DAYS))).alias("sharpe_ratio"),
+        (F.try_divide(F.avg(ex), F.stddev_pop(down)) * F.lit(math.sqrt(TRADING_DAYS))).alias("sortino_ratio"),
         F.max(F.try_divide(F.col("peak") - v, F.col("peak"))).alias("max_drawdown"),
         F.avg("ret").alias("average_return"),
         F.max(F.col("peak") - v).alias("max_drawdown_abs"),
@@ -125,6 +128,39 @@ def performance(series: DataFrame, value: str = "close", *, sym: str = SYM, ts:
         F.count(F.lit(1)).alias("steps"))
 
 
+def backtest_steps(ledger: DataFrame, *, sym: str = SYM, ts: str = TS, **kw) -> DataFrame:
+    """``ledger`` with the step's number from 1 and the rewards added up so far."""
+    def build(df, carries):
+        carries["total_reward"] = ("_cr", "sum")
+        return df.withColumn("_cr", K.local_cumsum(F.col("reward"), sym))
+
+    out = run_series(ledger, build, halo=0, sym=sym, ts=ts, keep_layout=True, **kw)
+    return out.withColumn("step", F.col(RN).cast("long")).drop(*LAYOUT_COLS)
+
+
+def backtest_report(ledger: DataFrame, *, chunk: int = REPORT_STEPS, sym: str = SYM, ts: str = TS,
+                    **kw) -> tuple[DataFrame, DataFrame]:
+    """The report of a replay: one row a symbol, and its steps.
+
+    The first frame has steps, total reward, last balance and equity, MFE, MAE and
+    the drawdown ratio of the step prices, Sharpe and Sortino of the rewards
+    added up (a return on a sum of 0 is null). The second has the step arrays:
+    one row for each ``chunk`` steps of a symbol (part 0, 1, ...), so that no row grows
+    with the series. An empty ledger gives two empty frames.
+    """
+    steps = stored(backtest_steps(ledger, sym=sym, ts=ts, **kw), "backtest-steps")
+    price = performance(steps, "step_price", sym=sym, ts=ts, **kw).select(sym, "steps", "mfe", "mae", "max_drawdown")
+    earned = performance(steps, "total_reward", sym=sym, ts=ts, **kw).select(sym, "sharpe_ratio", "sortino_ratio")
+    last = steps.groupBy(sym).agg(F.max_by(F.struct("total_reward", "balance", "equity"), "step").alias("l"))
+    summary = price.join(earned, sym).join(last, sym).select(
+        sym, "steps", F.col("l.total_reward").alias("total_reward"), F.col("l.balance").alias("final_balance"),
+        F.col("l.equity").alias("final_equity"), "mfe", "mae", "sharpe_ratio", "sortino_ratio", "max_drawdown")
+    part = F.floor((F.col("step") - 1) / F.lit(chunk)).cast("long")
+    rows = steps.groupBy(sym, part.alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("step", "total_reward", "step_price"))).alias("s"))
+    return summary, rows.select(sym, "part", F.col("s.total_reward").alias("step_rewards"), F.col("s.step_price").alias("step_prices"))
+
+
 def risk_status(series: DataFrame, value: str = "close", *, sym: str = SYM, ts: str = TS,
                 max_drawdown: float = 0.2, stop_loss: float = 0.05, take_profit: float = 0.1,
                 **kw) -> DataFrame:

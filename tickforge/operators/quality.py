@@ -89,6 +89,33 @@ def fill_missing_values(df: DataFrame, strategy: str = "mean", value=None,
     return df.withColumns(repl)
 
 
+def fill_missing_by(df: DataFrame, by: str) -> DataFrame:
+    """The mean fill inside each value of ``by``: means of numeric columns and the most frequent
+    strings (of equally frequent ones the smallest) come from the rows of the same ``by`` alone.
+
+    The means are one grouped aggregate, each mode a count by (``by``, value), so a hot
+    value is pre-aggregated; a column that is null throughout stays so.
+    """
+    num = [c for c in numeric_columns(df) if c != by]
+    strs = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != by]
+    out = df
+    if num:
+        means = df.groupBy(by).agg(*[F.avg(c).alias(f"_mean_{c}") for c in num])
+        out = _with_stats(out, means, by)
+    for c in strs:
+        counts = df.where(F.col(c).isNotNull()).groupBy(by, c).agg(F.count(F.lit(1)).alias("_n"))
+        top = counts.groupBy(by).agg(F.min(F.struct((-F.col("_n")).alias("_n"), F.col(c).alias("v")))["v"].alias(f"_mode_{c}"))
+        out = _with_stats(out, top, by)
+    fill = {c: F.coalesce(F.col(c), F.col(f"_mean_{c}").cast(df.schema[c].dataType)) for c in num}
+    fill |= {c: F.coalesce(F.col(c), F.col(f"_mode_{c}")) for c in strs}
+    return out.withColumns(fill).select(*df.columns) if fill else df
+
+
+def _with_stats(df: DataFrame, stats: DataFrame, by: str) -> DataFrame:
+    stats = stats.withColumnRenamed(by, "_by")
+    return df.join(stats, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
+
+
 def iqr_bounds(df: DataFrame, column: str, factor: float = 1.5) -> DataFrame:
     """Tukey fences from exact quartiles (order statistics at any size)."""
     from ..functions.quantiles import quantiles

@@ -499,26 +499,39 @@ def _sql_perf(cols, digits=6):
             + " FROM x GROUP BY symbol")
 
 
+_REPORT = ["total_reward", "final_balance", "final_equity", "mfe", "mae", "sharpe_ratio", "sortino_ratio", "max_drawdown"]
+
+
 def q_backtest_report(spark, sf_dir):
-    perf = _perf(spark, sf_dir)
-    final = (_ledger(spark, sf_dir).groupBy("symbol")
-             .agg(F.max_by("equity", "ts").alias("final_equity")))
-    rep = perf.join(final, "symbol")
-    path = scratch_path(spark, "backtest_report")
-    rep.write.mode("errorifexists").json(path)
-    back = spark.read.schema(rep.schema).json(path)
-    return _r(back, ["symbol", "steps"], ["sharpe_ratio", "max_drawdown", "final_equity"], 4)
+    """Summary and step arrays written as JSON, read back and joined: one row for each part of a symbol's steps."""
+    summary, steps = BT.backtest_report(_ledger(spark, sf_dir))
+    back = []
+    for name, df in (("report", summary), ("report-steps", steps)):
+        path = scratch_path(spark, name)
+        df.write.mode("errorifexists").json(path)
+        back.append(spark.read.schema(df.schema).json(path))
+    listed = back[0].join(back[1], "symbol")
+    cents = {c: F.array_join(F.transform(c, lambda x: F.floor(x * 100 + 0.5000001).cast("long").cast("string")), ",")
+             for c in ("step_rewards", "step_prices")}
+    return _r(listed.withColumns(cents), ["symbol", "steps", "part", *cents], _REPORT, 4)
 
 
 def sql_backtest_report():
-    perf = (PERF_BASE + f"\nSELECT symbol, count(*) AS steps, "
-            f"{rnd(_PERF_EXPR['sharpe_ratio'], 4)} AS sharpe_ratio, "
-            f"{rnd(_PERF_EXPR['max_drawdown'], 4)} AS max_drawdown FROM x GROUP BY symbol")
-    led = _sql_ledger_cte() + """
-SELECT a.symbol, arg_max(l.sh * a.price + l.bal, a.ts) AS fe FROM l JOIN a USING (symbol, rn)
-GROUP BY a.symbol"""
-    return (f"SELECT p.*, {rnd('f.fe', 4)} AS final_equity FROM ({perf}) p JOIN ({led}) f "
-            f"USING (symbol)")
+    cents = "string_agg(CAST(floor({} * 100 + 0.5000001) AS BIGINT), ',' ORDER BY rn)"
+    return _sql_ledger_cte() + f""",
+e AS (SELECT a.symbol, a.rn, a.next_price AS price, l.bal, l.sh * a.next_price + l.bal AS equity FROM l JOIN a USING (symbol, rn)),
+c AS (SELECT *, sum(equity - 10000.0) OVER (PARTITION BY symbol ORDER BY rn) AS total,
+             max(price) OVER (PARTITION BY symbol ORDER BY rn) AS peak FROM e),
+x AS (SELECT *, {tdiv('total - lag(total) OVER w', 'lag(total) OVER w')} - {BT.RF / BT.TRADING_DAYS} AS ex
+      FROM c WINDOW w AS (PARTITION BY symbol ORDER BY rn))
+SELECT symbol, count(*) AS steps, (rn - 1) // {BT.REPORT_STEPS} AS part,
+       {cents.format('total')} AS step_rewards, {cents.format('price')} AS step_prices,
+       {rnd('arg_max(total, rn)', 4)} AS total_reward, {rnd('arg_max(bal, rn)', 4)} AS final_balance,
+       {rnd('arg_max(equity, rn)', 4)} AS final_equity,
+       {rnd('max(price) - arg_min(price, rn)', 4)} AS mfe, {rnd('arg_min(price, rn) - min(price)', 4)} AS mae,
+       {rnd(_PERF_EXPR['sharpe_ratio'], 4)} AS sharpe_ratio, {rnd(_PERF_EXPR['sortino_ratio'], 4)} AS sortino_ratio,
+       {rnd('max((peak - price) / peak)', 4)} AS max_drawdown
+FROM x GROUP BY symbol, part"""
 
 
 RISK_SQL = f"""

@@ -460,9 +460,8 @@ def q_batch_files(spark, sf_dir):
     (read_table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_quantity")
      .write.mode("errorifexists").option("header", True).partitionBy("l_returnflag").csv(path))
     schema = "l_orderkey BIGINT, l_quantity DOUBLE, l_returnflag STRING"
-    df = (spark.read.option("header", True).schema(schema).csv(path)
-          .withColumn("file", F.regexp_extract(F.input_file_name(), r"l_returnflag=([^/]+)", 1)))
-    cleaned = Q.remove_duplicates(df)  # the cleaner, applied per file in one multi-file scan
+    cleaned = IO.batch_process_files(spark, path, schema, lambda rows, file: Q.remove_duplicates(rows),
+                                     name=r"l_returnflag=([^/]+)")
     return (cleaned.groupBy("file").agg(F.count(F.lit(1)).alias("rows"),
                                  spark_round(F.sum("l_quantity")).alias("quantity")))
 

@@ -46,6 +46,22 @@ REQUEST_LOG = T.StructType([
 
 
 # ------------------------------------------------------------------ scans
+def batch_process_files(spark: SparkSession, paths, schema, cleaner, *, file: str = "file", name: str | None = None,
+                        **options) -> DataFrame:
+    """``cleaner(rows, file)`` over many CSV files read in one scan.
+
+    ``rows`` has the columns of ``schema`` and, as ``file``, where each row is from: the
+    whole path, or group 1 of the pattern ``name`` in it. A cleaner that works on each
+    file alone groups by that column (``remove_duplicates`` does, as the column is part of
+    the row; ``fill_missing_by`` takes its name).
+    """
+    if file in T._parse_datatype_string(schema).names if isinstance(schema, str) else file in schema.names:
+        raise ValueError(f"the files have a column {file!r}; choose another name")
+    df = spark.read.options(header=True, **options).schema(schema).csv(paths)
+    origin = F.input_file_name()
+    return cleaner(df.withColumn(file, F.regexp_extract(origin, name, 1) if name else origin), file)
+
+
 def scan_csv_bars(spark: SparkSession, path: str) -> DataFrame:
     """Read bar CSV files (``{symbol}_data.csv`` files or a ``symbol=``
     partitioned folder) in one scan with a fixed schema."""
