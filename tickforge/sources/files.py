@@ -199,8 +199,12 @@ def sink_sql_table(df: DataFrame, table: str, path: str, if_exists: str = "repla
 
 
 def sink_object_store(df: DataFrame, uri: str, mode: str = "overwrite") -> None:
-    """``{symbol}/...`` layout on any Hadoop file system URI (s3a://, gs://, file://)."""
-    df.write.mode(mode).partitionBy(SYM).parquet(uri)
+    """``{symbol}/...`` layout on any Hadoop file system URI (s3a://, gs://, file://).
+
+    Rows are dealt by ranges of (symbol, time) first: a symbol is one file, or one for
+    each task that its range spans, never one from every task."""
+    keys = [c for c in (SYM, TS) if c in df.columns]
+    df.repartitionByRange(*keys).write.mode(mode).partitionBy(SYM).parquet(uri)
 
 
 def sink_predictions(spark: SparkSession, preds: DataFrame, root: str, model: str,
