@@ -46,3 +46,11 @@ def test_object_store_has_a_file_a_symbol_not_one_from_every_task(spark, tmp_pat
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert 6 <= len(files) <= 6 + parts - 1
     assert spark.read.parquet(str(tmp_path / "bucket")).count() == 240
+
+
+def test_risk_reads_a_replay_once(spark):
+    ledger = BT.action_ledger(BT.momentum_actions(_bars(spark)))
+    assert "FlatMapGroupsInPandas" in _plan(ledger)
+    status = BT.risk_status(ledger, "equity")
+    assert "FlatMapGroupsInPandas" not in _plan(status)
+    assert "Window" not in _plan(BT.risk_truncate(status))

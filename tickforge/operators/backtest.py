@@ -170,6 +170,7 @@ def risk_status(series: DataFrame, value: str = "close", *, sym: str = SYM, ts:
     for name, limit in (("max_drawdown", max_drawdown), ("stop_loss", stop_loss), ("take_profit", take_profit)):
         if not 0 < limit < 1:
             raise ValueError(f"{name} lies between 0 and 1, got {limit!r}")
+    series = stored(series, "risk-series")  # read four times below; a replay is behind it
     first = series.groupBy(sym).agg(F.min_by(F.col(value), F.col(ts)).alias("initial"))
 
     def build(df, carries):
@@ -195,6 +196,7 @@ def risk_truncate(status: DataFrame, *, sym: str = SYM, ts: str = TS, fee: float
     are valued at: balance and equity are then the cash after the fee, shares 0. An
     account stopped by STOP_TRADING keeps its position."""
     from ..plans.layout import key_count, maybe_broadcast
+    status = stored(status, "risk-status")
     stop = (status.where(F.col("status") != "CONTINUE_TRADING").groupBy(sym)
             .agg(F.min(ts).alias("_stop")))
     out = status.join(maybe_broadcast(stop, key_count(status, sym)), sym, "left")
