@@ -54,3 +54,20 @@ def test_risk_reads_a_replay_once(spark):
     status = BT.risk_status(ledger, "equity")
     assert "FlatMapGroupsInPandas" not in _plan(status)
     assert "Window" not in _plan(BT.risk_truncate(status))
+
+
+def test_rolling_means_are_the_sliding_ones_without_sliding(spark):
+    windows = {f"m{n}": n for n in (1, 2, 3, 5, 8, 13, 21, 34, 55)}
+    for nulls, kw in ((False, {}), (True, {}), (True, {"block_rows": 60})):
+        bars = _bars(spark, symbols=2, n=150, nulls=nulls)
+        got = run_series(bars, lambda df, _: K.rolling_means(df, "close", windows), halo=56, **kw)
+        w = Window.partitionBy("symbol").orderBy("ts")
+        full = {f"w{n}": F.when(F.count("close").over(w.rowsBetween(1 - n, 0)) == n, F.avg("close").over(w.rowsBetween(1 - n, 0)))
+                for n in windows.values()}
+        both = got.join(bars.withColumns(full).drop("close", "open", "high", "low", "volume"), ["symbol", "ts"]).collect()
+        assert len(both) == 300
+        for r in both:
+            for n in windows.values():
+                assert (r[f"m{n}"] is None) == (r[f"w{n}"] is None)
+                assert r[f"m{n}"] is None or abs(r[f"m{n}"] - r[f"w{n}"]) < 1e-9
+    assert "RowFrame, -609" not in _plan(M.sma_window_search(_bars(spark), [2, 610]))
