@@ -71,3 +71,18 @@ def test_rolling_means_are_the_sliding_ones_without_sliding(spark):
                 assert (r[f"m{n}"] is None) == (r[f"w{n}"] is None)
                 assert r[f"m{n}"] is None or abs(r[f"m{n}"] - r[f"w{n}"]) < 1e-9
     assert "RowFrame, -609" not in _plan(M.sma_window_search(_bars(spark), [2, 610]))
+
+
+def test_a_large_table_is_dealt_by_its_size(spark):
+    bars = _bars(spark, symbols=64, n=10)
+    n = 4 * spark.sparkContext.defaultParallelism
+    for kw in ({}, {"block_rows": 4}):
+        laid = layout.lay_out(bars, task_rows=640 // n, **kw).df
+        assert f", {640 // (640 // n)})" in _plan(laid) or f", {-(-640 // (640 // n))})" in _plan(laid)
+        assert laid.where(layout.OWN).count() == 640
+
+
+def test_row_numbers_come_with_one_numbering(spark):
+    from tickforge.operators.features import with_row_index
+    plan = _plan(with_row_index(_bars(spark)))
+    assert plan.count("row_number()") == 1

@@ -101,7 +101,8 @@ def with_row_index(bars: DataFrame, *, sym: str = SYM, ts: str = TS, **kw) -> Da
     """Exact per-symbol row number ``rn`` and row count ``n`` (skew-safe)."""
     out = run_series(bars, lambda df, c: df.withColumn("rn", F.col(RN)), halo=0, sym=sym,
                      ts=ts, **kw)
-    counts = out.groupBy(sym).agg(F.count(F.lit(1)).alias("n"))
+    # from the bars themselves, not from the numbered rows: no second sort of the table
+    counts = bars.where(F.col(sym).isNotNull() & F.col(ts).isNotNull()).groupBy(sym).agg(F.count(F.lit(1)).alias("n"))
     return out.join(maybe_broadcast(counts, key_count(bars, sym)), sym)
 
 

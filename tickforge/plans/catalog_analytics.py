@@ -14,7 +14,7 @@ from ..operators import features as FE
 from ..operators import models as M
 from ..operators.forecast import walk_forward
 from ..operators.series import run_series
-from ..plans.layout import key_count, maybe_broadcast, with_scalars
+from ..plans.layout import key_count, maybe_broadcast, stored, with_scalars
 from ..session import scratch_path
 from ..sources.tables import EVENT_BARS_SQL, LINE_BARS_SQL, event_bars, line_bars, read_table
 from .catalog_indicators import REC_DIGITS, _recursive, spark_round
@@ -345,7 +345,7 @@ SELECT symbol, strategy, ts FROM (SELECT *, row_number() OVER (PARTITION BY symb
 
 
 def q_novelty(spark, sf_dir):
-    s = FE.split_chronological(line_bars(spark, sf_dir), 0.8)
+    s = stored(FE.split_chronological(line_bars(spark, sf_dir), 0.8).select("symbol", "ts", "close", "split"), "novelty-split")
     out = M.novelty_exemplar(s.where(F.col("split") == "train"),
                              s.where(F.col("split") == "test"), "close")
     return _r(out, ["symbol", "ts"], ["dist"])

@@ -24,6 +24,7 @@ are broadcast only after their row count is checked.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,6 +43,8 @@ SUB_ROWS = 1024
 # with a shuffle.
 BROADCAST_ROWS = 2_000_000
 DEFAULT_BLOCK_ROWS = 1 << 20
+#: Rows of a task, about, where a table is too large for the session's partitions.
+TASK_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -112,20 +115,40 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_in_parts(df: DataFrame, name: str, part_rows: int = TASK_ROWS) -> DataFrame:
+    """``stored`` for rows that a fit keeps as objects: no partition holds more than about ``part_rows``.
+
+    A scan deals files out by bytes, some million rows of a narrow table to a task; where
+    that makes fewer partitions than wanted, rows are dealt once more and checkpointed.
+    """
+    out = stored(df, name)
+    parts = math.ceil(out.count() / part_rows)
+    return out if parts <= out.rdd.getNumPartitions() else _materialize(out.repartition(parts))
+
+
 def _materialize(df: DataFrame) -> DataFrame:
     # Small plan table: computed once, reliable checkpoint in the shared folder.
     return df.checkpoint(eager=True)
 
 
-def largest_series(df: DataFrame, sym: str = SYM) -> int:
-    """Row count of the longest symbol (one small aggregate job)."""
-    n = df.groupBy(sym).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    return int(n or 0)
+def series_sizes(df: DataFrame, sym: str = SYM) -> tuple[int, int]:
+    """Row count of the longest symbol, and of all (one small aggregate job)."""
+    n = df.groupBy(sym).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n"), F.sum("_n")).first()
+    return int(n[0] or 0), int(n[1] or 0)
+
+
+def _dealt(df: DataFrame, total: int, task_rows: int, *keys: str) -> DataFrame:
+    """Rows of a large table by ``keys`` in as many partitions as its size asks for.
+
+    Adaptive execution only joins the session's fixed number of partitions, so a task
+    would grow with the table. Smaller tables are left to it."""
+    parts = math.ceil(total / task_rows)
+    return df.repartition(parts, *keys) if parts > df.sparkSession.sparkContext.defaultParallelism else df
 
 
 def lay_out(df: DataFrame, sym: str = SYM, ts: str = TS, *, halo: int = 0,
             blocked: bool = True, block_rows: int = DEFAULT_BLOCK_ROWS,
-            largest: int | None = None) -> Laid:
+            largest: int | None = None, total: int = 0, task_rows: int = TASK_ROWS) -> Laid:
     """Attach ``_blk``, ``_rn`` and ``_own`` to a bar-like table.
 
     ``halo`` is the longest look-back (in rows) any later window needs.
@@ -139,15 +162,16 @@ def lay_out(df: DataFrame, sym: str = SYM, ts: str = TS, *, halo: int = 0,
     # a row without symbol or order key has no place in a series (at any size)
     df = df.where(F.col(sym).isNotNull() & F.col(ts).isNotNull())
     if not blocked:
-        out = df.withColumns({BLK: F.lit(0).cast("bigint"), OWN: F.lit(True), ORD: F.col(ts)})
+        out = _dealt(df, total, task_rows, sym)
+        out = out.withColumns({BLK: F.lit(0).cast("bigint"), OWN: F.lit(True), ORD: F.col(ts)})
         return Laid(_number(out, sym), sym, ts, halo, False, None)
 
     # 0. one small aggregate: if every symbol fits in one block, one block per
     #    symbol is already bounded and the plan below is not needed.
     if largest is None:
-        largest = largest_series(df, sym)
+        largest, total = series_sizes(df, sym)
     if int(largest) <= max(int(block_rows), halo + 1):
-        return lay_out(df, sym, ts, halo=halo, blocked=False)
+        return lay_out(df, sym, ts, halo=halo, blocked=False, total=total, task_rows=task_rows)
     block_rows = max(int(block_rows), halo + 1)  # a halo lies in one block
     ranked, totals = rank(df, sym, ts)
     blocks = totals.select(sym, F.explode(F.sequence(
@@ -161,6 +185,7 @@ def lay_out(df: DataFrame, sym: str = SYM, ts: str = TS, *, halo: int = 0,
     laid = ranked.select(*wanted, F.col(ts).alias(ORD), RN,
                          F.inline(F.when(copied, F.array(here, after)).otherwise(F.array(here))))
     laid = _sub_blocks(laid.withColumnRenamed("b", BLK).withColumnRenamed("o", OWN))
+    laid = _dealt(laid, total, task_rows, sym, BLK)
     return Laid(laid, sym, ts, halo, True, blocks)
 
 
