@@ -86,3 +86,8 @@ def test_row_numbers_come_with_one_numbering(spark):
     from tickforge.operators.features import with_row_index
     plan = _plan(with_row_index(_bars(spark)))
     assert plan.count("row_number()") == 1
+
+
+def test_residual_exemplars_copy_no_row_for_each_strategy(spark):
+    from __spark_entry__ import queries
+    assert "explode" not in _plan(queries()["residual_exemplars"](spark, "/root/testdata/sf0.001"))

@@ -278,8 +278,8 @@ SQL_CONTRIB = (f"SELECT symbol, ts, {rnd('regr_slope(close, open) OVER (PARTITIO
 
 
 def q_exemplars(spark, sf_dir):
-    n = (_naive(spark, sf_dir).where(F.col("predicted").isNotNull())
-         .withColumn("e", F.col("close") - F.col("predicted")))
+    n = stored(_naive(spark, sf_dir).where(F.col("predicted").isNotNull())
+               .withColumn("e", F.col("close") - F.col("predicted")), "residuals")
     q = quantiles(n, "e", [0.25, 0.5, 0.75], by=["symbol"], names=["q1", "q2", "q3"])
     scaled = ["predicted", "open", "high", "low"]
     st = (n.groupBy("symbol").agg(F.stddev_pop("e").alias("sd"),
@@ -297,27 +297,23 @@ def q_exemplars(spark, sf_dir):
     extreme = F.lit(False)
     for c in ("open", "high", "low"):
         extreme = extreme | F.coalesce((unit(c) < 0.01) | (unit(c) > 0.99), F.lit(False))
-    cands = x.select("symbol", "ts", F.explode(F.array(
-        F.struct(F.lit("worst").alias("strategy"), (-F.abs("e")).alias("score")),
-        F.struct(F.lit("best").alias("strategy"), F.abs("e").alias("score")),
-        F.struct(F.lit("median").alias("strategy"), F.abs(F.col("e") - F.col("q")[1]).alias("score")),
-        F.struct(F.lit("q25").alias("strategy"), F.abs(F.col("e") - F.col("q")[0]).alias("score")),
-        F.struct(F.lit("q75").alias("strategy"), F.abs(F.col("e") - F.col("q")[2]).alias("score")),
-        F.struct(F.lit("outlier").alias("strategy"),
-                 F.when(F.abs("e") > 3 * F.col("sd"), F.lit(0.0))
-                 .otherwise(1e300 - F.abs("e")).alias("score")),
+    scores = {
+        "worst": -F.abs("e"),
+        "best": F.abs("e"),
+        "median": F.abs(F.col("e") - F.col("q")[1]),
+        "q25": F.abs(F.col("e") - F.col("q")[0]),
+        "q75": F.abs(F.col("e") - F.col("q")[2]),
+        "outlier": F.when(F.abs("e") > 3 * F.col("sd"), F.lit(0.0)).otherwise(1e300 - F.abs("e")),
         # first row with a prediction at the edge of its range, else the worst
-        F.struct(F.lit("boundary_case").alias("strategy"),
-                 F.when(F.coalesce(boundary, F.lit(False)), F.lit(0.0))
-                 .otherwise(1e300 - F.abs("e")).alias("score")),
+        "boundary_case": F.when(F.coalesce(boundary, F.lit(False)), F.lit(0.0)).otherwise(1e300 - F.abs("e")),
         # first row with any feature at the edge of its range, else the worst
-        F.struct(F.lit("feature_extreme").alias("strategy"),
-                 F.when(extreme, F.lit(0.0)).otherwise(1e300 - F.abs("e")).alias("score"))
-    )).alias("c"))
-    cands = cands.select("symbol", "ts", "c.strategy", "c.score")
-    # lowest score, earliest ts on ties: a partial aggregate, no per-group window
-    best = F.min_by(F.col("ts"), F.struct("score", "ts"))
-    return cands.groupBy("symbol", "strategy").agg(best.alias("ts"))
+        "feature_extreme": F.when(extreme, F.lit(0.0)).otherwise(1e300 - F.abs("e")),
+    }
+    # lowest score, earliest ts on ties: one aggregate over the rows as they are, not over a copy for each strategy
+    best = x.groupBy("symbol").agg(F.array(*[
+        F.struct(F.lit(name).alias("strategy"), F.min_by(F.col("ts"), F.struct(score.alias("score"), F.col("ts"))).alias("ts"))
+        for name, score in scores.items()]).alias("_best"))
+    return best.select("symbol", F.inline("_best"))
 
 
 SQL_EXEMPLARS = f"""
