@@ -73,6 +73,13 @@ def test_rolling_means_are_the_sliding_ones_without_sliding(spark):
     assert "RowFrame, -609" not in _plan(M.sma_window_search(_bars(spark), [2, 610]))
 
 
+def test_fits_read_bounded_partitions(spark):
+    df = spark.range(1000).coalesce(1)
+    out = layout.stored_in_parts(df, "parts", part_rows=100)
+    sizes = out.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 1000 and max(r["count"] for r in sizes) <= 200
+
+
 def test_a_large_table_is_dealt_by_its_size(spark):
     bars = _bars(spark, symbols=64, n=10)
     n = 4 * spark.sparkContext.defaultParallelism
