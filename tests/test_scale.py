@@ -48,6 +48,13 @@ def test_object_store_has_a_file_a_symbol_not_one_from_every_task(spark, tmp_pat
     assert spark.read.parquet(str(tmp_path / "bucket")).count() == 240
 
 
+def test_gaps_are_asked_of_the_bars_not_of_the_fold(spark, monkeypatch):
+    asked, has_gaps = [], I._has_gaps
+    monkeypatch.setattr(I, "_has_gaps", lambda bars, *a: asked.append(bars.columns) or has_gaps(bars, *a))
+    out = I.with_indicators(_bars(spark), ["ema", "psar"])
+    assert "PSAR" in out.columns and asked and all("PSAR" not in c for c in asked)
+
+
 def test_risk_reads_a_replay_once(spark):
     ledger = BT.action_ledger(BT.momentum_actions(_bars(spark)))
     assert "FlatMapGroupsInPandas" in _plan(ledger)
