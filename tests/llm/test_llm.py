@@ -501,6 +501,38 @@ def test_components_of_random_graphs(spark):
         assert got == label
 
 
+def test_small_staged_tables_are_few_files(spark, monkeypatch):
+    """Tables of a known small size are one file each, however many partitions made them; no row is lost."""
+    from pathlib import Path
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    written, plain = collections.defaultdict(list), common.scratch_path
+
+    def path_of(session, name):
+        written[name].append(plain(session, name))
+        return written[name][-1]
+
+    monkeypatch.setattr(common, "scratch_path", path_of)
+    edges = [(i, i + 1) for i in range(40)] + [(1000, 2000 + i) for i in range(50)]
+    texts = [f"{' '.join(f'w{i}x{j}' for j in range(40))}\nthe same line on every site" for i in range(60)]
+    rows = [(i, t + " end" * (i >= 60), f"site{i}") for i, t in enumerate(texts * 2)]
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        roots = common.components(spark.createDataFrame(edges, "a long, b long"), "a", "b", "path", rows=len(edges))
+        assert {r.root for r in roots.collect()} == {0, 1000} and roots.count() == 92
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        assert sorted(r.doc_id for r in oph_dedup.keep_first(df).collect()) == list(range(60))
+        assert {r.text for r in line_spread.remove(df.where("doc_id < 60")).collect()} == {t.split("\n")[0] for t in texts}
+        assert common.staged(spark.range(0, 1000, 1, 30), "ids", 2 * common.FILE_BYTES + 1).count() == 1000
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    files = {name: max(len(list(Path(p.removeprefix("file:")).glob("part-*"))) for p in paths) for name, paths in written.items()}
+    assert len(written["path"]) > 2 and files.pop("ids") == 3
+    for name in ("path", "nodes", "node-sketches", "clusters", "linked", "gone", "line-sites", "spread-lines", "text-lines"):
+        assert files[name] == 1, name
+
+
 # --- 6 secrets
 
 def secrets_brute(text):

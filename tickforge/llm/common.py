@@ -13,6 +13,10 @@ from ..session import scratch_path, ship_package
 WORD_SEPARATOR = r"[\x20\x09-\x0D]+"
 #: Most bytes of a table that is broadcast by a hint.
 BROADCAST_BYTES = 64 << 20
+#: Least bytes that a task writes of a staged table whose size is bounded beforehand.
+FILE_BYTES = 1 << 20
+#: Bytes of an edge, two long numbers.
+EDGE_BYTES = 16
 #: Rows of one bucket of ``gapless_rank`` (2 to this power).
 RANK_BUCKET_BITS = 15
 
@@ -28,13 +32,19 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, most_bytes: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage with files that outlive a lost executor. Where a value
     depends on the task that made it (row ids), this also fixes it.
+    ``most_bytes`` is a bound on its size, if one is known: it is then written
+    by one task for each ``FILE_BYTES`` of it at most, else by every task of
+    its last stage, a file each however few the rows. On a local file system
+    Hadoop starts processes for every file.
     """
     spark = df.sparkSession
+    if most_bytes is not None:
+        df = df.coalesce(max(1, -(-most_bytes // FILE_BYTES)))
     ship_package(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
@@ -115,7 +125,7 @@ def gapless_rank(df: DataFrame, keys: list[str], rid: str, out: str) -> DataFram
     return joined.withColumn(out, F.col(base) + F.col(local)).drop(b, base, local)
 
 
-def components(edges: DataFrame, left: str, right: str, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, left: str, right: str, name: str = "components", rows: int | None = None) -> DataFrame:
     """Connected components of undirected ``edges``: rows (node, root), root the smallest node.
 
     Rows for every node that an edge names; loops and repeated edges are
@@ -123,15 +133,19 @@ def components(edges: DataFrame, left: str, right: str, name: str = "components"
     only stars are left: every node hands its larger neighbours, then its smaller
     ones, to the smallest neighbour. Each step groups edges by node with a
     partial minimum and joins it back (a hot node is a skewed join, which
-    adaptive execution splits); each round is a written table. Rounds grow
-    with the logarithm of the longest path.
+    adaptive execution splits); each round is a written table, of twice the edges
+    of the one before at most. Rounds grow with the logarithm of the longest
+    path. ``rows`` is the number of ``edges``, or a bound on it, if known.
     """
     e = (edges.select(F.col(left).alias("u"), F.col(right).alias("v"))
          .where("u is not null and v is not null"))
     own = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
     e = staged(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-               .distinct(), name)
-    while not _stars(e):
+               .distinct(), name, None if rows is None else EDGE_BYTES * rows)
+    while True:
+        done, rows = _stars(e)
+        if done:
+            break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = (both.where("v > u").join(low, "u")
@@ -140,18 +154,18 @@ def components(edges: DataFrame, left: str, right: str, name: str = "components"
         small = large.join(low, "u")
         e = staged(small.select("u", F.col("m").alias("v"))
                    .union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-                   .distinct(), name)
+                   .distinct(), name, EDGE_BYTES * 2 * rows)
     return (own.join(e, own["node"] == e["u"], "left")
             .select("node", F.coalesce("v", "node").alias("root")))
 
 
-def _stars(e: DataFrame) -> bool:
-    """Whether edges (u, v), u > v, have one v for each u, which is no u itself: one row, two numbers."""
+def _stars(e: DataFrame) -> tuple[bool, int]:
+    """Whether edges (u, v), u > v, have one v for each u, which is no u itself, and their number: one row, three numbers."""
     ends = (e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
             .union(e.select("v", F.lit(0), F.lit(1)))
             .groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")))
-    most, both = ends.agg(F.max("up"), F.max(F.least("up", "down"))).first()
-    return not both and (most or 0) <= 1
+    most, both, rows = ends.agg(F.max("up"), F.max(F.least("up", "down")), F.sum("up")).first()
+    return not both and (most or 0) <= 1, rows or 0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

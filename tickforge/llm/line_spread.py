@@ -19,12 +19,15 @@ from .common import checked_broadcast, fresh, staged
 MIN_SITES = 8
 #: Relative standard deviation of the sketches (128 registers).
 SKETCH_RSD = 0.1
+#: Bytes of a row (text key, site, line), at most.
+SEEN_BYTES = 64
 #: Estimates from 1 / NEAR to NEAR times the threshold are counted exactly.
 NEAR = 2.0
 
 
-def spread_lines(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """Rows (text_key, lines): for each text with boilerplate the hashes of its boilerplate lines.
+def spread_lines(docs: DataFrame, text: str = "text", site: str = "source",
+                 min_sites: int = MIN_SITES) -> tuple[DataFrame, int]:
+    """Rows (text_key, lines): for each text with boilerplate the hashes of its boilerplate lines; and a bound on these.
 
     A text is known by its MD5, a line by a 64-bit hash; lines without a word
     do not count; a null site is a site of its own.
@@ -32,15 +35,17 @@ def spread_lines(docs: DataFrame, text: str = "text", site: str = "source", min_
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.md5(body).alias("text_key"), F.xxhash64(F.col(site), F.col(site).isNull()).alias("site"),
                        F.explode(line_hashes(body)).alias("line"))
-    est = rows.groupBy("line").agg(F.approx_count_distinct("site", SKETCH_RSD).alias("est"))
+    est = rows.groupBy("line").agg(F.approx_count_distinct("site", SKETCH_RSD).alias("est"), F.count(F.lit(1)).alias("n"))
     likely = staged(est.where(F.col("est") * NEAR >= min_sites)
-                    .select("line", (F.col("est") >= NEAR * min_sites).alias("sure")), "likely-lines")
-    seen = staged(rows.join(likely, "line").select("text_key", "site", "line", "sure").distinct(), "line-sites")
+                    .select("line", (F.col("est") >= NEAR * min_sites).alias("sure"), "n"), "likely-lines")
+    n_lines, most = likely.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    seen = staged(rows.join(likely, "line").select("text_key", "site", "line", "sure").distinct(), "line-sites",
+                  SEEN_BYTES * most)
     exact = (seen.where("not sure").select("line", "site").distinct().groupBy("line")
              .agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= min_sites).select("line"))
-    wide = staged(likely.where("sure").select("line").union(exact), "spread-lines")
+    wide = staged(likely.where("sure").select("line").union(exact), "spread-lines", 8 * n_lines)
     return (seen.select("text_key", "line").distinct().join(wide, "line")
-            .groupBy("text_key").agg(F.collect_list("line").alias("lines")))
+            .groupBy("text_key").agg(F.collect_list("line").alias("lines"))), most
 
 
 def line_hashes(body):
@@ -60,7 +65,8 @@ def clean(docs: DataFrame, text: str = "text", site: str = "source",
     key, key2, hits, out, n, wide, whole = fresh(
         docs, "_text_key", "_key", "_hits", "clean_text", "n_lines", "n_spread_lines", "left_whole")
     body = F.coalesce(F.col(text), F.lit(""))
-    found = staged(spread_lines(docs, text, site, min_sites), "text-lines")
+    lines_of, most = spread_lines(docs, text, site, min_sites)
+    found = staged(lines_of, "text-lines", SEEN_BYTES * most)
     found = found.withColumnRenamed("text_key", key2).withColumnRenamed("lines", hits)
     found = checked_broadcast(found, F.size(hits) * 8 + 64)
     d = docs.withColumn(key, F.md5(body)).join(found, F.col(key) == F.col(key2), "left")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, components, fresh, slices, staged
+from .common import EDGE_BYTES, checked_broadcast, components, fresh, slices, staged
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Bins of the signature and rows of a band: 32 bands of 4.
@@ -36,6 +36,8 @@ ALIKE, FAR = 54, 80
 #: Nodes of one block of comparisons.
 BLOCK = 1024
 SET_BLOCK = 256
+#: Bytes of a row, at most, of the set keys, of the band keys with signatures, and of what the choice of first rows joins.
+KEY_BYTES, SKETCH_BYTES, FIRST_BYTES = 64, 8 * (BANDS + BINS // 16) + 32, 64
 #: Words whose hashes a Python worker remembers.
 MEMORY_WORDS = 100_000
 
@@ -268,17 +270,20 @@ def _roots(docs: DataFrame, text: str, size: int, percent: int) -> tuple[DataFra
     (rid,) = fresh(docs, "_row")
     full, (n, set_key, bands, sig) = sketch(docs, text, size, rid)
     copies = staged(full.where(F.col(n) > 0).groupBy(F.col(set_key).alias("set_key")).agg(F.min(rid).alias("node")),
-                    "nodes")
+                    "nodes", KEY_BYTES * full.count())
     chosen = full.select(F.col(rid).alias("node"), F.col(bands).alias("bands"), F.col(sig).alias("sig"))
-    nodes = staged(chosen.join(copies.select("node"), "node", "left_semi"), "node-sketches")
-    clusters = components(staged(alike(nodes), "alike"), "a", "b", "alike")
-    several = staged(clusters.select("node", F.col("root").alias("cluster")), "clusters")
+    nodes = staged(chosen.join(copies.select("node"), "node", "left_semi"), "node-sketches", SKETCH_BYTES * copies.count())
+    edges = staged(alike(nodes), "alike")
+    n_edges = edges.count()
+    clusters = components(edges, "a", "b", "alike", n_edges)
+    several = staged(clusters.select("node", F.col("root").alias("cluster")), "clusters", EDGE_BYTES * 2 * n_edges)
     texts = full.select(F.col(rid).alias("node"), F.col(text).alias("body"))
     texts = texts.join(checked_broadcast(several, 32), "node")
     sets = staged(_sets(texts, "body", size), "sets")
     links = (in_blocks(sets, "cluster", SET_BLOCK).groupBy("cluster", "i", "j")
              .applyInPandas(_linked_block(percent), "a bigint, b bigint"))
-    linked = components(staged(links, "links"), "a", "b", "linked")
+    links = staged(links, "links")
+    linked = components(links, "a", "b", "linked", links.count())
     roots = copies.join(linked, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
     key, root = fresh(full, "_key", "_root")
     return full, [rid, n, set_key], roots.select(F.col("set_key").alias(key), F.col("root").alias(root))
@@ -313,5 +318,5 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", size: i
     rows = full.select(set_key, order.alias("row")).join(roots, F.col(set_key) == F.col(own)).select(root, "row")
     firsts = rows.groupBy(F.col(root).alias("of")).agg(F.min("row").alias("first"))
     gone = rows.join(firsts, (F.col(root) == F.col("of")) & (F.col("row.rid") != F.col("first.rid")))
-    gone = staged(gone.select(F.col("row.rid").alias("gone")), "gone")
+    gone = staged(gone.select(F.col("row.rid").alias("gone")), "gone", FIRST_BYTES * full.count())
     return full.join(checked_broadcast(gone, 32), F.col(rid) == F.col("gone"), "left_anti").select(*docs.columns)
