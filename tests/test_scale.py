@@ -6,6 +6,7 @@ import contextlib
 import glob
 import io
 import random
+import time
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -63,6 +64,46 @@ def test_risk_reads_a_replay_once(spark):
     assert "Window" not in _plan(BT.risk_truncate(status))
 
 
+def test_a_replay_of_short_series_deals_its_rows_once(spark):
+    actions = BT.momentum_actions(_bars(spark))
+    plan = _plan(BT.action_ledger(actions))
+    assert plan.count("Exchange") == _plan(actions).count("Exchange") == 1
+
+
+def test_a_report_reads_a_replay_once_and_writes_no_steps_of_short_series(spark):
+    ledger = BT.action_ledger(BT.momentum_actions(_bars(spark)))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+    watched = ledger.mapInPandas(count, ledger.schema)
+    got = {}
+    for kw in ({"largest": 40, "total": 240}, {}, {"chunk": 16}):
+        seen.value = 0
+        summary, steps = BT.backtest_report(watched, **kw)
+        got[str(kw)] = (sorted(map(tuple, summary.collect())), sorted(x for r in steps.collect() for x in r.step_rewards))
+        assert seen.value == 240
+    assert len(set(map(repr, got.values()))) == 1
+    assert "Window" not in _plan(BT.backtest_report(ledger, largest=40, total=240)[0])
+
+
+def test_shuffle_files_go_with_a_write_that_asks_for_it(spark):
+    before = spark.conf.get(layout.LET_GO, None)
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return sum("shuffle_" in x for x in local.getAllFiles().mkString("\n").split("\n"))
+    at = shuffles()
+    out = layout.stored(spark.range(1000).repartition(4, "id").groupBy("id").count(), "gone", let_go=True)
+    left = shuffles()
+    for _ in range(50):
+        left = left if left <= at else time.sleep(0.1) or shuffles()
+    assert left <= at and out.count() == 1000
+    assert spark.conf.get(layout.LET_GO, None) == before
+
+
 def test_rolling_means_are_the_sliding_ones_without_sliding(spark):
     windows = {f"m{n}": n for n in (1, 2, 3, 5, 8, 13, 21, 34, 55)}
     for nulls, kw in ((False, {}), (True, {}), (True, {"block_rows": 60})):

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernels as K
-from ..plans.layout import DEFAULT_BLOCK_ROWS, LAYOUT_COLS, RN, stored
+from ..plans.layout import DEFAULT_BLOCK_ROWS, LAYOUT_COLS, RN, series_sizes, stored
 from ..schema import SYM, TS
-from .fold import fold_series
+from .fold import fold_blocks, fold_placed, longest_series
 from .series import run_series
 
 INITIAL_BALANCE = 10000.0
@@ -30,7 +30,7 @@ REPORT_STEPS = 1 << 16
 
 def action_ledger(actions: DataFrame, *, sym: str = SYM, ts: str = TS, key=None,
                   balance: float = INITIAL_BALANCE, fee: float = FEE,
-                  block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                  block_rows: int = DEFAULT_BLOCK_ROWS, largest: int | None = None) -> DataFrame:
     """Replay an action table per symbol (action_type 0 = buy, 1 = sell, other
     = hold; amount in [0,1]). An action trades at its own bar's price: buy
     floor(balance / price) * amount shares at price * (1 + fee), sell shares *
@@ -38,7 +38,10 @@ def action_ledger(actions: DataFrame, *, sym: str = SYM, ts: str = TS, key=None,
     the position is valued: equity = shares * next price + balance, reward =
     equity minus the initial balance. The last bar has no next one: its action
     is taken and the position is valued at its own price. ``step_price`` is the price of the valuation. Also flags a balance
-    driven below zero by fees."""
+    driven below zero by fees. ``largest`` is the rows of the longest series, where known.
+
+    Series of up to ``block_rows`` rows are dealt out and sorted once: the window that
+    looks at the next price also gives the fold its order."""
     keys = [sym] + list(key or [])
     for c in [*keys, ts]:
         actions = actions.where(F.col(c).isNotNull())
@@ -62,11 +65,15 @@ def action_ledger(actions: DataFrame, *, sym: str = SYM, ts: str = TS, key=None,
         return {"balance": b_out, "shares": s_out}, [bal, sh]
 
     fields = [T.StructField("balance", T.DoubleType()), T.StructField("shares", T.DoubleType())]
-    out = fold_series(actions, keys, ts, run, fields, block_rows=block_rows)
-    return _valued(out, actions, keys, ts, balance, block_rows)
+    if (longest_series(actions, keys) if largest is None else largest) > block_rows:
+        out = fold_blocks(actions, keys, ts, run, fields, block_rows=block_rows)
+        return _valued(out, actions, keys, ts, balance)
+    after = F.lead(F.struct("price")).over(Window.partitionBy(*keys).orderBy(ts))
+    out = fold_placed(actions.withColumn("_after", after), keys, ts, run, fields)
+    return _account(out, actions.columns, F.coalesce(F.col("_after"), F.struct("price"))["price"], balance)
 
 
-def _valued(out: DataFrame, actions: DataFrame, keys: list[str], ts: str, balance: float, block_rows: int) -> DataFrame:
+def _valued(out: DataFrame, actions: DataFrame, keys: list[str], ts: str, balance: float) -> DataFrame:
     """Equity at the next bar's price: a look-ahead inside each day of a series, across days by their first bars.
 
     A window over whole series would be one task for a hot symbol, so
@@ -79,9 +86,12 @@ def _valued(out: DataFrame, actions: DataFrame, keys: list[str], ts: str, balanc
     inside = F.lead(F.struct("price")).over(Window.partitionBy(*keys, "_day").orderBy(ts))
     out = out.withColumn("_day", day).withColumn("_next", inside)
     out = out.join(firsts.drop("_first"), [*keys, "_day"])
-    value = F.coalesce(F.col("_next"), F.col("_after"), F.struct("price"))["price"]
+    return _account(out, actions.columns, F.coalesce(F.col("_next"), F.col("_after"), F.struct("price"))["price"], balance)
+
+
+def _account(out: DataFrame, columns: list[str], value, balance: float) -> DataFrame:
     equity = F.col("shares") * value + F.col("balance")
-    return out.select(*actions.columns, "balance", "shares", equity.alias("equity"),
+    return out.select(*columns, "balance", "shares", equity.alias("equity"),
                       (equity - balance).alias("reward"), (F.col("balance") < 0).alias("negative_balance"),
                       value.alias("step_price"))
 
@@ -100,32 +110,39 @@ def momentum_actions(bars: DataFrame, *, sym: str = SYM, ts: str = TS, **kw) ->
         sym, ts, "action_type", "amount", "price")
 
 
-def performance(series: DataFrame, value: str = "close", *, sym: str = SYM, ts: str = TS,
-                rf: float = RF, **kw) -> DataFrame:
+def performance(series: DataFrame, value: str | list[str] = "close", *, sym: str = SYM, ts: str = TS,
+                rf: float = RF, also=(), **kw) -> DataFrame:
     """Per symbol: Sharpe and Sortino (population std, annualised by sqrt(252); null if that is 0),
     max drawdown (ratio), mean return, absolute max drawdown, volatility,
-    MFE/MAE against the first value."""
+    MFE/MAE against the first value. Of several values, named ``<value>_sharpe_ratio`` and so on,
+    in one pass. ``also`` are more aggregates of a symbol's rows."""
+    values = [value] if isinstance(value, str) else list(value)
+
     def build(df, carries):
-        df = df.withColumn("ret", F.try_divide(F.col(value) - K.lag(value, 1, sym),
-                                               K.lag(value, 1, sym)))
-        df = df.withColumn("_pk", K.local_cummax(value, sym))
-        carries["peak"] = ("_pk", "max")
+        for v in values:
+            before = K.lag(v, 1, sym)
+            df = df.withColumns({f"ret__{v}": F.try_divide(F.col(v) - before, before), f"_pk__{v}": K.local_cummax(v, sym)})
+            carries[f"peak__{v}"] = (f"_pk__{v}", "max")
         return df
 
     r = run_series(series, build, halo=1, sym=sym, ts=ts, **kw)
-    ex = F.col("ret") - F.lit(rf / TRADING_DAYS)
-    down = F.when(ex < 0, ex)
-    v = F.col(value)
-    return r.groupBy(sym).agg(
-        (F.try_divide(F.avg(ex), F.stddev_pop(ex)) * F.lit(math.sqrt(TRADING_DAYS))).alias("sharpe_ratio"),
-        (F.try_divide(F.avg(ex), F.stddev_pop(down)) * F.lit(math.sqrt(TRADING_DAYS))).alias("sortino_ratio"),
-        F.max(F.try_divide(F.col("peak") - v, F.col("peak"))).alias("max_drawdown"),
-        F.avg("ret").alias("average_return"),
-        F.max(F.col("peak") - v).alias("max_drawdown_abs"),
-        F.stddev_pop("ret").alias("volatility"),
-        (F.max(v) - F.min_by(v, F.col(ts))).alias("mfe"),
-        (F.min_by(v, F.col(ts)) - F.min(v)).alias("mae"),
-        F.count(F.lit(1)).alias("steps"))
+    aggs = []
+    for name in values:
+        v, ret, peak = F.col(name), F.col(f"ret__{name}"), F.col(f"peak__{name}")
+        ex = ret - F.lit(rf / TRADING_DAYS)
+        down = F.when(ex < 0, ex)
+        measures = {
+            "sharpe_ratio": F.try_divide(F.avg(ex), F.stddev_pop(ex)) * F.lit(math.sqrt(TRADING_DAYS)),
+            "sortino_ratio": F.try_divide(F.avg(ex), F.stddev_pop(down)) * F.lit(math.sqrt(TRADING_DAYS)),
+            "max_drawdown": F.max(F.try_divide(peak - v, peak)),
+            "average_return": F.avg(ret),
+            "max_drawdown_abs": F.max(peak - v),
+            "volatility": F.stddev_pop(ret),
+            "mfe": F.max(v) - F.min_by(v, F.col(ts)),
+            "mae": F.min_by(v, F.col(ts)) - F.min(v),
+            "steps": F.count(F.lit(1))}
+        aggs += [m.alias(k if isinstance(value, str) else f"{name}_{k}") for k, m in measures.items()]
+    return r.groupBy(sym).agg(*aggs, *also)
 
 
 def backtest_steps(ledger: DataFrame, *, sym: str = SYM, ts: str = TS, **kw) -> DataFrame:
@@ -139,7 +156,7 @@ def backtest_steps(ledger: DataFrame, *, sym: str = SYM, ts: str = TS, **kw) ->
 
 
 def backtest_report(ledger: DataFrame, *, chunk: int = REPORT_STEPS, sym: str = SYM, ts: str = TS,
-                    **kw) -> tuple[DataFrame, DataFrame]:
+                    largest: int | None = None, total: int = 0, **kw) -> tuple[DataFrame, DataFrame]:
     """The report of a replay: one row a symbol, and its steps.
 
     The first frame has steps, total reward, last balance and equity, MFE, MAE and
@@ -147,18 +164,39 @@ def backtest_report(ledger: DataFrame, *, chunk: int = REPORT_STEPS, sym: str =
     added up (a return on a sum of 0 is null). The second has the step arrays:
     one row for each ``chunk`` steps of a symbol (part 0, 1, ...), so that no row grows
     with the series. An empty ledger gives two empty frames.
+
+    ``largest`` and ``total`` are the rows of the longest series and of all, where known
+    (a replay has those of its actions); else the ledger is written before it is counted.
+    If every series is one part, rows are dealt out once and only the report is written,
+    not its steps.
     """
-    steps = stored(backtest_steps(ledger, sym=sym, ts=ts, **kw), "backtest-steps")
-    price = performance(steps, "step_price", sym=sym, ts=ts, **kw).select(sym, "steps", "mfe", "mae", "max_drawdown")
-    earned = performance(steps, "total_reward", sym=sym, ts=ts, **kw).select(sym, "sharpe_ratio", "sortino_ratio")
-    last = steps.groupBy(sym).agg(F.max_by(F.struct("total_reward", "balance", "equity"), "step").alias("l"))
-    summary = price.join(earned, sym).join(last, sym).select(
-        sym, "steps", F.col("l.total_reward").alias("total_reward"), F.col("l.balance").alias("final_balance"),
-        F.col("l.equity").alias("final_equity"), "mfe", "mae", "sharpe_ratio", "sortino_ratio", "max_drawdown")
-    part = F.floor((F.col("step") - 1) / F.lit(chunk)).cast("long")
-    rows = steps.groupBy(sym, part.alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("step", "total_reward", "step_price"))).alias("s"))
-    return summary, rows.select(sym, "part", F.col("s.total_reward").alias("step_rewards"), F.col("s.step_price").alias("step_prices"))
+    ledger = ledger.select(sym, ts, "balance", "equity", "reward", "step_price")
+    if largest is None:
+        ledger = stored(ledger, "backtest-ledger")
+        largest, total = series_sizes(ledger, sym)
+    sized = {"largest": largest, "total": total, **kw}
+    steps = backtest_steps(ledger, sym=sym, ts=ts, **sized)
+    last = F.max_by(F.struct("total_reward", "balance", "equity"), "step").alias("l")
+    listed = F.array_sort(F.collect_list(F.struct("step", "total_reward", "step_price")))
+    arrays = [F.col("s.total_reward").alias("step_rewards"), F.col("s.step_price").alias("step_prices")]
+    values = ["step_price", "total_reward"]
+    if largest <= min(chunk, kw.get("block_rows", DEFAULT_BLOCK_ROWS)):
+        # the rows are dealt by symbol already: no number of partitions is asked for again
+        whole = performance(steps, values, sym=sym, ts=ts, also=[last, listed.alias("s")], **{**sized, "total": 0})
+        whole = stored(whole.select("*", *arrays).drop("s"), "backtest-report", let_go=True)
+        rows = whole.select(sym, F.lit(0).cast("long").alias("part"), "step_rewards", "step_prices")
+    else:
+        steps = stored(steps, "backtest-steps", let_go=True)
+        whole = performance(steps, values, sym=sym, ts=ts, also=[last], **sized)
+        part = F.floor((F.col("step") - 1) / F.lit(chunk)).cast("long")
+        rows = steps.groupBy(sym, part.alias("part")).agg(listed.alias("s")).select(sym, "part", *arrays)
+    summary = whole.select(
+        sym, F.col("step_price_steps").alias("steps"), F.col("l.total_reward").alias("total_reward"),
+        F.col("l.balance").alias("final_balance"), F.col("l.equity").alias("final_equity"),
+        F.col("step_price_mfe").alias("mfe"), F.col("step_price_mae").alias("mae"),
+        F.col("total_reward_sharpe_ratio").alias("sharpe_ratio"), F.col("total_reward_sortino_ratio").alias("sortino_ratio"),
+        F.col("step_price_max_drawdown").alias("max_drawdown"))
+    return summary, rows
 
 
 def risk_status(series: DataFrame, value: str = "close", *, sym: str = SYM, ts: str = TS,

@@ -97,6 +97,21 @@ def _fold_batches(run, ts: str, columns: list[str], batches, state):
             yield pdf[columns].assign(**made), state
 
 
+def longest_series(df: DataFrame, keys: list[str]) -> int:
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
+def fold_placed(df: DataFrame, keys: list[str], ts: str, run, fields: list[T.StructField]) -> DataFrame:
+    """The fold of rows that a window by ``keys`` in the order of ``ts`` has dealt out and sorted (a wrong order is an error)."""
+    columns, schema = df.columns, T.StructType(df.schema.fields + fields)
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for out, _ in _fold_batches(run, ts, columns, batches, None):
+            yield out
+
+    return df.groupBy(*keys).applyInPandas(whole, schema)
+
+
 def fold_series(df: DataFrame, keys: list[str], ts: str, run, fields: list[T.StructField], *, guess=None,
                 block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """``df`` with the columns ``fields`` of a fold over each series in the order of ``ts``.
@@ -108,15 +123,9 @@ def fold_series(df: DataFrame, keys: list[str], ts: str, run, fields: list[T.Str
     """
     for c in [*keys, ts]:
         df = df.where(F.col(c).isNotNull())
-    if (df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > block_rows:
+    if longest_series(df, keys) > block_rows:
         return fold_blocks(df, keys, ts, run, fields, guess=guess, block_rows=block_rows)
-    columns, schema = df.columns, T.StructType(df.schema.fields + fields)
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for out, _ in _fold_batches(run, ts, columns, batches, None):
-            yield out
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, ts).groupBy(*keys).applyInPandas(whole, schema)
+    return fold_placed(df.repartition(*keys).sortWithinPartitions(*keys, ts), keys, ts, run, fields)
 
 
 def fold_blocks(df: DataFrame, keys: list[str], ts: str, run, fields: list[T.StructField], *, guess=None,

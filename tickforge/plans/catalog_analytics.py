@@ -14,7 +14,7 @@ from ..operators import features as FE
 from ..operators import models as M
 from ..operators.forecast import walk_forward
 from ..operators.series import run_series
-from ..plans.layout import key_count, maybe_broadcast, stored, with_scalars
+from ..plans.layout import key_count, maybe_broadcast, series_sizes, stored, with_scalars
 from ..session import scratch_path
 from ..sources.tables import EVENT_BARS_SQL, LINE_BARS_SQL, event_bars, line_bars, read_table
 from .catalog_indicators import REC_DIGITS, _recursive, spark_round
@@ -415,8 +415,15 @@ SELECT symbol, tau < -2.86 AS stationary, {rnd('tau', 4)} AS tau FROM t"""
 
 
 # ------------------------------------------------------------------ §2.11
+def _sized_ledger(spark, sf_dir):
+    """The replay, the rows of its longest series and of all: those of the bars."""
+    bars = line_bars(spark, sf_dir, columns=["symbol", "ts", "close"]).na.drop(subset=["symbol", "ts"])
+    largest, total = series_sizes(bars)
+    return BT.action_ledger(BT.momentum_actions(bars, largest=largest, total=total), largest=largest), largest, total
+
+
 def _ledger(spark, sf_dir):
-    return BT.action_ledger(BT.momentum_actions(line_bars(spark, sf_dir)))
+    return _sized_ledger(spark, sf_dir)[0]
 
 
 def q_ledger(spark, sf_dir):
@@ -500,13 +507,14 @@ _REPORT = ["total_reward", "final_balance", "final_equity", "mfe", "mae", "sharp
 
 def q_backtest_report(spark, sf_dir):
     """Summary and step arrays written as JSON, read back and joined: one row for each part of a symbol's steps."""
-    summary, steps = BT.backtest_report(_ledger(spark, sf_dir))
+    ledger, largest, total = _sized_ledger(spark, sf_dir)
+    summary, steps = BT.backtest_report(ledger, largest=largest, total=total)
     back = []
     for name, df in (("report", summary), ("report-steps", steps)):
         path = scratch_path(spark, name)
         df.write.mode("errorifexists").json(path)
         back.append(spark.read.schema(df.schema).json(path))
-    listed = back[0].join(back[1], "symbol")
+    listed = back[1].join(maybe_broadcast(back[0], back[0].count()), "symbol")
     cents = {c: F.array_join(F.transform(c, lambda x: F.floor(x * 100 + 0.5000001).cast("long").cast("string")), ",")
              for c in ("step_rewards", "step_prices")}
     return _r(listed.withColumns(cents), ["symbol", "steps", "part", *cents], _REPORT, 4)

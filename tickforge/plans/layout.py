@@ -45,6 +45,8 @@ BROADCAST_ROWS = 2_000_000
 DEFAULT_BLOCK_ROWS = 1 << 20
 #: Rows of a task, about, where a table is too large for the session's partitions.
 TASK_ROWS = 500_000
+#: Spark's setting to remove the shuffle files of a query when it ends.
+LET_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @dataclass(frozen=True)
@@ -108,11 +110,21 @@ def key_count(df: DataFrame, *keys: str) -> int:
     return df.select(*keys).distinct().count()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """A written table in the shared folder: what follows starts from its files."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, name: str, let_go: bool = False) -> DataFrame:
+    """A written table in the shared folder: what follows starts from its files.
+
+    With ``let_go`` the write's shuffle files go as soon as it is done, not with the next
+    collection of the driver's memory: no plan but the write's own has them."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    before = spark.conf.get(LET_GO, None)
+    try:
+        if let_go:
+            spark.conf.set(LET_GO, "true")
+        df.write.parquet(path)
+    finally:
+        if let_go:
+            spark.conf.unset(LET_GO) if before is None else spark.conf.set(LET_GO, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def stored_in_parts(df: DataFrame, name: str, part_rows: int = TASK_ROWS) -> DataFrame:

@@ -51,8 +51,10 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def line_bars(spark: SparkSession, sf_dir: str, keep: bool = True) -> DataFrame:
-    """Daily bars per supplier from ``lineitem``: price = extendedprice / quantity."""
+def line_bars(spark: SparkSession, sf_dir: str, keep: bool = True, columns=None) -> DataFrame:
+    """Daily bars per supplier from ``lineitem``: price = extendedprice / quantity.
+
+    With ``columns`` only these are made and, to keep them, written as a table."""
     li = read_table(spark, sf_dir, "lineitem")
     bars = bars_from_ticks(
         li, "l_suppkey", "l_shipdate",
@@ -60,6 +62,10 @@ def line_bars(spark: SparkSession, sf_dir: str, keep: bool = True) -> DataFrame:
         volume="l_quantity",
         order=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"],
         grain="day")
+    if columns is not None:
+        from ..plans.layout import stored
+        bars = bars.select(*columns)
+        return stored(bars, "bars", let_go=True) if keep else bars
     return materialize(bars) if keep else bars
 
 
