@@ -174,6 +174,30 @@ def test_only_parameter_errors_are_failed_trials(spark):
         M.hyperparameter_search(broken, ["x"], "close", space, n_trials=1, folds=2, ts="ts")
 
 
+def test_registered_search_is_the_whole_study(spark, monkeypatch):
+    from tickforge.plans import catalog_analytics as CA
+    asked = {}
+    monkeypatch.setattr(CA.M, "hyperparameter_search", lambda *a, **kw: asked.update(kw) or "trials")
+    assert CA.q_search(spark, "/root/testdata/sf0.001") == "trials"
+    assert (asked["n_trials"], asked["folds"]) == (100, 5) and asked["startup"] >= 10
+
+
+def test_search_values_do_not_depend_on_how_many_fits_run_at_once(spark, monkeypatch):
+    df = _bars(spark, _walks()).withColumn("x", F.col("close") * 2)
+    space = {"numTrees": ("int", 1, 2), "maxDepth": ("int", 1, 2)}
+    fits, error = [], M._fold_error
+    monkeypatch.setattr(M, "_fold_error", lambda est, *a: fits.append((est.getNumTrees(), est.getMaxDepth(), a[2])) or error(est, *a))
+    got = []
+    for parallelism in (1, 4):
+        fits.clear()
+        trials = M.hyperparameter_search(df, ["x"], "close", space, n_trials=9, folds=2, ts="ts", startup=4,
+                                         parallelism=parallelism)
+        got.append([(r.number, r.value, r.params_numTrees, r.params_maxDepth, r.state) for r in trials.orderBy("number").collect()])
+        tried = {(r[2], r[3], i) for r in got[-1] for i in (0, 1)}
+        assert len(got[-1]) == 9 and set(fits) == tried and len(fits) == len(tried)  # a point drawn again is not fitted again
+    assert got[0] == got[1]
+
+
 def test_tuned_forest_predicts_better_than_the_mean(spark):
     rng = np.random.default_rng(5)
     rows = [("A", DAY + dt.timedelta(days=i), float(x), float(z), float(3 * x + 0.1 * z))
