@@ -68,6 +68,23 @@ def test_blocks_that_forget_run_at_once(spark):
         assert sum(seen) <= 4 * seen[0]
 
 
+def test_short_series_share_a_group(spark):
+    """Many series in few groups, also over the borders of small batches, equal one series alone."""
+    bars = walk(spark, 120).where("symbol = 'hot'")
+    many = bars.crossJoin(spark.range(150).select(F.concat(F.lit("s"), F.col("id")).alias("s"))).withColumn("symbol", F.col("s")).drop("s")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = sorted((r.ts, r.PSAR) for r in fold.psar(bars).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "77")
+    try:
+        got = {}
+        for r in fold.psar(many).collect():
+            got.setdefault(r.symbol, []).append((r.ts, r.PSAR))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == 150 and all(sorted(v) == want for v in got.values())
+    assert "FlatMapGroupsInPandas [symbol" not in fold.psar(many)._jdf.queryExecution().toString()
+
+
 def test_ledger_in_blocks(spark):
     actions = BT.momentum_actions(walk(spark, 700)).cache()
     cols = ["balance", "shares", "equity", "reward", "negative_balance"]
